@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, sstable, token_counts
+from . import decontamination, mixing, sharding, sstable, token_counts, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_sstable": sstable.op5_token_sstable,
     "op6_sharding": sharding.op6_sharding,
     "op9_token_counts": token_counts.op9_token_counts,
