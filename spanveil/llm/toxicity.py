@@ -2,7 +2,7 @@
 
 Terms of a text are its words and its words' first four, five and six characters (small
 letters), hashed to 64 bits. From a bounded sample of labelled rows (SAMPLE) the terms
-that go with a label are chosen by chi-squared, weighed by TF-IDF, and the sample's
+that go with label 1 are chosen by chi-squared, weighed by TF-IDF, and the sample's
 documents are indexed: for each term a posting list, parted into blocks of BLOCK
 documents with the largest weight in each. A query adds up its terms' block maxima,
 opens blocks from the highest bound down, and stops when no unopened block can
@@ -24,7 +24,9 @@ from .common import Scratch, mix, prefix_hash, span_hash, table
 
 #: Labelled rows that the index may hold; terms; neighbours; documents in a block.
 SAMPLE, TERMS, K, BLOCK = 20_000, 4096, 15, 64
-MIN_ROWS, PREFIXES, CELLS = 5, (4, 5, 6), 1 << 20
+#: Chi-squared that a term must exceed: with a million terms tried, hardly one does by chance.
+CHI = 40.0
+MIN_ROWS, PREFIXES, CELLS = 8, (4, 5, 6), 1 << 20
 
 _FOLD = np.zeros(0x3000, dtype=np.uint64)
 
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
     counted = held.coalesce(8).mapInArrow(exact, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"n0 + n1 >= {MIN_ROWS}")
     a, b, every = F.col("n1").cast("double"), F.col("n0").cast("double"), float(n0 + n1)
     chi = (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) * every / ((a + b) * (every - a - b + 1e-9) * max(1, n1) * max(1, n0))
-    best = counted.withColumn("chi", chi).where("chi > 10.83").orderBy(F.desc("chi"), "term").limit(n_terms).collect()
+    best = counted.withColumn("chi", chi).where((F.col("chi") > CHI) & (a * n0 > b * n1)).orderBy(F.desc("chi"), "term").limit(n_terms).collect()
     hashes = np.array([r.term for r in best], dtype=np.int64).astype(np.uint64)
     idf = np.log((n0 + n1 + 1) / (np.array([r.n0 + r.n1 for r in best], dtype=float) + 1)) + 1
     vectors = Vectors(hashes, idf)
