@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, sstable, token_counts, toxicity
+from . import decontamination, line_rules, mixing, quality, sharding, sstable, token_counts, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_sstable": sstable.op5_token_sstable,
     "op6_sharding": sharding.op6_sharding,
+    "op7_line_rules": line_rules.op7_line_rules,
+    "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
