@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, quality, sharding, sstable, token_counts, toxicity
+from . import decontamination, line_rules, mixing, ngram_join, quality, sharding, sstable, token_counts, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_sstable": sstable.op5_token_sstable,
     "op6_sharding": sharding.op6_sharding,
