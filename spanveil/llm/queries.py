@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, ngram_join, quality, sharding, sstable, token_counts, toxicity
+from . import decontamination, line_rules, mixing, ngram_join, quality, sharding, sstable, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
