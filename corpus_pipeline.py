@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from spanveil.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from spanveil.llm.common import Scratch, table, utf8_bytes
 
-#: The mixture takes all that its weights allow without repeating a document: repeats would undo the join's work.
-SHARE, MAX_EPOCHS = 1.0, 1
+#: Four fifths of the tokens left, none twice: repeats would undo the join's work.
+SHARE, MAX_EPOCHS = 0.8, 1
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
