@@ -87,7 +87,8 @@ def clean_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     """docs' kept rows with frequent lines taken out of their texts."""
     verdicts = line_verdicts(docs, scratch, key, text, host, limit, keep).where("kept").select(F.col("row").alias("_row"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_row"])
     joined = docs.withColumn("_row", row_key(key, text)).join(verdicts, "_row").drop("_row")
-    at = joined.columns.index(text)
+    names = joined.columns
+    at = names.index(text)
 
     def cleaned(batches):
         for b in batches:
@@ -96,7 +97,7 @@ def clean_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
                 bad = set(gone or ())
                 texts.append("\n".join(x for x in t.split("\n") if not WORD.search(x) or line_hash(x) not in bad) if bad else t)
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, joined.columns[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names[:-1])
 
     return joined.mapInArrow(cleaned, joined.drop("_gone").schema).select(*docs.columns)
 

@@ -377,12 +377,13 @@ def keep_one(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, key:
     """
     _, of_class = _join(docs, scratch, n, num, key, text)
     first = of_class.groupBy("comp").agg(F.min(F.struct(F.col("least").isNull(), "least", "sig")).alias("f")).select(F.col("f.sig").alias("_sig"), F.col("f.least").alias("_key"))
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def signed(batches):
         for b in batches:
             sig = [_sign(shingle_set((t or "").encode("utf-8", "surrogatepass"), n)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], [*docs.columns, "_sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], [*names, "_sig"])
 
     with_sig = docs.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", LongType())]))
     held = with_sig.join(first, (with_sig["_sig"] == first["_sig"]) & with_sig[key].eqNullSafe(first["_key"]), "left_semi").dropDuplicates(["_sig"])
