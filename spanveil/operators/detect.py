@@ -94,14 +94,15 @@ class CallableDetector:
         self.fn = fn
 
     def detect(self, docs: DataFrame, types: list[str], threshold: float = 0.8) -> DataFrame:
-        fn, at = self.fn, docs.columns.index("text")
+        fn, names = self.fn, docs.columns
+        at = names.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
             for b in batches:
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 rows = [[{"label": x[0], "start": x[1], "end": x[2], "confidence": x[3]} for x in found if x[3] >= threshold] for found in fn(texts, types, threshold)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*docs.columns, "_found"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*names, "_found"])
 
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "_found array<struct<label:string,start:int,end:int,confidence:double>>"])
         found = docs.mapInArrow(run, schema)

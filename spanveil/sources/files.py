@@ -66,7 +66,8 @@ def call_service(rows: DataFrame, submit: Callable, poll: Callable, fetch: Calla
     runs; fetch(task) gives the text. Polls that raise are tried again with doubled waits, ten
     seconds (or the interval) at most. Concurrency is the number of tasks: repartition rows to bound it.
     """
-    at = rows.columns.index(column)
+    names = rows.columns
+    at = names.index(column)
 
     def one(value) -> tuple[str | None, str | None]:
         try:
@@ -88,7 +89,7 @@ def call_service(rows: DataFrame, submit: Callable, poll: Callable, fetch: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(v) for v in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [*rows.columns, result, "service_error"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [*names, result, "service_error"])
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], f"`{result}` string, service_error string"])
     return rows.mapInArrow(run, ddl)
