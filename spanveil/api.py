@@ -55,8 +55,8 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
     pieces = layout.split_mentions(mentions.select("doc_id", "mention_no", "start", "end"), placed.select("doc_id", "unit_idx", "u_start", "u_end"))
     boxes = pieces.join(units.select("doc_id", "unit_idx", "words"), ["doc_id", "unit_idx"]).withColumn("boxes", layout.bars(layout.touched_boxes(F.col("words"), F.col("start"), F.col("end"))))
     each = boxes.select("doc_id", "mention_no", "unit_idx", F.posexplode("boxes").alias("i", "box")).join(mentions.select("doc_id", "mention_no", F.col("mention_id").alias("id"), "label", "confidence", "text"), ["doc_id", "mention_no"])
-    spots = each.select("doc_id", F.struct(F.lit(1).alias("k"), F.col("mention_no").alias("n"), F.col("unit_idx").alias("u"), F.col("i")).alias("o"), "id", "box", "label", "confidence", "text")
-    drawn = layout.picture_marks(pictures).select("doc_id", F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.monotonically_increasing_id().cast("int").alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
+    spots = each.select("doc_id", F.struct(F.lit(1).alias("k"), F.col("mention_no").alias("n"), F.col("unit_idx").alias("u"), F.col("i").cast("long").alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
+    drawn = layout.picture_marks(pictures).select("doc_id", F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.monotonically_increasing_id().alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
     from pyspark.sql import Window
 
     numbered = drawn.unionByName(spots).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))).drop("o")
