@@ -65,7 +65,7 @@ def brute_cut(texts, width=400):
     return out
 
 
-@pytest.mark.parametrize("in_bucket,hot", [(60_000, 20_000), (8, 20_000), (8, 2)])
+@pytest.mark.parametrize("in_bucket,hot", [(20_000, 20_000), (8, 20_000), (8, 2)])
 def test_suffix_dedup(spark, monkeypatch, in_bucket, hot):
     monkeypatch.setattr(suffix_dedup, "IN_BUCKET", in_bucket)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
