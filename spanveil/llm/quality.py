@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-ROUNDS, SURE, PSEUDO_WEIGHT, RIDGE = 3, 0.95, 0.2, 1.0
+ROUNDS, SURE, PSEUDO_WEIGHT, RIDGE, STEPS = 2, 0.95, 0.2, 1.0, 7
+#: The longest step of a weight: where views part the labels wholly, full Newton steps run away.
+LONGEST_STEP = 1.5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT, META = 14, 48
 
@@ -111,7 +113,7 @@ def _newton(table_: DataFrame, start: np.ndarray, rows, steps: int, ridge: float
             return beta
         n = len(beta)
         step = np.linalg.solve(total[: n * n].reshape(n, n) + ridge * np.eye(n), total[n * n :] - ridge * beta)
-        beta = beta + step
+        beta = beta + step * min(1.0, LONGEST_STEP / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-3:
             break
     return beta
@@ -120,12 +122,17 @@ def _newton(table_: DataFrame, start: np.ndarray, rows, steps: int, ridge: float
 def cotrain(features: DataFrame, rounds: int = ROUNDS) -> Views:
     """features: x (binary float32s of both views), y (0, 1, or -1 unknown), fold (0-4; 0 is held out, 1 calibrates)."""
     v = Views()
-    total = _sums(features, lambda x, y, fold: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))))
+    total = _sums(features, lambda x, y, fold: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0), [((y == 1) & (fold > 1)).sum(), ((y == 0) & (fold > 1)).sum()])))
     if np.isscalar(total):
         return v
     n, k = total[0], TEXT + META
     v.mean = total[1 : 1 + k] / n
-    v.scale = np.sqrt(np.maximum(total[1 + k :] / n - v.mean**2, 1e-6))
+    v.scale = np.sqrt(np.maximum(total[1 + k : 1 + 2 * k] / n - v.mean**2, 1e-6))
+    # A view is sure where its probability is high and its evidence, the log-odds beyond the labels' own, is strong:
+    # a view without evidence repeats the larger class, and would teach it.
+    prior = float(np.log((total[-2] + 1) / (total[-1] + 1)))
+    strong = float(np.log(SURE / (1 - SURE)))
+    above, below = max(0.0, prior) + strong, min(0.0, prior) - strong
     for round_ in range(rounds + 1):
         text, meta = v.text, v.meta
         for view in (0, 1):
@@ -135,9 +142,9 @@ def cotrain(features: DataFrame, rounds: int = ROUNDS) -> Views:
                 known = (y >= 0) & (fold > 1)
                 t, w = np.where(known, y, 0).astype(float), known.astype(float)
                 if round_:
-                    p = _logistic(d[1 - view] @ (meta, text)[view])
-                    sure = ~known & ((p > SURE) | (p < 1 - SURE))
-                    t, w = np.where(sure, p > 0.5, t), np.where(sure, PSEUDO_WEIGHT, w)
+                    odds = d[1 - view] @ (meta, text)[view]
+                    sure = ~known & ((odds > above) | (odds < below))
+                    t, w = np.where(sure, odds > 0, t), np.where(sure, PSEUDO_WEIGHT, w)
                 return d[view], t, w
 
             mean, scale = v.mean, v.scale
@@ -147,7 +154,7 @@ def cotrain(features: DataFrame, rounds: int = ROUNDS) -> Views:
                 u.mean, u.scale = mean, scale
                 return u.design(x)
 
-            fitted = _newton(features, (text, meta)[view], rows, 6 if not round_ else 3)
+            fitted = _newton(features, np.zeros_like((text, meta)[view]), rows, STEPS)
             if view:
                 v.meta = fitted
             else:
