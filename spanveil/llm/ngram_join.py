@@ -15,8 +15,8 @@
    component are skipped. Buckets above MOST_IN_BUCKET sets are joined in blocks,
    each pair of blocks a bucket of its own.
 4. What that can miss is a pair that shares none of the routes. All pairs in different
-   components whose first |x| - ceil(t|x|) + 1 shingles meet and whose routes don't are
-   compared by the same trie, so the join is exact.
+   components whose rarest first shingles meet and whose routes don't are compared by the
+   same trie, so the join is exact.
 
 Hash collisions apart (64 bits), nothing is approximate and nothing is capped.
 """
@@ -276,11 +276,13 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     edges = _bucket_links(routes, sets, num)
     edges = scratch.save(edges, "edges-1")
     comps = scratch.save(components(edges, scratch, "stars-1"), "comps-1")
-    # Pairs in different components whose first shingles meet and whose routes don't.
-    prefix = F.col("size") - F.ceil(F.col("size") * num / 100) + 1
+    # Pairs in different components whose first shingles meet and whose routes don't. Two that link share
+    # ``wanted`` of their shared first shingles, so all but wanted - 1 of these, the rarest of the classes left, will do.
+    by_df = Window.partitionBy("sig").orderBy("df", "token")
+    ranked = shared.withColumn("rank", F.row_number().over(by_df)).withColumn("every", F.count("*").over(Window.partitionBy("sig")))
     of = live.select("sig", "size").join(comps, F.col("sig") == F.col("node"), "left").select("sig", "size", F.coalesce("component", "sig").alias("comp"))
     of = of.join(routes.groupBy("sig").agg(F.sort_array(F.collect_list("token")).alias("routes")), "sig", "left")
-    heads = shared.select("sig", "token", "pos", "df").join(of, "sig").where(F.col("pos") < prefix)
+    heads = ranked.select("sig", "token", "pos", "rank", "every").join(of, "sig").where(F.col("rank") <= F.col("every") - wanted + 1)
     mixed = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     # What has one component in all its buckets needs no look; others meet in blocks.
     rest = _blocked(heads.join(mixed, "token"), "token").select("bucket", "block", "sig", "size", "pos", "comp", "routes")
@@ -293,13 +295,17 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
         none = np.equal(way, None)
         codes[none] = -1 - np.arange(int(none.sum()))
         a_out, b_out = [], []
-        for i in range(len(sig) - 1):
-            j = slice(i + 1, None)
-            ok = (comp[j] != comp[i]) & (np.maximum(need(size_[j], num), need(size_[i], num)) <= np.minimum(size_[j], size_[i]))
+        names, n = np.unique(comp, return_counts=True)
+        waiting = np.ones(len(sig), dtype=bool)
+        for i in np.flatnonzero(comp != names[n.argmax()]).tolist():  # the largest component's own pairs need no look
+            waiting[i] = False
+            j = np.flatnonzero(waiting & (comp != comp[i]))
+            ok = np.maximum(need(size_[j], num), need(size_[i], num)) <= np.minimum(size_[j], size_[i])
             ok &= np.minimum(size_[i] - pos[i], size_[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= pair_need(size_[i], size_[j], num)
+            j = j[ok]
             for r in codes[i]:
-                ok &= ~(codes[j] == r).any(axis=1)
-            k = np.flatnonzero(ok) + i + 1
+                j = j[~(codes[j] == r).any(axis=1)]
+            k = j
             a_out.append(np.full(len(k), sig[i]))
             b_out.append(sig[k])
         a, b = np.concatenate(a_out or [np.empty(0, np.int64)]), np.concatenate(b_out or [np.empty(0, np.int64)])
