@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, components, mix, shingle_set, table
 
-CELLS, ROUTES, MOST_IN_BUCKET, MOST_BROADCAST = 1 << 18, 4, 20_000, 200_000
+CELLS, ROUTES, MOST_IN_BUCKET, MOST_BROADCAST, GROUPS = 1 << 18, 4, 20_000, 200_000, 4096
 
 
 def need(size: np.ndarray | int, num: int) -> np.ndarray | int:
@@ -284,34 +284,53 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     of = of.join(routes.groupBy("sig").agg(F.sort_array(F.collect_list("token")).alias("routes")), "sig", "left")
     heads = ranked.select("sig", "token", "pos", "rank", "every").join(of, "sig").where(F.col("rank") <= F.col("every") - wanted + 1)
     mixed = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    # What has one component in all its buckets needs no look; others meet in blocks.
-    rest = _blocked(heads.join(mixed, "token"), "token").select("bucket", "block", "sig", "size", "pos", "comp", "routes")
+    # What has one component in all its buckets needs no look; others meet in blocks. Small buckets share a
+    # group, dealt by hash, since a call for each would cost more than its comparisons.
+    rest = _blocked(heads.join(mixed, "token"), "token")
+    dealt = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.lit(9), "bucket"), F.lit(GROUPS)))
+    rest = rest.withColumn("group", dealt).select("group", "block", "bucket", "sig", "size", "pos", "comp", "routes")
 
     def missed(frame: pa.Table) -> pa.Table:
-        sig, size_, pos, comp = (frame.column(c).to_numpy() for c in ("sig", "size", "pos", "comp"))
-        width = max((len(r or ()) for r in frame.column("routes").to_pylist()), default=0)
-        way = np.array([(r or []) + [None] * (width - len(r or ())) for r in frame.column("routes").to_pylist()], dtype=object).reshape(len(sig), width)
-        codes = np.unique(np.array([0 if v is None else v for v in way.ravel()], dtype=np.int64), return_inverse=True)[1].reshape(way.shape)
-        none = np.equal(way, None)
-        codes[none] = -1 - np.arange(int(none.sum()))
-        a_out, b_out = [], []
-        names, n = np.unique(comp, return_counts=True)
-        waiting = np.ones(len(sig), dtype=bool)
-        for i in np.flatnonzero(comp != names[n.argmax()]).tolist():  # the largest component's own pairs need no look
-            waiting[i] = False
-            j = np.flatnonzero(waiting & (comp != comp[i]))
-            ok = np.maximum(need(size_[j], num), need(size_[i], num)) <= np.minimum(size_[j], size_[i])
-            ok &= np.minimum(size_[i] - pos[i], size_[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= pair_need(size_[i], size_[j], num)
-            j = j[ok]
-            for r in codes[i]:
-                j = j[~(codes[j] == r).any(axis=1)]
-            k = j
-            a_out.append(np.full(len(k), sig[i]))
-            b_out.append(sig[k])
-        a, b = np.concatenate(a_out or [np.empty(0, np.int64)]), np.concatenate(b_out or [np.empty(0, np.int64)])
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    pairs = scratch.save(rest.groupBy("bucket", "block").applyInArrow(missed, "a long, b long").groupBy("a", "b").count(), "pairs")
+        bucket = frame.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        sig, size_, pos, comp = (frame.column(c).to_numpy()[order] for c in ("sig", "size", "pos", "comp"))
+        lists = frame.column("routes").to_pylist()
+        way = np.empty((len(sig), max(1, ROUTES)), dtype=np.int64)
+        way[:] = -1 - np.arange(way.size).reshape(way.shape)  # no route: equal to nothing
+        for i, k in enumerate(order.tolist()):
+            r = lists[k] or ()
+            way[i, : len(r)] = r
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
+        size_of = np.diff(cuts)
+
+        def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which pairs of rows differ in component, can link, and share no route."""
+            a, b = size_[i], size_[j]
+            ok = (comp[i] != comp[j]) & (np.maximum(need(a, num), need(b, num)) <= np.minimum(a, b))
+            ok &= np.minimum(a - pos[i], b - pos[j]) + np.minimum(pos[i], pos[j]) >= pair_need(a, b, num)
+            at = np.flatnonzero(ok)
+            same = (way[i[at]][:, :, None] == way[j[at]][:, None, :]).any(axis=(1, 2)) if len(at) else np.zeros(0, dtype=bool)
+            return at[~same]
+
+        two = cuts[:-1][size_of == 2]
+        k = open_pairs(two, two + 1)
+        a_out, b_out = [sig[two[k]]], [sig[two[k] + 1]]
+        for g in np.flatnonzero(size_of > 2).tolist():
+            rows_ = np.arange(cuts[g], cuts[g + 1])
+            names, n = np.unique(comp[rows_], return_counts=True)
+            waiting = np.ones(len(rows_), dtype=bool)
+            for i in np.flatnonzero(comp[rows_] != names[n.argmax()]).tolist():  # the largest component's own pairs need no look
+                waiting[i] = False
+                j = rows_[waiting]
+                k = open_pairs(np.full(len(j), rows_[i]), j)
+                a_out.append(np.full(len(k), sig[rows_[i]]))
+                b_out.append(sig[j[k]])
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    pairs = scratch.save(rest.groupBy("group", "block").applyInArrow(missed, "a long, b long").groupBy("a", "b").count(), "pairs")
     walkers = pairs.select(F.col("a").alias("token"), F.explode(F.array("a", "b")).alias("sig")).distinct()
     more = scratch.save(_bucket_links(walkers, sets, num), "edges-2")
     if more.limit(1).count():
