@@ -222,7 +222,7 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return out
 
 
-def _texts(column: pa.Array, most: int = 1_000_000):
+def _texts(column: pa.Array, most: int = 250_000):
     """(first row, texts) in runs of bounded size; null is empty."""
     run, first, size = [], 0, 0
     for i, t in enumerate(column.to_pylist()):

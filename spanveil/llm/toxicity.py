@@ -60,7 +60,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owner), np.concatenate(hashes)
 
 
-def runs(texts: list, most: int = 1_000_000):
+def runs(texts: list, most: int = 250_000):
     """(first row, texts) in runs of bounded size; null is empty."""
     run, first, size = [], 0, 0
     for i, t in enumerate(texts):
