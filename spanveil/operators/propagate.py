@@ -1,22 +1,30 @@
 """Carry detections to their repeats in the same document.
 
-Everything is a fold over arrays inside a row. Labels go in sorted order, longer needles
-first; a repeat is taken if it overlaps nothing taken before, detections of all labels included.
+Everything happens inside a row; needles are looked up and repeats chosen in Arrow batches. Labels go in
+sorted order, longer needles first; a repeat is taken if it overlaps nothing taken before, detections of all labels included.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import REPEATING_LABELS
-from ..functions.folding import find_all_folded
+from ..functions.folding import SPAN as PLACES
+from ..functions.folding import _udf, find_all_folded
 from ..functions.text import strip
-from .detect import SPANS, occurrences
+from .detect import SPANS
 
-WORD = r"[\p{L}\p{N}_'\-]"
 SURNAME = r"^\p{L}[\p{L}\p{N}_'\-]{2,}$"
 NEEDLE = "array<struct<label:string,neg:int,needle:string>>"
+REPEATS = "array<struct<label:string,start:int,end:int,before:int>>"
 
 
 def needles(spans: Column, everywhere: bool = False) -> Column:
@@ -32,42 +40,94 @@ def needles(spans: Column, everywhere: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(own, of)).cast(NEEDLE)))
 
 
-def quoted(needle: Column) -> Column:
-    return F.concat(F.lit(f"(?<!{WORD})\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{WORD})"))
-
-
-def exact_places(text: Column, found: Column) -> Column:
-    """For each needle its places in the text."""
-    return F.transform(found, lambda n: F.transform(occurrences(text, quoted(n["needle"])), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))))
-
-
-REPEAT = "array<struct<label:string,start:int,end:int>>"
-
+def find_exact(needle: str, text: str) -> list[tuple[int, int]]:
+    """Places where needle stands alone in text, letter by letter; they don't overlap."""
+    out, at = [], text.find(needle)
+    while at >= 0:
+        end = at + len(needle)
+        alone = not (at and _in_word(text[at - 1])) and not (end < len(text) and _in_word(text[end]))
+        if alone:
+            out.append((at, end))
+        at = text.find(needle, end if alone else at + 1)
+    return out
 
-def accepted(spans: Column, found: Column, places: Column) -> Column:
-    """Repeats (label, start, end) that overlap nothing taken before them."""
-    pairs = F.arrays_zip(found.alias("n"), places.alias("p"))
-    each = F.flatten(F.transform(pairs, lambda z: F.transform(z["p"], lambda o: F.struct(z["n"]["label"].alias("label"), o["start"].alias("start"), o["end"].alias("end")))))
-    kind = "array<struct<start:int,end:int>>"
-    start = F.struct(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).cast(kind).alias("taken"), F.array().cast(REPEAT).alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        free = ~F.exists(acc["taken"], lambda t: (c["start"] < t["end"]) & (t["start"] < c["end"]))
-        grown = F.struct(F.concat(acc["taken"], F.array(F.struct(c["start"].alias("start"), c["end"].alias("end")))).cast(kind).alias("taken"), F.concat(acc["out"], F.array(c)).cast(REPEAT).alias("out"))
-        return F.when(free, grown).otherwise(acc)
+@lru_cache(100_000)
+def _in_word(ch: str) -> bool:
+    return ch in "_'-" or unicodedata.category(ch)[0] in "LN"
 
-    return F.aggregate(each, start, step)["out"]
 
+def exact_places(text: Column, found: Column) -> Column:
+    """For each needle its places in the text."""
 
-def numbered(spans: Column, text: Column, repeats: Column) -> Column:
+    def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[[{"start": a, "end": b} for a, b in find_exact(n, t)] for n in ns] if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)])
+
+    return _udf(run, f"array<{PLACES}>")(F.transform(found, lambda n: n["needle"]), text)
+
+
+def accept(taken: list[tuple[int, int]], candidates: list[tuple]) -> list[tuple]:
+    """Candidates (.., start, end), in order, that overlap nothing taken before them. What is taken is kept as sorted
+    intervals that don't overlap, so that one of them decides."""
+    starts, ends = [], []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for c in candidates:
+        a, b = c[-2:]
+        i = bisect_left(starts, b)
+        if not i or ends[i - 1] <= a:
+            starts.insert(i, a)
+            ends.insert(i, b)
+            out.append(c)
+    return out
+
+
+def repeats(spans: Column, found: Column, places: Column) -> Column:
+    """Repeats (label, start, end, nth of its label) that overlap nothing taken before them."""
+
+    def run(starts: pa.Array, ends: pa.Array, labels: pa.Array, places: pa.Array) -> pa.Array:
+        rows = []
+        for s, e, names, lists in zip(*(c.to_pylist() for c in (starts, ends, labels, places)), strict=True):
+            if s is None or lists is None:
+                rows.append(None)
+                continue
+            each = [(n, p["start"], p["end"]) for n, ps in zip(names, lists, strict=False) for p in ps]
+            seen: Counter = Counter()
+            row = []
+            for n, a, b in accept(list(zip(s, e, strict=True)), each):
+                row.append({"label": n, "start": a, "end": b, "before": seen[n]})
+                seen[n] += 1
+            rows.append(row)
+        return pa.array(rows, kind)
+
+    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.int32())]))
+    return F.arrow_udf(run, REPEATS).asNondeterministic()(F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.transform(found, lambda n: n["label"]), places)
+
+
+def of_labels(spans: Column) -> Column:
+    """For each label: its ordinal, its last place and id, its least confidence."""
+    names = F.array_distinct(F.transform(spans, lambda s: s["label"]))
+
+    def of(name: Column) -> Column:
+        same = F.filter(spans, lambda s: s["label"] == name)
+        return F.struct(F.element_at(same, 1)["label_ord"].alias("label_ord"), F.array_max(F.transform(same, lambda s: s["ord"])).alias("ord"), F.array_max(F.transform(same, lambda s: s["id"])).alias("id"), F.array_min(F.transform(same, lambda s: s["confidence"])).alias("confidence"))
+
+    return F.map_from_arrays(names, F.transform(names, of))
+
+
+def numbered(labels: Column, text: Column, found: Column) -> Column:
     """Repeats as spans: the label's least confidence, ids and places in the list after the label's last."""
 
-    def of(c: Column, i: Column) -> Column:
-        same = F.filter(spans, lambda s: s["label"] == c["label"])
-        before = F.size(F.filter(F.slice(repeats, 1, i), lambda x: x["label"] == c["label"]))
-        return F.struct(c["label"], F.element_at(same, 1)["label_ord"], F.array_max(F.transform(same, lambda s: s["ord"])) + 1 + before, F.array_max(F.transform(same, lambda s: s["id"])) + 1 + before, F.substring(text, c["start"] + 1, c["end"] - c["start"]), c["start"], c["end"], F.array_min(F.transform(same, lambda s: s["confidence"])))
+    def of(c: Column) -> Column:
+        last = labels[c["label"]]
+        return F.struct(c["label"], last["label_ord"], last["ord"] + 1 + c["before"], last["id"] + 1 + c["before"], F.substring(text, c["start"] + 1, c["end"] - c["start"]), c["start"], c["end"], last["confidence"])
 
-    return F.transform(repeats, of).cast(SPANS)
+    return F.transform(found, of).cast(SPANS)
 
 
 def propagate(docs: DataFrame, everywhere: bool = False, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -78,5 +138,5 @@ def propagate(docs: DataFrame, everywhere: bool = False, text: str = "text", spa
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_needles", needles(F.col(spans), everywhere))
     places = find_all_folded(F.transform("_needles", lambda n: n["needle"]), body) if everywhere else exact_places(body, F.col("_needles"))
-    out = out.withColumn("_places", places).withColumn("_repeats", accepted(F.col(spans), F.col("_needles"), F.col("_places")))
-    return out.withColumn(spans, F.concat(F.col(spans), numbered(F.col(spans), body, F.col("_repeats")))).drop("_needles", "_places", "_repeats")
+    out = out.withColumn("_places", places).withColumn("_repeats", repeats(F.col(spans), F.col("_needles"), F.col("_places"))).withColumn("_labels", of_labels(F.col(spans)))
+    return out.withColumn(spans, F.concat(F.col(spans), numbered(F.col("_labels"), body, F.col("_repeats")))).drop("_needles", "_places", "_repeats", "_labels")

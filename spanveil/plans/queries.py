@@ -71,20 +71,20 @@ def several(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEVERAL_SQL = "several AS (" + " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {k} AS label_ord, CAST(i AS INTEGER) AS id, text AS mention, span_start, CAST(span_start + length(text) AS INTEGER) AS span_end FROM ({occurrences_sql(p)})" for k, (label, p) in enumerate(OVERLAPPING.items())) + ")"
-FLAT = ["doc_id", "label", "id", F.col("text").alias("mention"), F.col("start").alias("span_start"), F.col("end").alias("span_end")]
+FLAT = ["doc_id", "label", "id", "text AS mention", "`start` AS span_start", "`end` AS span_end"]
 FLAT_SQL = "doc_id, label, id, mention, span_start, span_end"
 
 
 @query(f"WITH {SEVERAL_SQL} SELECT {FLAT_SQL} FROM several")
 def span_numbering(spark, d):
     rows = D.explode_spans(several(spark, d)).withColumn("pos", F.col("ord"))
-    return D.explode_spans(D.collect_spans(rows)).select(*FLAT)
+    return D.explode_spans(D.collect_spans(rows)).selectExpr(*FLAT)
 
 
 @query(f"WITH {SEVERAL_SQL} SELECT {FLAT_SQL} FROM several WHERE {CONFIDENCE} >= 0.8")
 def threshold_filter(spark, d):
     scored = F.transform("spans", lambda s: s.withField("confidence", F.round(0.5 + (s["start"] % 50) / 100.0, 2)))
-    return D.explode_spans(several(spark, d).withColumn("spans", spans.above(scored, 0.8))).select(*FLAT)
+    return D.explode_spans(several(spark, d).withColumn("spans", spans.above(scored, 0.8))).selectExpr(*FLAT)
 
 
 PLZ = {"plz": r"[0-9]{4,5}"}
@@ -101,7 +101,7 @@ LET_THROUGH = ["MAIL1", "example.com", "6."]
 
 @query(f"WITH {SEVERAL_SQL} SELECT {FLAT_SQL} FROM several WHERE NOT (contains(lower(mention), 'mail1') OR contains(lower(mention), 'example.com') OR contains(lower(mention), '6.'))")
 def blacklist_anti_join(spark, d):
-    return D.explode_spans(several(spark, d).withColumn("spans", spans.drop_blacklisted(F.col("spans"), LET_THROUGH))).select(*FLAT)
+    return D.explode_spans(several(spark, d).withColumn("spans", spans.drop_blacklisted(F.col("spans"), LET_THROUGH))).selectExpr(*FLAT)
 
 
 @query(f"WITH {SEVERAL_SQL} SELECT label, count(*) AS n FROM several WHERE label IN ('person', 'ort', 'plz', 'organisation', 'datum', 'telefonnummer') GROUP BY label")
@@ -124,7 +124,7 @@ KEPT_SQL = f"""{SEVERAL_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY do
 
 @query(f"WITH RECURSIVE {KEPT_SQL} SELECT {FLAT_SQL} FROM f WHERE keep")
 def overlap_resolution(spark, d):
-    return D.explode_spans(several(spark, d).withColumn("spans", redact.resolved(F.col("spans")))).select(*FLAT)
+    return D.explode_spans(several(spark, d).withColumn("spans", redact.resolved(F.col("spans")))).selectExpr(*FLAT)
 
 
 def spliced_sql(source: str, keys: str, label: str, pattern: str) -> str:
@@ -163,9 +163,8 @@ NAMES = {"person": r"[A-Z][a-z]{6,} [a-z]{5,}", "ort": r"[A-Z][a-z]{8,}", "e-mai
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the first match of each of NAMES as a detection."""
-    found = docs(spark, d).withColumn("spans", D.rule_spans(F.col("text"), NAMES))
-    return found.withColumn("spans", F.filter("spans", lambda s: s["ord"] < 2))
+    """Documents with every match of NAMES as a detection."""
+    return docs(spark, d).withColumn("spans", D.rule_spans(F.col("text"), NAMES))
 
 
 def _first_sql(label: str, pattern: str) -> str:
@@ -174,24 +173,27 @@ def _first_sql(label: str, pattern: str) -> str:
 
 @query("WITH f AS (" + " UNION ALL ".join(_first_sql(k, v) for k, v in NAMES.items()) + "), n AS (SELECT doc_id, label, t AS needle FROM f WHERE length(t) > 2 UNION SELECT doc_id, label, string_split(t, ' ')[-1] FROM f WHERE label = 'person' AND length(string_split(t, ' ')[-1]) > 2) SELECT doc_id, label, needle FROM n")
 def propagate_needles(spark, d):
-    return named(spark, d).select("doc_id", F.explode(propagate.needles(F.col("spans"))).alias("n")).select("doc_id", "n.label", "n.needle")
+    """Needles of the first two matches of each label, as the query's SQL has it; the other queries take all matches."""
+    first = named(spark, d).withColumn("spans", F.filter("spans", lambda s: s["ord"] < 2))
+    return first.select("doc_id", F.explode(propagate.needles(F.col("spans"))).alias("n")).select("doc_id", "n.label", "n.needle")
 
 
 @query()
 def propagate_candidates(spark, d):
     found = named(spark, d).withColumn("n", propagate.needles(F.col("spans")))
-    each = found.select("doc_id", F.explode(F.arrays_zip(F.col("n").alias("n"), propagate.exact_places(F.col("text"), F.col("n")).alias("p"))).alias("z"))
+    found = found.withColumn("p", propagate.exact_places(F.col("text"), F.col("n")))
+    each = found.select("doc_id", F.explode(F.arrays_zip("n", "p")).alias("z"))
     return each.select("doc_id", "z.n.label", "z.n.needle", F.explode("z.p").alias("p")).select("doc_id", "label", "needle", F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"))
 
 
 @query()
 def propagate_exact(spark, d):
-    return D.explode_spans(propagate.propagate(named(spark, d))).select(*FLAT)
+    return D.explode_spans(propagate.propagate(named(spark, d))).selectExpr(*FLAT)
 
 
 @query()
 def propagate_everywhere(spark, d):
-    return D.explode_spans(propagate.propagate(named(spark, d), everywhere=True)).select(*FLAT)
+    return D.explode_spans(propagate.propagate(named(spark, d), everywhere=True)).selectExpr(*FLAT)
 
 
 @query()

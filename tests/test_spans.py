@@ -12,7 +12,8 @@ from spanveil.functions.catalog import extended, filled
 from spanveil.functions.folding import find, is_scrap
 from spanveil.operators import detect as D
 from spanveil.operators import redact, spans
-from spanveil.operators.propagate import needles, propagate
+from spanveil.operators.propagate import accept, find_exact, needles, propagate
+from spanveil.plans.queries import QUERIES
 
 FIELDS = ("label", "label_ord", "ord", "id", "text", "start", "end", "confidence")
 
@@ -57,6 +58,31 @@ def test_needles_with_odd_characters(spark):
     assert [n.needle for n in found] == ["Andreas Mueller", "Mueller"]
 
 
+def test_repeats_match_plain_python(spark):
+    """Many overlapping detections and needles: the sorted intervals decide as a search of all that is taken does."""
+    rng = random.Random(4)
+    for _ in range(300):
+        pairs = [[(a, a + rng.randrange(1, 8)) for a in (rng.randrange(40) for _ in range(rng.randrange(12)))] for _ in range(2)]
+        taken, want = list(pairs[0]), []
+        for c in pairs[1]:
+            if not any(c[0] < t[1] and t[0] < c[1] for t in taken):
+                taken.append(c)
+                want.append(c)
+        assert accept(*pairs) == want
+    assert find_exact("aa", "aaa aa, aa_ 'aa aa-aa (aa)") == [(4, 6), (23, 25)]
+    assert find_exact("Bär", "Bär😀Bär éBär Bär٣") == [(0, 3), (4, 7)]
+
+
+def test_all_detections_are_carried(spark, tmp_path):
+    """The third place of a document and those after it are detections too."""
+    text = "Grossstadt Oberwinterthur Unterwaldner. ja Unterwaldner, ja Niederhasli"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.label, r.mention, r.span_start) for r in QUERIES["propagate_exact"](spark, str(tmp_path)).collect()}
+    assert {m for label, m, _ in got if label == "ort"} == {"Grossstadt", "Oberwinterthur", "Unterwaldner", "Niederhasli"}
+    assert {r.needle for r in QUERIES["propagate_candidates"](spark, str(tmp_path)).collect()} >= {"Unterwaldner", "Niederhasli"}
+    assert {r.mention for r in QUERIES["propagate_everywhere"](spark, str(tmp_path)).collect()} >= {"Unterwaldner", "Niederhasli"}
+
+
 def test_malformed_blacklist_scraps(spark):
     t = "4127 3 0421 A für [d] GKZ AG"
     df = doc(spark, t, {"plz": [(0, 4), (5, 6), (7, 11)], "person": [(12, 13)]})
