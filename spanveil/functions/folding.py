@@ -116,7 +116,14 @@ def scraps(lists: Column | str) -> Column:
     """For each text of a list whether it is a scrap."""
 
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ts: None if ts is None else [is_scrap(t) for t in ts])
+        known: dict[str, bool] = {}  # a batch's words, most of which come again
+
+        def of(t: str) -> bool:
+            if t not in known:
+                known[t] = is_scrap(t)
+            return known[t]
+
+        return lists.map(lambda ts: None if ts is None else [of(t) for t in ts])
 
     return _udf(run, "array<boolean>")(lists)
 

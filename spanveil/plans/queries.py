@@ -210,7 +210,10 @@ def fold_texts(spark, d):
 
 @query()
 def scrap_filter(spark, d):
-    return spans.scrap_rows(docs(spark, d).select("doc_id", F.substring("text", 1, 8).alias("text")))
+    """Every word of every text as a detection, without those that are scraps."""
+    words = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(i.alias("pos"), w.alias("text")))
+    kept = spans.drop_scraps(docs(spark, d).select("doc_id", F.filter(words, lambda s: s["text"] != "").alias("spans")))
+    return kept.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.pos", "s.text")
 
 
 # --- documents and pages -----------------------------------------------------------------------------------------

@@ -97,6 +97,14 @@ def test_malformed_blacklist_scraps(spark):
     assert len(kept["person"]) == 4 and kept["ort"] == []
 
 
+def test_scraps_of_whole_texts(spark, tmp_path):
+    text = "Verwaltung in\n Liestal für\tKantone [d] GKZ, e"
+    spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " die Zürich ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.pos, r.text) for r in QUERIES["scrap_filter"](spark, str(tmp_path)).collect())
+    assert [x[0::2] for x in got] == [(1, "Verwaltung"), (1, "Liestal"), (1, "Kantone"), (1, "GKZ,"), (4, "Zürich")]
+    assert [text.split()[x[1]] for x in got if x[0] == 1] == [x[2] for x in got if x[0] == 1]
+
+
 def test_redaction(spark):
     def text(t, found, **kw):
         return redact.redact(doc(spark, t, found), **kw).first().redacted_text
