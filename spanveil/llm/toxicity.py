@@ -9,12 +9,16 @@ opens blocks from the highest bound down, and stops when no unopened block can
 reach the K-th best cosine: the result is exact.
 
 The neighbours vote by squared cosine; a monotone curve fitted on the sample's own
-leave-one-out votes makes the vote a probability. A text without any chosen term has no
-neighbours, and scores the share of toxic rows among such examples.
+leave-one-out votes makes the vote a probability. A text without any chosen term is
+compared over all words of the sample instead (WordIndex, exact as well), with a curve
+of its own, fitted on such examples; only where it has no word in common with the
+sample are there no neighbours, and the score is the share of toxic rows among them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,8 +45,8 @@ def _fold() -> np.ndarray:
     return _FOLD
 
 
-def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term hash) of every term of every text, repeats included."""
+def terms(texts: list[str], prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term hash) of every term of every text, repeats included; without prefixes, of every word."""
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     fold = _fold()
@@ -53,7 +57,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     prefix = prefix_hash(mix(low + np.uint64(0x51ED)))
     text = np.searchsorted(ends, start, side="right")
     owner, hashes = [text], [span_hash(prefix, start, end)]
-    for n in PREFIXES:
+    for n in prefixes:
         long = end - start > n
         owner.append(text[long])
         hashes.append(span_hash(prefix, start[long], start[long] + n) ^ np.uint64(n))
@@ -91,7 +95,8 @@ def chi_squared(with_1: np.ndarray, with_0: np.ndarray, ones: int, zeros: int) -
 class Vectors:
     """Chosen terms and their weights."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, prefixes: tuple[int, ...] = PREFIXES):
+        self.prefixes = prefixes
         order = np.argsort(hashes)
         self.hashes, self.idf = hashes[order], idf[order]
         self.bits = np.zeros(1 << 20, dtype=bool)
@@ -99,7 +104,7 @@ class Vectors:
 
     def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit vectors (term numbers in order, weights)."""
-        owner, h = terms(texts)
+        owner, h = terms(texts, self.prefixes)
         near = self.bits[(h >> np.uint64(44)).astype(np.int64)]
         owner, h = owner[near], h[near]
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
@@ -171,6 +176,41 @@ class BlockMaxIndex:
         return best_doc, best_cos
 
 
+class WordIndex:
+    """Exact nearest neighbours by cosine over all words of a bounded sample: every posting of a query's words is added up.
+
+    rows: (id, label, word hashes, counts) of each document.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
+        self.number, self.n = {i: d for d, i in enumerate(self.ids)}, len(rows)
+        self.hashes, term = np.unique(np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64), return_inverse=True)
+        term = term.astype(np.int32)
+        df = np.bincount(term, minlength=len(self.hashes))
+        idf = np.log((self.n + 1) / (df + 1)) + 1
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(r[2]) for r in rows])
+        weight = ((1 + np.log(np.concatenate([r[3] for r in rows]))) * idf[term] if rows else np.empty(0)).astype(np.float32)
+        weight /= np.sqrt(np.bincount(doc, weight * weight, minlength=self.n))[doc].astype(np.float32)
+        by = np.argsort(term, kind="stable")
+        self.doc, self.weight, self.begin = doc[by], weight[by], np.append(0, np.cumsum(df))
+        self.vectors = Vectors(self.hashes, idf, ())
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, cosines) of the k best with a common word, best first; ties by number."""
+        cuts = [slice(a, b) for a, b in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
+        if not cuts:
+            return np.empty(0, np.int64), np.empty(0)
+        cos = np.bincount(np.concatenate([self.doc[c] for c in cuts]), np.concatenate([self.weight[c] * w for c, w in zip(cuts, weights.tolist(), strict=True)]), minlength=self.n)
+        if without >= 0:
+            cos[without] = 0
+        cos = np.round(cos, 6)  # weights are held in single precision
+        least = np.partition(cos, -k)[-k] if self.n > k else 0.0
+        docs = np.flatnonzero((cos >= least) & (cos > 0))
+        docs = docs[np.lexsort((docs, -cos[docs]))[:k]]
+        return docs, cos[docs]
+
+
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the best rising step curve (pool adjacent violators), with a mean of half a row at each end."""
     order = np.argsort(x, kind="stable")
@@ -188,8 +228,9 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vectors: Vectors, index: BlockMaxIndex, labels: np.ndarray, ids: list, curve: tuple, none: float, k: int):
+    def __init__(self, vectors: Vectors, index: BlockMaxIndex, labels: np.ndarray, ids: list, curve: tuple, none: float, k: int, words: WordIndex, word_curve: tuple):
         self.vectors, self.index, self.labels, self.ids, self.curve, self.none, self.k = vectors, index, labels, ids, curve, none, k
+        self.words, self.word_curve = words, word_curve
         self.seen: dict[bytes, tuple] = {}
 
     @staticmethod
@@ -200,21 +241,27 @@ class Model:
 
     def score(self, texts: list[str]) -> list[tuple[float, list, list]]:
         """(probability, neighbours' ids, cosines)."""
-        out = []
-        for v in self.vectors.of(texts):
-            if not len(v[0]):
-                out.append((self.none, [], []))
-                continue
-            name = v[0].tobytes() + v[1].tobytes()
-            if name not in self.seen:
-                if len(self.seen) > 20_000:
-                    self.seen.clear()
-                vote, docs, cos = self.vote(self.index, self.labels, v, self.k)
-                p = float(np.clip(np.interp(vote, *self.curve), 0, 1)) if len(docs) else self.none
-                self.seen[name] = (p, [self.ids[d] for d in docs.tolist()], cos.tolist())
-            out.append(self.seen[name])
+        out = self.vectors.of(texts)
+        bare = [i for i, v in enumerate(out) if not len(v[0])]
+        plain = dict(zip(bare, self.words.vectors.of([texts[i] for i in bare]), strict=True)) if bare else {}
+        for i, v in enumerate(out):
+            if i in plain:
+                out[i] = self._one(b"w", plain[i], self.words, self.words.labels, self.words.ids, self.word_curve)
+            else:
+                out[i] = self._one(b"", v, self.index, self.labels, self.ids, self.curve)
         return out
 
+    def _one(self, kind: bytes, v: tuple, index: BlockMaxIndex | WordIndex, labels: np.ndarray, ids: list, curve: tuple) -> tuple[float, list, list]:
+        name = kind + v[0].tobytes() + v[1].tobytes()
+        name = hashlib.blake2b(name, digest_size=16).digest()
+        if name not in self.seen:
+            if len(self.seen) > 20_000:
+                self.seen.clear()
+            vote, docs, cos = self.vote(index, labels, v, self.k)
+            p = float(np.clip(np.interp(vote, *curve), 0, 1)) if len(docs) else self.none
+            self.seen[name] = (p, [ids[d] for d in docs.tolist()], cos.tolist())
+        return self.seen[name]
+
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | None = None, key: str = "doc_id", sample: int = SAMPLE, n_terms: int = TERMS, k: int = K) -> Model | None:
     """Index of at most ``sample`` labelled documents, those with the least hash of their key; None without any.
@@ -280,7 +327,6 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
                 yield pa.RecordBatch.from_pydict({"id": b.column(key)[first : first + len(run)].cast(pa.int64()), "y": b.column("_y")[first : first + len(run)], "t": [v[0].astype(np.int32).tobytes() for v in got], "w": [v[1].tobytes() for v in got]})
 
     rows = held.coalesce(8).mapInArrow(encoded, "id long, y int, t binary, w binary").orderBy("id").collect()  # SAMPLE rows at most
-    scratch.drop("toxicity-sample")
     full = [(r.id, r.y, (np.frombuffer(r.t, dtype=np.int32).astype(np.int64), np.frombuffer(r.w))) for r in rows if len(r.t)]
     bare = [r.y for r in rows if not len(r.t)]
     y = np.array([f[1] for f in full], dtype=float)
@@ -288,7 +334,38 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
     votes = np.array([Model.vote(index, y, f[2], k, i)[0] for i, f in enumerate(full)])
     curve = monotone(votes, y) if len(full) else (np.array([0.0]), np.array([0.0]))
     none = (sum(bare) + 0.25) / (len(bare) + 0.5) if bare else (n1 + 0.25) / (n0 + n1 + 0.5)
-    return Model(vectors, index, y, [f[0] for f in full], curve, none, k)
+
+    def worded(batches):
+        for b in batches:
+            for first, run in runs(b.column("_text").to_pylist()):
+                owner, h, n = distinct(*terms(run, ()))
+                cut = np.searchsorted(owner, np.arange(len(run) + 1)).tolist()
+                parts = list(zip(cut[:-1], cut[1:], strict=True))
+                yield pa.RecordBatch.from_pydict({"id": b.column(key)[first : first + len(run)].cast(pa.int64()), "y": b.column("_y")[first : first + len(run)], "h": [h[x:z].tobytes() for x, z in parts], "n": [n[x:z].astype(np.int32).tobytes() for x, z in parts]})
+
+    listed = held.coalesce(8).mapInArrow(worded, "id long, y int, h binary, n binary").orderBy("id").toLocalIterator()
+    words = WordIndex([(r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.n, dtype=np.int32)) for r in listed])
+    model = Model(vectors, index, y, [f[0] for f in full], curve, none, k, words, (np.array([0.0]), np.array([none])))
+    shared = held.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
+
+    def voted(batches):
+        m = shared.value
+        for b in batches:
+            ids, labels_ = b.column(key).to_pylist(), b.column("_y").to_pylist()
+            for first, run in runs(b.column("_text").to_pylist()):
+                at = [i for i, v in enumerate(m.vectors.of(run)) if not len(v[0])]
+                got = [m.vote(m.words, m.words.labels, v, m.k, m.words.number[ids[first + i]]) for i, v in zip(at, m.words.vectors.of([run[i] for i in at]) if at else [], strict=True)]
+                met = [(i, g[0]) for i, g in zip(at, got, strict=True) if len(g[1])]
+                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[first + i] for i, _ in met], pa.int64()), "y": pa.array([labels_[first + i] for i, _ in met], pa.int32()), "vote": pa.array([x for _, x in met], pa.float64())})
+
+    if bare:
+        votes = held.repartition(32).mapInArrow(voted, "id long, y int, vote double").collect()
+        votes.sort(key=lambda r: r.id)
+        if votes:
+            model.word_curve = monotone(np.array([r.vote for r in votes]), np.array([r.y for r in votes], dtype=float))
+    shared.destroy()
+    scratch.drop("toxicity-sample")
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -272,6 +272,27 @@ def test_toxicity(spark):
     assert {r["score"] for r in rows(toxicity.score(docs, None))} == {0.0}
 
 
+def test_texts_without_a_chosen_term_have_neighbours(spark):
+    """No term is tied to a label here, so all words decide; the cosines are those of a plain table of words."""
+    rng = random.Random(19)
+    texts = [words(rng, 12, 80) for _ in range(120)]
+    out = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0]
+    texts[out[0]] = texts[next(i for i in range(120) if i not in out)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(corpus(spark, texts), labels, Scratch(spark), ~toxicity.held_out())
+    got = {r["doc_id"]: r for r in rows(toxicity.score(corpus(spark, texts), model))}
+    learned = [i for i in range(120) if i not in out]
+    split = [Counter(t.lower().split()) for t in texts]
+    df = Counter(w for i in learned for w in split[i])
+    vector = [{w: (1 + np.log(n)) * (np.log((len(learned) + 1) / (df[w] + 1)) + 1) for w, n in c.items() if w in df} for c in split]
+    norm = [np.sqrt(sum(x * x for x in v.values())) for v in vector]
+    for i in out:
+        want = sorted(((round(sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / norm[i] / norm[j], 6), -j) for j in learned), reverse=True)[: toxicity.K]
+        assert np.allclose([n["cosine"] for n in got[i]["neighbours"]], [c for c, _ in want], atol=5e-6)
+        assert {n["id"] for n in got[i]["neighbours"]} >= {-j for c, j in want if c > want[-1][0] + 1e-5}
+    assert got[out[0]]["neighbours"][0]["cosine"] == 1.0
+
+
 # --- 5, 9 --------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
