@@ -34,10 +34,11 @@ def anonymize_text(spark: SparkSession, text: str, **options) -> tuple[str, list
 
 
 def anonymize_documents(spark: SparkSession, path: str, converter=None, **options) -> DataFrame:
-    """Files below a path: admitted, converted, redacted; a row for each with its error if it has one."""
+    """Files below a path: admitted, converted, redacted; a row for each with its error if it has one. Refused files have null text and spans."""
     files = admission(read_files(spark, path))
     good = convert(files.where("error is null"), converter).withColumnRenamed("path", "doc_id").drop("content")
-    return anonymize_texts(good, **options)
+    refused = files.where("error is not null").withColumnRenamed("path", "doc_id").drop("content")
+    return anonymize_texts(good, **options).unionByName(refused, allowMissingColumns=True)
 
 
 def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictures: DataFrame, detector: Detector, types: list[str], threshold: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanveil.api import anonymize_documents
 from spanveil.functions import geometry as G
 from spanveil.functions import text as T
 from spanveil.operators import layout, marks, report
@@ -49,6 +50,15 @@ def test_files(spark, tmp_path):
     assert {r.convert_error for r in S.convert(files.where("mime = 'application/pdf'")).collect()} == {"no converter"}
 
 
+def test_refused_files_keep_their_rows(spark, tmp_path):
+    (tmp_path / "a.md").write_text("to a@b.ch")
+    (tmp_path / "d.xyz").write_bytes(b"?")
+    got = {r.doc_id[-5:]: r for r in anonymize_documents(spark, str(tmp_path), entity_types=["e-mail-adresse"]).collect()}
+    assert len(got) == 2 and got["/a.md"].redacted_text == "to [e-mail-adresse:1]" and got["/a.md"].error is None
+    refused = got["d.xyz"]
+    assert (refused.error, refused.text, refused.redacted_text, refused.spans) == ("invalid_mime_type", None, None, None)
+
+
 def test_service_calls(spark):
     df = spark.createDataFrame([("a",), ("bad",)], "v string")
     got = {r.v: r for r in S.call_service(df, lambda v: v, lambda t: "failure" if t == "bad" else "success", lambda t: t.upper(), "v", interval=0.01).collect()}
