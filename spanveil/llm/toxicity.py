@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms of a text are its words and its words' first four, five and six characters (small
-letters), hashed to 64 bits. From a bounded sample of labelled rows (SAMPLE) the terms
-that go with label 1 are chosen by chi-squared, weighed by TF-IDF, and the sample's
-documents are indexed: for each term a posting list, parted into blocks of BLOCK
-documents with the largest weight in each. A query adds up its terms' block maxima,
-opens blocks from the highest bound down, and stops when no unopened block can
-reach the K-th best cosine: the result is exact.
+Terms are words in small letters, hashed to 64 bits. Every word of a bounded sample of
+labelled rows (SAMPLE) is a term. A term weighs (1 + log tf) * log(N / df), with df
+counted over all documents, times its association with the label where that is beyond
+chance: chi-squared over CRITICAL, 1 at least. Plain TF-IDF gives the few words that
+make a text toxic no more say than its topic (README has the figures); with the factor
+all words still count, for either label.
+
+The sample is an inverted index whose documents lie in order of their norms, in blocks
+of BLOCK, so that weights within a block are alike. A query adds up the postings of its
+rarer words; what its common words can add to any document of a block is bounded by
+their block maxima. Documents are opened from the highest bound down until no bound
+reaches the K-th best cosine: the result is exact.
 
 The neighbours vote by squared cosine; a monotone curve fitted on the sample's own
-leave-one-out votes makes the vote a probability. A text without any chosen term is
-compared over all words of the sample instead (WordIndex, exact as well), with a curve
-of its own, fitted on such examples; only where it has no word in common with the
-sample are there no neighbours, and the score is the share of toxic rows among them.
+leave-one-out votes makes the vote a probability.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, prefix_hash, span_hash, table
 
-#: Labelled rows that the index may hold; terms; neighbours; documents in a block.
-SAMPLE, TERMS, K, BLOCK = 20_000, 4096, 15, 64
-#: Chi-squared that a term must exceed: with a million terms tried, hardly one does by chance.
-CHI = 40.0
-MIN_ROWS, PREFIXES, CELLS = 8, (4, 5, 6), 1 << 20
+#: Labelled rows that the index may hold; neighbours; documents in a block.
+SAMPLE, K, BLOCK = 20_000, 15, 16
+#: Chi-squared that chance exceeds once in a thousand terms.
+CRITICAL = 10.83
+#: A word in more than one of COMMON sample documents is common.
+COMMON = 6
+#: Cosines are compared to six digits: weights are held in single precision.
+DIGITS = 6
 
 _FOLD = np.zeros(0x3000, dtype=np.uint64)
 
@@ -45,8 +50,8 @@ def _fold() -> np.ndarray:
     return _FOLD
 
 
-def terms(texts: list[str], prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term hash) of every term of every text, repeats included; without prefixes, of every word."""
+def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term hash) of every word of every text, repeats included."""
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     fold = _fold()
@@ -55,13 +60,7 @@ def terms(texts: list[str], prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.nd
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
     prefix = prefix_hash(mix(low + np.uint64(0x51ED)))
-    text = np.searchsorted(ends, start, side="right")
-    owner, hashes = [text], [span_hash(prefix, start, end)]
-    for n in prefixes:
-        long = end - start > n
-        owner.append(text[long])
-        hashes.append(span_hash(prefix, start[long], start[long] + n) ^ np.uint64(n))
-    return np.concatenate(owner), np.concatenate(hashes)
+    return np.searchsorted(ends, start, side="right"), span_hash(prefix, start, end)
 
 
 def runs(texts: list, most: int = 250_000):
@@ -85,6 +84,12 @@ def distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def cuts(owner: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Where each of n owners' entries begin and end."""
+    at = np.searchsorted(owner, np.arange(n + 1)).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def chi_squared(with_1: np.ndarray, with_0: np.ndarray, ones: int, zeros: int) -> np.ndarray:
     a, b = with_1.astype(float), with_0.astype(float)
     c, d = ones - a, zeros - b
@@ -92,132 +97,122 @@ def chi_squared(with_1: np.ndarray, with_0: np.ndarray, ones: int, zeros: int) -
     return np.divide((a * d - b * c) ** 2 * (ones + zeros), below, out=np.zeros_like(a), where=below > 0)
 
 
-class Vectors:
-    """Chosen terms and their weights."""
-
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray, prefixes: tuple[int, ...] = PREFIXES):
-        self.prefixes = prefixes
-        order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], idf[order]
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit vectors (term numbers in order, weights)."""
-        owner, h = terms(texts, self.prefixes)
-        near = self.bits[(h >> np.uint64(44)).astype(np.int64)]
-        owner, h = owner[near], h[near]
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
-        owner, term, n = distinct(owner[hit], at[hit].astype(np.uint64))
-        term = term.astype(np.int64)
-        weight = (1 + np.log(n)) * self.idf[term] if len(term) else np.empty(0)
-        cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            w = weight[a:b]
-            out.append((term[a:b], w / np.sqrt((w * w).sum()) if b > a else w))
-        return out
+class Vocabulary:
+    """The sample's terms, by hash, and their weights."""
 
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray):
+        """hashes: rising."""
+        self.hashes, self.weight = hashes, weight.astype(np.float32)
+        self.bits = np.zeros(1 << 22, dtype=bool)
+        self.bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
 
-class BlockMaxIndex:
-    """Exact nearest neighbours by cosine over unit vectors."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        # Documents with alike terms lie together, which makes block maxima sharp.
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: vectors[i][0].tolist()), dtype=np.int64)
-        vectors = [vectors[i] for i in self.order]
-        self.block, self.n = block, len(vectors)
-        doc = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
-        by = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[by], weight[by], term[by]
-        self.begin = np.searchsorted(term, np.arange(n_terms + 1))
-        # Of each term, its blocks with their largest weights and first postings.
-        b = self.doc // block
-        fresh = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (b[1:] != b[:-1])))) if len(term) else np.empty(0, np.int64)
-        self.block_of, self.block_at = b[fresh], np.append(fresh, len(term))
-        self.most = np.maximum.reduceat(self.weight, fresh) if len(fresh) else np.empty(0)
-        self.block_begin = np.searchsorted(term[fresh], np.arange(n_terms + 1))
-        self.blocks = -(-self.n // block)
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's number, -1 for what is no term."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        near = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
+        if len(near):
+            h = h[near]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out[near] = np.where(self.hashes[at] == h, at, -1)
+        return out
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, cosines) of the k best with a common term, best first; ties by number."""
-        a, b = self.block_begin[terms], self.block_begin[terms + 1]
-        n = b - a
-        if not n.sum():
-            return np.empty(0, np.int64), np.empty(0)
-        rows = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        q = np.repeat(weights, n)
-        block = self.block_of[rows]
-        bound = np.bincount(block, q * self.most[rows], minlength=self.blocks)
-        open_ = np.flatnonzero(bound > 0)
-        open_ = open_[np.argsort(-bound[open_], kind="stable")]
-        by = np.argsort(block, kind="stable")
-        rows, q, first = rows[by], q[by], np.searchsorted(block[by], open_)
-        last = np.searchsorted(block[by], open_, side="right")
-        best_doc, best_cos = np.empty(0, np.int64), np.empty(0)
-        step, at = 4, 0
-        while at < len(open_):
-            if len(best_cos) >= k and bound[open_[at]] < best_cos[k - 1] - 1e-12:
-                break
-            part = np.concatenate([np.arange(x, y) for x, y in zip(first[at : at + step].tolist(), last[at : at + step].tolist(), strict=True)])
-            lo, size = self.block_at[rows[part]], self.block_at[rows[part] + 1] - self.block_at[rows[part]]
-            posting = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            docs, inverse = np.unique(self.doc[posting], return_inverse=True)
-            cos = np.bincount(inverse, self.weight[posting] * np.repeat(q[part], size))
-            docs = self.order[docs]
-            keep = docs != without
-            best_doc, best_cos = np.concatenate((best_doc, docs[keep])), np.concatenate((best_cos, cos[keep]))
-            top = np.lexsort((best_doc, -np.round(best_cos, 12)))[:k]
-            best_doc, best_cos = best_doc[top], best_cos[top]
-            at, step = at + step, step * 2
-        return best_doc, best_cos
+    def vector(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(term numbers, weights of unit length, length before) without the terms that weigh nothing."""
+        w = (1 + np.log(n)) * self.weight[term]
+        full = w > 0
+        term, w = term[full], w[full]
+        norm = float(np.sqrt((w * w).sum()))
+        return term, (w / norm).astype(np.float32) if norm else w.astype(np.float32), norm
 
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        owner, h = terms(texts)
+        term = self.number(h)
+        known = term >= 0
+        owner, term, n = distinct(owner[known], term[known])
+        return [self.vector(term[a:b], n[a:b])[:2] for a, b in cuts(owner, len(texts))]
 
-class WordIndex:
-    """Exact nearest neighbours by cosine over all words of a bounded sample: every posting of a query's words is added up.
 
-    rows: (id, label, word hashes, counts) of each document.
+class BlockMaxIndex:
+    """Exact nearest neighbours by cosine over unit vectors.
+
+    doc, weight: postings, ordered by term and document; begin: where each term's begin.
+    Documents are numbered in the order of their blocks.
     """
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
-        self.number, self.n = {i: d for d, i in enumerate(self.ids)}, len(rows)
-        self.hashes, term = np.unique(np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64), return_inverse=True)
-        term = term.astype(np.int32)
-        df = np.bincount(term, minlength=len(self.hashes))
-        idf = np.log((self.n + 1) / (df + 1)) + 1
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(r[2]) for r in rows])
-        weight = ((1 + np.log(np.concatenate([r[3] for r in rows]))) * idf[term] if rows else np.empty(0)).astype(np.float32)
-        weight /= np.sqrt(np.bincount(doc, weight * weight, minlength=self.n))[doc].astype(np.float32)
-        by = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.begin = doc[by], weight[by], np.append(0, np.cumsum(df))
-        self.vectors = Vectors(self.hashes, idf, ())
+    def __init__(self, doc: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: int, block: int = BLOCK):
+        self.doc, self.weight, self.begin, self.n, self.block = doc, weight, begin, n, block
+        df = np.diff(begin)
+        common = np.flatnonzero(df > max(8, n // COMMON))
+        self.row = np.full(len(df), -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        # Of common words each document's weights, side by side, and their maxima over blocks.
+        self.blocks = max(1, -(-n // block))
+        self.dense = np.zeros((self.blocks * block, len(common)), dtype=np.float32)
+        for r, t in enumerate(common.tolist()):
+            a, b = int(begin[t]), int(begin[t + 1])
+            self.dense[doc[a:b], r] = weight[a:b]
+        self.most = self.dense.reshape(self.blocks, block, len(common)).max(axis=1)
+
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        return cls(*postings(vectors, n_terms), len(vectors), block)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, cosines) of the k best with a common word, best first; ties by number."""
-        cuts = [slice(a, b) for a, b in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
-        if not cuts:
-            return np.empty(0, np.int64), np.empty(0)
-        cos = np.bincount(np.concatenate([self.doc[c] for c in cuts]), np.concatenate([self.weight[c] * w for c, w in zip(cuts, weights.tolist(), strict=True)]), minlength=self.n)
+        """(documents, cosines) of the k best with a common term, best first; ties by number."""
+        row = self.row[terms]
+        rare = row < 0
+        at = [slice(a, b) for a, b in zip(self.begin[terms[rare]].tolist(), self.begin[terms[rare] + 1].tolist(), strict=True)]
+        if at:
+            sizes = [s.stop - s.start for s in at]
+            sums = np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]) * np.repeat(weights[rare], sizes), minlength=len(self.dense))
+        else:
+            sums = np.zeros(len(self.dense))
+        q = np.zeros(self.dense.shape[1], dtype=np.float32)
+        q[row[~rare]] = weights[~rare]
+        by_block = sums.reshape(self.blocks, self.block)
+        bound = (by_block + (self.most @ q)[:, None]).ravel()
         if without >= 0:
-            cos[without] = 0
-        cos = np.round(cos, 6)  # weights are held in single precision
-        least = np.partition(cos, -k)[-k] if self.n > k else 0.0
-        docs = np.flatnonzero((cos >= least) & (cos > 0))
-        docs = docs[np.lexsort((docs, -cos[docs]))[:k]]
-        return docs, cos[docs]
+            bound[without] = 0
+        bound[self.n :] = 0
+        best_doc, best_cos, floor, margin = np.empty(0, np.int64), np.empty(0), 0.0, 10.0**-DIGITS
+        if self.blocks > k:  # the K-th best of the blocks' best by rare words alone is a bound from below
+            if without >= 0:
+                sums[without] = 0
+            floor = float(np.partition(by_block.max(axis=1), -k)[-k]) - margin
+        left = np.flatnonzero((bound > 0) & (bound >= floor))
+        left = left[np.argsort(-bound[left], kind="stable")]
+        step = 8 * k
+        while len(left):
+            part, left = left[:step], left[step:]
+            cos = np.round(sums[part] + self.dense[part] @ q, DIGITS)
+            part, cos = part[cos > 0], cos[cos > 0]
+            best_doc, best_cos = np.concatenate((best_doc, part)), np.concatenate((best_cos, cos))
+            top = np.lexsort((best_doc, -best_cos))[:k]
+            best_doc, best_cos = best_doc[top], best_cos[top]
+            if len(best_cos) >= k:
+                floor = max(floor, float(best_cos[k - 1]) - margin)
+                left = left[: np.searchsorted(-bound[left], -floor, side="right")]
+            step *= 2
+        return best_doc, best_cos
+
+
+def postings(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, weight) of all entries, ordered by term and document, and where each term's begin."""
+    term = np.concatenate([np.empty(0, np.int32), *[v[0] for v in vectors]]).astype(np.int32)
+    doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
+    by = np.argsort(term, kind="stable")
+    weight = np.concatenate([np.empty(0, np.float32), *[v[1] for v in vectors]])
+    return doc[by], weight[by].astype(np.float32), np.append(0, np.cumsum(np.bincount(term, minlength=n_terms)))
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the best rising step curve (pool adjacent violators), with a mean of half a row at each end."""
-    order = np.argsort(x, kind="stable")
+    values, of = np.unique(x, return_inverse=True)
+    rows = np.bincount(of)
     pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([a, b, 1.0, a])
-        while len(pools) > 1 and (pools[-2][1] >= pools[-1][1] or pools[-2][3] == pools[-1][0]):
+    for v, mean, n in zip(values.tolist(), (np.bincount(of, y) / rows).tolist(), rows.tolist(), strict=True):
+        pools.append([v, mean, n, v])
+        while len(pools) > 1 and pools[-2][1] >= pools[-1][1] - 1e-12:
             p = pools.pop()
             q = pools[-1]
             q[1] = (q[1] * q[2] + p[1] * p[2]) / (q[2] + p[2])
@@ -227,162 +222,165 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.array([(p[1] * p[2] + 0.25) / (p[2] + 0.5) for p in pools])
 
 
-class Model:
-    def __init__(self, vectors: Vectors, index: BlockMaxIndex, labels: np.ndarray, ids: list, curve: tuple, none: float, k: int, words: WordIndex, word_curve: tuple):
-        self.vectors, self.index, self.labels, self.ids, self.curve, self.none, self.k = vectors, index, labels, ids, curve, none, k
-        self.words, self.word_curve = words, word_curve
-        self.seen: dict[bytes, tuple] = {}
-
-    @staticmethod
-    def vote(index: BlockMaxIndex, labels: np.ndarray, vector: tuple, k: int, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        docs, cos = index.nearest(*vector, k, without)
+class Examples:
+    """What scoring tasks hold: vocabulary, index, and each indexed document's id and label. Bounded by SAMPLE."""
+
+    def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, ids: np.ndarray, labels: np.ndarray):
+        self.vocabulary, self.index, self.ids, self.labels = vocabulary, index, ids, labels
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        docs, cos = self.index.nearest(*vector, k, without)
         w = cos * cos
-        return (float((w * labels[docs]).sum() / w.sum()) if len(docs) else 0.0), docs, cos
-
-    def score(self, texts: list[str]) -> list[tuple[float, list, list]]:
-        """(probability, neighbours' ids, cosines)."""
-        out = self.vectors.of(texts)
-        bare = [i for i, v in enumerate(out) if not len(v[0])]
-        plain = dict(zip(bare, self.words.vectors.of([texts[i] for i in bare]), strict=True)) if bare else {}
-        for i, v in enumerate(out):
-            if i in plain:
-                out[i] = self._one(b"w", plain[i], self.words, self.words.labels, self.words.ids, self.word_curve)
-            else:
-                out[i] = self._one(b"", v, self.index, self.labels, self.ids, self.curve)
-        return out
+        return (float((w * self.labels[docs]).sum() / w.sum()) if len(docs) else 0.0), docs, cos
+
 
-    def _one(self, kind: bytes, v: tuple, index: BlockMaxIndex | WordIndex, labels: np.ndarray, ids: list, curve: tuple) -> tuple[float, list, list]:
-        name = kind + v[0].tobytes() + v[1].tobytes()
-        name = hashlib.blake2b(name, digest_size=16).digest()
-        if name not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            vote, docs, cos = self.vote(index, labels, v, self.k)
-            p = float(np.clip(np.interp(vote, *curve), 0, 1)) if len(docs) else self.none
-            self.seen[name] = (p, [ids[d] for d in docs.tolist()], cos.tolist())
-        return self.seen[name]
+class Model:
+    """Examples shared with the executors, and the curve that makes votes probabilities."""
+
+    def __init__(self, shared, curve: tuple[np.ndarray, np.ndarray], none: float, k: int):
+        self.shared, self.curve, self.none, self.k = shared, curve, none, k
+
+    def scorer(self):
+        """A function from texts to (probability, neighbours' ids, cosines); equal vectors in a row of texts are voted on once."""
+        seen: dict[bytes, tuple[float, list, list]] = {}
+        held, curve, none, k = self.shared.value, self.curve, self.none, self.k
 
+        def one(v: tuple[np.ndarray, np.ndarray]) -> tuple[float, list, list]:
+            name = hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest()
+            if name not in seen:
+                if len(seen) > 5_000:
+                    seen.clear()
+                vote, docs, cos = held.vote(v, k)
+                p = float(np.clip(np.interp(vote, *curve), 0, 1)) if len(docs) else none
+                seen[name] = (p, held.ids[docs].tolist(), cos.tolist())
+            return seen[name]
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | None = None, key: str = "doc_id", sample: int = SAMPLE, n_terms: int = TERMS, k: int = K) -> Model | None:
+        return lambda texts: [one(v) for v in held.vocabulary.vectors(texts)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | None = None, key: str = "doc_id", sample: int = SAMPLE, k: int = K) -> Model | None:
     """Index of at most ``sample`` labelled documents, those with the least hash of their key; None without any.
 
-    train: condition on labels' rows. A key labelled twice takes the larger label;
-    null keys and labels are left out.
+    train: condition on labels' rows. A key labelled twice takes the larger label, a key
+    with two texts the lesser text; null keys and labels are left out. Document frequencies
+    are those of all rows of docs.
     """
+    spark = docs.sparkSession
     chosen = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull())
     if train is not None:
         chosen = chosen.where(train)
     chosen = chosen.groupBy(key).agg(F.max("toxic").cast("int").alias("_y")).orderBy(F.xxhash64(F.lit(3), F.col(key)), key).limit(sample)
-    held = scratch.save(docs.select(key, F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), key).dropDuplicates([key]), "toxicity-sample")
-    n0, n1 = (held.where(F.col("_y") == v).count() for v in (0, 1))
-    if not n0 + n1:
-        return None
+    held = docs.select(key, F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.max("_y").alias("_y"), F.min("_text").alias("_text"))
 
-    def cells(batches):
-        sums = np.zeros((2, CELLS), dtype=np.int32)
-        for b in batches:
-            y = np.array(b.column("_y").to_pylist())
-            for first, run in runs(b.column("_text").to_pylist()):
-                owner, h, _ = distinct(*terms(run))
-                for v in (0, 1):
-                    sums[v] += np.bincount((h[y[first + owner] == v] >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.int32)
-        for part in range(64):  # sums of a fixed number of cells
-            cut = slice(part * CELLS // 64, (part + 1) * CELLS // 64)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n0": [sums[0, cut].tobytes()], "n1": [sums[1, cut].tobytes()]})
-
-    totals = np.zeros((2, CELLS), dtype=np.int64)
-    for r in held.coalesce(8).mapInArrow(cells, "part int, n0 binary, n1 binary").toLocalIterator():
-        cut = slice(r.part * CELLS // 64, (r.part + 1) * CELLS // 64)
-        totals[0, cut] += np.frombuffer(r.n0, dtype=np.int32)
-        totals[1, cut] += np.frombuffer(r.n1, dtype=np.int32)
-    score = chi_squared(totals[1], totals[0], n1, n0)
-    good = np.zeros(CELLS, dtype=bool)
-    good[np.argsort(-score)[: 2 * n_terms]] = True
-
-    def exact(batches):
-        all_h, all_y = [], []
+    def counted(batches):
         for b in batches:
-            y = np.array(b.column("_y").to_pylist())
             for first, run in runs(b.column("_text").to_pylist()):
-                owner, h, _ = distinct(*terms(run))
-                near = good[(h >> np.uint64(44)).astype(np.int64)]
-                all_h.append(h[near])
-                all_y.append(y[first + owner[near]])
-        h, y = np.concatenate(all_h or [np.empty(0, np.uint64)]), np.concatenate(all_y or [np.empty(0, np.int64)])
-        known, inverse = np.unique(h, return_inverse=True)
-        yield pa.RecordBatch.from_pydict({"term": known.astype(np.int64), "n0": np.bincount(inverse, y == 0, len(known)).astype(np.int64), "n1": np.bincount(inverse, y == 1, len(known)).astype(np.int64)})
-
-    counted = held.coalesce(8).mapInArrow(exact, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"n0 + n1 >= {MIN_ROWS}")
-    a, b, every = F.col("n1").cast("double"), F.col("n0").cast("double"), float(n0 + n1)
-    chi = (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) * every / ((a + b) * (every - a - b + 1e-9) * max(1, n1) * max(1, n0))
-    best = counted.withColumn("chi", chi).where((F.col("chi") > CHI) & (a * n0 > b * n1)).orderBy(F.desc("chi"), "term").limit(n_terms).collect()
-    hashes = np.array([r.term for r in best], dtype=np.int64).astype(np.uint64)
-    idf = np.log((n0 + n1 + 1) / (np.array([r.n0 + r.n1 for r in best], dtype=float) + 1)) + 1
-    vectors = Vectors(hashes, idf)
-
-    def encoded(batches):
+                owner, h, n = distinct(*terms(run))
+                parts = cuts(owner, len(run))
+                yield pa.RecordBatch.from_pydict({"id": b.column(key)[first : first + len(run)].cast(pa.int64()), "y": b.column("_y")[first : first + len(run)], "h": [h[x:z].tobytes() for x, z in parts], "n": [n[x:z].astype(np.int32).tobytes() for x, z in parts]})
+
+    bags = scratch.save(held.mapInArrow(counted, "id long, y int, h binary, n binary"), "toxicity-bags")
+    of_label = {r.y: r["count"] for r in bags.groupBy("y").count().collect()}
+    n0, n1 = of_label.get(0, 0), of_label.get(1, 0)
+    if not n0 + n1:
+        return None
+
+    def labelled(batches):
         for b in batches:
-            for first, run in runs(b.column("_text").to_pylist()):
-                got = vectors.of(run)
-                yield pa.RecordBatch.from_pydict({"id": b.column(key)[first : first + len(run)].cast(pa.int64()), "y": b.column("_y")[first : first + len(run)], "t": [v[0].astype(np.int32).tobytes() for v in got], "w": [v[1].tobytes() for v in got]})
-
-    rows = held.coalesce(8).mapInArrow(encoded, "id long, y int, t binary, w binary").orderBy("id").collect()  # SAMPLE rows at most
-    full = [(r.id, r.y, (np.frombuffer(r.t, dtype=np.int32).astype(np.int64), np.frombuffer(r.w))) for r in rows if len(r.t)]
-    bare = [r.y for r in rows if not len(r.t)]
-    y = np.array([f[1] for f in full], dtype=float)
-    index = BlockMaxIndex([f[2] for f in full], len(hashes))
-    votes = np.array([Model.vote(index, y, f[2], k, i)[0] for i, f in enumerate(full)])
-    curve = monotone(votes, y) if len(full) else (np.array([0.0]), np.array([0.0]))
-    none = (sum(bare) + 0.25) / (len(bare) + 0.5) if bare else (n1 + 0.25) / (n0 + n1 + 0.5)
-
-    def worded(batches):
+            h = np.frombuffer(b"".join(b.column("h").to_pylist()), dtype=np.uint64)
+            y = np.repeat(np.array(b.column("y").to_pylist()), [len(x) // 8 for x in b.column("h").to_pylist()])
+            known, inverse = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"term": known.view(np.int64), "n0": np.bincount(inverse, y == 0, len(known)).astype(np.int32), "n1": np.bincount(inverse, y == 1, len(known)).astype(np.int32)})
+
+    known = bags.mapInArrow(labelled, "term long, n0 int, n1 int").groupBy("term").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
+    hashes = known.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, with_0, with_1 = hashes[order], known.column("n0").to_numpy()[order], known.column("n1").to_numpy()[order]
+    del known
+    vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
+    shared = spark.sparkContext.broadcast(vocabulary)  # the sample's words
+
+    def met(batches):
+        words, total, rows = shared.value, np.zeros(len(shared.value.hashes), dtype=np.int32), 0
         for b in batches:
-            for first, run in runs(b.column("_text").to_pylist()):
-                owner, h, n = distinct(*terms(run, ()))
-                cut = np.searchsorted(owner, np.arange(len(run) + 1)).tolist()
-                parts = list(zip(cut[:-1], cut[1:], strict=True))
-                yield pa.RecordBatch.from_pydict({"id": b.column(key)[first : first + len(run)].cast(pa.int64()), "y": b.column("_y")[first : first + len(run)], "h": [h[x:z].tobytes() for x, z in parts], "n": [n[x:z].astype(np.int32).tobytes() for x, z in parts]})
+            rows += b.num_rows
+            for _, run in runs(b.column(0).to_pylist()):
+                owner, h = terms(run)
+                term = words.number(h)
+                at = term >= 0
+                total += np.bincount(distinct(owner[at], term[at])[1], minlength=len(total)).astype(np.int32)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": np.append(some, -1).astype(np.int32), "df": np.append(total[some], rows).astype(np.int64)})
+
+    df = docs.select("text").mapInArrow(met, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    number, n = df.column("term").to_numpy(), df.column("df").to_numpy()
+    every, word = int(n[number < 0].sum()), number >= 0
+    of_word = np.ones(len(hashes))
+    of_word[number[word]] = n[word]
+    vocabulary.weight = (np.log(every / of_word) * np.maximum(1, chi_squared(with_1, with_0, n1, n0) / CRITICAL)).astype(np.float32)
+    shared.destroy()
+    del df, number, n, word, of_word, with_0, with_1, order
+    weighed = spark.sparkContext.broadcast(vocabulary)
 
-    listed = held.coalesce(8).mapInArrow(worded, "id long, y int, h binary, n binary").orderBy("id").toLocalIterator()
-    words = WordIndex([(r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.n, dtype=np.int32)) for r in listed])
-    model = Model(vectors, index, y, [f[0] for f in full], curve, none, k, words, (np.array([0.0]), np.array([none])))
-    shared = held.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
+    def indexed(batches):
+        """One task: the sample is bounded."""
+        words, rows = weighed.value, []
+        for b in batches:
+            for i, y, h, m in zip(*[b.column(c).to_pylist() for c in ("id", "y", "h", "n")], strict=True):
+                term, w, norm = words.vector(words.number(np.frombuffer(h, dtype=np.uint64)), np.frombuffer(m, dtype=np.int32))
+                rows.append((norm, i, y, term.astype(np.int32), w))
+        rows.sort(key=lambda r: r[:2])
+        doc, weight, begin = postings([r[3:] for r in rows], len(words.hashes))
+        packed = [np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.float64), doc, weight, begin]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(5), pa.int32()), "body": pa.array([x.tobytes() for x in packed], pa.binary())})
+
+    parts = {r.part: r.body for r in bags.repartition(1).mapInArrow(indexed, "part int, body binary").collect()}
+    weighed.destroy()
+    ids, y, doc, weight, begin = (np.frombuffer(parts.pop(i), dtype=kind) for i, kind in enumerate((np.int64, np.float64, np.int32, np.float32, np.int64)))
+    number_of = {i: d for d, i in enumerate(ids.tolist())}
+    examples = spark.sparkContext.broadcast(Examples(vocabulary, BlockMaxIndex(doc, weight, begin, len(ids)), ids, y))
+    del doc, weight, begin, vocabulary, parts
 
     def voted(batches):
-        m = shared.value
+        m = examples.value
+        number = {i: d for d, i in enumerate(m.ids.tolist())}
         for b in batches:
-            ids, labels_ = b.column(key).to_pylist(), b.column("_y").to_pylist()
-            for first, run in runs(b.column("_text").to_pylist()):
-                at = [i for i, v in enumerate(m.vectors.of(run)) if not len(v[0])]
-                got = [m.vote(m.words, m.words.labels, v, m.k, m.words.number[ids[first + i]]) for i, v in zip(at, m.words.vectors.of([run[i] for i in at]) if at else [], strict=True)]
-                met = [(i, g[0]) for i, g in zip(at, got, strict=True) if len(g[1])]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[first + i] for i, _ in met], pa.int64()), "y": pa.array([labels_[first + i] for i, _ in met], pa.int32()), "vote": pa.array([x for _, x in met], pa.float64())})
-
-    if bare:
-        votes = held.repartition(32).mapInArrow(voted, "id long, y int, vote double").collect()
-        votes.sort(key=lambda r: r.id)
-        if votes:
-            model.word_curve = monotone(np.array([r.vote for r in votes]), np.array([r.y for r in votes], dtype=float))
-    shared.destroy()
-    scratch.drop("toxicity-sample")
-    return model
+            got = []
+            for i, h, c in zip(*[b.column(x).to_pylist() for x in ("id", "h", "n")], strict=True):
+                v = m.vocabulary.vector(m.vocabulary.number(np.frombuffer(h, dtype=np.uint64)), np.frombuffer(c, dtype=np.int32))
+                vote, near, _ = m.vote(v[:2], k, number[i])
+                got.append((i, vote, len(near)))
+            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.float64(), pa.int32()))], ["id", "vote", "near"])
+
+    votes = bags.repartition(32).mapInArrow(voted, "id long, vote double, near int").toArrow()
+    label = y[[number_of[i] for i in votes.column("id").to_pylist()]]
+    vote, met_any = votes.column("vote").to_numpy(), votes.column("near").to_numpy() > 0
+    by = np.argsort(votes.column("id").to_numpy(), kind="stable")
+    vote, label, met_any = vote[by], label[by], met_any[by]
+    curve = monotone(vote[met_any], label[met_any]) if met_any.any() else (np.array([0.0]), np.array([0.0]))
+    bare = label[~met_any]
+    none = float((bare.sum() + 0.25) / (len(bare) + 0.5)) if len(bare) else (n1 + 0.25) / (n0 + n1 + 0.5)
+    scratch.drop("toxicity-bags")
+    return Model(examples, curve, none, k)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs without their text, with ``score``, ``predicted`` and the evidence: ``neighbours`` (id, cosine).
 
-    Null and empty texts have no terms and score as other texts without one. Without
-    labelled rows every score is 0. Rows are scored one by one: repeated rows get equal
-    scores. Columns of docs with these names are replaced.
+    Null and empty texts, and those without a word of the sample, have no neighbours; they
+    score as the sample's documents without any do (as all of it, where each has one).
+    Long texts are taken whole. Neighbours at equal cosines (six digits) come in the index's
+    order: rising length, then id. Without labelled rows every score is 0, and empty docs
+    give no rows. Rows are scored one by one: repeated rows get equal scores. Columns of
+    docs with these names are replaced.
     """
     docs = docs.drop("score", "predicted", "neighbours")
     rest = [f for f in docs.schema.fields if f.name != text]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and TERMS
 
     def scored(batches):
-        m = held.value
+        judge = model.scorer() if model else lambda texts: [(0.0, [], [])] * len(texts)
         for b in batches:
-            got = [x for _, run in runs(b.column(text).to_pylist()) for x in (m.score(run) if m else [(0.0, [], [])] * len(run))]
+            got = [x for _, run in runs(b.column(text).to_pylist()) for x in judge(run)]
             p = pa.array([x[0] for x in got], pa.float64())
             near = pa.array([[{"id": i, "cosine": c} for i, c in zip(x[1], x[2], strict=True)] for x in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
             kept = [b.column(f.name) for f in rest]
@@ -393,14 +391,13 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
 
 def remove_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs without the rows scored 0.5 or more; columns and other rows as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """docs without the rows scored 0.5 or more; columns and other rows as they are. See ``score`` for the odd cases."""
 
     def clean(batches):
-        m = held.value
+        judge = model.scorer() if model else None
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            ok = [x[0] < 0.5 for _, run in runs(texts) for x in m.score(run)] if m else [True] * b.num_rows
+            ok = [x[0] < 0.5 for _, run in runs(texts) for x in judge(run)] if judge else [True] * b.num_rows
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -243,7 +243,7 @@ def test_nearest_is_exact():
         t = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
         w = rng.random(len(t)) + 0.1
         vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 60, 16)
+    index = toxicity.BlockMaxIndex.of(vectors, 60, 16)
     dense = np.zeros((500, 60))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
@@ -251,8 +251,8 @@ def test_nearest_is_exact():
         docs, cos = index.nearest(*vectors[i], 10, i)
         want = dense @ dense[i]
         want[i] = -1
-        best = [k for k in np.lexsort((np.arange(500), -np.round(want, 12))) if want[k] > 0][:10]
-        assert docs.tolist() == best and np.allclose(cos, want[best])
+        best = [k for k in np.lexsort((np.arange(500), -want)) if want[k] > 0][:10]
+        assert np.allclose(cos, want[best], atol=3e-6) and np.allclose(want[docs], want[best], atol=3e-6)
 
 
 def test_toxicity(spark):
@@ -272,25 +272,72 @@ def test_toxicity(spark):
     assert {r["score"] for r in rows(toxicity.score(docs, None))} == {0.0}
 
 
-def test_texts_without_a_chosen_term_have_neighbours(spark):
-    """No term is tied to a label here, so all words decide; the cosines are those of a plain table of words."""
+def test_curve_is_the_best_rising_one():
+    rng = random.Random(23)
+    for _ in range(30):
+        x = [rng.randrange(12) / 10 for _ in range(40)]
+        y = [float(rng.random() < v) for v in x]
+        values = sorted(set(x))
+        of = [[b for a, b in zip(x, y, strict=True) if a == v] for v in values]
+        fit = [max(min(np.mean(sum(of[i : j + 1], [])) for j in range(k, len(values))) for i in range(k + 1)) for k in range(len(values))]  # the max-min formula
+        pools = {}
+        for v, f, group in zip(values, fit, of, strict=True):
+            pools.setdefault(round(f, 9), []).append((v, len(group)))
+        at, got = toxicity.monotone(np.array(x), np.array(y))
+        want = [((p[0][0] + p[-1][0]) / 2, (f * n + 0.25) / (n + 0.5)) for f, p in pools.items() for n in [sum(c for _, c in p)]]
+        assert np.allclose(at, [w[0] for w in want]) and np.allclose(got, [w[1] for w in want])
+
+
+def test_scores_match_brute_force(spark):
+    """From raw texts to neighbours and scores; repeats, a label given twice, null texts, and words that no example has."""
     rng = random.Random(19)
-    texts = [words(rng, 12, 80) for _ in range(120)]
-    out = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0]
-    texts[out[0]] = texts[next(i for i in range(120) if i not in out)]
-    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(120)], "doc_id long, toxic int")
-    model = toxicity.fit(corpus(spark, texts), labels, Scratch(spark), ~toxicity.held_out())
-    got = {r["doc_id"]: r for r in rows(toxicity.score(corpus(spark, texts), model))}
-    learned = [i for i in range(120) if i not in out]
-    split = [Counter(t.lower().split()) for t in texts]
-    df = Counter(w for i in learned for w in split[i])
-    vector = [{w: (1 + np.log(n)) * (np.log((len(learned) + 1) / (df[w] + 1)) + 1) for w, n in c.items() if w in df} for c in split]
+    texts = [words(rng, rng.randrange(1, 25), 60) + (" Scum" if i % 9 == 0 and i % 4 else "") for i in range(150)]
+    out = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5 == 0]
+    texts[out[0]] = texts[next(i for i in range(150) if i not in out)]
+    texts += [None, "", "nowhere seen", "w1 " * 3000]
+    docs = corpus(spark, texts)
+    labels = spark.createDataFrame([*[(i, int(i % 9 == 0)) for i in range(150)], (0, 0), (2, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, Scratch(spark), ~toxicity.held_out())
+    got = {r["doc_id"]: r for r in rows(toxicity.score(docs, model))}
+    learned = [i for i in range(150) if i not in out]
+    y = {i: int(i % 9 == 0) for i in learned}
+    split = [Counter((t or "").lower().split()) for t in texts]
+    df = Counter(w for c in split for w in c)
+    n1, n0 = sum(y.values()), len(y) - sum(y.values())
+
+    def chi(w):
+        a, b = sum(w in split[i] and y[i] for i in learned), sum(w in split[i] and not y[i] for i in learned)
+        table = [[a, n1 - a], [b, n0 - b]]
+        total, score = n1 + n0, 0.0
+        for r in (0, 1):
+            for c in (0, 1):
+                want = sum(table[r]) * (table[0][c] + table[1][c]) / total
+                score += (table[r][c] - want) ** 2 / want if want else 0
+        return score
+
+    weight = {w: np.log(len(texts) / df[w]) * max(1, chi(w) / 10.83) for w in {w for i in learned for w in split[i]}}
+    vector = [{w: (1 + np.log(n)) * weight[w] for w, n in c.items() if w in weight} for c in split]
     norm = [np.sqrt(sum(x * x for x in v.values())) for v in vector]
-    for i in out:
-        want = sorted(((round(sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / norm[i] / norm[j], 6), -j) for j in learned), reverse=True)[: toxicity.K]
+
+    def nearest(i):
+        cos = {j: sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / (norm[i] * norm[j] or 1) for j in learned if j != i}
+        return sorted(((c, j) for j, c in cos.items() if c > 5e-7), reverse=True)[: toxicity.K]
+
+    def vote(near):
+        return sum(c * c * y[j] for c, j in near) / sum(c * c for c, _ in near)
+
+    curve = toxicity.monotone(np.array([vote(nearest(i)) for i in learned]), np.array([y[i] for i in learned], dtype=float))
+    for i in [*out, 150, 151, 152, 153]:
+        want = nearest(i)
         assert np.allclose([n["cosine"] for n in got[i]["neighbours"]], [c for c, _ in want], atol=5e-6)
-        assert {n["id"] for n in got[i]["neighbours"]} >= {-j for c, j in want if c > want[-1][0] + 1e-5}
+        assert {n["id"] for n in got[i]["neighbours"]} >= {j for c, j in want if c > want[-1][0] + 1e-5}
+        if want:
+            mine = vote([(n["cosine"], n["id"]) for n in got[i]["neighbours"]])
+            assert abs(got[i]["score"] - np.clip(np.interp(mine, *curve), 0, 1)) < 2e-3
+        else:
+            assert got[i]["score"] == got[150]["score"] < 0.5
     assert got[out[0]]["neighbours"][0]["cosine"] == 1.0
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.remove_toxic(docs.limit(0), model).count() == 0
 
 
 # --- 5, 9 --------------------------------------------------------------------------------------------------------
