@@ -2,16 +2,17 @@
 
 Texts are normalised: letters and digits in lower case, anything else between them one
 space. A benchmark item of m characters is found in a document if some region is within
-k = floor(ERROR_RATE * m) edits of it. A region within k edits shares at least
+k = floor(ERROR_PERCENT / 100 * m) edits of it. A region within k edits shares at least
 m + 1 - q - k * q of the item's q-grams (the q-gram lemma), all on diagonals within k of
-each other. So shared q-grams are counted in diagonal bands, each twice as wide as the
-edit budget and overlapping the next by half; bands whose distinct shared q-grams reach the
-bound are kept and verified by an alignment restricted to the band. The filter loses no
-match; nothing of a document is skipped.
-
-The q-grams of the benchmark go to every executor. Its size is checked: beyond
-MOST_ITEM_CHARS characters the items are taken in blocks of that size, with a pass over
-the documents for each.
+each other. q is Q, or for short items the largest number for which that bound is 1 at least.
+Shared q-grams are counted in diagonal bands, each twice as wide as the edit budget and
+overlapping the next by half; bands whose distinct shared q-grams reach the bound are kept
+and verified by an alignment that fills the band's diagonals and no other cell. The filter
+loses no match; nothing of a document is skipped.
+
+The q-grams of the benchmark go to every executor. Its size is checked: a benchmark beyond
+MOST_ITEM_CHARS characters is dealt into blocks of about half that size by the hash of
+item_id, with a pass over the documents for each; the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, table
 
-Q, ERROR_RATE, MOST_ITEM_CHARS, TABLE_BITS = 8, 0.1, 8_000_000, 22
+Q, ERROR_PERCENT, MOST_ITEM_CHARS, TABLE_BITS = 8, 10, 2_000_000, 22
 SCHEMA = "item_id long, start int, end int, edits int"
 
 
@@ -83,37 +84,23 @@ def item_text(text: str) -> np.ndarray:
     return codes[inner[0] : inner[-1] + 1] if len(inner) else codes[:0]
 
 
+def gram_size(m: int, k: int, q: int = Q) -> int:
+    """The largest q-gram, up to q, of which an item of m characters keeps one at least through any k edits."""
+    return min(q, m // (k + 1))
+
+
 class Benchmark:
-    """Items' q-grams, sorted by hash, with a bit table before them."""
+    """Items by the size of their q-grams; those below Q characters match as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = ERROR_RATE):
-        self.q = q
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, percent: int = ERROR_PERCENT):
         coded = sorted(((i, item_text(t)) for i, t in items if i is not None and t), key=lambda x: x[0])
-        self.ids, self.codes, self.budget, self.least, self.tiny = [], [], [], [], []
-        hashes, owner, place = [], [], []
+        self.tiny = [(i, c) for i, c in coded if 0 < len(c) < q]
+        sizes: dict[int, list] = {}
         for i, c in coded:
-            m = len(c)
-            if m < q:
-                if m:
-                    self.tiny.append((i, c))
-                continue
-            k = min(int(rate * m), (m - q) // q)  # so that the bound is 1 at least
-            self.ids.append(i)
-            self.codes.append(c)
-            self.budget.append(k)
-            self.least.append(m + 1 - q - k * q)
-            g = grams(c, q)
-            hashes.append(g)
-            owner.append(np.full(len(g), len(self.ids) - 1))
-            place.append(np.arange(len(g)))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
-        self.bits = np.zeros(1 << TABLE_BITS, dtype=bool)
-        self.bits[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        self.budget, self.least = np.array(self.budget, dtype=np.int64), np.array(self.least, dtype=np.int64)
+            if len(c) >= q:
+                k = percent * len(c) // 100
+                sizes.setdefault(gram_size(len(c), k, q), []).append((i, c, k))
+        self.grams = [Grams(x, part) for x, part in sorted(sizes.items())]
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the regions; start and end in code points of the text."""
@@ -122,13 +109,51 @@ class Benchmark:
         codes, at, text_of = normalise(texts)
         offsets = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))[:-1]
         out = self._tiny(codes, at, text_of, offsets)
+        for part in self.grams:
+            for t, i, a, b, e in part.find(codes, text_of):
+                out.append((t, i, int(at[a] - offsets[t] - 1), int(at[b - 1] - offsets[t]), e))
+        return out
+
+    def _tiny(self, codes, at, text_of, offsets) -> list[tuple[int, int, int, int, int]]:
+        """Items shorter than q: whole words equal to them."""
+        out = []
+        for i, c in self.tiny:
+            word = np.concatenate(([32], c, [32]))
+            hit = np.ones(max(0, len(codes) - len(word) + 1), dtype=bool)
+            for k, x in enumerate(word):
+                hit &= codes[k : len(hit) + k] == x
+            for p in np.flatnonzero(hit).tolist():
+                t = int(text_of[p + 1])
+                out.append((t, i, int(at[p + 1] - offsets[t] - 1), int(at[p + len(c)] - offsets[t]), 0))
+        return out
+
+
+class Grams:
+    """The q-grams of items (id, codes, edit budget), sorted by hash, with a bit table before them."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray, int]]):
+        self.q = q
+        self.ids, self.codes = [i for i, _, _ in items], [c for _, c, _ in items]
+        self.budget = np.array([k for _, _, k in items], dtype=np.int64)
+        self.least = np.array([len(c) + 1 - q - k * q for _, c, k in items], dtype=np.int64)
+        parts = [grams(c, q) for c in self.codes]
+        h = np.concatenate(parts)
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.owner = np.repeat(np.arange(len(parts)), [len(g) for g in parts])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in parts])[order]
+        self.bits = np.zeros(1 << TABLE_BITS, dtype=bool)
+        self.bits[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+
+    def find(self, codes: np.ndarray, text_of: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) in places of the normalised codes."""
         g = grams(codes, self.q)
-        maybe = np.flatnonzero(self.bits[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(self.hashes) else np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.bits[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         low, high = np.searchsorted(self.hashes, g[maybe], "left"), np.searchsorted(self.hashes, g[maybe], "right")
         hit = high > low
         maybe, low, n = maybe[hit], low[hit], (high - low)[hit]
         if not len(maybe):
-            return out
+            return []
         # Hits (position in the documents, item, position in the item), one for each pair of places of a shared q-gram.
         which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         p, item, j = np.repeat(maybe, n), self.owner[which], self.place[which]
@@ -142,84 +167,71 @@ class Benchmark:
             found.append(np.stack((text[full], item[full], band[full] - shift, j[full]), axis=1))
         rows = np.concatenate(found)
         if not len(rows):
-            return out
+            return []
         rows = rows[np.lexsort(rows.T[::-1])]
         rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]  # a q-gram of the item counts once in a band
         starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
-        counts = np.diff(np.append(starts, len(rows)))
-        bands = rows[starts]
-        regions: dict[tuple[int, int], list] = {}
-        for t, i, b, _ in bands[counts >= self.least[bands[:, 1]]].tolist():
-            w, k, c = int(self.budget[i]) + 1, int(self.budget[i]), self.codes[i]
-            lo = max(0, b * w)
-            region = codes[lo : (b + 2) * w + len(c) + k]
-            inside = text_of[lo : lo + len(region)] == t
-            skip = int(inside.argmax())
-            got = align(c, region[skip : skip + int(inside.sum())], k)
-            if got:
-                regions.setdefault((t, i), []).append((lo + skip + got[0], lo + skip + got[1], got[2]))
-        for (t, i), spans in regions.items():
-            last = -1
-            for a, b, e in sorted(spans, key=lambda s: (s[0], s[2], s[1])):
-                if a >= last:  # bands overlap: one region may come from two
-                    out.append((t, self.ids[i], int(at[a] - offsets[t] - 1), int(at[b - 1] - offsets[t]), e))
-                    last = b
-        return out
-
-    def _tiny(self, codes, at, text_of, offsets) -> list[tuple[int, int, int, int, int]]:
-        """Items shorter than q: whole words equal to them."""
+        bands = rows[starts][np.diff(np.append(starts, len(rows))) >= self.least[rows[starts, 1]]]
         out = []
-        for i, c in self.tiny:
-            word = np.concatenate(([32], c, [32]))
-            hit = np.ones(max(0, len(codes) - len(word) + 1), dtype=bool)
-            for k, x in enumerate(word):
-                hit &= codes[k : len(hit) + k] == x
-            for p in np.flatnonzero(hit).tolist():
-                t = int(text_of[p + 1])
-                out.append((t, i, int(at[p + 1] - offsets[t] - 1), int(at[p + len(c)] - offsets[t]), 0))
+        for i in np.unique(bands[:, 1]).tolist():
+            mine = bands[bands[:, 1] == i]
+            first = np.searchsorted(text_of, mine[:, 0], "left") + 1  # without the spaces around the text
+            stop = np.searchsorted(text_of, mine[:, 0], "right") - 1
+            w = int(self.budget[i]) + 1
+            begin, end, edits = align(self.codes[i], codes, mine[:, 2] * w, first, stop, 2 * w)
+            good = np.flatnonzero((edits < w) & (end > begin))
+            good = good[np.lexsort((end[good], edits[good], begin[good], mine[good, 0]))]
+            last = (-1, -1)
+            for r in good.tolist():
+                t, a, b = int(mine[r, 0]), int(begin[r]), int(end[r])
+                if (t, a) >= last:  # bands overlap: one region may come from two
+                    out.append((t, self.ids[i], a, b, int(edits[r])))
+                    last = (t, b)
         return out
 
 
-def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """The region's part with the fewest edits to the whole item, if k or fewer: (start, end, edits)."""
-    whole, part = region.astype("<u4").tobytes(), item.astype("<u4").tobytes()
-    at = whole.find(part)
-    while at >= 0 and at % 4:
-        at = whole.find(part, at + 1)
-    if at >= 0:
-        return at // 4, at // 4 + len(item), 0
-    n = len(region)
-    if n + k < len(item):
-        return None
-    steps = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, dtype=np.int64), steps.copy()  # free start
+#: Bands that are aligned side by side.
+TOGETHER = 4096
+
+
+def align(item: np.ndarray, codes: np.ndarray, low: np.ndarray, first: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each band the region with the fewest edits to the whole item among paths inside the band: (start, end, edits).
+
+    A band has the diagonals low .. low + width - 1, where a diagonal is the place in codes less
+    the place in the item; its text is codes[first:stop]. Row i of the table has a cell for each
+    diagonal: the least cost of an alignment of the item's first i characters that ends
+    there. Of equal costs the lowest diagonal counts.
+    """
+    if len(low) > TOGETHER:
+        parts = [align(item, codes, *(x[k : k + TOGETHER] for x in (low, first, stop)), width) for k in range(0, len(low), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    steps, far = np.arange(width), 1 << 20
+    place = low[:, None] + steps  # of the next character on each diagonal
+    first, stop = first[:, None], stop[:, None]
+    cost = np.where((place >= first) & (place <= stop), 0, far)
+    begin = place.copy()
     for x in item:
-        up, diagonal = cost + 1, cost[:-1] + (region != x)
-        new, source = up, begin.copy()
-        better = diagonal <= new[1:]
-        new[1:] = np.where(better, diagonal, new[1:])
-        source[1:] = np.where(better, begin[:-1], source[1:])
-        # insertions: the least of new[i] + (j - i) over i <= j
-        slope = new - steps
-        best = np.minimum.accumulate(slope)
-        origin = np.maximum.accumulate(np.where(slope == best, steps, 0))
-        cost, begin = best + steps, source[origin]
-        if cost.min() > k:
-            return None
-    end = int(cost.argmin())
-    return (int(begin[end]), end, int(cost[end])) if cost[end] <= k and end > begin[end] else None
-
-
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in runs of bounded size."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        if size + len(r.text) > MOST_ITEM_CHARS and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += len(r.text)
-    return out
+        new = np.where(place < stop, cost + (codes[np.clip(place, 0, len(codes) - 1)] != x), far)
+        shorter = np.append(cost[:, 1:] + 1, np.full((len(low), 1), far), axis=1)  # a character of the item left out
+        better = shorter < new
+        new = np.where(better, shorter, new)
+        source = np.where(better, np.append(begin[:, 1:], begin[:, -1:], axis=1), begin)
+        slope = new - steps  # characters of the text put in: the least of new[d] + (e - d) over d <= e
+        best = np.minimum.accumulate(slope, axis=1)
+        origin = np.maximum.accumulate(np.where(slope == best, steps, 0), axis=1)
+        place = place + 1
+        cost, begin = np.where(place <= stop, best + steps, far), np.take_along_axis(source, origin, axis=1)
+    at = cost.argmin(axis=1)[:, None]
+    return tuple(np.take_along_axis(x, at, axis=1)[:, 0] for x in (begin, place, cost))
+
+
+def _blocks(benchmark: DataFrame):
+    """The benchmark's items in lists of bounded size, one list at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = 1 if total <= MOST_ITEM_CHARS else -(-2 * total // MOST_ITEM_CHARS)
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64(F.lit(17), "item_id"), F.lit(n)) == k).collect()]
 
 
 def _texts(column: pa.Array, most: int = 250_000):
@@ -238,9 +250,11 @@ def _texts(column: pa.Array, most: int = 250_000):
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (key, item_id, start, end, edits) for each region of a document that is a benchmark item.
 
-    Null or empty texts and items match nothing. Equal items are each reported.
-    Items with fewer than Q normalised characters match as whole words only. Repeated
-    documents are each reported. Other columns of docs are not read.
+    Null or empty texts and items match nothing; an empty table on either side gives no
+    rows. Equal items are each reported. Items with fewer than Q normalised characters match
+    as whole words only. Repeated documents are each reported. Texts of any length are taken
+    whole. Of regions with equally few edits in a band, the one that ends first is given.
+    Other columns of docs are not read.
     """
     out = None
     for items in _blocks(benchmark):
@@ -258,7 +272,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows that hold a benchmark item; columns and other rows as they are."""
+    """docs without the rows that hold a benchmark item; columns and other rows as they are. See ``contaminated_regions`` for the odd cases."""
     for items in _blocks(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(items)
 

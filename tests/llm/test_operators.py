@@ -126,6 +126,7 @@ def edits(a, b):
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [words(rng, 12), words(rng, 9, 10**6), "Tiny q", None, "", "ÄPFEL, Birnen & Nüsse sind reif; wir ernten morgen früh."]
+    items += ["".join(rng.choice("abcdefgh ") for _ in range(m)).strip().ljust(m, "k") for m in (8, 9, 10, 13, 15, 19, 20, 24, 29, 30, 31, 37, 40)]
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, start int")
     texts = [None, "", "nothing here at all", f"start {items[0]} end", f"{items[1].upper()}!!", f"a tiny  Q, b tinyq {items[5]}"]
     for _ in range(40):
@@ -134,15 +135,21 @@ def test_decontamination(spark):
             p = rng.randrange(len(t))
             t[p : p + 1] = rng.choice([[], ["z"], [t[p], "q"]])
         texts.append(words(rng, 15) + "\n" + "".join(t) + " " + words(rng, 10))
+    for k in range(130):  # short items, with edits about their budget, some at a text's ends
+        t = list(items[6 + k % 13])
+        for _ in range(len(t) // 10 + rng.randrange(-1, 2)):
+            p = rng.randrange(len(t))
+            t[p : p + 1] = rng.choice([[], ["z"], [t[p], "q"]])
+        texts.append(rng.choice(["", words(rng, 5) + " "]) + "".join(t) + rng.choice(["", " " + words(rng, 4)]))
+    texts.append(words(rng, 20_000) + items[0] + words(rng, 20_000))
     docs = corpus(spark, texts)
     got = {(r["doc_id"], r["item_id"]) for r in rows(decontamination.contaminated_regions(docs, bench))}
-    known = decontamination.Benchmark([(i, t) for i, t in enumerate(items) if t])
-    budget = dict(zip(known.ids, known.budget.tolist(), strict=True))
-    want = {(d, i) for d, t in enumerate(texts) for i in budget if edits(plain(items[i]), plain(t)) <= budget[i]}
+    budget = {i: len(plain(t)) // 10 for i, t in enumerate(items) if t and len(plain(t)) >= 8}
+    want = {(d, i) for d, t in enumerate(texts) for i in budget if (len(t or "") > 10_000 and i == 0) or (len(t or "") < 10_000 and edits(plain(items[i]), plain(t)) <= budget[i])}
     want |= {(d, 2) for d, t in enumerate(texts) if f" {plain(items[2])} " in f" {plain(t)} "}
     assert got == want
     for r in rows(decontamination.contaminated_regions(docs, bench)):
-        part = plain(texts[r["doc_id"]][r["start"] : r["end"]])
+        part = plain(f"x{texts[r['doc_id']][r['start'] : r['end']]}x")[1:-1]  # with spaces at its ends
         assert edits(plain(items[r["item_id"]]), part) == r["edits"]
     kept = decontamination.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns
