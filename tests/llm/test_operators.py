@@ -363,19 +363,26 @@ def test_encoder_is_the_library(name):
         assert all(np.array_equal(a, b) for a, b in zip(e.encode(part), want[k : k + 500], strict=True))
 
 
-def test_token_counts_and_their_cache(spark):
+@pytest.mark.parametrize("most", [200_000, 25, 0])
+def test_token_counts_and_their_cache(spark, monkeypatch, most):
+    """By each way of finding what the cache lacks: known and shared digests sent out, missing ones, neither."""
+    monkeypatch.setattr(token_counts, "MOST_BROADCAST", most)
     path = Scratch(spark).path("cache")
     tok = tokenizers.path("byte_bpe_50k.json")
-    texts = mixed_texts(10)
-    first = token_counts.count_tokens(corpus(spark, texts[:20]), path, tok)
-    assert first.count() == 20
-    known = spark.read.parquet(path).count()
-    got = {r["doc_id"]: r for r in rows(token_counts.count_tokens(corpus(spark, texts), path, tok))}
+    texts = mixed_texts(10) + ["very long " * 60_000]
+    first = token_counts.count_tokens(corpus(spark, texts[:40]), path, tok, Scratch(spark))
+    assert first.count() == 40
+    known = spark.read.parquet(path)
+    before = {bytes(r.content) for r in known.collect()}
+    got = {r["doc_id"]: r for r in rows(token_counts.count_tokens(corpus(spark, texts), path, tok, Scratch(spark)))}
     library = Encoder(tok).library
     assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
     assert {i: r["n_bytes"] for i, r in got.items()} == {i: len((t or "").encode()) for i, t in enumerate(texts)}
-    assert spark.read.parquet(path).count() == len({t or "" for t in texts}) > known
-    assert token_counts.count_tokens(corpus(spark, []), path, tok).count() == 0
+    after = [bytes(r.content) for r in spark.read.parquet(path).collect()]  # each digest once: none is encoded again
+    assert len(after) == len(set(after)) == len({t or "" for t in texts}) > len(before) and before < set(after)
+    assert token_counts.count_tokens(corpus(spark, []), path, tok, Scratch(spark)).count() == 0
+    assert token_counts.count_tokens(corpus(spark, texts[:3]), path, tok, Scratch(spark)).count() == 3
+    assert spark.read.parquet(path).count() == len(after)
 
 
 def test_shards_round_trip(spark, monkeypatch):
@@ -466,6 +473,31 @@ def test_line_rules(spark):
     assert line_rules.line_verdicts(docs.limit(0), Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_limits_are_of_distinct_documents_of_a_host(spark, monkeypatch, broadcast):
+    """One document under two hosts, a document in many rows, nulls, and a line at the limit exactly."""
+    if not broadcast:
+        monkeypatch.setattr(line_rules, "MOST_BROADCAST", 0)
+    rng = random.Random(31)
+    body = "\n".join(words(rng, 30, 10**6) for _ in range(3))
+    made = [(i, f"at the limit\n{body} {i}", "a") for i in range(4)] + [(i, f"over it now\n{body} {i}", "a") for i in range(10, 15)]
+    made += [(50, f"over it now\n{body}", "a"), (50, f"over it now\n{body}", "b"), (50, f"over it now\n{body}", "b")]
+    made += [(60, f"many rows\n{body} {k}", "a") for k in range(9)]
+    made += [(None, f"without a key\n{body} {k}", None) for k in range(5)] + [(70, None, "a"), (71, "over it now", None), (72, "over it now " + "\n" + "x " * 100_000, "a")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("row", pd_source(spark))
+    holders = {}
+    for k, (i, t, host) in enumerate(made):
+        for line in {" ".join(x.split()).lower() for x in (t or "").split("\n") if x.split()}:
+            holders.setdefault((host, line), set()).add((i, t) if i is None else i)
+    want = Counter()
+    for i, t, host in made:
+        gone = sum(len(x.split()) for x in (t or "").split("\n") if x.split() and len(holders[host, " ".join(x.split()).lower()]) > 4)
+        want[i, host, len((t or "").split()), gone] += 1
+    got = Counter((r["key_"], r["host"], r["n_words"], r["removed_words"]) for r in rows(line_rules.line_verdicts(docs, Scratch(spark), limit=4).withColumnRenamed("doc_id", "key_")))
+    assert got == Counter({(i, "\x00" if h is None else h, n, g): c for (i, h, n, g), c in want.items()})
+    assert {h: g > 0 for i, h, _, g in got if i == 50} == {"a": True, "b": False}
+
+
 def pd_source(spark):
     from pyspark.sql import functions as F
 
