@@ -34,6 +34,10 @@ SAMPLE, K, BLOCK = 20_000, 15, 16
 CRITICAL = 10.83
 #: A word in more than one of COMMON sample documents is common.
 COMMON = 6
+#: Posting lists above this length are sliced one by one.
+LONG = 400
+#: Bytes of the index that come to the driver in one row.
+PACKET = 1 << 20
 #: Cosines are compared to six digits: weights are held in single precision.
 DIGITS = 6
 
@@ -84,6 +88,13 @@ def distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def distinct_numbers(owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, number below 2**32) with their counts."""
+    both = np.sort(owner << 32 | number)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
+    return both[at] >> 32, both[at] & 0xFFFFFFFF, np.diff(np.append(at, len(both)))
+
+
 def cuts(owner: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Where each of n owners' entries begin and end."""
     at = np.searchsorted(owner, np.arange(n + 1)).tolist()
@@ -103,17 +114,31 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, weight: np.ndarray):
         """hashes: rising."""
         self.hashes, self.weight = hashes, weight.astype(np.float32)
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
+        self._look()
+
+    def _look(self) -> None:
+        """Where the hashes with each leading 22 bits begin."""
+        self.first = np.append(0, np.cumsum(np.bincount((self.hashes >> np.uint64(42)).astype(np.int64), minlength=1 << 22))).astype(np.int32)
+
+    def __getstate__(self):
+        return self.hashes, self.weight
+
+    def __setstate__(self, state):
+        self.hashes, self.weight = state
+        self._look()
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Each hash's number, -1 for what is no term."""
         out = np.full(len(h), -1, dtype=np.int64)
-        near = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        if len(near):
-            h = h[near]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out[near] = np.where(self.hashes[at] == h, at, -1)
+        lead = (h >> np.uint64(42)).astype(np.int64)
+        at, end, left = self.first[lead], self.first[lead + 1], np.arange(len(h))
+        while len(left):
+            some = at[left] < end[left]
+            left = left[some]
+            same = self.hashes[at[left]] == h[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
         return out
 
     def vector(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -128,7 +153,7 @@ class Vocabulary:
         owner, h = terms(texts)
         term = self.number(h)
         known = term >= 0
-        owner, term, n = distinct(owner[known], term[known])
+        owner, term, n = distinct_numbers(owner[known], term[known])
         return [self.vector(term[a:b], n[a:b])[:2] for a, b in cuts(owner, len(texts))]
 
 
@@ -141,6 +166,17 @@ class BlockMaxIndex:
 
     def __init__(self, doc: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: int, block: int = BLOCK):
         self.doc, self.weight, self.begin, self.n, self.block = doc, weight, begin, n, block
+        self._spread()
+
+    def __getstate__(self):
+        return self.doc, self.weight, self.begin, self.n, self.block
+
+    def __setstate__(self, state):
+        self.doc, self.weight, self.begin, self.n, self.block = state
+        self._spread()
+
+    def _spread(self) -> None:
+        doc, weight, begin, n, block = self.doc, self.weight, self.begin, self.n, self.block
         df = np.diff(begin)
         common = np.flatnonzero(df > max(8, n // COMMON))
         self.row = np.full(len(df), -1, dtype=np.int32)
@@ -161,12 +197,14 @@ class BlockMaxIndex:
         """(documents, cosines) of the k best with a common term, best first; ties by number."""
         row = self.row[terms]
         rare = row < 0
-        at = [slice(a, b) for a, b in zip(self.begin[terms[rare]].tolist(), self.begin[terms[rare] + 1].tolist(), strict=True)]
-        if at:
-            sizes = [s.stop - s.start for s in at]
-            sums = np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]) * np.repeat(weights[rare], sizes), minlength=len(self.dense))
-        else:
-            sums = np.zeros(len(self.dense))
+        start, weight = self.begin[terms[rare]], weights[rare]
+        size = self.begin[terms[rare] + 1] - start
+        # Short posting lists are gathered at once, long ones are sliced.
+        long = size > LONG
+        cuts_ = [slice(x, x + n) for x, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+        start, size, by = start[~long], size[~long], np.concatenate((np.repeat(weight[~long], size[~long]), np.repeat(weight[long], size[long])))
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.bincount(np.concatenate([self.doc[at], *[self.doc[c] for c in cuts_]]), np.concatenate([self.weight[at], *[self.weight[c] for c in cuts_]]) * by, minlength=len(self.dense))
         q = np.zeros(self.dense.shape[1], dtype=np.float32)
         q[row[~rare]] = weights[~rare]
         by_block = sums.reshape(self.blocks, self.block)
@@ -308,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
                 owner, h = terms(run)
                 term = words.number(h)
                 at = term >= 0
-                total += np.bincount(distinct(owner[at], term[at])[1], minlength=len(total)).astype(np.int32)
+                total += np.bincount(distinct_numbers(owner[at], term[at])[1], minlength=len(total)).astype(np.int32)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": np.append(some, -1).astype(np.int32), "df": np.append(total[some], rows).astype(np.int64)})
 
@@ -332,11 +370,19 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
         rows.sort(key=lambda r: r[:2])
         doc, weight, begin = postings([r[3:] for r in rows], len(words.hashes))
         packed = [np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.float64), doc, weight, begin]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(5), pa.int32()), "body": pa.array([x.tobytes() for x in packed], pa.binary())})
-
-    parts = {r.part: r.body for r in bags.repartition(1).mapInArrow(indexed, "part int, body binary").collect()}
+        for k, x in enumerate(packed):
+            body = x.tobytes()
+            for at in range(0, len(body), PACKET):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "at": pa.array([at], pa.int64()), "size": pa.array([len(body)], pa.int64()), "body": pa.array([body[at : at + PACKET]], pa.binary())})
+
+    parts: list = [b""] * 5
+    packets = bags.repartition(1).mapInArrow(indexed, "part int, at long, size long, body binary").repartition(8)
+    for r in packets.toLocalIterator():  # packets, so that neither side holds the index twice
+        if not parts[r.part]:
+            parts[r.part] = bytearray(r["size"])
+        parts[r.part][r.at : r.at + len(r.body)] = r.body
     weighed.destroy()
-    ids, y, doc, weight, begin = (np.frombuffer(parts.pop(i), dtype=kind) for i, kind in enumerate((np.int64, np.float64, np.int32, np.float32, np.int64)))
+    ids, y, doc, weight, begin = (np.frombuffer(x, dtype=kind) for x, kind in zip(parts, (np.int64, np.float64, np.int32, np.float32, np.int64), strict=True))
     number_of = {i: d for d, i in enumerate(ids.tolist())}
     examples = spark.sparkContext.broadcast(Examples(vocabulary, BlockMaxIndex(doc, weight, begin, len(ids)), ids, y))
     del doc, weight, begin, vocabulary, parts
