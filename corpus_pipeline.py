@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from spanveil.llm import decontamination, mixing, ngram_join, sharding, token_counts, toxicity
 from spanveil.llm.common import Scratch, table, utf8_bytes
 
 #: Four fifths of the tokens left, none twice: repeats would undo the join's work.
@@ -38,10 +38,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's rows, each as often as it is taken."""
+    """The mixture's rows, each as often as it is taken; sizes are byte-level tokens."""
+    scratch = Scratch(spark)
+    names = docs.columns
+    sized = scratch.save(token_counts.with_token_counts(docs).withColumnRenamed("n_tokens", "_n"), "mixing-docs")
     levels = {"domain": mixing.domain_of_source(), "lang": F.col("lang"), "source": F.col("source")}
-    taken = mixing.mix(docs, mixing.tokens_of_text(), levels, mixing.WEIGHTS, SHARE, MAX_EPOCHS)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    taken = mixing.mix(sized, F.col("_n"), levels, scratch, mixing.WEIGHTS, SHARE, MAX_EPOCHS)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*names)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, table, utf8_bytes
 from .tokens import encoder
@@ -87,6 +88,23 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, scratch: Scratch,
     return narrow.join(counts, F.col("_digest") == F.col("_content")).drop("_digest", "_content")
 
 
+def with_token_counts(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
+    """docs with ``n_tokens`` (long), encoded where the rows lie, without a cache. A null text has 0 tokens."""
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    docs = docs.drop("n_tokens")
+    names = docs.columns
+    at = names.index(text)
+
+    def counted(batches):
+        encode = encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(encode.count([t or "" for t in b.column(at).to_pylist()]), pa.int64())], [*names, "n_tokens"])
+
+    return docs.mapInArrow(counted, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))
+
+
 def op9_token_counts(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Byte-level token counts of all documents.
 

@@ -516,35 +516,89 @@ def test_quality(spark):
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------
-def test_shortages_stay_among_siblings():
-    totals = {("a", "x"): 10, ("a", "y"): 1000, ("b", "z"): 1000}
-    got = mixing.leaf_budgets(totals, 400, lambda p: 1.0, 1)
-    assert got == {("a", "x"): 10, ("a", "y"): 190, ("b", "z"): 200}
-    assert mixing.leaf_budgets({("a", "x"): 10, ("b", "z"): 1000}, 400, lambda p: 1.0, 1) == {("a", "x"): 10, ("b", "z"): 390}
-    assert mixing.share_out(100, [(1, 10), (1, 1000), (2, 1000)]) == [10, 30, 60]
+def brute_budgets(totals, budget, weight, epochs):
+    """Budgets of a tree's leaves {path: tokens}: at each node the level x is searched at which min(most, x * weight) adds up."""
+    out = {}
+
+    def down(at, leaves, amount):
+        if len(at) == len(next(iter(leaves))):
+            out[at] = amount
+            return
+        kids = {}
+        for path, n in leaves.items():
+            kids.setdefault(path[: len(at) + 1], {})[path] = n
+        most = {k: epochs * sum(v.values()) for k, v in kids.items()}
+        low, high = 0.0, 2 * sum(most.values()) / min(weight(k) for k in kids) + 1
+        for _ in range(200):
+            x = (low + high) / 2
+            low, high = (x, high) if sum(min(most[k], x * weight(k)) for k in kids) < amount else (low, x)
+        for k, v in kids.items():
+            down(k, v, min(most[k], high * weight(k)))
+
+    down((), totals, min(budget, epochs * sum(totals.values())))
+    return out
 
 
-def test_mixing(spark):
+def test_budgets_match_brute_force(spark):
+    """Three levels of weights, shortages that stay among siblings or go up, nulls in a level."""
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame([(i % 190, f"src{i % 7}" if i % 11 else None, ("en", "en", "de")[i % 3], 1 + i % 9) for i in range(200)], "doc_id long, source string, lang string, n long")
-    levels = {"domain": mixing.domain_of_source(), "lang": F.col("lang"), "source": F.col("source")}
-    got = rows(mixing.mix(docs, F.col("n"), levels, {("en",): 5.0}, 0.7, 2))
-    have, total = Counter(), Counter()
-    for r in docs.collect():
-        total[mixing_leaf(r), r.lang, r.source] += r.n
-    for r in got:
-        have[r["_l0"], r["_l1"], r["_l2"]] += r["n"] * r["_copies"]
-    want = mixing.leaf_budgets(dict(total), 0.7 * sum(total.values()), lambda p: {("en",): 5.0}.get(p[-1:], 1.0), 2)
-    for leaf, budget in want.items():
-        assert budget - 9 < have[leaf] <= budget
-    again = rows(mixing.mix(docs.repartition(5), F.col("n"), levels, {("en",): 5.0}, 0.7, 2))
-    assert Counter((r["doc_id"], r["n"], r["_copies"]) for r in got) == Counter((r["doc_id"], r["n"], r["_copies"]) for r in again)
-    assert mixing.mix(docs.limit(0), F.col("n"), levels).count() == 0
+    rng = random.Random(5)
+    names = ["_l0", "_l1", "_l2"]
+    for case in range(4):
+        totals = {(rng.choice("ab"), rng.choice(["x", "y", None]), f"s{rng.randrange(5)}"): rng.choice([1, 7, 50, 4000]) for _ in range(14)}
+        weights = {("a",): 3.0, ("x",): 0.5, ("s1",): 4.0, ("b", None): 2.5, ("a", "x", "s2"): 9.0}
+        leaves = spark.createDataFrame([(*k, n) for k, n in totals.items()], "_l0 string, _l1 string, _l2 string, n long").withColumn("_leaf", mixing.path_key(names))
+        budget = (0.1, 0.5, 0.9, 1.7)[case] * sum(totals.values())
+        got = {(r["_l0"], r["_l1"], r["_l2"]): r["_budget"] for r in rows(mixing.leaf_budgets(leaves, names, budget, weights, 2))}
+        want = brute_budgets(totals, budget, lambda p: weights.get(p, weights.get(p[-1:], 1.0)), 2)
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) <= 1 for p in want)
 
 
-def mixing_leaf(r):
-    m = re.search(r"(\d{1,9})$", r.source or "")
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing(spark, monkeypatch, broadcast):
+    """Every leaf takes whole epochs and a prefix of its order as long as the budget allows."""
+    from pyspark.sql import functions as F
+
+    if not broadcast:
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    made = [(i % 390 if i % 50 else None, f"src{i % 7}" if i % 11 else None, ("en", "en", "de", None)[i % 4], (1 + i % 9) if i % 13 else None) for i in range(420)]
+    made += [(5000, "src1", "en", 100_000)]
+    docs = spark.createDataFrame(made, "doc_id long, source string, lang string, n long")
+    levels = {"domain": mixing.domain_of_source(), "lang": F.col("lang"), "source": F.col("source")}
+    weights = {("en",): 5.0, ("d1",): 2.0, ("src3",): 3.0}
+    got = rows(mixing.mix(docs, F.col("n"), levels, Scratch(spark), weights, 0.7, 2))
+    leaf = lambda r: (mixing_leaf(r[1]), r[2], r[1])
+    totals = Counter()
+    for r in made:
+        totals[leaf(r)] += r[3] or 1
+    want = brute_budgets(dict(totals), 0.7 * sum(totals.values()), lambda p: weights.get(p, weights.get(p[-1:], 1.0)), 2)
+    have = {}
+    for r in got:
+        have.setdefault((r["_l0"], r["_l1"], r["_l2"]), Counter())[r["doc_id"], r["_tokens"]] += r["_copies"]
+    for p, budget in want.items():
+        mine = [(r[0], r[3] or 1) for r in made if leaf(r) == p]
+        epochs, rest = divmod(int(budget + 1e-5), totals[p])
+        keys = spark.createDataFrame([(str(json_path(p)), i) for i in {m[0] for m in mine}], "leaf string, doc_id long")
+        order = {r.doc_id: r.h for r in keys.select("doc_id", F.xxhash64(F.lit(mixing.SEED), F.lit(epochs).cast("long"), "leaf", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h")).collect()}
+        expected = Counter({m: c * epochs for m, c in Counter(mine).items()})
+        for m in sorted(mine, key=lambda m: (order[m[0]], m[1])):
+            rest -= m[1]
+            if rest < 0:
+                break
+            expected[m] += 1
+        assert have.get(p, Counter()) == Counter({m: c for m, c in expected.items() if c})
+    assert mixing.mix(docs.limit(0), F.col("n"), levels, Scratch(spark)).count() == 0
+
+
+def json_path(p):
+    import json
+
+    return json.dumps({f"_l{i}": x for i, x in enumerate(p)}, separators=(",", ":"))
+
+
+def mixing_leaf(source):
+    m = re.search(r"(\d{1,9})$", source or "")
     return f"d{(int(m[1]) if m else 0) % 4}"
 
 
