@@ -1,13 +1,14 @@
 """Quality classification by co-training.
 
-Two views of a document: its text (rates of symbols, capitals, repeats, ...) and its page's
-metadata (language, source, size, lines). A ridge-regularised logistic model of each
-view learns from labelled rows; then over ROUNDS the views teach each other: documents
-that one view is sure of become weighted pseudo-labels for the other. Labels of a
-calibration fold are left out until the end, where they fit the weights that make the
+Two views of a document that share nothing: its text (rates of symbols, capitals, repeats, ...)
+and its page's metadata (language, source, size as the table gives it). A ridge-regularised
+logistic model of each view learns from labelled rows; then over ROUNDS the views teach each
+other: documents that one view is sure of become weighted pseudo-labels for the other. Labels
+of a calibration fold are left out until the end, where they fit the weights that make the
 two views' log-odds one probability. All documents take part in every pass: a Newton
-step needs only sums of outer products, added up by task, so only matrices of a
-fixed size reach the driver.
+step needs only sums of outer products, which each task adds up and Spark adds over tasks;
+one row for each cell of matrices of a fixed size reaches the driver. Both views are fitted in
+one pass, as a round's views learn from those of the round before.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ def text_view(text: str) -> list[float]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, text: str) -> list[float]:
+def meta_view(lang: str | None, source: str | None, size: int | None) -> list[float]:
     out = [0.0] * META
     out[zlib.crc32((lang or "").encode()) % 8] = 1.0
     out[8 + zlib.crc32((source or "").encode()) % 32] = 1.0
-    n, lines = len(text), text.count("\n") + 1
-    out[40:44] = [math.log1p(n), math.log1p(lines), math.log1p(n / lines), float(n < 200)]
+    n = max(0, size or 0)
+    out[40:44] = [math.log1p(n), float(n < 200), float(n < 1000), float(n > 20_000)]
     return out
 
 
@@ -81,8 +82,8 @@ class Views:
         return np.clip(np.stack((a @ self.text, b @ self.meta, np.ones(len(x))), axis=1), -12, 12)
 
 
-def _sums(table_: DataFrame, make) -> np.ndarray:
-    """Add up the arrays that make(x, y, fold) gives for each batch; the arrays' size doesn't depend on the data."""
+def _sums(table_: DataFrame, make) -> np.ndarray | None:
+    """Add up the arrays that make(x, y, fold) gives for each batch, in the cluster; the arrays' size doesn't depend on the data. None without rows."""
 
     def run(batches):
         total = None
@@ -92,100 +93,124 @@ def _sums(table_: DataFrame, make) -> np.ndarray:
                 got = make(x, np.array(b.column("y").to_pylist()), np.array(b.column("fold").to_pylist()))
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"s": [total.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total)), pa.int32()), "v": total})
 
-    return sum((np.frombuffer(r.s) for r in table_.mapInArrow(run, "s binary").toLocalIterator()), 0)
+    cells = table_.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a row for each cell
+    if not cells:
+        return None
+    out = np.empty(len(cells))
+    out[[r.i for r in cells]] = [r.v for r in cells]
+    return out
+
+
+def moments(d: np.ndarray, t: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Of a weighted logistic loss: the upper half of its curvature, row by row, and its slope."""
+    p = _logistic(d @ beta)
+    h = (d * (w * p * (1 - p))[:, None]).T @ d
+    return np.concatenate((h[np.triu_indices(len(beta))], d.T @ (w * (t - p))))
 
 
-def _newton(table_: DataFrame, start: np.ndarray, rows, steps: int, ridge: float = RIDGE) -> np.ndarray:
-    """Fit logistic weights; rows(x, y, fold) gives (design, target, weight)."""
-    beta = start
+def newton_step(beta: np.ndarray, sums: np.ndarray, ridge: float) -> np.ndarray:
+    """The step of at most LONGEST_STEP in any weight."""
+    n = len(beta)
+    h = np.zeros((n, n))
+    h[np.triu_indices(n)] = sums[: n * (n + 1) // 2]
+    h = h + np.triu(h, 1).T
+    step = np.linalg.solve(h + ridge * np.eye(n), sums[n * (n + 1) // 2 :] - ridge * beta)
+    return step * min(1.0, LONGEST_STEP / max(1e-9, np.abs(step).max()))
+
+
+def _newton(table_: DataFrame, starts: list[np.ndarray], rows, steps: int, ridge: float = RIDGE) -> list[np.ndarray]:
+    """Fit several logistic models in common passes; rows(x, y, fold) gives (design, target, weight) of each."""
+    betas, sizes = list(starts), [len(b) * (len(b) + 1) // 2 + len(b) for b in starts]
     for _ in range(steps):
 
-        def make(x, y, fold, beta=beta):
-            d, t, w = rows(x, y, fold)
-            p = _logistic(d @ beta)
-            h = (d * (w * p * (1 - p))[:, None]).T @ d
-            return np.concatenate((h.ravel(), d.T @ (w * (t - p))))
+        def make(x, y, fold, now=tuple(betas)):
+            return np.concatenate([moments(*r, b) for r, b in zip(rows(x, y, fold), now, strict=True)])
 
         total = _sums(table_, make)
-        if np.isscalar(total):
-            return beta
-        n = len(beta)
-        step = np.linalg.solve(total[: n * n].reshape(n, n) + ridge * np.eye(n), total[n * n :] - ridge * beta)
-        beta = beta + step * min(1.0, LONGEST_STEP / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-3:
+        if total is None:
+            return betas
+        step = [newton_step(b, part, ridge) for b, part in zip(betas, np.split(total, np.cumsum(sizes)[:-1]), strict=True)]
+        betas = [b + s for b, s in zip(betas, step, strict=True)]
+        if max(np.abs(s).max() for s in step) < 1e-3:
             break
-    return beta
+    return betas
 
 
 def cotrain(features: DataFrame, rounds: int = ROUNDS) -> Views:
     """features: x (binary float32s of both views), y (0, 1, or -1 unknown), fold (0-4; 0 is held out, 1 calibrates)."""
     v = Views()
     total = _sums(features, lambda x, y, fold: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0), [((y == 1) & (fold > 1)).sum(), ((y == 0) & (fold > 1)).sum()])))
-    if np.isscalar(total):
+    if total is None:
         return v
     n, k = total[0], TEXT + META
     v.mean = total[1 : 1 + k] / n
     v.scale = np.sqrt(np.maximum(total[1 + k : 1 + 2 * k] / n - v.mean**2, 1e-6))
-    # A view is sure where its probability is high and its evidence, the log-odds beyond the labels' own, is strong:
-    # a view without evidence repeats the larger class, and would teach it.
-    prior = float(np.log((total[-2] + 1) / (total[-1] + 1)))
-    strong = float(np.log(SURE / (1 - SURE)))
-    above, below = max(0.0, prior) + strong, min(0.0, prior) - strong
+    above, below = sure_odds(total[-2], total[-1])
     for round_ in range(rounds + 1):
-        text, meta = v.text, v.meta
-        for view in (0, 1):
-
-            def rows(x, y, fold, view=view, round_=round_, text=text, meta=meta):
-                d = v_design(x)
-                known = (y >= 0) & (fold > 1)
-                t, w = np.where(known, y, 0).astype(float), known.astype(float)
-                if round_:
-                    odds = d[1 - view] @ (meta, text)[view]
-                    sure = ~known & ((odds > above) | (odds < below))
-                    t, w = np.where(sure, odds > 0, t), np.where(sure, PSEUDO_WEIGHT, w)
-                return d[view], t, w
-
-            mean, scale = v.mean, v.scale
-
-            def v_design(x, mean=mean, scale=scale):
-                u = Views()
-                u.mean, u.scale = mean, scale
-                return u.design(x)
-
-            fitted = _newton(features, np.zeros_like((text, meta)[view]), rows, STEPS)
-            if view:
-                v.meta = fitted
-            else:
-                v.text = fitted
+        taught = Views()
+        taught.__dict__.update(v.__dict__)
+
+        def rows(x, y, fold, taught=taught, round_=round_):
+            return lessons(taught, x, y, fold, above, below, bool(round_))
+
+        v.text, v.meta = _newton(features, [np.zeros_like(v.text), np.zeros_like(v.meta)], rows, STEPS)
     known = Views()
     known.__dict__.update(v.__dict__)
 
     def stacked(x, y, fold):
         w = ((y >= 0) & (fold == 1)).astype(float)
-        return known.odds(x), np.where(w > 0, y, 0).astype(float), w
+        return [(known.odds(x), np.where(w > 0, y, 0).astype(float), w)]
 
-    v.stack = _newton(features, v.stack, stacked, 8, 0.1)
+    v.stack = _newton(features, [v.stack], stacked, 8, 0.1)[0]
     return v
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sure_odds(ones: float, zeros: float) -> tuple[float, float]:
+    """The log-odds above and below which a view is sure.
+
+    Its probability must be high and its evidence, the log-odds beyond the labels' own, strong:
+    a view without evidence repeats the larger class, and would teach it.
+    """
+    prior, strong = float(np.log((ones + 1) / (zeros + 1))), float(np.log(SURE / (1 - SURE)))
+    return max(0.0, prior) + strong, min(0.0, prior) - strong
+
+
+def lessons(taught: Views, x: np.ndarray, y: np.ndarray, fold: np.ndarray, above: float, below: float, pseudo: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(design, target, weight) of each view: labels of the learning folds, and what the other view is sure of if pseudo."""
+    d = taught.design(x)
+    known = (y >= 0) & (fold > 1)
+    out = []
+    for view, other in ((0, taught.meta), (1, taught.text)):
+        t, w = np.where(known, y, 0).astype(float), known.astype(float)
+        if pseudo:
+            odds = d[1 - view] @ other
+            sure = ~known & ((odds > above) | (odds < below))
+            t, w = np.where(sure, odds > 0, t), np.where(sure, PSEUDO_WEIGHT, w)
+        out.append((d[view], t, w))
+    return out
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """A row for each document: key, score (of quality 1), text_score, meta_score, predicted, kept.
 
-    A key labelled twice takes the smaller label; null labels are left out. Null texts,
-    languages and sources are empty ones. Rows are scored one by one, so repeated rows get
-    equal scores. Without labels every score is one half. Other columns are not read.
+    size: a column with the page's size, a part of the metadata; without it, or where it is null,
+    the size counts as 0. A key labelled twice takes the smaller label; null labels are left out. Null
+    texts, languages and sources are empty ones; long texts are taken whole. Rows are scored one by
+    one, so repeated rows get equal scores; a score of exactly one half predicts 1. Without labels
+    every score is one half, and empty docs give no rows. Other columns are not read.
     """
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").cast("int").alias("y"))
     kind = docs.schema[key].dataType.simpleString()
 
     def viewed(batches):
         for b in batches:
-            x = [np.array(text_view(t or "") + meta_view(g, s, t or ""), dtype=np.float32).tobytes() for t, g, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            x = [np.array(text_view(t or "") + meta_view(g, s, n), dtype=np.float32).tobytes() for t, g, s, n in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["key", "x"])
 
-    seen = docs.select(F.col(key).alias("key"), text, "lang", "source").mapInArrow(viewed, f"key {kind}, x binary")
+    chars = F.col(size).cast("long") if size in docs.columns else F.lit(None).cast("long")
+    seen = docs.select(F.col(key).alias("key"), text, "lang", "source", chars.alias("chars")).mapInArrow(viewed, f"key {kind}, x binary")
     fold = (F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")) % 5).cast("int")
     joined = seen.join(known.withColumnRenamed(key, "key"), "key", "left").select("key", "x", F.coalesce("y", F.lit(-1)).alias("y"), fold.alias("fold"))
     features = scratch.save(joined, "views")

@@ -515,6 +515,83 @@ def test_quality(spark):
     assert {r["score"] for r in rows(quality.score_quality(docs, labels.limit(0), Scratch(spark)))} == {0.5}
 
 
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    none = corpus(spark, [])
+    assert rows(quality.score_quality(none, labels, Scratch(spark))) == []
+    got = rows(quality.score_quality(corpus(spark, ["a b", None, "", "x " * 200_000, "a b"], [1, None, 2, 3, 1]).drop("n_chars"), labels, Scratch(spark)))
+    assert len(got) == 5 and len({r["score"] for r in got if r["doc_id"] == 1}) <= 2
+
+
+def features_table(spark, x, y, fold):
+    return spark.createDataFrame([(a.astype(np.float32).tobytes(), int(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "x binary, y int, fold int").repartition(3)
+
+
+def minimised(d, t, w, ridge):
+    """A plain minimum of the penalised loss, by gradient descent with a step from the curvature's bound."""
+    beta = np.zeros(d.shape[1])
+    rate = 1 / (0.25 * np.linalg.eigvalsh((d * w[:, None]).T @ d)[-1] + ridge)
+    for _ in range(60_000):
+        slope = d.T @ (w * (t - 1 / (1 + np.exp(-(d @ beta))))) - ridge * beta
+        beta = beta + rate * slope
+        if np.abs(slope).max() < 1e-9:
+            break
+    return beta
+
+
+def test_newton_finds_the_minimum(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1, -2, 0.5, 0, 0, 1])))).astype(int)
+    w = np.where(rng.random(300) < 0.3, 0.2, 1.0)
+    table = features_table(spark, np.hstack((x, w[:, None])), y, np.zeros(300))
+
+    def two(x, y, fold):
+        return [(x[:, :6], y.astype(float), x[:, 6]), (x[:, :3], 1.0 - y, np.ones(len(x)))]
+
+    one, other = quality._newton(table, [np.zeros(6), np.zeros(3)], two, 30)
+    x = x.astype(np.float32).astype(float)
+    assert np.allclose(one, minimised(x, y, w.astype(np.float32).astype(float), quality.RIDGE), atol=2e-3)
+    assert np.allclose(other, minimised(x[:, :3], 1 - y, np.ones(300), quality.RIDGE), atol=2e-3)
+
+
+def test_cotraining_matches_a_plain_table(spark, monkeypatch):
+    """Rounds on one table in memory: every row's pseudo-label by the other view of the round before."""
+    monkeypatch.setattr(quality, "STEPS", 40)
+    rng = np.random.default_rng(12)
+    n, k = 400, quality.TEXT + quality.META
+    truth = rng.random(n) < 0.6
+    x = rng.normal(size=(n, k)) * 0.5
+    x[:, :4] += truth[:, None] * 1.2
+    x[:, quality.TEXT : quality.TEXT + 4] += truth[:, None] * 1.2
+    x = x.astype(np.float32)
+    fold = rng.integers(0, 5, n)
+    y = np.where((rng.random(n) < 0.5) & (fold > 0), truth, -1)
+    got = quality.cotrain(features_table(spark, x, y, fold), 1)
+    x = x.astype(float)
+    z = np.clip((x - x.mean(0)) / x.std(0), -4, 4)
+    one = np.ones((n, 1))
+    views = [np.hstack((z[:, : quality.TEXT], z[:, : quality.TEXT] ** 2 - 1, one)), np.hstack((z[:, quality.TEXT :], one))]
+    learn = (y >= 0) & (fold > 1)
+    beta = [minimised(d, np.where(learn, y, 0.0), learn.astype(float), quality.RIDGE) for d in views]
+    prior = np.log(((y == 1) & learn).sum() + 1) - np.log(((y == 0) & learn).sum() + 1)
+    strong = np.log(0.95 / 0.05)
+    taught = []
+    for view in (0, 1):
+        t, w = np.where(learn, y, 0.0), learn.astype(float)
+        odds = views[1 - view] @ beta[1 - view]
+        for i in range(n):
+            if not learn[i] and (odds[i] > max(0, prior) + strong or odds[i] < min(0, prior) - strong):
+                t[i], w[i] = float(odds[i] > 0), 0.2
+        assert (w == 0.2).sum() > 5
+        taught.append(minimised(views[view], t, w, quality.RIDGE))
+    assert np.allclose(got.text, taught[0], atol=5e-3) and np.allclose(got.meta, taught[1], atol=5e-3)
+    held = (y >= 0) & (fold == 1)
+    odds = np.clip(np.stack((views[0] @ got.text, views[1] @ got.meta, np.ones(n)), axis=1), -12, 12)
+    start = np.array([1.0, 1.0, 0.0])
+    assert np.abs(odds.T @ (held * (np.where(held, y, 0) - 1 / (1 + np.exp(-(odds @ got.stack))))) - 0.1 * got.stack).max() < 0.05 and not np.allclose(got.stack, start)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 def brute_budgets(totals, budget, weight, epochs):
     """Budgets of a tree's leaves {path: tokens}: at each node the level x is searched at which min(most, x * weight) adds up."""
