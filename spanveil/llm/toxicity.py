@@ -177,6 +177,8 @@ class BlockMaxIndex:
 
     def _spread(self) -> None:
         doc, weight, begin, n, block = self.doc, self.weight, self.begin, self.n, self.block
+        self.pairs = np.empty(len(doc), dtype=np.int64)  # a posting's document and weight side by side
+        self.pairs.view(np.int32)[0::2], self.pairs.view(np.float32)[1::2] = doc, weight
         df = np.diff(begin)
         common = np.flatnonzero(df > max(8, n // COMMON))
         self.row = np.full(len(df), -1, dtype=np.int32)
@@ -204,7 +206,8 @@ class BlockMaxIndex:
         cuts_ = [slice(x, x + n) for x, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
         start, size, by = start[~long], size[~long], np.concatenate((np.repeat(weight[~long], size[~long]), np.repeat(weight[long], size[long])))
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        sums = np.bincount(np.concatenate([self.doc[at], *[self.doc[c] for c in cuts_]]), np.concatenate([self.weight[at], *[self.weight[c] for c in cuts_]]) * by, minlength=len(self.dense))
+        found = np.concatenate([self.pairs[at], *[self.pairs[c] for c in cuts_]])
+        sums = np.bincount(found.view(np.int32)[0::2], found.view(np.float32)[1::2] * by, minlength=len(self.dense))
         q = np.zeros(self.dense.shape[1], dtype=np.float32)
         q[row[~rare]] = weights[~rare]
         by_block = sums.reshape(self.blocks, self.block)
