@@ -30,19 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    A saved table cuts lineage and survives lost executors. Where the setting is
-    absent, as in tests, a temporary folder is set and used.
+    A saved table cuts lineage and survives lost executors. Where the setting is absent, a
+    temporary folder of this machine is used if Spark runs on this machine alone; on a
+    cluster that is an error. What is not dropped before goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            root = spark.conf.get("spanveil.scratch.dir", None)
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spanveil.scratch.dir", None)
         if not root:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='spanveil-')}"
             spark.conf.set("spanveil.scratch.dir", root)
         self.root = f"{root.rstrip('/')}/spanveil-{uuid.uuid4().hex}"
+        path, store = self._at(self.root)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -52,9 +60,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = self._at(self.path(name))
+        store.delete(path, True)
 
 
 def utf8_bytes(text: str | Column) -> Column:
