@@ -1,96 +1,206 @@
 """Matching that overlooks case, accents, ligatures, dashes and broken spacing.
 
-Spark has neither NFKD nor case folding, so these run as Arrow functions on batches.
+Spark has neither NFKD nor case folding, so these run as Arrow functions on batches. A batch's
+texts are folded together: a table from code points to folded code points, which grows as
+characters come up, is applied with array operations. A loose match is then a search for the
+needle's signs (folded characters that are neither white space nor hyphens) among
+the text's signs, whose gaps must be such as the needle allows.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from functools import cache, lru_cache
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DASHES = frozenset("­‐‑‒–—−")
+# Code points that count as a hyphen, and what is stripped from a token before it is looked up.
+DASHES = (0x00AD, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212)
+STRIPPED = ".,;:!?()[]{}<>«»\"'"
+HYPHEN, APOSTROPHE, UNDERSCORE = 45, 39, 95
 SPAN = "array<struct<start:int,end:int>>"
+#: Languages whose function words are no mentions; Spark brings lists of them.
+LANGUAGES = ("german", "french", "italian", "english")
+#: Kinds of signs.
+LETTER, ALNUM, SPACE = 1, 2, 4
+
+
+class FoldTable:
+    """Folded code points of every code point met so far, end to end, and the kinds of code points."""
+
+    def __init__(self):
+        self.start, self.size = np.full(0x110000, -1, dtype=np.int32), np.zeros(0x110000, dtype=np.int32)
+        self.kind = np.full(0x110000, 255, dtype=np.uint8)
+        self.pool, self.used = np.zeros(1024, dtype=np.uint32), 0
+
+    def _learn(self, codes: np.ndarray) -> None:
+        for c in codes.tolist():
+            folded = [ord(x) for x in unicodedata.normalize("NFKD", chr(c)).casefold() if not unicodedata.combining(x)]
+            if self.used + len(folded) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.used : self.used + len(folded)] = [HYPHEN if x in DASHES else x for x in folded]
+            self.start[c], self.size[c] = self.used, len(folded)
+            self.used += len(folded)
+
+    def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(folded code points, the place that each comes from)."""
+        new = codes[self.start[codes] < 0]
+        if len(new):
+            self._learn(np.unique(new))
+        size = self.size[codes]
+        upto = np.cumsum(size)
+        origin = np.repeat(np.arange(len(codes)), size)
+        within = np.arange(len(origin)) - np.repeat(upto - size, size)
+        return self.pool[np.repeat(self.start[codes], size) + within], origin
+
+    def kinds(self, codes: np.ndarray) -> np.ndarray:
+        new = codes[self.kind[codes] == 255]
+        for c in np.unique(new).tolist() if len(new) else ():
+            ch = chr(c)
+            self.kind[c] = LETTER * ch.isalpha() + ALNUM * ch.isalnum() + SPACE * ch.isspace()
+        return self.kind[codes]
+
+
+@lru_cache(1)
+def table() -> FoldTable:
+    return FoldTable()
 
 
-@lru_cache(100_000)
-def _fold_char(ch: str) -> str:
-    """What a character becomes: decomposed, case-folded, without combining marks, dashes as hyphens."""
-    parts = unicodedata.normalize("NFKD", ch).casefold()
-    return "".join("-" if p in DASHES else p for p in parts if not unicodedata.combining(p))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def fold(text: str) -> tuple[str, list[int]]:
     """The folded text, and for each of its characters the place it comes from."""
-    out, origin = [], []
-    for i, ch in enumerate(text):
-        if ch in DASHES:
-            out.append("-")
-            origin.append(i)
-            continue
-        part = _fold_char(ch)
-        out.append(part)
-        origin += [i] * len(part)
-    return "".join(out), origin
-
-
-def _loose_word(word: str) -> str:
-    """A word's pattern: letters may be parted by spaces and hyphens; a hyphen elsewhere may be missing."""
-    out = last = ""
-    for hyphens, ch in re.findall(r"(-*)([^-])", word):
-        if last.isalpha() and ch.isalpha():
-            out += r"[\s\-]*"
-        elif last and hyphens:
-            out += "-?"
-        out += re.escape(ch)
-        last = ch
-    return out
+    codes, origin = table().expand(code_points(text))
+    return string(codes), origin.tolist()
+
+
+def fold_batch(texts: list[str]) -> list[str]:
+    """Folded texts of a batch, folded as one."""
+    codes, origin = table().expand(code_points("".join(texts)))
+    cut = np.searchsorted(origin, np.cumsum([0, *map(len, texts)]))
+    return [string(codes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+@dataclass
+class Signs:
+    """A folded text without white space and hyphens, and what stood between its signs.
+
+    spaces, hyphens: how many of each stand before a sign, and behind the last one. origin: a sign's
+    place in the text. kind: LETTER, ALNUM. hyphen_before: whether the character right
+    before a sign, or at the end, is a hyphen.
+    """
+
+    text: str
+    codes: np.ndarray
+    kind: np.ndarray
+    origin: np.ndarray
+    spaces: np.ndarray
+    hyphens: np.ndarray
+    hyphen_before: np.ndarray
+    hyphen_after: np.ndarray
+
+
+def signs(text: str) -> Signs:
+    known = table()
+    codes, origin = known.expand(code_points(text))
+    codes = np.where(codes == 0x131, 0x69, codes)  # a dotless i is an i
+    kind = known.kinds(codes)
+    space, hyphen = (kind & SPACE) > 0, codes == HYPHEN
+    at = np.flatnonzero(~space & ~hyphen)
+    gaps = []
+    for mark in (space, hyphen):
+        upto = np.concatenate(([0], np.cumsum(mark)))
+        edge = upto[np.append(at, len(codes))]
+        gaps.append(np.diff(np.append(0, edge)))
+    padded = np.concatenate(([False], hyphen, [False]))
+    return Signs(string(codes[at]), codes[at], kind[at], origin[at], gaps[0], gaps[1], padded[at], padded[at + 2])
+
+
+#: What may stand between two signs of a needle.
+NOTHING, ONE_HYPHEN, ANYTHING, WHITE = range(4)
+
+
+class Needle:
+    """The signs of a needle and what may part them: white space where it has white space, anything
+    blank or hyphenated between two letters, one hyphen at most where it has hyphens, nothing elsewhere."""
+
+    def __init__(self, needle: str):
+        s = signs(needle)
+        self.text, self.size = s.text, len(s.codes)
+        letters = (s.kind & LETTER) > 0
+        both = letters[1:] & letters[:-1]
+        spaces, hyphens = s.spaces[1 : self.size], s.hyphens[1 : self.size]
+        self.gaps = np.where(spaces > 0, WHITE, np.where(both, ANYTHING, np.where(hyphens > 0, ONE_HYPHEN, NOTHING)))
+
+    def places(self, text: Signs) -> list[tuple[int, int]]:
+        """Where the needle stands alone: no letter, digit, apostrophe or hyphen right before or after it."""
+        if not self.size:
+            return []
+        out, n, at = [], self.size, text.text.find(self.text)
+        while at >= 0:
+            if self._fits(text, at) and not self._held(text, at, before=True) and not self._held(text, at + n - 1, before=False):
+                out.append((int(text.origin[at]), int(text.origin[at + n - 1]) + 1))
+                at = text.text.find(self.text, at + n)
+            else:
+                at = text.text.find(self.text, at + 1)
+        return out
+
+    def _fits(self, text: Signs, at: int) -> bool:
+        spaces, hyphens = text.spaces[at + 1 : at + self.size], text.hyphens[at + 1 : at + self.size]
+        allowed = np.choose(self.gaps, ((spaces == 0) & (hyphens == 0), (spaces == 0) & (hyphens <= 1), np.ones(len(spaces), bool), (hyphens == 0) & (spaces > 0)))
+        return bool(allowed.all())
+
+    @staticmethod
+    def _held(text: Signs, at: int, before: bool) -> bool:
+        """Whether a sign belongs to a longer word on one side."""
+        if (text.hyphen_before if before else text.hyphen_after)[at]:
+            return True
+        gap, other = (at, at - 1) if before else (at + 1, at + 1)
+        if not 0 <= other < len(text.codes) or text.spaces[gap] or text.hyphens[gap]:
+            return False
+        return bool(text.kind[other] & ALNUM) or text.codes[other] == APOSTROPHE
 
 
 @lru_cache(10_000)
-def _pattern(needle: str) -> re.Pattern | None:
-    words = [w for w in map(_loose_word, needle.split()) if w]
-    if not words:
-        return None
-    return re.compile(r"(?<![^\W_])(?<!['\-])" + r"\s+".join(words) + r"(?![^\W_])(?!['\-])", re.IGNORECASE)
+def needle(text: str) -> Needle:
+    return Needle(text)
 
 
-def find(needle: str, text: str) -> list[tuple[int, int]]:
-    """Places where needle stands alone in text, in code points of text."""
-    pattern = _pattern(fold(needle)[0])
-    if pattern is None:
-        return []
-    folded, origin = fold(text)
-    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in pattern.finditer(folded) if m.end() > m.start()]
+def find(wanted: str, text: str) -> list[tuple[int, int]]:
+    """Places where the needle stands alone in text, in code points of text; they don't overlap."""
+    return needle(wanted).places(signs(text)) if wanted and text else []
 
 
-@cache
+@lru_cache(1)
 def stopwords() -> frozenset[str]:
-    """Function words of German, French, Italian and English, folded; a short list, to which a longer one can be added."""
-    words = """
-    der die das den dem des ein eine einer eines einem einen und oder aber doch für fuer mit von vom zu zum zur im in am an auf aus bei nach
-    über unter vor durch gegen ohne um als wie wenn dass nicht auch nur noch schon so es er sie wir ihr ich du ist sind war waren wird werden hat haben
-    le la les un une des du de et ou mais pour par avec sans sur sous dans en au aux ce cette ces qui que ne pas est sont il elle nous vous ils elles je tu
-    il lo gli i uno una e o ma per con senza su tra fra da di del della dei delle nel nella che non è sono io noi voi loro
-    the a an and or but for with without of on at by from to in into is are was were be been not no this that these those it he she we you they i
-    e d l s t m n
-    """
-    return frozenset(fold(w)[0] for w in words.split())
+    """Function words of LANGUAGES from Spark's lists, folded. Needs a session, so it is called on the driver."""
+    from pyspark.ml.feature import StopWordsRemover
 
+    return frozenset(fold_batch([w for language in LANGUAGES for w in StopWordsRemover.loadDefaultStopWords(language)]))
 
-STRIPPED = ".,;:!?()[]{}<>«»\"'"
+
+def scrap_flags(texts: list[str], small: frozenset[str]) -> list[bool]:
+    """Whether each detection is no mention: no two letters or digits in a row, or function words in small letters alone."""
+    out = []
+    for text, folded in zip(texts, fold_batch(texts), strict=True):
+        alnum = (table().kinds(code_points(folded)) & ALNUM) > 0
+        paired = bool((alnum[1:] & alnum[:-1]).any())
+        out.append(not paired or (text.islower() and small.issuperset(t.strip(STRIPPED) for t in folded.split())))
+    return out
 
 
 def is_scrap(text: str) -> bool:
-    """Whether a detection is no mention: no two letters or digits in a row, or small function words alone."""
-    folded = fold(text)[0]
-    if not re.search(r"[^\W_]{2}", folded):
-        return True
-    return text.islower() and all(t.strip(STRIPPED) in stopwords() for t in folded.split())
+    return scrap_flags([text], stopwords())[0]
 
 
 def _udf(fn, kind: str):
@@ -99,38 +209,46 @@ def _udf(fn, kind: str):
 
 
 def fold_text(texts: Column | str) -> Column:
+    """Folded texts; null stays null."""
+
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fold(t)[0])
+        return pd.Series(fold_batch([t or "" for t in texts])).where(texts.notna().to_numpy(), None)
 
     return _udf(run, "string")(texts)
 
 
 def scrap(texts: Column | str) -> Column:
+    """Whether each text is a scrap; null for null."""
+    small = stopwords()
+
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else is_scrap(t))
+        flags = scrap_flags([t or "" for t in texts], small)
+        return pd.Series([None if t is None else f for t, f in zip(texts, flags, strict=True)])
 
     return _udf(run, "boolean")(texts)
 
 
 def scraps(lists: Column | str) -> Column:
     """For each text of a list whether it is a scrap."""
+    small = stopwords()
 
     def run(lists: pd.Series) -> pd.Series:
-        known: dict[str, bool] = {}  # a batch's words, most of which come again
+        every = list({t for ts in lists if ts is not None for t in ts})  # a batch's words, most of which come again
+        known = dict(zip(every, scrap_flags(every, small), strict=True))
+        return lists.map(lambda ts: None if ts is None else [known[t] for t in ts])
 
-        def of(t: str) -> bool:
-            if t not in known:
-                known[t] = is_scrap(t)
-            return known[t]
+    return _udf(run, "array<boolean>")(lists)
 
-        return lists.map(lambda ts: None if ts is None else [of(t) for t in ts])
 
-    return _udf(run, "array<boolean>")(lists)
+def find_all(needles: list[str], text: str) -> list[list[dict]]:
+    """find() for several needles, folding the text once."""
+    body = signs(text) if len(needles) else None
+    return [[{"start": a, "end": b} for a, b in needle(n).places(body)] if n else [] for n in needles]
 
 
 def find_folded(needles: Column | str, texts: Column | str) -> Column:
     def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in find(n, t)] if n and t else [] for n, t in zip(needles, texts, strict=True)])
+        return pd.Series([find_all([n], t)[0] if n and t else [] for n, t in zip(needles, texts, strict=True)])
 
     return _udf(run, SPAN)(needles, texts)
 
@@ -142,14 +260,3 @@ def find_all_folded(needles: Column | str, texts: Column | str) -> Column:
         return pd.Series([find_all(ns, t) if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)])
 
     return _udf(run, f"array<{SPAN}>")(needles, texts)
-
-
-def find_all(needles: list[str], text: str) -> list[list[dict]]:
-    """find() for several needles, folding the text once."""
-    folded, origin = fold(text) if len(needles) else ("", [])
-    out = []
-    for n in needles:
-        pattern = _pattern(fold(n)[0])
-        hits = pattern.finditer(folded) if pattern else ()
-        out.append([{"start": origin[m.start()], "end": origin[m.end() - 1] + 1} for m in hits if m.end() > m.start()])
-    return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.arrays import gathered_fully
 
 PAGE = ["doc_id", "page_no"]
 UNIT_GAP = "\n\n"
@@ -133,36 +134,20 @@ def touched_boxes(words: Column, start: Column, end: Column) -> Column:
     return F.transform(F.filter(words, lambda w: (w["start"] < end) & (start < w["end"])), lambda w: G.padded(w["box"]))
 
 
-def join_bars(boxes: list[dict]) -> list[dict]:
-    """Boxes run together into bars: a box joins the first bar on its page with which it overlaps by more than half
-    of the smaller one, up and down or left and right; over again until nothing joins."""
-
-    def half(a: dict, b: dict, lo: str, hi: str) -> bool:
-        least = min(a[hi] - a[lo], b[hi] - b[lo])
-        return min(a[hi], b[hi]) - max(a[lo], b[lo]) > 0.5 * least
-
-    while True:
-        bars: list[dict] = []
-        for b in boxes:
-            for i, a in enumerate(bars):
-                if a["page_no"] == b["page_no"] and (half(a, b, "t", "b") or half(a, b, "l", "r")):
-                    bars[i] = {"page_no": a["page_no"], "l": min(a["l"], b["l"]), "t": min(a["t"], b["t"]), "r": max(a["r"], b["r"]), "b": max(a["b"], b["b"])}
-                    break
-            else:
-                bars.append(b)
-        if len(bars) == len(boxes):
-            return bars
-        boxes = bars
+def bars(boxes: Column) -> Column:
+    """The boxes of one piece run together into bars.
 
+    Two boxes of a page make one if they overlap by more than half of the smaller one, up and
+    down or left and right; over again until no two do.
+    """
 
-def bars(boxes: Column) -> Column:
-    """join_bars in Arrow batches, on one piece's boxes in each row."""
+    def share(a: Column, b: Column, low: str, high: str) -> Column:
+        return F.least(a[high], b[high]) - F.greatest(a[low], b[low]) > F.least(a[high] - a[low], b[high] - b[low]) / 2
 
-    @F.pandas_udf(f"array<{G.BOX}>")
-    def run(lists):
-        return lists.map(lambda bs: join_bars([dict(b) for b in bs]) if bs is not None else [])
+    def alike(a: Column, b: Column) -> Column:
+        return F.coalesce((a["page_no"] == b["page_no"]) & (share(a, b, "t", "b") | share(a, b, "l", "r")), F.lit(False))
 
-    return run(boxes)
+    return gathered_fully(boxes, f"array<{G.BOX}>", alike, G.union)
 
 
 def picture_marks(pictures: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.arrays import gathered
 
 SAME_MARK, COMMENT_LIMIT = 0.6, 120
 
@@ -30,33 +31,20 @@ def merge_named(marks: DataFrame) -> DataFrame:
 
 
 def merge_unnamed(marks: DataFrame) -> DataFrame:
-    """Marks without an id: each joins the first one of its label that covers it, or is covered, by six tenths."""
-
-    def covered(a: dict, b: dict) -> float:
-        area = max(0.0, a["r"] - a["l"]) * max(0.0, a["b"] - a["t"])
-        if a["page_no"] != b["page_no"] or not area:
-            return 0.0
-        return max(0.0, min(a["r"], b["r"]) - max(a["l"], b["l"])) * max(0.0, min(a["b"], b["b"]) - max(a["t"], b["t"])) / area
-
-    @F.pandas_udf(f"array<struct<ord:int,box:{G.BOX},confidence:double,text:string>>")
-    def fold(lists):
-        def one(rows):
-            out: list[dict] = []
-            for m in (dict(r) | {"box": dict(r["box"])} for r in rows):
-                for o in out:
-                    a, b = o["box"], m["box"]
-                    if max(covered(a, b), covered(b, a)) >= SAME_MARK:
-                        o["box"] = {"page_no": a["page_no"], "l": min(a["l"], b["l"]), "t": min(a["t"], b["t"]), "r": max(a["r"], b["r"]), "b": max(a["b"], b["b"])}
-                        o["confidence"] = max(o["confidence"], m["confidence"])
-                        break
-                else:
-                    out.append(m)
-            return out
-
-        return lists.map(one)
+    """Marks without an id: one that covers six tenths of another of its label, or is covered so, is the same mark.
+
+    In order, each is united with the first before it that it is the same as; that one's place and text stay.
+    """
+    kind = f"array<struct<ord:int,box:{G.BOX},confidence:double,text:string>>"
+
+    def alike(a: Column, b: Column) -> Column:
+        return F.greatest(G.covered_by(a["box"], b["box"]), G.covered_by(b["box"], a["box"])) >= SAME_MARK
+
+    def united(a: Column, b: Column) -> Column:
+        return F.struct(a["ord"].alias("ord"), G.union(a["box"], b["box"]).alias("box"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"), a["text"].alias("text"))
 
     each = F.array_sort(F.collect_list(F.struct("ord", "box", "confidence", "text")))
-    folded = marks.where("id = ''").groupBy("doc_id", "label").agg(each.alias("a")).select("doc_id", "label", F.explode(fold("a")).alias("m"))
+    folded = marks.where("id = ''").groupBy("doc_id", "label").agg(each.alias("a")).select("doc_id", "label", F.explode(gathered(F.col("a"), kind, alike, united)).alias("m"))
     return folded.select("doc_id", "m.ord", F.lit("").alias("id"), "m.box", "label", "m.confidence", "m.text")
 
 

@@ -1,5 +1,7 @@
 """Files, pages, layout, marks, tasks, reports and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,9 +81,9 @@ def words(spark, lines, hidden=False):
 @pytest.mark.parametrize(
     "lines,text,pieces",
     [
-        ([["Herr", "Hans"], ["Muster"]], "Herr Hans Muster", ["Herr", "Hans", "Muster"]),
-        ([["am", "Sep-"], ["tember", "2026"]], "am September 2026", ["am", "Sep", "tember", "2026"]),
-        ([["Fr.", "120.-"], ["(reduziert)"]], "Fr. 120.- (reduziert)", ["Fr.", "120.-", "(reduziert)"]),
+        ([["Runa", "von"], ["Abegglen"]], "Runa von Abegglen", ["Runa", "von", "Abegglen"]),
+        ([["im", "Früh-"], ["ling", "1999"]], "im Frühling 1999", ["im", "Früh", "ling", "1999"]),
+        ([["je", "45.-"], ["[brutto]"]], "je 45.- [brutto]", ["je", "45.-", "[brutto]"]),
     ],
 )
 def test_units(spark, lines, text, pieces):
@@ -109,17 +111,34 @@ def test_regions_lines_and_reading(spark):
 
 
 def test_boxes(spark):
-    r = layout.text_units(words(spark, [["Hans", "Muster"]])).withColumn("b", layout.bars(layout.touched_boxes(F.col("words"), F.lit(0), F.lit(11)))).first()
+    r = layout.text_units(words(spark, [["Runa", "Zumbrunn"]])).withColumn("b", layout.bars(layout.touched_boxes(F.col("words"), F.lit(0), F.lit(13)))).first()
     by = 1 + 0.15 * 12
     assert len(r.b) == 1 and r.b[0].l == pytest.approx(-by) and r.b[0].r == pytest.approx(90 + by)
-    assert len(layout.join_bars([box(0, 0), box(100, 400), box(2, 300)])) == 2
-    assert len(layout.join_bars([box(0, 0), box(100, 200), box(2, 300)])) == 1  # the bar that two make covers the third from left to right
+    lists = [[box(0, 0), box(100, 400), box(2, 300)], [box(0, 0), box(100, 200), box(2, 300)], [], [box(0, 0), box(0, 0, page=2)], None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], f"i int, x array<{G.BOX}>").select("i", layout.bars(F.col("x")).alias("b")).collect()
+    assert {r.i: len(r.b) for r in got} == {0: 2, 1: 1, 2: 0, 3: 2, 4: 0}  # in list 1 the bar that two make covers the third from left to right
     pieces = layout.split_mentions(spark.createDataFrame([(1, 1, 3, 15)], "doc_id long, mention_no int, start int, end int"), spark.createDataFrame([(1, 0, 0, 10), (1, 1, 12, 20)], "doc_id long, unit_idx int, u_start int, u_end int"))
     assert {tuple(p)[2:] for p in pieces.collect()} == {(0, 3, 10), (1, 0, 3)}
     pics = spark.createDataFrame([(1, box(0, 0), {"signature": 0.31, "logo": 0.6}), (1, box(9, 9), {"signature": 0.05}), (1, box(1, 1), {"logo": 1.0})], f"doc_id long, box {G.BOX}, classes map<string,double>")
     assert [(m.label, m.confidence) for m in layout.picture_marks(pics).collect()] == [("signature", 0.31)]
 
 
+def test_bars_and_marks_match_plain_python(spark):
+    """Random boxes; overlaps decide the same in a search for any pair that overlaps, once order plays no part."""
+    rng = random.Random(8)
+    lists = [[box(rng.randrange(60), rng.randrange(60), page=rng.choice((1, 1, 2))) for _ in range(rng.randrange(7))] for _ in range(60)]
+    got = {r.i: r.b for r in spark.createDataFrame(list(enumerate(lists)), f"i int, x array<{G.BOX}>").select("i", layout.bars(F.col("x")).alias("b")).collect()}
+
+    def joins(a, b):
+        return a["page_no"] == b["page_no"] and any(min(a[h], b[h]) - max(a[w], b[w]) > min(a[h] - a[w], b[h] - b[w]) / 2 for w, h in ("tb", "lr"))
+
+    for i, boxes in enumerate(lists):
+        assert not any(joins(a, b) for k, a in enumerate(got[i]) for b in got[i][:k])  # nothing is left to join
+        for b in boxes:  # and every box is in a bar of its page
+            assert any(g.page_no == b["page_no"] and g.l <= b["l"] and g.t <= b["t"] and g.r >= b["r"] and g.b >= b["b"] for g in got[i])
+        assert sorted({b["page_no"] for b in boxes}) == sorted({g.page_no for g in got[i]})
+
+
 def test_rotation(spark):
     b = spark.createDataFrame([(box(100, 50, 112, 160), r) for r in (0, 90, 180, 270)], f"b {G.BOX}, r int")
     got = {r.r: r.u for r in b.select("r", G.user_rect(F.col("b"), F.col("r"), F.lit(40.0), F.lit(60.0), F.lit(560.0), F.lit(800.0)).alias("u")).collect()}
@@ -133,9 +152,9 @@ def test_marks(spark):
     assert set(got) == {("d1", 1), ("d2", 3), ("", 4), ("", 6)}
     assert tuple(got["d1", 1].box) == (1, 99.0, 96.0, 182.0, 111.0) and got["d1", 1].confidence == 0.73 and got["d1", 1].text == "a" and got["", 4].confidence == 0.6
     assert {r.id: len(r.boxes) for r in marks.annotations(df).collect()}["d1"] == 2
-    text = one(spark, l="person", c=0.93, t="Hildegard  Zwyssig", e="", x="y" * 200)
+    text = one(spark, l="person", c=0.93, t="Runa  Abegglen", e="", x="y" * 200)
     said = text.select(marks.comment(F.col("l"), F.col("c"), F.col("t")), marks.comment(F.lit("signature"), F.lit(0.41), F.col("e")), F.length(marks.comment(F.col("l"), F.col("c"), F.col("x")))).first()
-    assert tuple(said) == ("person, Konfidenz 0.93: «Hildegard Zwyssig»", "signature, Konfidenz 0.41", len("person, Konfidenz 0.93: «»") + 120)
+    assert tuple(said) == ("person, Konfidenz 0.93: «Runa Abegglen»", "signature, Konfidenz 0.41", len("person, Konfidenz 0.93: «»") + 120)
     js = spark.createDataFrame([('[{"page":1,"left":1,"top":2,"right":3,"bottom":4}]',), ("[[1,1,2,3,4]]",), ('[{"page":0,"left":1,"top":2,"right":3,"bottom":4}]',)], "j string").select(marks.boxes_from_json(F.col("j")).alias("b")).collect()
     assert tuple(js[0].b[0]) == tuple(js[1].b[0]) == (1, 1.0, 2.0, 3.0, 4.0) and js[2].b is None
     far = marks.past_the_end(spark.createDataFrame([(1, 1, "a", box(0, 0, page=9), "p", 1.0, ""), (1, 2, "a", box(0, 0, page=3), "p", 1.0, "")], marks.MARK), spark.createDataFrame([(1, 1)], "doc_id long, pages int"))
