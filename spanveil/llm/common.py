@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,14 @@ class Scratch:
         store.delete(path, True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a task holds few texts as Python strings; memory of the batches is given back at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8_bytes(text: str | Column) -> Column:
     """Text as UTF-8 bytes; null gives no bytes."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, slices, table
 
 Q, ERROR_PERCENT, MOST_ITEM_CHARS, TABLE_BITS = 8, 10, 2_000_000, 22
 SCHEMA = "item_id long, start int, end int, edits int"
@@ -262,7 +262,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
 
         def find(batches, held=held):
             known = Benchmark(held.value)
-            for b in batches:
+            for b in slices(batches):
                 rows = [(b.column(0)[first + t].as_py(), i, s, e, d) for first, run in _texts(b.column(1)) for t, i, s, e, d in known.find(run)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()))], [key, "item_id", "start", "end", "edits"])
 
@@ -278,7 +278,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
 
         def clean(batches, held=held):
             known = Benchmark(held.value)
-            for b in batches:
+            for b in slices(batches):
                 bad = {first + t for first, run in _texts(b.column(b.schema.get_field_index(text))) for t, *_ in known.find(run)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 #: Documents of a host that may share a line; part of the words that must stay; frequent lines that may be broadcast.
 LIMIT, KEEP, MOST_BROADCAST = 50, 0.5, 200_000
@@ -69,7 +69,7 @@ def line_verdicts(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     """
 
     def measured(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [measure(t or "") for t in b.column(2).to_pylist()]
             metrics = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(5)]
             lines = pa.array([[{"h": h, "w": w} for h, w in r[1].items()] for r in rows], pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())])))
@@ -103,7 +103,7 @@ def clean_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     at = names.index(text)
 
     def cleaned(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for t, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 bad = set(gone or ())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, components, mix, shingle_set, table
+from .common import Scratch, components, mix, shingle_set, slices, table
 
 CELLS, ROUTES, MOST_IN_BUCKET, MOST_BROADCAST, GROUPS = 1 << 18, 4, 20_000, 200_000, 4096
 
@@ -212,7 +212,7 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
 
     def cells(batches):
         total = np.zeros(CELLS, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             for body in b.column(0).to_pylist():
                 np.add.at(total, (shingle_set(body, n) >> np.uint64(46)).astype(np.int64), 1)
         for part in range(32):
@@ -228,7 +228,7 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     counts = spark.sparkContext.broadcast(counts)
 
     def signed(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for body in b.column(1).to_pylist():
                 s = shingle_set(body, n)
@@ -266,7 +266,7 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     bodies = plain.join(near, plain["key"].eqNullSafe(near["least"])).select("sig", "size", "body")
 
     def expanded(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [(sig, s) for sig, size_, body in zip(*[c.to_pylist() for c in b.columns], strict=True) if len(s := shingle_set(body, n)) == size_ and _sign(s) == sig]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["sig", "tokens"])
 
@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, key:
     at = names.index(text)
 
     def signed(batches):
-        for b in batches:
+        for b in slices(batches):
             sig = [_sign(shingle_set((t or "").encode("utf-8", "surrogatepass"), n)) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], [*names, "_sig"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 ROUNDS, SURE, PSEUDO_WEIGHT, RIDGE, STEPS = 2, 0.95, 0.2, 1.0, 7
 #: The longest step of a weight: where views part the labels wholly, full Newton steps run away.
@@ -205,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str
     kind = docs.schema[key].dataType.simpleString()
 
     def viewed(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [np.array(text_view(t or "") + meta_view(g, s, n), dtype=np.float32).tobytes() for t, g, s, n in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["key", "x"])
 

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 from .tokens import encoder
 
 MAGIC = b"SVSSTAB1"
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         store.create_dir(root, recursive=True)
         name, own = f"{root}/shard-{part:06d}.sst", f"{root}/_{uuid.uuid4().hex}"
         encode, writer, out = encoder(tokenizer), None, None
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows and writer is None:
                 out = store.open_output_stream(own)
                 writer = ShardWriter(out)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, POWERS, Scratch, mix, prefix_hash, span_hash, table, utf8_bytes
+from .common import BYTE_CODES, POWERS, Scratch, mix, prefix_hash, slices, span_hash, table, utf8_bytes
 
 WIDTH, REACH, GRAM, LEAD = 400, 320, 16, 80
 IN_BUCKET, MOST_BUCKETS, SAMPLES, HOT = 20_000, 8_192, 16, 20_000
@@ -131,7 +131,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     limit = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, buckets * SAMPLES / expected))))
 
     def sampled(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for row, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if s := suffixes(body, row):
@@ -146,7 +146,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     splitters = spark.sparkContext.broadcast(Splitters(sample, buckets))
 
     def dealt(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [(row, s) for row, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (s := suffixes(body, row))]
             for part in (got[i : i + 500] for i in range(0, len(got), 500)):
                 lead, check, tie = (np.concatenate([s[k] for _, s in part]) for k in range(3))
@@ -269,7 +269,7 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
     kind = docs.schema[key].dataType.simpleString()
 
     def finished(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [(len(body), *cut(body, ranges)) for body, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             cols = [b.column(0), *[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([hashlib.sha256(g[3]).hexdigest() for g in got], pa.string())]
             names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]

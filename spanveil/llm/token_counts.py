@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, table, utf8_bytes
+from .common import Scratch, slices, table, utf8_bytes
 from .tokens import encoder
 
 LIMIT, MOST_BROADCAST = 512, 200_000
@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, scratch: Scratch,
 
     def counted(batches):
         encode = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(encode.count(b.column(1).to_pylist()), pa.int64())], ["content", "n_tokens"])
 
     texts = keyed.select(F.col("_digest").alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -99,7 +99,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str | None = None, text: str =
 
     def counted(batches):
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(encode.count([t or "" for t in b.column(at).to_pylist()]), pa.int64())], [*names, "n_tokens"])
 
     return docs.mapInArrow(counted, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))

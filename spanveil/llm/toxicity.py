@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, prefix_hash, span_hash, table
+from .common import Scratch, mix, prefix_hash, slices, span_hash, table
 
 #: Labelled rows that the index may hold; neighbours; documents in a block.
 SAMPLE, K, BLOCK = 20_000, 15, 16
@@ -165,20 +165,20 @@ class BlockMaxIndex:
     """
 
     def __init__(self, doc: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: int, block: int = BLOCK):
-        self.doc, self.weight, self.begin, self.n, self.block = doc, weight, begin, n, block
+        self.begin, self.n, self.block = begin, n, block
+        self.pairs = np.empty(len(doc), dtype=np.int64)  # a posting's document and weight side by side
+        self.pairs.view(np.int32)[0::2], self.pairs.view(np.float32)[1::2] = doc, weight
         self._spread()
 
     def __getstate__(self):
-        return self.doc, self.weight, self.begin, self.n, self.block
+        return self.pairs, self.begin, self.n, self.block
 
     def __setstate__(self, state):
-        self.doc, self.weight, self.begin, self.n, self.block = state
+        self.pairs, self.begin, self.n, self.block = state
         self._spread()
 
     def _spread(self) -> None:
-        doc, weight, begin, n, block = self.doc, self.weight, self.begin, self.n, self.block
-        self.pairs = np.empty(len(doc), dtype=np.int64)  # a posting's document and weight side by side
-        self.pairs.view(np.int32)[0::2], self.pairs.view(np.float32)[1::2] = doc, weight
+        doc, weight, begin, n, block = self.pairs.view(np.int32)[0::2], self.pairs.view(np.float32)[1::2], self.begin, self.n, self.block
         df = np.diff(begin)
         common = np.flatnonzero(df > max(8, n // COMMON))
         self.row = np.full(len(df), -1, dtype=np.int32)
@@ -283,17 +283,16 @@ class Model:
 
     def scorer(self):
         """A function from texts to (probability, neighbours' ids, cosines); equal vectors in a row of texts are voted on once."""
-        seen: dict[bytes, tuple[float, list, list]] = {}
+        seen: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
         held, curve, none, k = self.shared.value, self.curve, self.none, self.k
 
-        def one(v: tuple[np.ndarray, np.ndarray]) -> tuple[float, list, list]:
+        def one(v: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
             name = hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest()
             if name not in seen:
                 if len(seen) > 5_000:
                     seen.clear()
                 vote, docs, cos = held.vote(v, k)
-                p = float(np.clip(np.interp(vote, *curve), 0, 1)) if len(docs) else none
-                seen[name] = (p, held.ids[docs].tolist(), cos.tolist())
+                seen[name] = (float(np.clip(np.interp(vote, *curve), 0, 1)) if len(docs) else none, held.ids[docs], cos)
             return seen[name]
 
         return lambda texts: [one(v) for v in held.vocabulary.vectors(texts)]
@@ -314,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
     held = docs.select(key, F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.max("_y").alias("_y"), F.min("_text").alias("_text"))
 
     def counted(batches):
-        for b in batches:
+        for b in slices(batches):
             for first, run in runs(b.column("_text").to_pylist()):
                 owner, h, n = distinct(*terms(run))
                 parts = cuts(owner, len(run))
@@ -343,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
 
     def met(batches):
         words, total, rows = shared.value, np.zeros(len(shared.value.hashes), dtype=np.int32), 0
-        for b in batches:
+        for b in slices(batches):
             rows += b.num_rows
             for _, run in runs(b.column(0).to_pylist()):
                 owner, h = terms(run)
@@ -427,11 +426,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     rest = [f for f in docs.schema.fields if f.name != text]
 
     def scored(batches):
-        judge = model.scorer() if model else lambda texts: [(0.0, [], [])] * len(texts)
-        for b in batches:
+        judge = model.scorer() if model else lambda texts: [(0.0, np.empty(0, np.int64), np.empty(0))] * len(texts)
+        for b in slices(batches):
             got = [x for _, run in runs(b.column(text).to_pylist()) for x in judge(run)]
             p = pa.array([x[0] for x in got], pa.float64())
-            near = pa.array([[{"id": i, "cosine": c} for i, c in zip(x[1], x[2], strict=True)] for x in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in got])) for k in (1, 2)], ["id", "cosine"])
+            near = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[1]) for x in got]]), pa.int32()), pairs)
             kept = [b.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*kept, p, pa.array([int(x[0] >= 0.5) for x in got], pa.int32()), near], [*[f.name for f in rest], "score", "predicted", "neighbours"])
 
@@ -444,7 +444,7 @@ def remove_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> Da
 
     def clean(batches):
         judge = model.scorer() if model else None
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             ok = [x[0] < 0.5 for _, run in runs(texts) for x in judge(run)] if judge else [True] * b.num_rows
             yield b.filter(pa.array(ok, pa.bool_()))
