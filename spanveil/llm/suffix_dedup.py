@@ -34,7 +34,12 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODES, POWERS, Scratch, mix, prefix_hash, slices, span_hash, table, utf8_bytes
 
 WIDTH, REACH, GRAM, LEAD = 400, 320, 16, 80
-IN_BUCKET, MOST_BUCKETS, SAMPLES, HOT = 20_000, 8_192, 16, 20_000
+#: Suffixes in a bucket, as long as there are no more than MOST_BUCKETS: at 100 TB of text a bucket has about 2.3 million.
+IN_BUCKET, MOST_BUCKETS, HOT = 20_000, 1 << 18, 20_000
+#: Sampled suffixes for each bucket, and all together (or four for each bucket).
+SAMPLES, MOST_SAMPLED = 16, 1 << 20
+#: Groups up to this size are sorted at once.
+SMALL = 48
 PIECE = 1 << 22
 
 
@@ -82,23 +87,34 @@ def suffixes(body: bytes, row: int):
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first of its group) of rows of eight-byte characters; equal rows are one group."""
+    """(order, first of its group) of rows of eight-byte characters; equal rows are one group.
+
+    Multikey quicksort: a group whose characters before d are equal is parted by a pivot into
+    those with a less, an equal and a greater character d; the equal ones go on with the next
+    character. Small groups are sorted at once.
+    """
     n, depth = words.shape
-    order = np.argsort(words[:, 0], kind="quicksort")
-    first = np.ones(n, dtype=bool)
-    first[1:] = words[order[1:], 0] != words[order[:-1], 0]
-    for d in range(1, depth):
-        alone = first & np.append(first[1:], True)
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
-            break
-        group = np.cumsum(first)[tied]
-        part = order[tied]
-        part = part[np.lexsort((words[part, d], group))]
-        order[tied] = part
-        same = np.zeros(len(tied), dtype=bool)
-        same[1:] = (group[1:] == group[:-1]) & (words[part[1:], d] == words[part[:-1], d])
-        first[tied] = ~same
+    order, first = np.arange(n), np.zeros(n, dtype=bool)
+    todo = [(0, n, 0)]
+    while todo:
+        low, high, d = todo.pop()
+        if d == depth or high - low == 1:
+            first[low] = True
+            continue
+        part = order[low:high]
+        if high - low <= SMALL:
+            rest = words[part, d:]
+            by = np.lexsort(rest.T[::-1])
+            order[low:high], rest = part[by], rest[by]
+            first[low] = True
+            first[low + 1 : high] = (rest[1:] != rest[:-1]).any(axis=1)
+            continue
+        c = words[part, d]
+        pivot = np.sort(c[:: max(1, len(c) // 9)])[min(len(c), 9) // 2]
+        less, same = c < pivot, c == pivot
+        order[low:high] = np.concatenate((part[less], part[same], part[~(less | same)]))
+        one, two = low + int(less.sum()), low + int(less.sum() + same.sum())
+        todo += [x for x in ((two, high, d), (one, two, d + 1), (low, one, d)) if x[1] > x[0]]
     return order, first
 
 
@@ -128,7 +144,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     expected = max(1, 2 * total // (REACH + 1))
     buckets = int(min(MOST_BUCKETS, max(1, expected // IN_BUCKET), max(1, expected)))
-    limit = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, buckets * SAMPLES / expected))))
+    samples = max(4, min(SAMPLES, MOST_SAMPLED // buckets))
+    limit = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, buckets * samples / expected))))
 
     def sampled(batches):
         for b in slices(batches):
@@ -141,8 +158,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array(np.array([o[1] for o in out], dtype=np.uint64).astype(np.int64)), pa.array(np.array([o[2] for o in out], dtype=np.uint64).astype(np.int64))], ["lead", "c", "tie"])
 
     sample = []
-    if buckets > 1:  # about buckets * SAMPLES rows, a bounded number
-        sample = [(bytes(r.lead), r.c & (2**64 - 1), r.tie & (2**64 - 1)) for r in docs.mapInArrow(sampled, "lead binary, c long, tie long").toLocalIterator()]
+    if buckets > 1:  # about buckets * samples rows, MOST_SAMPLED at most
+        sample = [(bytes(r.lead), r.c & (2**64 - 1), r.tie & (2**64 - 1)) for r in docs.mapInArrow(sampled, "lead binary, c long, tie long").collect()]
     splitters = spark.sparkContext.broadcast(Splitters(sample, buckets))
 
     def dealt(batches):
@@ -259,7 +276,8 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
 
     Every byte that is part of a WIDTH-byte string which also begins elsewhere, in any
     document, goes, all copies of it alike. A null text is empty; texts under WIDTH bytes
-    stay whole. Repeated rows are copies of each other. docs may be empty; other columns aren't read.
+    stay whole, long ones are taken whole. Repeated rows are copies of each other, with a key or
+    without. docs may be empty; other columns aren't read.
     """
     row = F.xxhash64(F.col(key).cast("string"), F.lit("\x1f"), F.col(text)).alias("row")
     plain = docs.select(F.col(key).alias("key"), row, utf8_bytes(text).alias("body"))
