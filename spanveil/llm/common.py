@@ -133,16 +133,47 @@ def word_hashes(text: bytes) -> np.ndarray:
     return span_hash(prefix_hash(BYTE_CODES[buffer]), start, end) if len(start) else np.empty(0, dtype=np.uint64)
 
 
+def _chained(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` words."""
+    h = np.full(max(0, len(words) - width + 1), width, dtype=np.uint64)
+    for k in range(width):
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[k : len(h) + k])
+    return h
+
+
+def sorted_set(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles; fewer words make one, none make none."""
     words = word_hashes(text)
-    if not len(words):
-        return words
-    width = min(n, len(words))
-    h = np.full(len(words) - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[k : len(words) - width + 1 + k])
-    return np.unique(h)
+    return sorted_set(_chained(words, min(n, len(words)))) if len(words) else words
+
+
+def shingle_sets(texts: list[bytes], n: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """shingle_set of each text; short texts are hashed together, up to ``most`` bytes."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) < most:
+            size += len(texts[end]) + 1
+            end += 1
+        buffer = LOWER[np.frombuffer(b"\n".join(texts[at:end]), dtype=np.uint8)]  # a line break parts words
+        start, stop = word_spans(buffer)
+        words = span_hash(prefix_hash(BYTE_CODES[buffer]), start, stop) if len(start) else np.empty(0, dtype=np.uint64)
+        runs = _chained(words, n)
+        ends = np.cumsum([len(t) + 1 for t in texts[at:end]])
+        counts = np.diff(np.searchsorted(start, np.append(0, ends))).tolist()
+        first = 0
+        for m in counts:
+            h = runs[first : first + m - n + 1] if m >= n else _chained(words[first : first + m], m) if m else words[:0]
+            out.append(sorted_set(h))
+            first += m
+        at = end
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -153,7 +184,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     (node, component) for each node of an edge; edge lists never leave the cluster.
     """
     live = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    step = 0
+    seen = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    step, before = 0, seen(live)
     while True:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -161,9 +193,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         new = scratch.save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-{step + 1}")
-        same = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first() for x in (live, new)]
+        now = seen(new)
         scratch.drop(f"{name}-{step}")
         live, step = new, step + 1
-        if same[0] == same[1]:
+        if now == before:
             break
+        before = now
     return live.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(live.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -2,21 +2,23 @@
 
 1. Each document becomes the set of its n-word shingles (64-bit hashes); equal sets are one
    class. Classes, not documents, are joined, so copies never meet.
-2. All shingles have one global order: shingles are counted over all documents in
-   CELLS hashed cells, and the order is by cell count, then hash; rare ones come first.
-   Two sets that reach the threshold share at least l of their first
-   |x| - ceil(t|x|) + l shingles. With l about half of what may differ, a class
-   that doesn't share that many of its first shingles with any other class has no link and
-   goes. This is repeated until nothing more goes.
+2. All shingles have one global order: shingles are counted over all documents in hashed
+   cells, more of them for more input, and the order is by the cell's count (in steps of a
+   quarter power of two), then hash; rare ones come first. Two sets that reach the threshold
+   share at least l of their first |x| - ceil(t|x|) + l shingles. With l about half of
+   what may differ, a class that doesn't share that many of its first shingles with any
+   other class has no link and goes. This is repeated until nothing more goes.
 3. The classes left are brought together by each of ROUTES shared shingles. A bucket's sets
    are stored in a trie in the local global order; each set walks the trie once,
    carrying the overlap with all paths at once, and leaves a subtree when the overlap so
    far and the remaining lengths can't reach the threshold. Sets already in the walker's
    component are skipped. Buckets above MOST_IN_BUCKET sets are joined in blocks,
    each pair of blocks a bucket of its own.
-4. What that can miss is a pair that shares none of the routes. All pairs in different
-   components whose rarest first shingles meet and whose routes don't are compared by the
-   same trie, so the join is exact.
+4. What that can miss is a pair that shares none of the routes. Where rarest first shingles
+   of different components meet, pairs whose routes don't are listed while they are few
+   (PAIRS for each set of the bucket at most), and compared by the same trie; with more,
+   the whole bucket goes through the trie. So the join is exact, and no step writes more
+   than a multiple of the rows it reads.
 
 Hash collisions apart (64 bits), nothing is approximate and nothing is capped.
 """
@@ -31,9 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, components, mix, shingle_set, slices, table
+from .common import Scratch, components, mix, shingle_sets, slices, table
 
-CELLS, ROUTES, MOST_IN_BUCKET, MOST_BROADCAST, GROUPS = 1 << 18, 4, 20_000, 200_000, 4096
+ROUTES, MOST_IN_BUCKET, MOST_BROADCAST = 4, 20_000, 200_000
+#: Bits of a cell's number: the least, to which one is added for each doubling of the input above CELL_BYTES, and the most.
+CELL_BITS, CELL_BYTES = (18, 22), 4 << 30
+#: Rows of small buckets that share a task; pairs that a bucket may list for each of its rows.
+ROWS_IN_GROUP, PAIRS = 20_000, 4
 
 
 def need(size: np.ndarray | int, num: int) -> np.ndarray | int:
@@ -47,8 +53,8 @@ def pair_need(a: np.ndarray | int, b: np.ndarray | int, num: int) -> np.ndarray
 
 
 def rank(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """tokens in the global order."""
-    return tokens[np.lexsort((tokens, counts[(tokens >> np.uint64(46)).astype(np.int64)]))]
+    """tokens in the global order. counts: of each cell, in steps."""
+    return tokens[np.lexsort((tokens, counts[(tokens >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]))]
 
 
 class Trie:
@@ -210,28 +216,30 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
+    size = plain.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = min(CELL_BITS[1], CELL_BITS[0] + max(0, (size // CELL_BYTES).bit_length()))
+
     def cells(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         for b in slices(batches):
-            for body in b.column(0).to_pylist():
-                np.add.at(total, (shingle_set(body, n) >> np.uint64(46)).astype(np.int64), 1)
+            cell, times = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(b.column(0).to_pylist(), n)]) >> np.uint64(64 - bits), return_counts=True)
+            total[cell.astype(np.int64)] += times
         for part in range(32):
-            cut = slice(part * CELLS // 32, (part + 1) * CELLS // 32)
+            cut = slice(part << bits - 5, part + 1 << bits - 5)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [total[cut].tobytes()]})
 
     def add(frame: pa.Table) -> pa.Table:
         return pa.table({"part": frame.column("part").slice(0, 1), "n": [sum(np.frombuffer(x, dtype=np.int64) for x in frame.column("n").to_pylist()).tobytes()]})
 
-    counts = np.zeros(CELLS, dtype=np.int64)  # a fixed size
-    for r in plain.select("body").mapInArrow(cells, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").toLocalIterator():
-        counts[r.part * CELLS // 32 : (r.part + 1) * CELLS // 32] = np.frombuffer(r.n, dtype=np.int64)
+    counts = np.zeros(1 << bits, dtype=np.uint8)  # a bounded size
+    for r in plain.select("body").mapInArrow(cells, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        counts[r.part << bits - 5 : r.part + 1 << bits - 5] = 4 * np.log2(np.frombuffer(r.n, dtype=np.int64) + 1)
     counts = spark.sparkContext.broadcast(counts)
 
     def signed(batches):
         for b in slices(batches):
             rows = []
-            for body in b.column(1).to_pylist():
-                s = shingle_set(body, n)
+            for s in shingle_sets(b.column(1).to_pylist(), n):
                 size = len(s)
                 first = 0 if not size else size - need(size, num) + slack(size, num)
                 sig = _sign(s)
@@ -267,7 +275,8 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
 
     def expanded(batches):
         for b in slices(batches):
-            got = [(sig, s) for sig, size_, body in zip(*[c.to_pylist() for c in b.columns], strict=True) if len(s := shingle_set(body, n)) == size_ and _sign(s) == sig]
+            sig, size_, body = (c.to_pylist() for c in b.columns)
+            got = [(g, s) for g, m, s in zip(sig, size_, shingle_sets(body, n), strict=True) if len(s) == m and _sign(s) == g]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["sig", "tokens"])
 
     sets = scratch.save(bodies.mapInArrow(expanded, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
@@ -281,13 +290,14 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     by_df = Window.partitionBy("sig").orderBy("df", "token")
     ranked = shared.withColumn("rank", F.row_number().over(by_df)).withColumn("every", F.count("*").over(Window.partitionBy("sig")))
     of = live.select("sig", "size").join(comps, F.col("sig") == F.col("node"), "left").select("sig", "size", F.coalesce("component", "sig").alias("comp"))
-    of = of.join(routes.groupBy("sig").agg(F.sort_array(F.collect_list("token")).alias("routes")), "sig", "left")
+    of = scratch.save(of.join(routes.groupBy("sig").agg(F.sort_array(F.collect_list("token")).alias("routes")), "sig", "left"), "of-live")
     heads = ranked.select("sig", "token", "pos", "rank", "every").join(of, "sig").where(F.col("rank") <= F.col("every") - wanted + 1)
     mixed = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     # What has one component in all its buckets needs no look; others meet in blocks. Small buckets share a
     # group, dealt by hash, since a call for each would cost more than its comparisons.
     rest = _blocked(heads.join(mixed, "token"), "token")
-    dealt = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.lit(9), "bucket"), F.lit(GROUPS)))
+    groups = max(64, shared.count() // ROWS_IN_GROUP)
+    dealt = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.lit(9), "bucket"), F.lit(groups)))
     rest = rest.withColumn("group", dealt).select("group", "block", "bucket", "sig", "size", "pos", "comp", "routes")
 
     def missed(frame: pa.Table) -> pa.Table:
@@ -315,29 +325,39 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
 
         two = cuts[:-1][size_of == 2]
         k = open_pairs(two, two + 1)
-        a_out, b_out = [sig[two[k]]], [sig[two[k] + 1]]
+        a_out, b_out, token_out, sig_out = [sig[two[k]]], [sig[two[k] + 1]], [], []
         for g in np.flatnonzero(size_of > 2).tolist():
             rows_ = np.arange(cuts[g], cuts[g + 1])
             names, n = np.unique(comp[rows_], return_counts=True)
             waiting = np.ones(len(rows_), dtype=bool)
+            left, found = PAIRS * len(rows_), []
             for i in np.flatnonzero(comp[rows_] != names[n.argmax()]).tolist():  # the largest component's own pairs need no look
                 waiting[i] = False
                 j = rows_[waiting]
-                k = open_pairs(np.full(len(j), rows_[i]), j)
-                a_out.append(np.full(len(k), sig[rows_[i]]))
-                b_out.append(sig[j[k]])
+                found.append((rows_[i], j[open_pairs(np.full(len(j), rows_[i]), j)]))
+                left -= len(found[-1][1])
+                if left < 0:
+                    break
+            if left < 0:  # too many to list: the bucket as a whole
+                token_out.append(bucket[rows_])
+                sig_out.append(sig[rows_])
+            else:
+                for i, j in found:
+                    a_out.append(np.full(len(j), sig[i]))
+                    b_out.append(sig[j])
         a, b = np.concatenate(a_out), np.concatenate(b_out)
         both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        token, whole = (np.concatenate([np.empty(0, np.int64), *x]) for x in (token_out, sig_out))
+        # A pair is a bucket named after its first set.
+        return pa.table({"token": pa.array(np.concatenate((both[0], both[0], token)), pa.int64()), "sig": pa.array(np.concatenate((both[0], both[1], whole)), pa.int64())})
 
-    pairs = scratch.save(rest.groupBy("group", "block").applyInArrow(missed, "a long, b long").groupBy("a", "b").count(), "pairs")
-    walkers = pairs.select(F.col("a").alias("token"), F.explode(F.array("a", "b")).alias("sig")).distinct()
-    more = scratch.save(_bucket_links(walkers, sets, num), "edges-2")
+    walkers = scratch.save(rest.groupBy("group", "block").applyInArrow(missed, "token long, sig long").distinct(), "walkers")
+    more = scratch.save(_bucket_links(walkers.join(of.select("sig", "comp"), "sig"), sets, num), "edges-2")
     if more.limit(1).count():
-        comps = scratch.save(components(edges.unionByName(more), scratch, "stars-2"), "comps-2")
+        comps = scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "stars-2"), "comps-2")
     least = classes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("comp"))
     of_class = scratch.save(least, "of-class")
-    for name in ("classes", "shared", "sets", "routes", "pairs", "edges-1", "edges-2"):
+    for name in ("classes", "shared", "sets", "routes", "of-live", "walkers", "edges-1", "edges-2"):
         scratch.drop(name)
     return signs.drop("first"), of_class
 
@@ -347,9 +367,10 @@ def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 3, num: int = 9
 
     Sets link when 100 * intersection >= num * union. component_id is the least key
     reachable by links (null where all keys are null), class_id the least key of equal sets.
-    Documents without words have an empty set and link with nothing, not even each other.
-    Rows with one key are documents of their own; null keys take part. docs may be
-    empty; its other columns are not read.
+    Documents without words have an empty set and link with nothing, not even each other; a
+    long text is one set, however large. A Jaccard of exactly num hundredths links. Rows with
+    one key are documents of their own, repeated rows are copies; null keys take part. docs
+    may be empty; its other columns are not read.
     """
     signs, of_class = _join(docs, scratch, n, num, key, text)
     names = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -382,13 +403,14 @@ def _blocked(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _bucket_links(routes: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """Edges (a, b) that join the sets of each bucket of routes(token, sig)."""
-    rows = _blocked(routes, "token").select("bucket", "block", "sig").join(sets, "sig")
+    """Edges (a, b) that join the sets of each bucket of routes(token, sig), which may hold their components so far (comp)."""
+    routes = routes if "comp" in routes.columns else routes.withColumn("comp", F.col("sig"))
+    rows = _blocked(routes, "token").select("bucket", "block", "sig", "comp").join(sets, "sig")
 
     def linked(frame: pa.Table) -> pa.Table:
         frame = frame.sort_by("sig")
-        sig = frame.column("sig").to_numpy()
-        found = link([np.frombuffer(t, dtype=np.uint64) for t in frame.column("tokens").to_pylist()], sig, num) if len(sig) > 1 else []
+        sig, comp = frame.column("sig").to_numpy(), frame.column("comp").to_numpy()
+        found = link([np.frombuffer(t, dtype=np.uint64) for t in frame.column("tokens").to_pylist()], comp, num) if len(sig) > 1 else []
         return pa.table({"a": pa.array(sig[[i for i, _ in found]], pa.int64()), "b": pa.array(sig[[j for _, j in found]], pa.int64())})
 
     return rows.groupBy("bucket", "block").applyInArrow(linked, "a long, b long")
@@ -407,7 +429,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, key:
 
     def signed(batches):
         for b in slices(batches):
-            sig = [_sign(shingle_set((t or "").encode("utf-8", "surrogatepass"), n)) for t in b.column(at).to_pylist()]
+            sig = [_sign(s) for s in shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in b.column(at).to_pylist()], n)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], [*names, "_sig"])
 
     with_sig = docs.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", LongType())]))

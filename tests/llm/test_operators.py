@@ -82,6 +82,16 @@ def test_suffix_dedup_repeated_rows_null_keys_and_nothing(spark):
     assert suffix_dedup.dedup_substrings(corpus(spark, []), Scratch(spark)).count() == 0
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n, top in ((1, 3), (40, 2), (700, 2), (3000, 3), (3000, 10**9), (500, 1)):
+        rows_ = rng.integers(0, top, (n, 4)).astype(np.uint64)
+        order, first = suffix_dedup.multikey_sort(rows_)
+        got = rows_[order]
+        assert sorted(order.tolist()) == list(range(n)) and [tuple(r) for r in got.tolist()] == sorted(tuple(r) for r in rows_.tolist())
+        assert first.tolist() == [k == 0 or (got[k] != got[k - 1]).any() for k in range(n)]
+
+
 def test_anchors_follow_content():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 123, 5000).astype(np.uint8)
@@ -184,9 +194,10 @@ def brute_components(ids, texts, n, num):
     return [(k, len(sets[i]), least.get(top(i))) for i, k in enumerate(ids)], [top(i) for i in range(len(ids))], sets
 
 
-@pytest.mark.parametrize("n,num,routes,block", [(3, 90, 4, 20_000), (5, 80, 0, 20_000), (3, 90, 1, 3)])
-def test_ngram_components(spark, monkeypatch, n, num, routes, block):
-    """With fewer routes the exact second pass has to find the links; with small buckets, pairs of blocks."""
+@pytest.mark.parametrize("n,num,routes,block,pairs", [(3, 90, 4, 20_000, 4), (5, 80, 0, 20_000, 4), (5, 80, 0, 20_000, 0), (3, 90, 1, 3, 4)])
+def test_ngram_components(spark, monkeypatch, n, num, routes, block, pairs):
+    """With fewer routes the exact second pass has to find the links, without listed pairs in whole buckets; with small buckets, pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
     monkeypatch.setattr(ngram_join, "ROUTES", routes)
     monkeypatch.setattr(ngram_join, "MOST_IN_BUCKET", block)
     texts = mixed_texts(7)
