@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.catalog import BLACKLISTS, ENTITY_TYPES, PRESETS, filled
+from .functions.catalog import BLACKLISTS, DESCRIPTIONS, ENTITY_TYPES, PRESETS, filled
 from .operators import layout, marks
 from .operators.detect import Detector, RuleDetector, explode_spans
 from .operators.redact import redact
 from .sources.files import admission, convert, read_files
+from .sources.written import written
 
 
-def load_entity_types(preset: str = "default") -> dict[str, str]:
-    return {k: ENTITY_TYPES[k] for k in PRESETS[preset]}
+def load_entity_types(preset: str = "default", verbose: bool = False) -> dict:
+    """The preset's labels with their descriptions, or with name and description."""
+    return {k: {"name": ENTITY_TYPES[k], "description": DESCRIPTIONS[k]} if verbose else DESCRIPTIONS[k] for k in PRESETS[preset]}
 
 
 def load_blacklist(preset: str = "default") -> list[str]:
@@ -47,10 +49,10 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
     words: doc_id, page_no, word_idx, text, box, drawn, read.
     """
     kept = layout.drop_read_over_drawn(words).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
-    units = layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, lines), regions))
-    joined = layout.join_units(units)
+    units = written(layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, lines), regions)))
+    joined = written(layout.join_units(units))
     spans = redact(detector.detect(joined.select("doc_id", "text").where(T.strip(F.col("text")) != ""), types, threshold), [], True, True)
-    mentions = layout.mention_numbers(explode_spans(spans))
+    mentions = written(layout.mention_numbers(explode_spans(spans)))
     starts = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start"))
     placed = units.join(starts, ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.length("text"))
     pieces = layout.split_mentions(mentions.select("doc_id", "mention_no", "start", "end"), placed.select("doc_id", "unit_idx", "u_start", "u_end"))

@@ -34,6 +34,36 @@ ENTITY_TYPES = {
     "benutzername": "Benutzername",
     "plz": "PLZ",
 }
+#: What a detector is told about each type.
+DESCRIPTIONS = {
+    "person": "Vor- und Nachname eines Menschen, auch einzeln",
+    "organisation": "Firma, Amt, Verein oder andere Körperschaft",
+    "adresse": "Strasse mit Hausnummer, auch mit Postleitzahl und Ort",
+    "ort": "Gemeinde, Kanton, Land oder andere Ortsangabe",
+    "geburtsdatum": "Tag der Geburt eines Menschen",
+    "datum": "Kalendertag, in Ziffern oder mit Monatsnamen",
+    "geldbetrag": "Betrag mit Währung",
+    "telefonnummer": "Festnetz- oder Mobilnummer, auch mit Landesvorwahl",
+    "e-mail-adresse": "Adresse eines elektronischen Postfachs",
+    "iban": "Internationale Kontonummer",
+    "ahv-nummer": "Dreizehnstellige Sozialversicherungsnummer, beginnt mit 756",
+    "aktenzeichen": "Zeichen eines Geschäfts oder Verfahrens",
+    "dienstkennung": "Kennung einer Dienststelle oder eines Angehörigen davon",
+    "seriennummer": "Nummer eines einzelnen Geräts",
+    "ip-adresse": "Netzadresse nach IPv4 oder IPv6",
+    "mac-adresse": "Geräteadresse aus sechs Paaren von Hexziffern",
+    "kfz-kennzeichen": "Nummer eines Fahrzeugschilds",
+    "ausweisnummer": "Nummer von Pass oder Identitätskarte",
+    "versichertennummer": "Nummer bei einer Versicherung",
+    "patientennummer": "Nummer bei einem Spital oder einer Praxis",
+    "uid-nummer": "Kennnummer eines Unternehmens, beginnt mit CHE",
+    "beruf": "Beruf oder Funktion eines Menschen",
+    "nationalitaet": "Staatsangehörigkeit eines Menschen",
+    "gesundheitsangabe": "Krankheit, Befund, Behandlung oder Arznei",
+    "url": "Adresse einer Seite im Netz",
+    "benutzername": "Name eines Kontos",
+    "plz": "Postleitzahl ohne Ort",
+}
 PRESETS = {
     "default": ["person", "ort"],
     "legal": ["person", "ort", "plz", "organisation", "datum", "telefonnummer"],
@@ -44,7 +74,7 @@ REPEATING_LABELS = ("person", "organisation", "adresse", "ort", "e-mail-adresse"
 
 
 def entity_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(ENTITY_TYPES.items())], "label string, name string, ord int")
+    return spark.createDataFrame([(k, v, DESCRIPTIONS[k], i) for i, (k, v) in enumerate(ENTITY_TYPES.items())], "label string, name string, description string, ord int")
 
 
 def presets(spark: SparkSession) -> DataFrame:

@@ -100,7 +100,7 @@ def colour(label: Column) -> Column:
 def records(marks: DataFrame, author: str = "spanveil") -> DataFrame:
     """Annotation records for marks joined with their pages' rotation, left, bottom, width, height, and the time ``at``."""
     rect = G.user_rect(F.col("box"), F.col("rotation"), F.col("left"), F.col("bottom"), F.col("width"), F.col("height"))
-    date = F.date_format("at", "'D:'yyyyMMddHHmmss'Z'")
+    date = F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "'D:'yyyyMMddHHmmss'Z'")
     return marks.withColumn("_rect", rect).select(
         "doc_id", F.col("box.page_no").alias("page_no"), F.lit("/Annot").alias("type"), F.lit("/Redact").alias("subtype"), F.transform("_rect", lambda x: F.bround(x, 3)).alias("rect"), G.quad_points(F.col("_rect")).alias("quad_points"),
         colour(F.col("label")).alias("c"), F.array(*[F.lit(0.0)] * 3).alias("ic"), F.lit(4).alias("f"), F.lit(author).alias("t"), F.concat(F.lit("Schwärzung: "), "label").alias("subj"), comment(F.col("label"), F.col("confidence"), F.col("text")).alias("contents"), F.col("name").alias("nm"), date.alias("created"), F.nullif(F.col("overlay"), F.lit("")).alias("overlay_text"),

@@ -37,6 +37,12 @@ def abandoned(tasks: DataFrame, now: Column, after: float = ABANDONED_AFTER) ->
     return tasks.where((F.col("status") == "pending") & (now - F.col("polled_at") > after)).withColumn("status", F.lit("failed")).withColumn("error", F.lit("abandoned by the caller"))
 
 
+def kept_alive(tasks: DataFrame, polls: DataFrame, key: str = "task_id", at: str = "ts") -> DataFrame:
+    """tasks(polled_at) with the time of their last poll, if one came after; nothing else keeps a task alive."""
+    last = polls.groupBy(key).agg(F.max(at).alias("_last"))
+    return tasks.join(last, key, "left").withColumn("polled_at", F.greatest("polled_at", "_last")).drop("_last")
+
+
 def expired(tasks: DataFrame, now: Column, ttl: float = KEPT_FOR) -> DataFrame:
     """Ended tasks that have been kept long enough."""
     return tasks.where((F.col("updated_at") < now - ttl) & ~F.col("status").isin("running", "pending"))

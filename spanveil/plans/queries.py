@@ -13,6 +13,7 @@ from ..functions.geometry import box
 from ..operators import detect as D
 from ..operators import layout, marks, propagate, redact, report, spans
 from ..operators import tasks as Q
+from ..sources.written import written
 from .tables import ATTEMPTS_SQL, TASKS_SQL, attempts, table, tasks
 
 QUERIES: dict = {}
@@ -116,6 +117,12 @@ def gazetteer_detect(spark, d):
     return D.gazetteer(words, docs(spark, d), "person")
 
 
+@query("SELECT label, preset, position AS ord FROM (VALUES " + ", ".join(f"('{k}', '{p}', {i})" for p, ks in catalog.PRESETS.items() for i, k in enumerate(ks)) + ") t(label, preset, position)")
+def preset_labels(spark, d):
+    """Labels of the presets that the catalogue knows, in the presets' order."""
+    return catalog.presets(spark).join(catalog.entity_types(spark).select("label"), "label", "left_semi").select("label", "preset", "ord")
+
+
 # --- overlap and replacement -------------------------------------------------------------------------------------
 KEPT_SQL = f"""{SEVERAL_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_start, -span_end, label_ord, id) AS rn FROM several),
  f AS (SELECT doc_id, rn, label, id, mention, span_start, span_end, span_end AS cur, true AS keep FROM o WHERE rn = 1
@@ -167,18 +174,25 @@ def named(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).withColumn("spans", D.rule_spans(F.col("text"), NAMES))
 
 
-def _first_sql(label: str, pattern: str) -> str:
-    return f"SELECT doc_id, '{label}' AS label, text AS t FROM ({occurrences_sql(pattern)}) WHERE i <= 2"
+def _matches_sql(label: str, pattern: str) -> str:
+    return f"SELECT doc_id, '{label}' AS label, text AS t FROM ({occurrences_sql(pattern)})"
+
+
+NEEDLES_SQL = "f AS (" + " UNION ALL ".join(_matches_sql(k, v) for k, v in NAMES.items()) + "), n AS (SELECT doc_id, label, t AS needle FROM f WHERE length(t) > 2 UNION SELECT doc_id, label, string_split(t, ' ')[-1] FROM f WHERE label = 'person' AND length(string_split(t, ' ')[-1]) > 2)"
 
 
-@query("WITH f AS (" + " UNION ALL ".join(_first_sql(k, v) for k, v in NAMES.items()) + "), n AS (SELECT doc_id, label, t AS needle FROM f WHERE length(t) > 2 UNION SELECT doc_id, label, string_split(t, ' ')[-1] FROM f WHERE label = 'person' AND length(string_split(t, ' ')[-1]) > 2) SELECT doc_id, label, needle FROM n")
+@query(f"WITH {NEEDLES_SQL} SELECT doc_id, label, needle FROM n")
 def propagate_needles(spark, d):
-    """Needles of the first two matches of each label, as the query's SQL has it; the other queries take all matches."""
-    first = named(spark, d).withColumn("spans", F.filter("spans", lambda s: s["ord"] < 2))
-    return first.select("doc_id", F.explode(propagate.needles(F.col("spans"))).alias("n")).select("doc_id", "n.label", "n.needle")
+    return named(spark, d).select("doc_id", F.explode(propagate.needles(F.col("spans"))).alias("n")).select("doc_id", "n.label", "n.needle")
 
 
-@query()
+#: Pieces of each text between a needle's places; a place counts if no letter, digit, _, ' or - touches it.
+PLACES_SQL = """o AS (SELECT n.doc_id, label, needle, string_split(text, needle) AS s FROM n JOIN documents USING (doc_id)), e AS (SELECT *, unnest(range(1, len(s))) AS i FROM o),
+ p AS (SELECT *, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(needle) AS INTEGER) AS span_start, CASE WHEN s[i] <> '' THEN right(s[i], 1) WHEN i > 1 THEN right(needle, 1) ELSE '' END AS before, CASE WHEN s[i + 1] <> '' THEN left(s[i + 1], 1) WHEN i + 1 < len(s) THEN left(needle, 1) ELSE '' END AS after FROM e)
+ SELECT doc_id, label, needle, span_start, CAST(span_start + length(needle) AS INTEGER) AS span_end FROM p WHERE NOT regexp_matches(before || after, '[\\p{L}\\p{N}_''-]')"""
+
+
+@query(f"WITH {NEEDLES_SQL}, {PLACES_SQL}")
 def propagate_candidates(spark, d):
     found = named(spark, d).withColumn("n", propagate.needles(F.col("spans")))
     found = found.withColumn("p", propagate.exact_places(F.col("text"), F.col("n")))
@@ -203,8 +217,9 @@ def find_folded_words(spark, d):
     return found.unionByName(every).select("doc_id", F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"))
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[\u00ad\u2010-\u2014\u2212]', '-', 'g') AS folded FROM documents")
 def fold_texts(spark, d):
+    """The SQL folds what the tables hold: capitals, accents, ß and dashes."""
     return docs(spark, d).select("doc_id", fold_text("text").alias("folded"))
 
 
@@ -253,6 +268,15 @@ def mime_of_url(spark, d):
     return named_.withColumn("mime", T.mime_type(F.col("name"))).withColumn("refused", T.mime_error(F.col("mime")).isNotNull())
 
 
+@query(f"WITH {NAMED_SQL} SELECT page_id, CASE WHEN page_id % 7 = 0 OR mime <> 'application/pdf' THEN 'invalid_mime_type' END AS error FROM typed")
+def pdf_guard(spark, d):
+    """Which of the named pages may be marked; a type that isn't known (every seventh) is none."""
+    from ..sources.files import pdf_only
+
+    mime = F.when(F.col("page_id") % 7 != 0, T.mime_type(F.expr(NAME)))
+    return table(spark, d, "pages").select("page_id", pdf_only(mime).alias("error"))
+
+
 @query(f"WITH {NAMED_SQL} SELECT coalesce(CASE WHEN bytes > 6000 THEN 'file_too_large' END, CASE WHEN mime = 'invalid' THEN 'invalid_mime_type' END, 'admitted') AS outcome, count(*) AS n FROM typed GROUP BY 1")
 def file_admission(spark, d):
     from ..sources.files import admission
@@ -291,15 +315,15 @@ def page_words(spark: SparkSession, d: str) -> DataFrame:
     return words.unionByName(read).unionByName(loose)
 
 
-def page_regions(spark: SparkSession, d: str) -> DataFrame:
+def regions_of(words: DataFrame) -> DataFrame:
     """Two overlapping regions on each page: the left half, and the top of it."""
-    pages = page_words(spark, d).select("doc_id", "page_no").distinct()
-    made = [pages.select("doc_id", (F.col("page_no") * 2 + k).alias("region_idx"), box(F.col("page_no"), F.lit(0.0), F.lit(0.0), F.lit(520.0), F.lit(b)).alias("box")) for k, b in ((0, 600.0), (1, 200.0))]
-    return made[0].unionByName(made[1])
+    pages = words.select("doc_id", "page_no").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("b")) for k, b in ((0, 600.0), (1, 200.0))]))
+    return pages.withColumn("e", each).select("doc_id", (F.col("page_no") * 2 + F.col("e.k")).alias("region_idx"), box(F.col("page_no"), F.lit(0.0), F.lit(0.0), F.lit(520.0), F.col("e.b")).alias("box"))
 
 
-def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = page_words(spark, d).where("drawn").groupBy("doc_id", "page_no", "box.t").agg(F.max("box.r").alias("r"), F.max("box.b").alias("b"))
+def lines_of(words: DataFrame) -> DataFrame:
+    rows = words.where("drawn").groupBy("doc_id", "page_no", "box.t").agg(F.max("box.r").alias("r"), F.max("box.b").alias("b"))
     return rows.select("doc_id", "page_no", (F.col("t") / 20).cast("int").alias("line_idx"), box(F.col("page_no"), F.lit(0.0), F.col("t"), F.col("r"), F.col("b")).alias("box"))
 
 
@@ -310,7 +334,8 @@ WORDS_SQL = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t
 
 @query(f"WITH {WORDS_SQL}, every AS (SELECT doc_id, page_no, word_idx, l, t FROM w UNION ALL SELECT doc_id, page_no, word_idx + 1, l, t FROM w WHERE word_idx % 9 = 0 UNION ALL SELECT doc_id, page_no, word_idx + 2, 5000.0, t FROM w WHERE word_idx % 9 = 0 AND word_idx % 27 = 0) SELECT doc_id, page_no, word_idx, CAST(CASE WHEN l + 22.5 <= 520 AND t + 5 <= 200 THEN page_no * 2 + 1 WHEN l + 22.5 <= 520 AND t + 5 <= 600 THEN page_no * 2 END AS INTEGER) AS region_idx FROM every")
 def words_to_regions(spark, d):
-    return layout.words_to_regions(page_words(spark, d), page_regions(spark, d)).select("doc_id", "page_no", "word_idx", "region_idx")
+    words = page_words(spark, d)
+    return layout.words_to_regions(words, regions_of(words)).select("doc_id", "page_no", "word_idx", "region_idx")
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, page_no, word_idx FROM w UNION ALL SELECT doc_id, page_no, word_idx + 2 FROM w WHERE word_idx % 9 = 0 AND word_idx % 27 = 0 AND NOT EXISTS (SELECT 1 FROM w x WHERE x.doc_id = w.doc_id AND x.page_no = w.page_no AND x.l <= 5022.5 AND x.l + 45 >= 5022.5 AND x.t = w.t)")
@@ -319,8 +344,9 @@ def ocr_dedup(spark, d):
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    kept = layout.drop_read_over_drawn(page_words(spark, d)).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
-    return layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, page_lines(spark, d)), page_regions(spark, d)))
+    words = written(page_words(spark, d))
+    kept = layout.drop_read_over_drawn(words).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
+    return layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, lines_of(words)), regions_of(words)))
 
 
 @query()
@@ -330,8 +356,9 @@ def unit_text(spark, d):
 
 @query()
 def mention_split(spark, d):
-    joined = layout.join_units(units(spark, d))
-    ends = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start")).join(units(spark, d).select("doc_id", "unit_idx", F.length("text").alias("n")), ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.col("n"))
+    each = written(units(spark, d))
+    joined = written(layout.join_units(each))
+    ends = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start")).join(each.select("doc_id", "unit_idx", F.length("text").alias("n")), ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.col("n"))
     found = D.explode_spans(joined.withColumn("spans", D.rule_spans(F.col("text"), {"e-mail-adresse": D.RULES["e-mail-adresse"]})))
     return layout.split_mentions(layout.mention_numbers(found).select("doc_id", "mention_no", "start", "end"), ends).select("doc_id", "mention_no", "unit_idx", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
@@ -341,7 +368,8 @@ def mark_boxes(spark, d):
     """Annotations of all documents' e-mail addresses and phone numbers, set as pages."""
     none = spark.createDataFrame([], f"doc_id long, box {marks.G.BOX}, classes map<string,double>")
     types = ["e-mail-adresse", "telefonnummer"]
-    out = mark_documents(page_words(spark, d), page_lines(spark, d), page_regions(spark, d), none, D.RuleDetector(), types)
+    words = written(page_words(spark, d))
+    out = mark_documents(words, lines_of(words), regions_of(words), none, D.RuleDetector(), types)
     return out.select("doc_id", "id", "label", "text", F.size("boxes").alias("n_boxes"), F.element_at("boxes", 1).alias("b")).select("doc_id", "id", "label", "text", "n_boxes", "b.*")
 
 
@@ -397,6 +425,14 @@ def queue_abandoned(spark, d):
     return Q.abandoned(tasks(spark, d).withColumn("polled_at", F.col("ts")), F.lit(2_000_000.0)).select("seq", "status", "error")
 
 
+@query(f"WITH {TASKS_SQL} SELECT task_id, greatest(min(ts), max(ts) FILTER (status = 'pending')) AS polled_at FROM tasks GROUP BY task_id")
+def task_kept_alive(spark, d):
+    """Each task's last sign of its caller: its first event, or a later poll (events of status pending)."""
+    events = tasks(spark, d)
+    first = events.groupBy("task_id").agg(F.min("ts").alias("polled_at"))
+    return Q.kept_alive(first, events.where("status = 'pending'")).select("task_id", "polled_at")
+
+
 @query(f"WITH {TASKS_SQL} SELECT seq, status FROM tasks WHERE ts < 2000000.0 - 3600 AND status NOT IN ('running', 'pending')")
 def queue_expired(spark, d):
     return Q.expired(tasks(spark, d).withColumn("updated_at", F.col("ts")), F.lit(2_000_000.0)).select("seq", "status")

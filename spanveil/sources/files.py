@@ -27,7 +27,8 @@ def admission(files: DataFrame, limit: int = 104_857_600) -> DataFrame:
 
 
 def pdf_only(mime: Column) -> Column:
-    return F.when(mime != "application/pdf", F.lit("invalid_mime_type"))
+    """The error of what is no PDF, an unknown type included; null for a PDF."""
+    return F.when(~mime.eqNullSafe(F.lit("application/pdf")), F.lit("invalid_mime_type"))
 
 
 def convert(files: DataFrame, converter: Callable[[bytes, str], str] | None = None) -> DataFrame:

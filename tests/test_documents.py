@@ -207,3 +207,22 @@ def test_streams(spark, tmp_path):
     polls = spark.readStream.schema("task_id string, ts timestamp").json(str(tmp_path / "polls"))
     X.polling_sessions(polls).writeStream.format("memory").queryName("spells").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.polls for r in spark.table("spells").collect()) == [1, 2]
+
+
+def test_task_machine(spark, tmp_path):
+    """Moves, moves that aren't allowed, abandonment, expiry; the last batch only moves the watermark."""
+    from spanveil.streaming import tasks as X
+
+    made = [("a", 0, "submit", None), ("a", 5, "start", None), ("a", 5, "submit", None), ("a", 9, "finish", "r1"), ("a", 10, "fail", "late")]
+    made += [("b", 0, "submit", None), ("b", 50, "poll", None), ("c", 1, "submit", None), ("c", 2, "cancel", None), ("d", 1, "submit", None), ("d", 3, "start", None), ("d", 4, "fail", "broken"), ("e", 3, "start", None)]
+    batches = [made, [("z", 300, "submit", None)], [("z", 310, "start", None), ("z", 9000, "poll", None)], [("z", 9001, "poll", None)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(t, f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}", e, x) for t, s, e, x in rows], "task_id string, ts string, event string, detail string").coalesce(1).write.mode("append").json(str(tmp_path / "events" / f"b={k}"))
+    events = spark.readStream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).schema("task_id string, ts timestamp, event string, detail string").json(str(tmp_path / "events"))
+    X.task_machine(events).writeStream.format("memory").queryName("moves").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    zero = 1704067200
+    got = {(r.task_id, r.status): (r.updated_at - zero, r.error or r.resource_id) for r in spark.table("moves").collect()}
+    assert got.pop(("z", "pending")) == (300, None) and got.pop(("z", "running")) == (310, None)
+    want = {("a", "pending"): (0, None), ("a", "running"): (5, None), ("a", "finished"): (9, "r1"), ("b", "pending"): (0, None), ("b", "failed"): (110, "abandoned by the caller"), ("c", "pending"): (1, None), ("c", "failed"): (2, "cancelled"), ("d", "pending"): (1, None), ("d", "running"): (3, None), ("d", "failed"): (4, "broken")}
+    assert {k: v for k, v in got.items() if k[1] != "expired"} == want
+    assert {k[0]: v[0] for k, v in got.items() if k[1] == "expired"} == {"a": 3609, "b": 3710, "c": 3602, "d": 3604}
