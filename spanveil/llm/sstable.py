@@ -12,8 +12,10 @@ filter, searches the index by halving, and reads one block (more where a key rep
     footer := index place u64, bloom place u64, entries u64, ids u64, blocks u32, crc32 u32 of index and bloom, magic 8 bytes
 
 Rows are range-partitioned and sorted by key; each task encodes and writes one shard as it
-reads, holding one block, under a name of its own attempt, and moves it into place
-when whole; a repeated task replaces the file with an equal one.
+reads, holding one block and eight bytes for each entry (for the Bloom filter), under a name of its
+own attempt, and moves it into place when whole; a repeated task replaces the file with an
+equal one. There are as many shards as the session has shuffle partitions, or more, so
+that a shard has about SHARD_BYTES of text at most.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from .tokens import encoder
 MAGIC = b"SVSSTAB1"
 FOOTER = struct.Struct("<QQQQII8s")
 INDEX = struct.Struct("<QIQ")
-BLOCK_IDS, BLOOM_BITS, BLOOM_HASHES = 32_768, 10, 7
+BLOCK_IDS, BLOOM_BITS, BLOOM_HASHES, SHARD_BYTES = 32_768, 10, 7, 512 << 20
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -66,8 +69,12 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_places(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9747B28C) | 1
+def bloom_hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x9747B28C) | 1
+
+
+def bloom_places(a, b, bits: int) -> list:
+    """Places of keys by their two hashes, numbers or arrays."""
     return [(a + i * b + i * i) % bits for i in range(BLOOM_HASHES)]
 
 
@@ -77,7 +84,7 @@ class ShardWriter:
     def __init__(self, out):
         self.out, self.at = out, 0
         self.index: list[tuple[bytes, int, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("I"), array("I")
         self.entries = self.ids = 0
         self._open()
 
@@ -94,7 +101,8 @@ class ShardWriter:
         self.head += varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(ids))
         self.body.append(ids)
         self.previous, self.count, self.held = key, self.count + 1, self.held + len(ids)
-        self.keys.append(key)
+        for held, h in zip(self.hashes, bloom_hashes(key), strict=True):
+            held.append(h)
         if self.held >= BLOCK_IDS:
             self._flush()
 
@@ -113,10 +121,10 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         index = b"".join(bytes([len(k)]) + k + INDEX.pack(place, size, before) for k, place, size, before in self.index)
-        bits = max(64, len(self.keys) * BLOOM_BITS)
+        bits = max(64, self.entries * BLOOM_BITS)
         bloom = np.zeros(bits, dtype=bool)
-        for k in self.keys:
-            bloom[bloom_places(k, bits)] = True
+        for at in bloom_places(*(np.array(h, dtype=np.int64) for h in self.hashes), bits):
+            bloom[at] = True
         packed = struct.pack("<Q", bits) + np.packbits(bloom, bitorder="little").tobytes()
         self.out.write(index + packed + FOOTER.pack(self.at, self.at + len(index), self.entries, self.ids, len(self.index), zlib.crc32(index + packed), MAGIC))
 
@@ -170,7 +178,7 @@ class Shard:
     def lookup(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of all entries with this identifier."""
         key = key_bytes(doc_id)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(key, self.bits)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(*bloom_hashes(key), self.bits)):
             return []
         low, high = 0, len(self.index)
         while low < high:  # the first block whose first key isn't below
@@ -188,12 +196,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     """Write docs as shards below folder (a URI all executors reach); a row for each shard.
 
     Returns (shard, path, entries, ids, start): start counts the ids in the shards
-    before. A null text is empty and gives the end id alone; rows with one key are kept,
-    ordered by their texts' checksums and texts. No rows give no shard. Other columns of
-    docs are not used, whatever their names.
+    before. A null text is empty and gives the end id alone; a long text is one entry, in a
+    block of its own. Rows with one key are kept, ordered by their texts' checksums and texts,
+    and so are repeated rows. No rows give no shard. Other columns of docs are not used,
+    whatever their names.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     plain = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     plain = plain.withColumn("c", F.crc32(F.col("t").cast("binary")))
     ordered = plain.repartitionByRange(shards, F.col("k").asc_nulls_first(), "c").sortWithinPartitions(F.col("k").asc_nulls_first(), "c", "t")
