@@ -59,7 +59,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", tie: str | None = "text",
     Counts of the shards differ by one at most. A null key hashes as the text
     'null'; rows with one key and different ties are separate rows; identical rows
     are interchangeable. A hot key's rows are one cell's, ranked in salts by their
-    ties' hashes, so that no task sorts a whole cell. An empty df gives no rows.
+    ties' hashes, so that no task sorts a whole cell. The length of a text plays no part in the law
+    by rows; it is read for its checksum only. An empty df gives no rows.
     Columns named shard or slot are replaced.
     """
     spark = df.sparkSession

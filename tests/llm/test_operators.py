@@ -446,6 +446,30 @@ def test_sharding_moves_little(spark):
     assert sum(one[i] != two[i] for i in one) < 0.5 * len(one)  # dealt anew, 12 of 13 would move
 
 
+def test_shards_are_those_of_a_walk_round_the_ring(spark):
+    """Each key in its turn, from its own place clockwise to the first shard with room."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i % 450 if i % 60 else None, f"t{i % 7}") for i in range(500)], "doc_id long, text string")
+    got = rows(sharding.assign_shards(docs, shards=5, virtual_nodes=8, epochs=3))
+    points = sharding.ring(5, 8)
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    keyed = docs.withColumn("h", h).withColumn("tie", F.xxhash64(F.lit(7), "h", "text")).withColumn("epoch", F.pmod(F.xxhash64(F.lit(11), "h"), F.lit(3)))
+    turns = []
+    for r in rows(keyed):
+        arc = next((k for k, (p, _) in enumerate(points) if p >= r["h"]), 0)
+        turns.append((r["epoch"], arc, r["tie"] % 8, r["tie"], r["doc_id"] or -1, r["text"], r["doc_id"]))
+    filled, want = Counter(), []
+    for _, arc, *_, text, key in sorted(turns, key=lambda t: t[:6]):
+        k = arc
+        while filled[points[k % len(points)][1]] >= 100:
+            k += 1
+        shard = points[k % len(points)][1]
+        want.append((key, text, shard, filled[shard]))
+        filled[shard] += 1
+    assert Counter(want) == Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in got)
+
+
 def test_placing_is_the_ring_walk():
     owners = [0, 1, 2, 0, 1, 2]
     counts = {(0, 0): 10, (0, 3): 1, (1, 2): 4}
