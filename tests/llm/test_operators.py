@@ -133,7 +133,7 @@ def edits(a, b):
     return min(prev)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(3)
     items = [words(rng, 12), words(rng, 9, 10**6), "Tiny q", None, "", "ÄPFEL, Birnen & Nüsse sind reif; wir ernten morgen früh."]
     items += ["".join(rng.choice("abcdefgh ") for _ in range(m)).strip().ljust(m, "k") for m in (8, 9, 10, 13, 15, 19, 20, 24, 29, 30, 31, 37, 40)]
@@ -164,6 +164,9 @@ def test_decontamination(spark):
     kept = decontamination.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+    monkeypatch.setattr(decontamination, "MOST_ITEM_CHARS", 150)  # the benchmark in blocks
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontamination.contaminated_regions(docs, bench))} == want
+    assert {r.doc_id for r in decontamination.remove_contaminated(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontamination.contaminated_regions(docs, bench.limit(0)).count() == 0
     assert decontamination.remove_contaminated(docs.limit(0), bench).count() == 0
 
@@ -732,3 +735,26 @@ def test_pipeline(spark, tmp_path):
     assert len({top[i] for i in ids if sets[i]}) == len([i for i in ids if sets[i]])
     sizes = Counter(r["shard"] for r in out)
     assert max(sizes.values()) - (min(sizes.values()) if len(sizes) == 24 else 0) <= 1
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated keys, repeated rows, null and empty texts, columns that operators use inside; then no documents at all."""
+    import corpus_pipeline
+
+    texts = mixed_texts(18)[:14]
+    made = [(None if i % 5 == 0 else i % 4, t, None if i % 3 else "en", None if i % 4 else "src1") for i, t in enumerate([*texts, *texts[:9]])]
+    for name, some in (("odd", made), ("empty", [])):
+        folder = str(tmp_path / name)
+        docs = spark.createDataFrame([(*r, 1, "r", "k", 2, "s") for r in some], "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size int, shard string")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, "x"), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = docs
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = Scratch(spark).save(f(spark, kept, folder), stage)
+            assert kept.columns == docs.columns
+        out = rows(corpus_pipeline.run(spark, folder))
+        assert {"shard", "slot"} <= set(out[0]) if some else out == []
+        _, top, sets = brute_components(list(range(len(some))), [r[1] for r in some], 5, 80)
+        groups = len({top[i] if sets[i] else ("none", i) for i in range(len(some))})
+        assert 0.5 * groups <= len(out) <= groups
