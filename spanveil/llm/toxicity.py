@@ -220,20 +220,21 @@ class BlockMaxIndex:
             if without >= 0:
                 sums[without] = 0
             floor = float(np.partition(by_block.max(axis=1), -k)[-k]) - margin
-        left = np.flatnonzero((bound > 0) & (bound >= floor))
-        left = left[np.argsort(-bound[left], kind="stable")]
-        step = 8 * k
-        while len(left):
-            part, left = left[:step], left[step:]
+        left = np.flatnonzero(bound >= max(floor, 1e-12))
+        first = 8 * k
+        while len(left):  # the highest bounds first, then all that can still be among the best
+            part = left[np.argpartition(-bound[left], first)[:first]] if len(left) > 2 * first else left
             cos = np.round(sums[part] + self.dense[part] @ q, DIGITS)
-            part, cos = part[cos > 0], cos[cos > 0]
-            best_doc, best_cos = np.concatenate((best_doc, part)), np.concatenate((best_cos, cos))
+            best_doc, best_cos = np.concatenate((best_doc, part[cos > 0])), np.concatenate((best_cos, cos[cos > 0]))
             top = np.lexsort((best_doc, -best_cos))[:k]
             best_doc, best_cos = best_doc[top], best_cos[top]
+            if len(part) == len(left):
+                break
             if len(best_cos) >= k:
                 floor = max(floor, float(best_cos[k - 1]) - margin)
-                left = left[: np.searchsorted(-bound[left], -floor, side="right")]
-            step *= 2
+            bound[part] = -1
+            left = left[bound[left] >= max(floor, 1e-12)]
+            first *= 4
         return best_doc, best_cos
 
 
