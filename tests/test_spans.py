@@ -1,6 +1,7 @@
 """Span operators: golden cases, and folds against plain Python on random spans."""
 
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanveil.api import anonymize_text, load_blacklist, load_entity_types
-from spanveil.functions.catalog import extended, filled
+from spanveil.functions.catalog import REPEATING_LABELS, extended, filled
 from spanveil.functions.folding import find, fold, fold_batch, is_scrap, stopwords
 from spanveil.operators import detect as D
 from spanveil.operators import redact, spans
@@ -263,6 +264,46 @@ def test_a_text_finds_itself(text):
         assert (0, len(text)) in find(text, text) or text.count("-")
 
 
+def plain_pipeline(text, everywhere=False, allowed=("example.org",)):
+    """Rules, numbers, repeats, the never-redact list, the choice and the placeholders, on one text in plain Python."""
+    found = []
+    for k, (label, rule) in enumerate(D.RULES.items()):
+        for i, m in enumerate(re.finditer(rule, text)):
+            found.append([label, k, i, i + 1, m.group(), m.start(), m.end(), 1.0])
+    found = [x for x in found if not (x[0] == "plz" and not re.fullmatch("[1-9][0-9]{3}", x[4].strip()))]
+    wanted = []
+    for x in found:
+        if (everywhere or x[0] in REPEATING_LABELS) and len(x[4].strip()) > 2:
+            wanted.append((x[0], -len(x[4].strip()), x[4].strip()))
+    taken = [(x[5], x[6]) for x in found]
+    for label, _, n in sorted(set(wanted)):
+        places = slow_places(n, text) if everywhere else [(m.start(), m.end()) for m in re.finditer(re.escape(n), text) if not re.match(r"[\w'-]", text[m.start() - 1 : m.start()]) and not re.match(r"[\w'-]", text[m.end() : m.end() + 1])]
+        for a, b in places:
+            if all(b <= c or d <= a for c, d in taken):
+                taken.append((a, b))
+                own = [x for x in found if x[0] == label]
+                found.append([label, own[0][1], max(x[2] for x in own) + 1, max(x[3] for x in own) + 1, text[a:b], a, b, 1.0])
+    found = [x for x in found if not any(w.lower() in x[4].lower() for w in allowed)]
+    out, at = "", 0
+    for x in sorted(found, key=lambda x: (x[5], -x[6], x[1], x[2])):
+        if x[5] >= at:
+            out += text[at : x[5]] + f"[{x[0]}:{x[3]}]"
+            at = x[6]
+    return out + text[at:], sorted((x[0], x[3], x[5], x[6]) for x in found)
+
+
+def test_the_pipeline_matches_plain_python(spark):
+    rng = random.Random(12)
+    pieces = ["ruf 044 555 66 77 an", "044-555-1234", "(044) 555-1234", "a.b@c-d.ch", "x@example.org", "A.B@C-D.CH", "10.2.33.4", "756.1111.2222.33", "CHE-101.202.303", "CH93 0076 2011 6238 5295 7", "ZH 4711", "ZH4711", "https://uster.example/a?b=4711", "1.2.2031", "CHF 1'200.50", "Fr. 45.-", "8610 Uster", "00:1a:2B:3c:4D:5e", "4711", "é😀", "\n", "Straße", "(a.b@c-d.ch)", "xa.b@c-d.ch"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", ", ", "", ". "]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for everywhere in (False, True):
+        got = redact.redact(D.RuleDetector().detect(docs, list(D.RULES)), ["example.org"], everywhere).collect()
+        for r in got:
+            text, spans_ = plain_pipeline(texts[r.doc_id], everywhere)
+            assert sorted((x.label, x.id, x.start, x.end) for x in r.spans) == spans_ and r.redacted_text == text, (everywhere, texts[r.doc_id])
+
+
 def test_rules(spark):
     t = "CH93 0076 2011 6238 5295 7, 756.1234.5678.97, 00:1A:2b:3c:4D:5e, BS 12345, CHE-123.456.789, https://a.ch/x, 01.02.2024, CHF 1'200.50, 4051"
     df = D.RuleDetector().detect(spark.createDataFrame([(1, t)], "doc_id long, text string"), list(D.RULES))
