@@ -466,7 +466,7 @@ RANK = "list_sort(list(x))[CAST(round_even(0.5 * (count(x) - 1), 0) AS INTEGER)
 
 @query(f"SELECT event_type, {RANK} AS p50 FROM (SELECT event_type, value AS x FROM events WHERE value IS NOT NULL) GROUP BY event_type")
 def nearest_rank_p50(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(report.nearest_rank(F.col("value"), 0.5).alias("p50"))
+    return report.nearest_ranks(table(spark, d, "events"), ["event_type"], F.col("value"), 0.5).withColumnRenamed("value", "p50")
 
 
 TOTAL = "(submit_s + queue_s + work_s + collect_s)"

@@ -179,6 +179,13 @@ def test_reports(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double").agg(report.nearest_rank(F.col("v"), 0.5).alias("m")).first()
     assert v.m == 3.0  # rank 1.5 goes to 2
     assert spark.createDataFrame([], "v double").agg(report.nearest_rank(F.col("v"), 0.5).alias("m")).first().m == 0.0
+    rng = random.Random(3)
+    many = {k: [rng.choice((rng.random(), 0.5, None)) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 801), ("d", 4000))}
+    table = spark.createDataFrame([(k, x) for k, xs in many.items() for x in xs] + [("e", None)], "k string, x double")
+    for fraction in (0.0, 0.3, 0.5, 0.95, 1.0):
+        got = {r.k: r.value for r in report.nearest_ranks(table, ["k"], F.col("x"), fraction, 20).collect()}
+        want = {k: sorted(x for x in xs if x is not None) for k, xs in many.items()}
+        assert got == {k: v[round(fraction * (len(v) - 1))] for k, v in want.items() if v}
     polls = spark.createDataFrame([(1, 0.0, "pending"), (1, 3.0, "running"), (1, 7.0, "finished")], "task_id int, ts double, status string")
     r = report.attribute_polls(polls).first()
     assert (r.queue_s, r.work_s, r.polls) == (3.0, 4.0, 3)
