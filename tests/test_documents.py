@@ -163,6 +163,29 @@ def test_marks(spark):
     assert sorted(r.name for r in names if r.id) == ["d1", "d1:1"] and all(len(r.name) == 36 for r in names if not r.id)
 
 
+def test_unnamed_marks_match_plain_python(spark):
+    """In order, each mark goes into the first one before it that covers six tenths of it, or is covered so."""
+    rng = random.Random(9)
+    made = [(rng.randrange(3), i, "", box(rng.randrange(6), rng.randrange(12), rng.randrange(8, 14), rng.randrange(20, 34), rng.choice((1, 1, 2))), rng.choice("xy"), rng.random(), f"t{i}") for i in range(60)]
+
+    def part(a, b):
+        w, h = (max(0.0, min(a[hi], b[hi]) - max(a[lo], b[lo])) for lo, hi in ("lr", "tb"))
+        return w * h / ((a["r"] - a["l"]) * (a["b"] - a["t"])) if a["page_no"] == b["page_no"] else 0.0
+
+    want = []
+    for d, i, _, b, label, c, t in made:
+        twin = next((m for m in want if m["key"] == (d, label) and max(part(m["box"], b), part(b, m["box"])) >= 0.6), None)
+        if twin is None:
+            want.append({"key": (d, label), "ord": i, "box": dict(b), "c": c, "t": t})
+        else:
+            for k, f in (("l", min), ("t", min), ("r", max), ("b", max)):
+                twin["box"][k] = f(twin["box"][k], b[k])
+            twin["c"] = max(twin["c"], c)
+    got = marks.merge_unnamed(spark.createDataFrame(made, marks.MARK)).collect()
+    assert sorted(((r.doc_id, r.label), r.ord, tuple(r.box), r.confidence, r.text) for r in got) == sorted((m["key"], m["ord"], tuple(m["box"][k] for k in ("page_no", "l", "t", "r", "b")), m["c"], m["t"]) for m in want)
+    assert len(got) < len(made)
+
+
 def test_queues(spark):
     t = spark.createDataFrame([("l", "busy", 1), ("l", "busy", 2), ("l", "busy", 3), ("l", "late", 4)], "lane string, client string, seq int")
     order = [r.client for r in Q.fair_order(t).orderBy("queue_position").collect()]

@@ -257,6 +257,25 @@ def test_scraps(spark):
     assert {"fur", "dans", "della", "the"} <= stopwords()
 
 
+def test_scraps_match_plain_python(spark):
+    """Word by word: two letters or digits in a row somewhere, and not function words in small letters alone."""
+    rng = random.Random(15)
+    small = stopwords()
+    parts = ["von", "Von", "è", "die,", "a", "b2", "2b", "-", "«la»", "é", "Ort", "x_y", "'d", "ß", "and"]
+    lists = [["".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(1, 4))) for _ in range(5)] for _ in range(60)]
+    df = spark.createDataFrame([(i, [("l", 0, k, k + 1, t, 0, 1, 1.0) for k, t in enumerate(ts)]) for i, ts in enumerate(lists)], f"doc_id long, spans {D.SPANS}")
+
+    def scrap(t):
+        low = fold(t)[0]
+        if not any(a.isalnum() and b.isalnum() for a, b in zip(low, low[1:], strict=False)):
+            return True
+        return t.islower() and all(w.strip(".,;:!?()[]{}<>«»\"'") in small for w in low.split())
+
+    got = {r.doc_id: [x.text for x in r.spans] for r in spans.drop_scraps(df).collect()}
+    assert got == {i: [t for t in ts if not scrap(t)] for i, ts in enumerate(lists)}
+    assert 40 < sum(map(len, got.values())) < 260
+
+
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.text(alphabet="aéßﬀ -\n.1B", max_size=30))
 def test_a_text_finds_itself(text):
