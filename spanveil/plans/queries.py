@@ -343,6 +343,19 @@ def ocr_dedup(spark, d):
     return layout.drop_read_over_drawn(page_words(spark, d)).select("doc_id", "page_no", "word_idx")
 
 
+#: A document for each part: a text from the bottom left, a table with two cells, a picture that is passed over on a page the document lacks.
+PART_JSON = """'{"pages":{"1":{"page_no":1,"size":{"width":600.0,"height":800.0}}},"texts":[{"prov":[{"page_no":1,"bbox":{"l":' || p_size || '.0,"t":' || (700 - p_size) || '.0,"r":' || (p_size + 50) || '.0,"b":' || (690 - p_size) || '.0,"coord_origin":"BOTTOMLEFT"}}]}],"tables":[{"prov":[{"page_no":1,"bbox":{"l":0.0,"t":300.0,"r":200.0,"b":400.0,"coord_origin":"TOPLEFT"}}],"data":{"table_cells":[{"bbox":{"l":0.0,"t":300.0,"r":100.0,"b":' || (350 + p_size) || '.0,"coord_origin":"TOPLEFT"}},{"bbox":null}]}}],"pictures":[{"prov":[{"page_no":7,"bbox":{"l":0.0,"t":1.0,"r":2.0,"b":3.0,"coord_origin":"TOPLEFT"}}],"annotations":[]}]}'"""
+
+
+@query("SELECT p_partkey AS doc_id, k AS region_idx, [p_size, 0, 0][k + 1]::DOUBLE AS l, [100 + p_size, 300, 300][k + 1]::DOUBLE AS t, [p_size + 50, 200, 100][k + 1]::DOUBLE AS r, [110 + p_size, 400, 350 + p_size][k + 1]::DOUBLE AS b FROM (SELECT *, unnest([0, 1, 2]) AS k FROM part)")
+def layout_regions(spark, d):
+    """Regions of converted documents, read from their JSON."""
+    from ..sources import layout as source
+
+    made = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(PART_JSON).alias("document"))
+    return source.regions(source.parsed(made)).select("doc_id", "region_idx", "box.l", "box.t", "box.r", "box.b")
+
+
 def units(spark: SparkSession, d: str) -> DataFrame:
     words = written(page_words(spark, d))
     kept = layout.drop_read_over_drawn(words).withColumn("hidden", ~(F.col("drawn") | F.col("read")))

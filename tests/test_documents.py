@@ -110,6 +110,31 @@ def test_regions_lines_and_reading(spark):
     assert {tuple(r) for r in layout.incomplete_pages(pages, w).collect()} == {(1, 2), (2, 0)}
 
 
+def test_layout_of_a_converter(spark):
+    import json
+
+    from spanveil.sources import layout as source
+
+    low = {"l": 10.0, "t": 90.0, "r": 50.0, "b": 70.0, "coord_origin": "BOTTOMLEFT"}
+    high = {"l": 1.0, "t": 2.0, "r": 3.0, "b": 4.0, "coord_origin": "TOPLEFT"}
+    seen = [{"kind": "classification", "predicted_classes": [{"class_name": "signature", "confidence": 0.3}, {"class_name": "logo", "confidence": 0.6}]}]
+    document = {"pages": {"1": {"page_no": 1, "size": {"width": 80, "height": 100}}}, "texts": [{"prov": [{"page_no": 1, "bbox": low}]}, {"prov": []}], "tables": [{"prov": [{"page_no": 1, "bbox": high}], "data": {"table_cells": [{"bbox": low}, {"bbox": None}]}}], "pictures": [{"prov": [{"page_no": 1, "bbox": high}, {"page_no": 2, "bbox": high}], "annotations": seen}]}
+
+    def rect(x, y, w, h, origin):
+        return {"r_x0": x, "r_y0": y, "r_x1": x + w, "r_y1": y, "r_x2": x + w, "r_y2": y + h, "r_x3": x, "r_y3": y + h, "coord_origin": origin}
+
+    cells = [{"rect": rect(10, 80, 20, 10, "BOTTOMLEFT"), "text": "Vogt", "from_ocr": False, "rendering_mode": 0}, {"rect": rect(1, 1, 1, 1, "TOPLEFT"), "text": " \u00a0", "from_ocr": False}, {"rect": rect(5, 6, 7, 8, "TOPLEFT"), "text": "Amt", "from_ocr": True}, {"rect": rect(5, 6, 7, 8, "TOPLEFT"), "text": "unseen", "rendering_mode": 3}]
+    pages = {"1": {"dimension": {"rect": rect(0, 0, 80, 100, "BOTTOMLEFT")}, "textline_cells": [{"rect": rect(0, 75, 80, 20, "BOTTOMLEFT")}], "word_cells": cells}}
+    df = spark.createDataFrame([(1, json.dumps(document), json.dumps(pages)), (2, None, None), (3, "{", "[]")], "doc_id long, document string, pages string")
+    known = source.parsed(df)
+    assert [(r.doc_id, r.region_idx, tuple(r.box)) for r in source.regions(known).orderBy("region_idx").collect()] == [(1, 0, (1, 10.0, 10.0, 50.0, 30.0)), (1, 1, (1, 1.0, 2.0, 3.0, 4.0)), (1, 2, (1, 10.0, 10.0, 50.0, 30.0)), (1, 3, (1, 1.0, 2.0, 3.0, 4.0))]
+    pictures = source.pictures(known)
+    assert [(tuple(r.box), r.classes) for r in pictures.collect()] == [((1, 1.0, 2.0, 3.0, 4.0), {"signature": 0.3, "logo": 0.6})] and layout.picture_marks(pictures).first().confidence == 0.3
+    found, lines = source.cells(df)
+    assert {(r.word_idx, r.text, tuple(r.box), r.drawn, r.read) for r in found.collect()} == {(0, "Vogt", (1, 10.0, 10.0, 30.0, 20.0), True, False), (2, "Amt", (1, 5.0, 6.0, 12.0, 14.0), True, True), (3, "unseen", (1, 5.0, 6.0, 12.0, 14.0), False, False)}
+    assert [tuple(r.box) for r in lines.collect()] == [(1, 0.0, 5.0, 80.0, 25.0)]
+
+
 def test_boxes(spark):
     r = layout.text_units(words(spark, [["Runa", "Zumbrunn"]])).withColumn("b", layout.bars(layout.touched_boxes(F.col("words"), F.lit(0), F.lit(13)))).first()
     by = 1 + 0.15 * 12
