@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -64,3 +64,15 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
 
     numbered = drawn.unionByName(spots).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))).drop("o")
     return marks.annotations(marks.merge_marks(numbered))
+
+
+def annotate_documents(reviewed: DataFrame, pages: DataFrame, at: Column | None = None, author: str = "spanveil") -> tuple[DataFrame, DataFrame]:
+    """Annotation records for reviewed marks, and the documents refused for a mark past their last page.
+
+    reviewed: doc_id, ord, id, label, confidence, text, boxes, overlay. pages: doc_id, page_no, rotation, left, bottom, width, height.
+    at: the annotations' time, now if not given.
+    """
+    each = marks.reviewed(reviewed)
+    refused = marks.past_the_end(each, pages.groupBy("doc_id").agg(F.max("page_no").alias("pages")))
+    placed = each.join(refused.select("doc_id"), "doc_id", "left_anti").withColumn("page_no", F.col("box.page_no")).join(pages, ["doc_id", "page_no"]).drop("page_no")
+    return marks.records(placed.withColumn("at", F.current_timestamp() if at is None else at), author), refused

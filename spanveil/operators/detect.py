@@ -6,6 +6,7 @@ rows. Rules find shapes and have confidence 1.0; they are no model.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -125,6 +126,26 @@ class CallableDetector:
         return found.withColumn("spans", F.concat(*each)).drop("_found")
 
 
+class ServiceDetector(CallableDetector):
+    """A model behind a task service: each Arrow batch of texts is one task, submitted, polled until it ends, and fetched.
+
+    submit(texts, types, threshold) gives a task; poll(task) gives "success", "failure", or anything else while it
+    runs; fetch(task) gives what a CallableDetector's function does. All three run on executors; a failed or
+    overdue task fails the Spark task, which is then run again.
+    """
+
+    def __init__(self, submit: Callable, poll: Callable, fetch: Callable, interval: float = 1.0, timeout: float = 3600.0):
+        def fn(texts: list[str], types: list[str], threshold: float) -> list[list[tuple[str, int, int, float]]]:
+            task, end = submit(texts, types, threshold), time.monotonic() + timeout
+            while (state := poll(task)) != "success":
+                if state == "failure" or time.monotonic() > end:
+                    raise RuntimeError(f"detection task {task}: {state}")
+                time.sleep(interval)
+            return fetch(task)
+
+        super().__init__(fn)
+
+
 def gazetteer(words: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Rows (doc_id, word, n) for words of a list (``word``) that are words of a document, by an equi-join on words."""
     tokens = docs.select("doc_id", F.explode(F.split("text", r"[^A-Za-z0-9#]+")).alias("word")).where("word <> ''")

@@ -211,6 +211,17 @@ def test_unnamed_marks_match_plain_python(spark):
     assert len(got) < len(made)
 
 
+def test_annotating_documents(spark):
+    from spanveil.api import annotate_documents
+
+    reviewed = spark.createDataFrame([(1, 1, "d1", "person", 0.9, "Vogt", [box(10, 20), box(40, 20)], ""), (1, 2, "", "signature", 0.3, "", [box(5, 5)], "x"), (2, 1, "d1", "ort", 0.8, "Uster", [box(1, 1, page=4)], "")], f"doc_id long, ord int, id string, label string, confidence double, text string, boxes array<{G.BOX}>, overlay string")
+    pages = spark.createDataFrame([(d, 1, 0, 0.0, 0.0, 200.0, 100.0) for d in (1, 2)], "doc_id long, page_no int, rotation int, left double, bottom double, width double, height double")
+    records, refused = annotate_documents(reviewed, pages, F.lit("2031-05-03 10:00:00").cast("timestamp"))
+    got = sorted(records.collect(), key=lambda r: (r.subj, r.rect))
+    assert [(r.doc_id, r.page_no, r.subj, r.rect, r.created) for r in got] == [(1, 1, "Schwärzung: person", [20.0, 48.0, 60.0, 60.0], "D:20310503100000Z"), (1, 1, "Schwärzung: person", [20.0, 78.0, 60.0, 90.0], "D:20310503100000Z"), (1, 1, "Schwärzung: signature", [5.0, 83.0, 45.0, 95.0], "D:20310503100000Z")]
+    assert sorted(r.nm for r in got if r.subj.endswith("person")) == ["d1", "d1:1"] and [(r.doc_id, r.page_no) for r in refused.collect()] == [(2, 4)]
+
+
 def test_queues(spark):
     t = spark.createDataFrame([("l", "busy", 1), ("l", "busy", 2), ("l", "busy", 3), ("l", "late", 4)], "lane string, client string, seq int")
     order = [r.client for r in Q.fair_order(t).orderBy("queue_position").collect()]

@@ -337,6 +337,8 @@ def test_detectors(spark):
     model = D.CallableDetector(lambda texts, types, threshold: [[("person", 5, 13, 0.9), ("person", 0, 4, 0.1), ("ort", 0, 1, 0.9)] if t else [] for t in texts])
     got = {r.doc_id: r.spans for r in model.detect(docs, ["person"], 0.8).collect()}
     assert [tuple(s)[3:7] for s in got[1]] == [(1, "Zgraggen", 5, 13)] and got[2] == []
+    service = D.ServiceDetector(lambda texts, types, threshold: [len(t) for t in texts], lambda task: "success", lambda task: [[("ort", 0, n, 0.9)] if n else [] for n in task])
+    assert {r.doc_id: [x.text for x in r.spans] for r in service.detect(docs, ["ort"], 0.8).collect()} == {1: ["Frau Zgraggen"], 2: []}
     ready = spark.createDataFrame([(1, "person", 0, "Zgraggen", 5, 13, 0.9), (1, "person", 1, "Frau", 0, 4, 0.85), (1, "person", 2, "x", 0, 4, 0.2)], "doc_id long, label string, pos int, text string, start int, end int, confidence double")
     got = {r.doc_id: [(s.id, s.text) for s in r.spans] for r in D.TableDetector(ready).detect(docs, ["ort", "person"]).collect()}
     assert got == {1: [(1, "Zgraggen"), (2, "Frau")], 2: []}
