@@ -117,8 +117,8 @@ class Vocabulary:
         self._look()
 
     def _look(self) -> None:
-        """Where the hashes with each leading 22 bits begin."""
-        self.first = np.append(0, np.cumsum(np.bincount((self.hashes >> np.uint64(42)).astype(np.int64), minlength=1 << 22))).astype(np.int32)
+        """Where the hashes with each leading 20 bits begin."""
+        self.first = np.append(0, np.cumsum(np.bincount((self.hashes >> np.uint64(44)).astype(np.int64), minlength=1 << 20))).astype(np.int32)
 
     def __getstate__(self):
         return self.hashes, self.weight
@@ -130,7 +130,7 @@ class Vocabulary:
     def number(self, h: np.ndarray) -> np.ndarray:
         """Each hash's number, -1 for what is no term."""
         out = np.full(len(h), -1, dtype=np.int64)
-        lead = (h >> np.uint64(42)).astype(np.int64)
+        lead = (h >> np.uint64(44)).astype(np.int64)
         at, end, left = self.first[lead], self.first[lead + 1], np.arange(len(h))
         while len(left):
             some = at[left] < end[left]
