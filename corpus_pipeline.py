@@ -15,6 +15,13 @@ from spanveil.llm.common import Scratch, table, utf8_bytes
 
 #: Four fifths of the tokens left, none twice: repeats would undo the join's work.
 SHARE, MAX_EPOCHS = 0.8, 1
+#: Rows of an Arrow batch: a batch of whole texts is held by the JVM and by Python.
+ROWS_IN_BATCH = "1000"
+
+
+def _lean(spark: SparkSession) -> Scratch:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN_BATCH)
+    return Scratch(spark)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +30,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The examples' texts come from the documents table, so that the stage judges any subset by
     the same examples; labels of the held-out fifth are not learned from.
     """
-    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), Scratch(spark), ~toxicity.held_out())
+    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), _lean(spark), ~toxicity.held_out())
     return toxicity.remove_toxic(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component under Jaccard of 5-word shingles at 0.8: that with the least doc_id."""
-    return ngram_join.keep_one(docs, Scratch(spark), 5, 80)
+    return ngram_join.keep_one(docs, _lean(spark), 5, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's rows, each as often as it is taken; sizes are byte-level tokens."""
-    scratch = Scratch(spark)
+    scratch = _lean(spark)
     names = docs.columns
     sized = scratch.save(token_counts.with_token_counts(docs).withColumnRenamed("n_tokens", "_n"), "mixing-docs")
     levels = {"domain": mixing.domain_of_source(), "lang": F.col("lang"), "source": F.col("source")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -65,12 +66,19 @@ class Scratch:
         store.delete(path, True)
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system: a Python worker stays, and would keep what its task once took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def slices(batches, rows: int = 256):
-    """Arrow batches in slices of few rows, so that a task holds few texts as Python strings; memory of the batches is given back at the end."""
+    """Arrow batches in slices of few rows, so that a task holds few texts as Python strings; free memory is given back at the end."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def utf8_bytes(text: str | Column) -> Column:

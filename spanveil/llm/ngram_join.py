@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, components, mix, shingle_sets, slices, table
+from .common import Scratch, components, give_back, mix, shingle_sets, slices, table
 
 ROUTES, MOST_IN_BUCKET, MOST_BROADCAST = 4, 20_000, 200_000
 #: Bits of a cell's number: the least, to which one is added for each doubling of the input above CELL_BYTES, and the most.
@@ -411,6 +411,8 @@ def _bucket_links(routes: DataFrame, sets: DataFrame, num: int) -> DataFrame:
         frame = frame.sort_by("sig")
         sig, comp = frame.column("sig").to_numpy(), frame.column("comp").to_numpy()
         found = link([np.frombuffer(t, dtype=np.uint64) for t in frame.column("tokens").to_pylist()], comp, num) if len(sig) > 1 else []
+        if len(sig) > 1000:
+            give_back()
         return pa.table({"a": pa.array(sig[[i for i, _ in found]], pa.int64()), "b": pa.array(sig[[j for _, j in found]], pa.int64())})
 
     return rows.groupBy("bucket", "block").applyInArrow(linked, "a long, b long")

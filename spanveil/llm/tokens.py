@@ -35,7 +35,7 @@ CLASSES = _classes()
 PLAIN = CLASSES != STRANGE
 CODES = mix(np.arange(len(CLASSES), dtype=np.uint64) * BASE + np.uint64(1))
 #: The most words that a worker keeps before it starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000
 
 
 def letters_after_quote(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
