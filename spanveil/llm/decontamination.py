@@ -178,7 +178,10 @@ class Grams:
             first = np.searchsorted(text_of, mine[:, 0], "left") + 1  # without the spaces around the text
             stop = np.searchsorted(text_of, mine[:, 0], "right") - 1
             w = int(self.budget[i]) + 1
-            begin, end, edits = align(self.codes[i], codes, mine[:, 2] * w, first, stop, 2 * w)
+            begin, end, edits = exact(self.codes[i], codes, mine[:, 2] * w, first, stop, 2 * w)
+            left = np.flatnonzero(edits)  # an exact place in the band has the fewest edits of all
+            if len(left):
+                begin[left], end[left], edits[left] = align(self.codes[i], codes, mine[left, 2] * w, first[left], stop[left], 2 * w)
             good = np.flatnonzero((edits < w) & (end > begin))
             good = good[np.lexsort((end[good], edits[good], begin[good], mine[good, 0]))]
             last = (-1, -1)
@@ -190,6 +193,20 @@ class Grams:
         return out
 
 
+def exact(item: np.ndarray, codes: np.ndarray, low: np.ndarray, first: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each band the first place of the item in it without any edit: (start, end, 0), or edits of 1 where there is none."""
+    part, n = item.astype("<u4").tobytes(), len(item)
+    start, found = np.zeros(len(low), dtype=np.int64), np.ones(len(low), dtype=np.int64)
+    for r, (a, b) in enumerate(zip(np.maximum(low, first).tolist(), np.minimum(low + width + n - 1, stop).tolist(), strict=True)):
+        whole = codes[a:b].astype("<u4").tobytes() if b - a >= n else b""
+        at = whole.find(part)
+        while at % 4 and at >= 0:
+            at = whole.find(part, at + 1)
+        if at >= 0:
+            start[r], found[r] = a + at // 4, 0
+    return start, start + n, found
+
+
 #: Bands that are aligned side by side.
 TOGETHER = 4096
 
