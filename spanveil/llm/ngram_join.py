@@ -247,7 +247,10 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["key", "size", "sig", "first"])
 
     signs = scratch.save(plain.mapInArrow(signed, f"key {kind}, size long, sig long, first array<long>"), "signs")
-    classes = scratch.save(signs.where("size > 0").groupBy("sig", "size").agg(F.min("key").alias("least"), F.first("first").alias("first")), "classes")
+    classes = scratch.save(signs.where("size > 0").groupBy("sig", "size").agg(F.min("key").alias("least"), F.first("first").alias("first")), "classes-first")
+    # The lists of first shingles are the large part of these tables: each goes when no step needs its lists any more.
+    signs = scratch.save(signs.drop("first"), "signed")
+    scratch.drop("signs")
     # A class needs slack(least size that links) shared shingles among its first ones.
     size = F.col("size")
     least_size = F.ceil(size * num / 100)
@@ -265,9 +268,13 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
         if now == left or not now or step >= 4:  # each round is exact; more only find less to drop
             break
         left = now
+    classes = scratch.save(classes.select("sig", "least"), "classes")
+    scratch.drop("classes-first")  # at least one round has made a table of its own
     each = live.select("sig", F.posexplode("first").alias("pos", "token"))
     twice = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = scratch.save(each.join(twice, "token"), "shared")
+    live = scratch.save(live.select("sig", "size", "least"), "live")
+    scratch.drop(f"live-{step - 1}")
     # Sets of the classes left, one for each class: rows of the class's least key, found by a join of narrow rows.
     near = live.select("sig", "size", "least")
     near = F.broadcast(near) if now <= MOST_BROADCAST else near
@@ -359,7 +366,7 @@ def _join(docs: DataFrame, scratch: Scratch, n: int, num: int, key: str, text: s
     of_class = scratch.save(least, "of-class")
     for name in ("classes", "shared", "sets", "routes", "of-live", "walkers", "edges-1", "edges-2"):
         scratch.drop(name)
-    return signs.drop("first"), of_class
+    return signs, of_class
 
 
 def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 3, num: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
