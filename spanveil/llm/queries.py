@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, ngram_join, quality, sharding, sstable, suffix_dedup, token_counts, toxicity
+from . import decontamination, line_rules, mixing, ngram_join, pieces, quality, sharding, sstable, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 #: The others have tokenizers, models, rings, tries or alignments in them; tests hold them against brute force.
