@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, ngram_join, pieces, quality, sharding, sstable, suffix_dedup, token_counts, toxicity
+from . import alignment, decontamination, line_rules, mixing, ngram_join, phrases, pieces, quality, sharding, sstable, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_phrases": phrases.op12_phrases,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 #: The others have tokenizers, models, rings, tries or alignments in them; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}

@@ -96,7 +96,7 @@ def pretokens(codes: np.ndarray, ends: np.ndarray, spaced: bool) -> tuple[np.nda
 class Encoder:
     """Ids, or their number, for batches of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -105,6 +105,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.library.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         self.special = [t["content"] for t in form["added_tokens"]]
@@ -221,11 +222,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = Encoder(path, special_as_text)
+    return _ENCODERS[path, special_as_text]
