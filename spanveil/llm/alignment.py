@@ -30,6 +30,8 @@ from .tokens import encoder
 
 #: Bytes of text that are aligned together; pairs that may be broadcast (16 bytes each).
 RUN_BYTES, MOST_PAIRS = 1 << 20, 2_000_000
+#: Links up to which a group is short.
+SHORT = 1024
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 ALIGN = """
@@ -38,12 +40,19 @@ select doc, id, e, 1 + coalesce(sum(same) over (order by e rows between unbounde
 from (select a.doc, a.id, a.e, (a.e = b.e)::int as same from a asof join b on a.e <= b.e);
 create or replace temp table gb as
 select id, e, 1 + coalesce(sum(same) over (order by e rows between unbounded preceding and 1 preceding), 0)::bigint as g
-from (select b.id, b.e, (a.e = b.e)::int as same from b asof join a on b.e <= a.e);
+from (select b.id, b.e, (a.e = b.e)::int as same from b asof join a on b.e <= a.e)
+"""
+#: Links of short groups pair by pair, and of groups of any length by their distinct ids.
+EACH = """
+create or replace temp table links as
+select doc, x.id::bigint << 20 | y.id::bigint as pair, count(*)::bigint as m from ga x join gb y using (g) group by all
+"""
+DISTINCT = """
 create or replace temp table links as
 select doc, pair, sum(m)::bigint as m from (
-  select x.doc, x.id << 20 | y.id as pair, x.m * y.m as m
-  from (select doc, g, id::bigint as id, count(*) as m from ga group by all) x
-  join (select g, id::bigint as id, count(*) as m from gb group by all) y using (g)) group by all
+  select x.doc, x.id::bigint << 20 | y.id::bigint as pair, x.m * y.m as m
+  from (select doc, g, id, count(*) as m from ga group by all) x
+  join (select g, id, count(*) as m from gb group by all) y using (g)) group by all
 """
 
 
@@ -106,6 +115,9 @@ class Aligner:
         spaced = [" " + t if t else "" for t in texts]
         a, b = self.a.encoder.encode(spaced), self.b.encode([t or "" for t in texts])
         none = np.empty(0, np.int64)
+        whole = "".join(spaced).encode()
+        if all(map(len, a)) and self.a.joined(np.concatenate(a)) == whole == self.b.joined(np.concatenate(b)) and not any("▁" in s for s in spaced):
+            return a, b
         for k, s in enumerate(spaced):
             body = s.encode()
             if not body or self.a.joined(a[k]) != body or self.b.joined(b[k]) != body:
@@ -123,12 +135,13 @@ class Aligner:
         ids = [np.concatenate(side).astype(np.int64) for side in (a, b)]
         for name, i, size, count in (("a", ids[0], self.a.size, na), ("b", ids[1], self.b.byte_size, nb)):
             e = np.cumsum(size[i])
-            self.db.register(f"{name}_in", pa.table({"doc": np.repeat(np.arange(n), count), "id": i, "s": e - size[i], "e": e}))
+            self.db.register(f"{name}_in", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), count), "id": i.astype(np.int32), "s": (e - size[i]).astype(np.int32), "e": e.astype(np.int32)}))
             self.db.execute(f"create or replace temp table {name} as select * from {name}_in")
             self.db.unregister(f"{name}_in")
         for step in ALIGN.split(";\n"):
             self.db.execute(step)
         ga, gb = (self.db.execute(f"select g from {t} order by e").fetchnumpy()["g"] for t in ("ga", "gb"))
+        self.db.execute(EACH if (np.bincount(ga) * np.bincount(gb)).max() <= SHORT else DISTINCT)
         links = self.db.execute("select doc, pair, m from links order by doc, pair").fetchnumpy()
         part = self.db.execute("select pair, count(*) as n from links group by pair").fetchnumpy()
         first = np.searchsorted(links["doc"], np.arange(n + 1))
@@ -147,7 +160,8 @@ class Aligner:
         order[at_a], order[at_b] = ids[0], ids[1]
         width = self.width[order]
         stop = np.cumsum(width)
-        body = self.digits[np.repeat(self.at[order] - (stop - width), width) + np.arange(int(stop[-1]))]
+        small = np.int32 if stop[-1] < 1 << 31 else np.int64
+        body = self.digits[np.repeat((self.at[order] - (stop - width)).astype(small), width) + np.arange(int(stop[-1]), dtype=small)]
         head = stop - width
         body[head[at_a[np.append(True, ga[1:] != ga[:-1])]]] = ord(";")
         body[head[at_b[np.append(True, gb[1:] != gb[:-1])]]] = ord("|")

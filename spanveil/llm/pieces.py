@@ -25,8 +25,8 @@ from .common import BASE, mix, prefix_hash, slices, span_hash, table
 #: Fixed values of the format: the space's sign, the types of pieces.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: The most strings that a worker keeps before it starts anew.
-MOST_STRINGS = 400_000
+#: The most strings, and checked pairs of pieces, that a worker keeps before it starts anew.
+MOST_STRINGS, MOST_PAIRS = 1_000_000, 500_000
 #: Characters below this have their pairs in a square table.
 SQUARE = 1024
 
@@ -48,7 +48,8 @@ class Model:
         self.begins_with_space = normal.add_dummy_prefix
         self.text = [p.piece for p in form.pieces]
         self.ids = {p.piece: i for i, p in enumerate(form.pieces) if p.type == NORMAL}
-        self.score = [p.score for p in form.pieces]
+        self.score = {p.piece: p.score for p in form.pieces if p.type == NORMAL}
+        self.shorter: dict[int, int] = {}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(form.pieces) if p.type == BYTE}
         self.known = {c for s in self.ids for c in s}
         #: What each id stands for in a text, as bytes; control pieces stand for nothing.
@@ -62,21 +63,17 @@ class Model:
 
     def merged(self, s: str) -> list[int]:
         """Ids of a short string by its merges: the best score first, the leftmost of equal ones."""
-        parts, ids, score = list(s), self.ids, self.score
-        found = [ids.get(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            at, best = -1, 0.0
-            for k, i in enumerate(found):
-                if i >= 0 and (at < 0 or score[i] > best):
-                    at, best = k, score[i]
-            if at < 0:
-                return [ids[p] for p in parts]
+        parts, score, none = list(s), self.score.get, float("-inf")
+        found = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (best := max(found)) > none:
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del found[at]
             if at:
-                found[at - 1] = ids.get(parts[at - 1] + parts[at], -1)
+                found[at - 1] = score(parts[at - 1] + parts[at], none)
             if at < len(found):
-                found[at] = ids.get(parts[at] + parts[at + 1], -1)
+                found[at] = score(parts[at] + parts[at + 1], none)
+        return [self.ids[p] for p in parts]
 
     def alone(self, i: int) -> bool:
         """Whether a piece's characters merge to the piece itself."""
@@ -89,7 +86,7 @@ class Model:
         """Whether two neighbours, merged again from their characters, stay as they are."""
         got = self._beside.get(a << 20 | b)
         if got is None:
-            if len(self._beside) > 4 * MOST_STRINGS:
+            if len(self._beside) > MOST_PAIRS:
                 self._beside.clear()
             got = self._beside[a << 20 | b] = self.merged(self.text[a] + self.text[b]) == [a, b]
         return got
@@ -105,34 +102,36 @@ class Model:
         for end, (i, size) in self._machine.iter(s):
             longest[end - size + 1] = i  # ends ascend, so the last is the longest
         failed, out, starts, at = bytearray(n // 8 + 1), [], [], 0
-        i = longest[0]
+        text, shorter, beside = self.text, self._shorter, self._beside
+        i, last = longest[0], -1
         while True:
-            last = out[-1] if out else -1
             while i >= 0:
-                end = at + len(self.text[i])
-                if not failed[end >> 3] >> (end & 7) & 1 and (self.compatible(last, i) if out else self.alone(i)):
-                    break
-                i = self._shorter(i)
+                end = at + len(text[i])
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = beside.get(last << 20 | i) if out else self.alone(i)
+                    if fits or fits is None and self.compatible(last, i):
+                        break
+                i = shorter(i)
             if i >= 0:
                 out.append(i)
-                starts.append(at)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                i = longest[at]
+                starts.append(at)
+                at, last, i = end, i, longest[end]
             elif out:
                 failed[at >> 3] |= 1 << (at & 7)
-                i, at = self._shorter(out.pop()), starts.pop()
-            else:  # no piece-wise compatible sequence: scores are tied in ways that merges alone decide
+                i, at = shorter(out.pop()), starts.pop()
+                last = out[-1] if out else -1
+            else:  # no sequence of compatible neighbours: scores are tied in a way that merges alone decide
                 return self.merged(s)
 
     def _shorter(self, i: int) -> int:
         """The longest piece that is a proper beginning of a piece; -1 for none."""
-        s = self.text[i]
-        for k in range(len(s) - 1, 0, -1):
-            if (j := self.ids.get(s[:k])) is not None:
-                return j
-        return -1
+        got = self.shorter.get(i)
+        if got is None:
+            s = self.text[i]
+            got = self.shorter[i] = next((self.ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.ids), -1)
+        return got
 
 
 def _code(chars) -> np.ndarray:
