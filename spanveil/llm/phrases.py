@@ -26,8 +26,12 @@ from .common import BYTE_CODES, LOWER, Scratch, prefix_hash, slices, span_hash,
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 SCALE = 2_000_000
 #: Bytes of text in a shard; rows that may be broadcast; expanded block pairs at once; parts into which a hot word or language is dealt.
-SHARD_BYTES, MOST_BROADCAST, AT_ONCE, SALTS = 2 << 20, 200_000, 1 << 20, 16
+SHARD_BYTES, MOST_BROADCAST, AT_ONCE, SALTS = 4 << 20, 200_000, 1 << 20, 16
 BITS = 16
+#: Pairs that may be broadcast (16 bytes each).
+MOST_PAIRS = 1_000_000
+#: The longest gap between blocks that an entry holds.
+GAP = 65535
 
 #: Bytes that part words, and those that part pieces.
 BLANK, STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -59,13 +63,28 @@ def bitmaps(which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which[head], block[head], np.bitwise_or.reduceat(bit, head)
 
 
+def pack(block: np.ndarray, bits: np.ndarray) -> bytes:
+    """A bitmap as (gap to the block before, bits) of 16 bits each; empty blocks bridge gaps that are too long."""
+    gap = np.diff(block.astype(np.int64), prepend=0)
+    fill = (gap // GAP).astype(np.int64)
+    if fill.any():
+        at = np.cumsum(fill + 1) - 1
+        gaps, full = np.full(int(at[-1]) + 1, GAP, np.uint16), np.zeros(int(at[-1]) + 1, np.uint16)
+        gaps[at], full[at] = gap % GAP, bits
+        return gaps.tobytes() + full.tobytes()
+    return gap.astype(np.uint16).tobytes() + bits.tobytes()
+
+
 class Shard:
     """The bitmaps of a shard's words, by block."""
 
     def __init__(self, words: np.ndarray, packed: list[bytes]):
-        sizes = np.array([len(p) // 6 for p in packed], dtype=np.int64)
-        block = np.frombuffer(b"".join(p[: 4 * n] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint32).astype(np.int64)
-        bits = np.frombuffer(b"".join(p[4 * n :] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint16)
+        sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        gap = np.frombuffer(b"".join(p[: 2 * n] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint16)
+        bits = np.frombuffer(b"".join(p[2 * n :] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint16)
+        sums = np.append(0, np.cumsum(gap, dtype=np.int64))
+        begin = np.cumsum(sizes) - sizes
+        block = sums[1:] - np.repeat(sums[begin], sizes)
         self.words = words
         self.own = (np.repeat(np.arange(len(words)), sizes), block, bits)  # by word
         order = np.argsort(block, kind="stable")
@@ -132,7 +151,7 @@ def word_bitmaps(docs: DataFrame, text: str, lang: str) -> DataFrame:
         if words:
             word, block, bits = bitmaps(which, place)
             head = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)).tolist()
-            packed = [block[a:b].tobytes() + bits[a:b].tobytes() for a, b in zip(head, head[1:], strict=False)]
+            packed = [pack(block[a:b], bits[a:b]) for a, b in zip(head, head[1:], strict=False)]
             n = len(words)
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, shard)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.bincount(which)), pa.array(packed, pa.binary())], ["lang", "shard", "word", "n", "bitmap"])
 
@@ -184,29 +203,49 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang
         a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table({"shard": np.full(len(a), key[0].as_py(), dtype=np.int64), "w1": a, "w2": b, "n": n})
 
-    pairs = scratch.save(live.groupBy("shard").applyInArrow(count_pairs, "shard long, w1 long, w2 long, n long"), "phrase-pairs")
+    pairs = live.groupBy("shard").applyInArrow(count_pairs, "shard long, w1 long, w2 long, n long")
     often = scratch.save(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-often")
-    allowed = pairs.select("shard", "w1", "w2").join(F.broadcast(often) if _small(often) else often, ["w1", "w2"]).select("shard", "w1", "w2").distinct()
-
-    def count_longer(key, left, right):
-        a, b = right.column("w1").to_numpy(), right.column("w2").to_numpy()
-        known = np.unique(np.concatenate((a, b)))
-        ids = left.column("id").to_numpy()
-        used = np.flatnonzero(np.isin(ids, known))
-        s = opened(left.take(pa.array(used[np.argsort(ids[used])])))
-        pair = np.sort(np.searchsorted(s.words, a) * len(s.words) + np.searchsorted(s.words, b))
-        out, counts = [], []
-        for phrase, n in s.phrases(pair, longest):
-            out.extend(s.words[phrase].tolist())
+
+    def longer(shard: Shard, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        """Longer phrases of a shard whose pairs are all among (a, b)."""
+        ids = shard.words
+        if len(ids):
+            first, second = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
+            both = (ids[first] == a) & (ids[second] == b)
+            allowed = np.unique(first[both] * len(ids) + second[both])
+        out, counts = [pa.array([], pa.list_(pa.int64()))], [np.empty(0, np.int64)]
+        for phrase, n in shard.phrases(allowed, longest) if len(ids) else ():
+            out.append(pa.FixedSizeListArray.from_arrays(pa.array(ids[phrase].ravel()), phrase.shape[1]).cast(pa.list_(pa.int64())))
             counts.append(n)
-        return pa.table({"ids": pa.array(out, pa.list_(pa.int64())), "n": np.concatenate(counts) if counts else np.empty(0, np.int64)})
+        return pa.table({"ids": pa.chunked_array(out), "n": np.concatenate(counts)})
+
+    def used(t: pa.Table, known: np.ndarray) -> Shard:
+        ids = t.column("id").to_numpy()
+        some = np.flatnonzero(np.isin(ids, known))
+        return opened(t.take(pa.array(some[np.argsort(ids[some])])))
+
+    def longer_of(live: DataFrame) -> DataFrame:
+        if often.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
+            t = often.select("w1", "w2").toArrow()
+            shared = live.sparkSession.sparkContext.broadcast((t.column("w1").to_numpy(), t.column("w2").to_numpy()))
+
+            def by_all(t):
+                a, b = shared.value
+                return longer(used(t, np.unique(np.concatenate((a, b)))), a, b)
+
+            return live.groupBy("shard").applyInArrow(by_all, "ids array<long>, n long")
+
+        def by_own(left, right):
+            a, b = right.column("w1").to_numpy(), right.column("w2").to_numpy()
+            return longer(used(left, np.unique(np.concatenate((a, b)))), a, b)
+
+        own = pairs.select("shard", "w1", "w2").join(often, ["w1", "w2"], "left_semi").distinct()
+        return live.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(by_own, "ids array<long>, n long")
 
     two = often.select(F.array("w1", "w2").alias("ids"), "a")
     if longest > 2:
-        long = live.groupBy("shard").cogroup(allowed.groupBy("shard")).applyInArrow(count_longer, "ids array<long>, n long")
-        two = two.unionByName(long.groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+        two = two.unionByName(longer_of(live).groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     found = scratch.save(two, "phrase-found")
-    scratch.drop("phrase-pairs")
     scratch.drop("phrase-live")
     return words, totals, found
 

@@ -49,7 +49,9 @@ def corpus(seed, n=400):
 def test_equal_to_plain_counting(spark, monkeypatch, shard, most, at_once, top):
     monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
     monkeypatch.setattr(phrases, "MOST_BROADCAST", most)
+    monkeypatch.setattr(phrases, "MOST_PAIRS", most)
     monkeypatch.setattr(phrases, "AT_ONCE", at_once)
+    monkeypatch.setattr(phrases, "GAP", 65535 if most else 3)
     docs = corpus(1)
     frame = spark.createDataFrame([(t, x, "clash", 1) for t, x in docs], "text string, lang string, word string, shard int").repartition(3)
     got = phrases.collocations(frame, Scratch(spark), least=8, top=top)
