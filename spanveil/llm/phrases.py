@@ -58,37 +58,40 @@ def positions(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def bitmaps(which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, block, bits) of all non-empty blocks, by word and block."""
     order = np.argsort(which, kind="stable")  # positions ascend already
-    which, block, bit = which[order], (place[order] // BITS).astype(np.uint32), np.left_shift(np.uint16(1), (place[order] % BITS).astype(np.uint16))
+    which, block, bit = which[order], place[order] // BITS, np.left_shift(np.uint16(1), (place[order] % BITS).astype(np.uint16))
     head = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (block[1:] != block[:-1])))
     return which[head], block[head], np.bitwise_or.reduceat(bit, head)
 
 
-def pack(block: np.ndarray, bits: np.ndarray) -> bytes:
-    """A bitmap as (gap to the block before, bits) of 16 bits each; empty blocks bridge gaps that are too long."""
-    gap = np.diff(block.astype(np.int64), prepend=0)
-    fill = (gap // GAP).astype(np.int64)
-    if fill.any():
-        at = np.cumsum(fill + 1) - 1
-        gaps, full = np.full(int(at[-1]) + 1, GAP, np.uint16), np.zeros(int(at[-1]) + 1, np.uint16)
-        gaps[at], full[at] = gap % GAP, bits
-        return gaps.tobytes() + full.tobytes()
-    return gap.astype(np.uint16).tobytes() + bits.tobytes()
+def pack(word: np.ndarray, block: np.ndarray, bits: np.ndarray) -> pa.Array:
+    """One binary for each word: (gap to the block before, bits) of 16 bits each; empty blocks bridge gaps that are too long."""
+    fresh = np.append(True, word[1:] != word[:-1])
+    gap = np.where(fresh, block, np.diff(block, prepend=0))
+    at = np.cumsum(gap // GAP + 1) - 1
+    pairs = np.zeros((int(at[-1]) + 1, 2), np.uint16)
+    pairs[:, 0] = GAP
+    pairs[at, 0], pairs[at, 1] = gap % GAP, bits
+    ends = np.append(at[np.flatnonzero(fresh)[1:] - 1] + 1, len(pairs))
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
+
+
+def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, block, bits) of what pack has packed."""
+    sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+    pairs = np.frombuffer(b"".join(packed), dtype=np.uint16).reshape(-1, 2)
+    sums = np.append(0, np.cumsum(pairs[:, 0], dtype=np.int64))
+    return np.repeat(np.arange(len(packed)), sizes), sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes), pairs[:, 1]
 
 
 class Shard:
     """The bitmaps of a shard's words, by block."""
 
-    def __init__(self, words: np.ndarray, packed: list[bytes]):
-        sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-        gap = np.frombuffer(b"".join(p[: 2 * n] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint16)
-        bits = np.frombuffer(b"".join(p[2 * n :] for p, n in zip(packed, sizes.tolist(), strict=True)), dtype=np.uint16)
-        sums = np.append(0, np.cumsum(gap, dtype=np.int64))
-        begin = np.cumsum(sizes) - sizes
-        block = sums[1:] - np.repeat(sums[begin], sizes)
-        self.words = words
-        self.own = (np.repeat(np.arange(len(words)), sizes), block, bits)  # by word
+    def __init__(self, words: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """words: ids, ascending. own: (place in words, block, bits), by word."""
+        self.words, self.own = words, own
+        block = own[1]
         order = np.argsort(block, kind="stable")
-        self.word, self.bits = self.own[0][order], bits[order]
+        self.word, self.bits = own[0][order], own[2][order]
         self.first = np.searchsorted(block[order], np.arange((int(block.max()) if len(block) else 0) + 3))
 
     def longer(self, node: np.ndarray, block: np.ndarray, bits: np.ndarray):
@@ -143,110 +146,154 @@ class Shard:
                 yield from self._deeper(grown, (back, block[fine], bits[fine]), allowed, longest)
 
 
-def word_bitmaps(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, shard, word, n, bitmap): the words of each shard, with their occurrences."""
+def _shards(batches):
+    """(language, texts) of bounded size from Arrow batches of (lang, text)."""
+    held: dict[str, tuple[list[bytes], int]] = {}
+    for b in slices(batches):
+        for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            texts, size = held.get(name, ([], 0))
+            texts.append(t)
+            held[name] = (texts, size + len(t))
+            if size + len(t) >= SHARD_BYTES:
+                yield name, held.pop(name)[0]
+    for name, (texts, _) in held.items():
+        yield name, texts
+
 
-    def rows(shard: int, name: str, texts: list[bytes]):
+def _each(shards, make):
+    for shard, (name, texts) in enumerate(shards, TaskContext.get().partitionId() << 32):
         words, which, place = positions(texts)
         if words:
-            word, block, bits = bitmaps(which, place)
-            head = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)).tolist()
-            packed = [pack(block[a:b], bits[a:b]) for a, b in zip(head, head[1:], strict=False)]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, shard)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.bincount(which)), pa.array(packed, pa.binary())], ["lang", "shard", "word", "n", "bitmap"])
-
-    def work(batches):
-        shard = TaskContext.get().partitionId() << 32
-        held: dict[str, tuple[list[bytes], int]] = {}
-        for b in slices(batches):
-            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                texts, size = held.get(name, ([], 0))
-                texts.append(t)
-                held[name] = (texts, size + len(t))
-                if size + len(t) >= SHARD_BYTES:
-                    yield from rows(shard, name, held.pop(name)[0])
-                    shard += 1
-        for name, (texts, _) in held.items():
-            yield from rows(shard, name, texts)
-            shard += 1
+            yield make(shard, name, words, which, place)
+
+
+def _words(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
-    narrow = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return narrow.mapInArrow(work, "lang string, shard long, word string, n long, bitmap binary")
+
+def word_counts(narrow: DataFrame) -> DataFrame:
+    """(lang, word, n) of each shard's words."""
+    row = lambda shard, name, words, which, place: pa.RecordBatch.from_arrays([pa.array([name] * len(words)), _words(words), pa.array(np.bincount(which))], ["lang", "word", "n"])
+    return narrow.mapInArrow(lambda batches: _each(_shards(batches), row), "lang string, word string, n long")
+
+
+def word_bitmaps(narrow: DataFrame) -> DataFrame:
+    """(lang, shard, word, bitmap): the words of each shard."""
+
+    def row(shard, name, words, which, place):
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(words)), pa.array(np.full(len(words), shard)), _words(words), pack(*bitmaps(which, place))], ["lang", "shard", "word", "bitmap"])
+
+    return narrow.mapInArrow(lambda batches: _each(_shards(batches), row), "lang string, shard long, word string, bitmap binary")
 
 
 def _small(df: DataFrame) -> bool:
     return df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
+def _broadcast_pairs(often: DataFrame):
+    t = often.select("w1", "w2").toArrow()
+    return often.sparkSession.sparkContext.broadcast((t.column("w1").to_numpy(), t.column("w2").to_numpy()))
+
+
+def _texts_as_shards(narrow: DataFrame, words: DataFrame):
+    """Work on shards made from the texts anew, where the frequent words can be broadcast: nothing is stored or shuffled."""
+    ids: dict[str, dict[bytes, int]] = {}
+    for name, word, i in zip(*(c.to_pylist() for c in words.select("lang", "word", "id").toArrow().columns), strict=True):
+        ids.setdefault(name, {})[word.encode()] = i
+    shared = narrow.sparkSession.sparkContext.broadcast(ids)
+
+    def shard(name, words, which, place) -> Shard:
+        known = shared.value.get(name, {})
+        own = np.array([known.get(w, -1) for w in words], dtype=np.int64)
+        order = np.argsort(own, kind="stable")
+        order = order[int((own < 0).sum()) :]
+        rank = np.full(len(words), -1)
+        rank[order] = np.arange(len(order))
+        used = rank[which] >= 0
+        return Shard(own[order], bitmaps(rank[which[used]], place[used]) if used.any() else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)))
+
+    def work(make, schema: str, often: DataFrame | None = None) -> DataFrame:
+        pairs = None if often is None else _broadcast_pairs(often)
+
+        def run(batches):
+            more = () if pairs is None else pairs.value
+            for t in _each(_shards(batches), lambda _, name, words, which, place: make(shard(name, words, which, place), *more)):
+                yield from t.to_batches(1 << 16)
+
+        return narrow.mapInArrow(run, schema)
+
+    return work
+
+
+def _stored_shards(narrow: DataFrame, words: DataFrame, scratch: Scratch):
+    """Work on shards whose bitmaps are stored; each meets its own frequent words and pairs by joins."""
+    # A hot word has a row in every shard, so its rows are dealt over salts.
+    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    live = word_bitmaps(narrow).withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "word", "salt"])
+    live = scratch.save(live.select("shard", "id", "bitmap"), "phrase-live")
+
+    def shard(t, known=None) -> Shard:
+        ids = t.column("id").to_numpy()
+        some = np.arange(len(ids)) if known is None else np.flatnonzero(np.isin(ids, known))
+        order = some[np.argsort(ids[some])]
+        return Shard(ids[order], unpack(t.column("bitmap").take(pa.array(order)).to_pylist()))
+
+    def work(make, schema: str, often: DataFrame | None = None) -> DataFrame:
+        if often is None:
+            return live.groupBy("shard").applyInArrow(lambda t: make(shard(t)), schema)
+        if often.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
+            pairs = _broadcast_pairs(often)
+            return live.groupBy("shard").applyInArrow(lambda t: make(shard(t, np.unique(np.concatenate(pairs.value))), *pairs.value), schema)
+
+        def count_own(key, t):
+            s = shard(t)
+            found = [np.unique(np.column_stack((s.words[a], s.words[b])), axis=0) for a, b, _ in s.pairs()]
+            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            return pa.table({"shard": np.full(len(both), key[0].as_py(), dtype=np.int64), "w1": both[:, 0].copy(), "w2": both[:, 1].copy()})
+
+        def by_own(left, right):
+            a, b = right.column("w1").to_numpy(), right.column("w2").to_numpy()
+            return make(shard(left, np.unique(np.concatenate((a, b)))), a, b)
+
+        own = live.groupBy("shard").applyInArrow(count_own, "shard long, w1 long, w2 long").join(often, ["w1", "w2"], "left_semi")
+        return live.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(by_own, schema)
+
+    return work
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, totals, phrases): frequent words (lang, word, id, f), all words of each language (lang, n), and
     phrases (ids array, a) of two to ``longest`` frequent words that occur ``least`` times or more."""
-    maps = scratch.save(word_bitmaps(docs, text, lang), "phrase-bitmaps")
-    totals = scratch.save(maps.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    words = maps.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = scratch.save(words.withColumn("id", F.monotonically_increasing_id()), "phrase-words")
-    # A hot word has a row in every shard, so its rows are dealt over salts unless the words can be broadcast.
-    if _small(words):
-        live = maps.join(F.broadcast(words), ["lang", "word"])
-    else:
-        salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        live = maps.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "word", "salt"])
-    live = scratch.save(live.select("shard", "id", "bitmap"), "phrase-live")
-    scratch.drop("phrase-bitmaps")
-
-    def opened(t: pa.Table) -> Shard:
-        return Shard(t.column("id").to_numpy(), t.column("bitmap").to_pylist())
+    narrow = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    counts = scratch.save(word_counts(narrow).groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-counts")
+    totals = scratch.save(counts.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
+    words = scratch.save(counts.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-words")
+    scratch.drop("phrase-counts")
+    shards = _texts_as_shards(narrow, words) if _small(words) else _stored_shards(narrow, words, scratch)
 
-    def count_pairs(key, t):
-        s = opened(t)
+    def count_pairs(s: Shard) -> pa.Table:
         parts = [(s.words[a], s.words[b], n) for a, b, n in s.pairs()] or [(np.empty(0, np.int64),) * 3]
-        a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"shard": np.full(len(a), key[0].as_py(), dtype=np.int64), "w1": a, "w2": b, "n": n})
+        return pa.table(dict(zip(("w1", "w2", "n"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
-    pairs = live.groupBy("shard").applyInArrow(count_pairs, "shard long, w1 long, w2 long, n long")
+    pairs = shards(count_pairs, "w1 long, w2 long, n long")
     often = scratch.save(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-often")
 
     def longer(shard: Shard, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        """Longer phrases of a shard whose pairs are all among (a, b)."""
+        """Phrases of three words or more of a shard, whose pairs are all among (a, b)."""
         ids = shard.words
+        out, counts = [pa.array([], pa.list_(pa.int64()))], [np.empty(0, np.int64)]
         if len(ids):
             first, second = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
             both = (ids[first] == a) & (ids[second] == b)
-            allowed = np.unique(first[both] * len(ids) + second[both])
-        out, counts = [pa.array([], pa.list_(pa.int64()))], [np.empty(0, np.int64)]
-        for phrase, n in shard.phrases(allowed, longest) if len(ids) else ():
-            out.append(pa.FixedSizeListArray.from_arrays(pa.array(ids[phrase].ravel()), phrase.shape[1]).cast(pa.list_(pa.int64())))
-            counts.append(n)
+            for phrase, n in shard.phrases(np.unique(first[both] * len(ids) + second[both]), longest):
+                out.append(pa.FixedSizeListArray.from_arrays(pa.array(ids[phrase].ravel()), phrase.shape[1]).cast(pa.list_(pa.int64())))
+                counts.append(n)
         return pa.table({"ids": pa.chunked_array(out), "n": np.concatenate(counts)})
 
-    def used(t: pa.Table, known: np.ndarray) -> Shard:
-        ids = t.column("id").to_numpy()
-        some = np.flatnonzero(np.isin(ids, known))
-        return opened(t.take(pa.array(some[np.argsort(ids[some])])))
-
-    def longer_of(live: DataFrame) -> DataFrame:
-        if often.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
-            t = often.select("w1", "w2").toArrow()
-            shared = live.sparkSession.sparkContext.broadcast((t.column("w1").to_numpy(), t.column("w2").to_numpy()))
-
-            def by_all(t):
-                a, b = shared.value
-                return longer(used(t, np.unique(np.concatenate((a, b)))), a, b)
-
-            return live.groupBy("shard").applyInArrow(by_all, "ids array<long>, n long")
-
-        def by_own(left, right):
-            a, b = right.column("w1").to_numpy(), right.column("w2").to_numpy()
-            return longer(used(left, np.unique(np.concatenate((a, b)))), a, b)
-
-        own = pairs.select("shard", "w1", "w2").join(often, ["w1", "w2"], "left_semi").distinct()
-        return live.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(by_own, "ids array<long>, n long")
-
     two = often.select(F.array("w1", "w2").alias("ids"), "a")
     if longest > 2:
-        two = two.unionByName(longer_of(live).groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+        two = two.unionByName(shards(longer, "ids array<long>, n long", often).groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     found = scratch.save(two, "phrase-found")
-    scratch.drop("phrase-live")
     return words, totals, found
 
 

@@ -45,11 +45,11 @@ def corpus(seed, n=400):
     return [(None, "en"), ("", "de"), (" .\n", "de"), ("...", None), *texts, *texts[:40], ("the new york " * 700, "en"), ("a" * 10_000, "fr")]
 
 
-@pytest.mark.parametrize("shard,most,at_once,top", [(2 << 20, 200_000, 1 << 20, 2000), (900, 0, 50, 25)])
-def test_equal_to_plain_counting(spark, monkeypatch, shard, most, at_once, top):
+@pytest.mark.parametrize("shard,most,pairs,at_once,top", [(2 << 20, 200_000, 10**6, 1 << 20, 2000), (900, 200_000, 10**6, 50, 25), (900, 0, 10**6, 50, 25), (900, 0, 0, 1 << 20, 25)])
+def test_equal_to_plain_counting(spark, monkeypatch, shard, most, pairs, at_once, top):
     monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
     monkeypatch.setattr(phrases, "MOST_BROADCAST", most)
-    monkeypatch.setattr(phrases, "MOST_PAIRS", most)
+    monkeypatch.setattr(phrases, "MOST_PAIRS", pairs)
     monkeypatch.setattr(phrases, "AT_ONCE", at_once)
     monkeypatch.setattr(phrases, "GAP", 65535 if most else 3)
     docs = corpus(1)
