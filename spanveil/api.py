@@ -48,8 +48,8 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
 
     words: doc_id, page_no, word_idx, text, box, drawn, read.
     """
-    kept = layout.drop_read_over_drawn(words).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
-    units = written(layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, lines), regions)))
+    lined = layout.drop_read_over_drawn(layout.words_to_lines(words, lines)).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
+    units = written(layout.text_units(layout.words_to_regions(lined, regions)))
     joined = written(layout.join_units(units))
     spans = redact(detector.detect(joined.select("doc_id", "text").where(T.strip(F.col("text")) != ""), types, threshold), [], True, True)
     mentions = written(layout.mention_numbers(explode_spans(spans)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import running_sums
+
 PAGE_MARK = "<!-- docling-page -->"
 
 # Types by suffix, and the types that are admitted.
@@ -48,11 +50,7 @@ def page_text(c: Column) -> Column:
 
 def page_offsets(c: Column) -> Column:
     """Where each page begins in page_text; one page at least."""
-
-    def step(acc: Column, part: Column) -> Column:
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).cast("array<int>").alias("out"))
-
-    return F.aggregate(page_parts(c), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+    return running_sums(F.transform(page_parts(c), F.length)).cast("array<int>")
 
 
 def page_of(offsets: Column, start: Column) -> Column:

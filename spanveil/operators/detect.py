@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import scan
+
 SPAN = "struct<label:string,label_ord:int,ord:int,id:int,text:string,start:int,end:int,confidence:double>"
 SPANS = f"array<{SPAN}>"
 
@@ -42,18 +44,18 @@ FOUND = "array<struct<text:string,start:int,end:int>>"
 def occurrences(text: Column, pattern: Column | str) -> Column:
     """array<struct<text,start,end>> of a pattern's matches, in order: what is split off and what is extracted add up.
 
-    One fold over both lists, so that neither is made anew for each match.
+    One scan of both lists, so that neither is made anew for each match.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["part"])
-        found = F.array(F.struct(x["hit"].alias("text"), begin.alias("start"), (begin + F.length(x["hit"])).alias("end")))
-        grown = F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(acc["out"], found).cast(FOUND).alias("out"))
-        return F.when(x["hit"].isNull(), acc).otherwise(grown)
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["part"])
+        end = begin + F.length(x["hit"])
+        found = F.array(F.struct(x["hit"].alias("text"), begin.alias("start"), end.alias("end"))).cast(FOUND)
+        return F.coalesce(end, at), F.when(x["hit"].isNull(), F.array().cast(FOUND)).otherwise(found)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step)["out"]
+    return scan(pairs, FOUND, F.lit(0), step)
 
 
 def _labelled(found: Column, label: str, ordinal: int, confidence: float = 1.0) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.arrays import gathered_fully
+from ..functions.arrays import gathered_fully, running_sums
 
 PAGE = ["doc_id", "page_no"]
 UNIT_GAP = "\n\n"
@@ -47,16 +47,18 @@ def at_centre(rows: DataFrame, box: str) -> DataFrame:
 
 
 NEAR = [*PAGE, "_cx", "_cy"]
+LINE = [*PAGE, "line_idx"]
 
 
 def words_to_lines(words: DataFrame, lines: DataFrame) -> DataFrame:
-    """words with ``line_idx``: the first line that holds the word's centre, else a line of its own, -1 - word_idx. Blank words go."""
+    """words with ``line_idx``, the first line that holds the word's centre, else a line of its own, -1 - word_idx; and ``line_first``,
+    the first word of that line. Blank words go. A line's first word may be one that is passed over later, so all words come here."""
     near = with_cells(lines.select(*PAGE, "line_idx", F.col("box").alias("_line")), "_line")
     full = words.where(F.trim(F.regexp_replace("text", r"(?U)\s", "")) != "")
     joined = at_centre(full, "box").join(near, NEAR, "left").withColumn("_hit", F.when(inside("_line", "box"), F.col("line_idx")))
     keys = [c for c in words.columns if c not in ("text", "box", "drawn", "read")]
     best = joined.groupBy(*keys).agg(F.min("_hit").alias("_hit"), F.first("text").alias("text"), F.first("box").alias("box"), F.first("drawn").alias("drawn"), F.first("read").alias("read"))
-    return best.withColumn("line_idx", F.coalesce("_hit", -1 - F.col("word_idx"))).drop("_hit")
+    return best.withColumn("line_idx", F.coalesce("_hit", -1 - F.col("word_idx"))).withColumn("line_first", F.min("word_idx").over(Window.partitionBy(*LINE))).drop("_hit")
 
 
 def drop_read_over_drawn(words: DataFrame) -> DataFrame:
@@ -76,20 +78,25 @@ def words_to_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def text_units(words: DataFrame) -> DataFrame:
-    """Units of words(doc_id, page_no, word_idx, text, box, line_idx, region_idx, hidden): one for each region, then
+    """Units of words(doc_id, page_no, word_idx, text, box, line_idx, line_first, read, region_idx, hidden): one for each region, then
     one for each line outside regions; shown words before hidden ones.
 
     A row: doc_id, unit_idx, text, box, words (text, box, start, end in the unit's text).
-    A line's words are joined by spaces; a word broken by a hyphen at a line's end is written whole.
+    A line's words are joined by spaces; a word broken by a hyphen at a line's end is written whole. Words
+    drawn and words read from pixels make lines of their own, also where they stand in one line. Outside regions
+    a page's drawn lines come before those that are read, each in the order of the line's first word of any kind.
+    Without ``line_first`` the line's words that are given decide, without ``read`` all are drawn.
     """
-    word = F.struct("page_no", "word_idx", "text", "box")
-    run = words.groupBy("doc_id", "page_no", "hidden", "region_idx", "line_idx").agg(
-        F.array_sort(F.collect_list(word)).alias("w"), F.min("box.t").alias("top"), F.min("box.l").alias("left"), F.min("word_idx").alias("first")
-    )
-    # In a region lines go from the top; outside, each line is a unit in the order of its first word.
+    if "line_first" not in words.columns:
+        words = words.withColumn("line_first", F.min("word_idx").over(Window.partitionBy(*LINE)))
+    if "read" not in words.columns:
+        words = words.withColumn("read", F.lit(False))
+    word = F.struct("word_idx", "text", "box")
+    run = words.groupBy("doc_id", "page_no", "hidden", "read", "region_idx", "line_idx", "line_first").agg(F.array_sort(F.collect_list(word)).alias("w"), F.min("box.t").alias("top"), F.min("box.l").alias("left"))
+    # In a region lines go from the top; outside, each line is a unit.
     loose = F.col("region_idx").isNull()
-    unit = F.struct(F.when(loose, F.col("page_no")).otherwise(0).cast("int").alias("page"), F.when(loose, F.col("first")).otherwise(F.col("region_idx")).cast("int").alias("place"))
-    grouped = run.withColumn("loose", loose).withColumn("u", unit).groupBy("doc_id", "hidden", "loose", "u").agg(F.array_sort(F.collect_list(F.struct("top", "left", "first", "w"))).alias("lines"))
+    unit = F.struct(F.when(loose, F.col("page_no")).otherwise(0).cast("int").alias("page"), (loose & F.col("read")).alias("read"), F.when(loose, F.col("line_first")).otherwise(F.col("region_idx")).cast("long").alias("place"))
+    grouped = run.withColumn("loose", loose).withColumn("u", unit).groupBy("doc_id", "hidden", "loose", "u").agg(F.array_sort(F.collect_list(F.struct("top", "left", "read", "line_first", "w"))).alias("lines"))
     flat = F.flatten(F.transform("lines", lambda ln: F.transform(ln["w"], lambda x, i: F.struct(x["text"].alias("text"), x["box"].alias("box"), (i == F.size(ln["w"]) - 1).alias("ends")))))
     out = grouped.withColumn("f", flat)
     following = lambda i: F.when(i + 1 < F.size("f"), F.element_at("f", F.least(i + 2, F.size("f")))["text"]).otherwise("")
@@ -97,14 +104,14 @@ def text_units(words: DataFrame) -> DataFrame:
     out = out.withColumn("broken", broken)
     piece = F.transform(F.arrays_zip("f", "broken"), lambda z, i: F.struct(F.when((i == 0) | F.element_at("broken", F.greatest(i, F.lit(1))), "").otherwise(" ").alias("gap"), F.when(z["broken"], F.substring(z["f"]["text"], F.lit(1), F.length(z["f"]["text"]) - 1)).otherwise(z["f"]["text"]).alias("text"), z["f"]["box"].alias("box")))
     out = out.withColumn("p", piece)
-    placed = "array<struct<text:string,box:" + G.BOX + ",start:int,end:int>>"
+    # Where each piece begins with its gap, by running sums.
+    out = out.withColumn("at", running_sums(F.transform("p", lambda x: F.length(x["gap"]) + F.length(x["text"]))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        one = F.struct(x["text"].alias("text"), x["box"].alias("box"), begin.alias("start"), (begin + F.length(x["text"])).alias("end"))
-        return F.struct((begin + F.length(x["text"])).alias("at"), F.concat(acc["out"], F.array(one)).cast(placed).alias("out"))
+    def span(x: Column, i: Column) -> Column:
+        begin = F.get("at", i) + F.length(x["gap"])
+        return F.struct(x["text"].alias("text"), x["box"].alias("box"), begin.cast("int").alias("start"), (begin + F.length(x["text"])).cast("int").alias("end"))
 
-    spans = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.array().cast(placed).alias("out")), step)["out"]
+    spans = F.transform("p", span)
     boxes = F.transform("p", lambda x: x["box"])
     whole = F.aggregate(F.slice(boxes, 2, F.size(boxes)), F.element_at(boxes, 1).cast(G.BOX), lambda a, b: G.union(a, b))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("hidden", "loose", "u")) - 1
@@ -114,13 +121,13 @@ def text_units(words: DataFrame) -> DataFrame:
 def join_units(units: DataFrame) -> DataFrame:
     """(doc_id, text, starts): units' texts with blank lines between, the gap left out while the text is empty."""
     ordered = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_idx", "text"))).alias("u"))
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.when(acc["text"] == "", acc["text"]).otherwise(F.concat(acc["text"], F.lit(UNIT_GAP)))
-        return F.struct(F.concat(grown, x["text"]).alias("text"), F.concat(acc["starts"], F.array(F.length(grown))).cast("array<int>").alias("starts"))
-
-    return ordered.withColumn("j", F.aggregate("u", start, step)).select("doc_id", "j.text", "j.starts")
+    texts = F.transform("u", lambda x: x["text"])
+    # The gap goes before each text after the first that isn't empty.
+    first = F.array_position(F.transform(texts, lambda t: t != ""), F.lit(True))
+    ordered = ordered.withColumn("gaps", F.transform("u", lambda x, i: F.when((first > 0) & (i + 1 > first), F.lit(UNIT_GAP)).otherwise("")))
+    ordered = ordered.withColumn("at", running_sums(F.transform("u", lambda x, i: F.length(x["text"]) + F.length(F.get("gaps", i)))))
+    starts = F.transform("at", lambda a, i: (a + F.length(F.get("gaps", i))).cast("int"))
+    return ordered.select("doc_id", F.array_join(F.transform("u", lambda x, i: F.concat(F.get("gaps", i), x["text"])), "").alias("text"), starts.alias("starts"))
 
 
 def split_mentions(mentions: DataFrame, units: DataFrame) -> DataFrame:

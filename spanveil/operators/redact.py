@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, scan
 from . import spans as S
 from .detect import SPANS
 from .propagate import propagate
@@ -16,13 +17,7 @@ def resolved(spans: Column) -> Column:
     """Spans that are written: by start, longer first, then by label and place in its list; one that begins before
     the last written one ends is passed over and moves nothing, so a tail beyond that end stays readable."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["label_ord"].alias("c"), s["ord"].alias("d"), s.alias("s"))))
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast(SPANS).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.struct(x["s"]["end"].alias("cursor"), F.concat(acc["kept"], F.array(x["s"])).cast(SPANS).alias("kept"))
-        return F.when(x["a"] >= acc["cursor"], taken).otherwise(acc)
-
-    return F.aggregate(order, start, step)["kept"]
+    return scan(order, SPANS, F.lit(0), lambda cursor, x: (F.when(x["a"] >= cursor, x["s"]["end"]).otherwise(cursor), F.when(x["a"] >= cursor, F.array(x["s"])).otherwise(F.array().cast(SPANS))))
 
 
 def united(spans: Column) -> Column:
@@ -44,17 +39,15 @@ def placeholder(span: Column) -> Column:
 
 
 def splice(text: Column, kept: Column, replacement: Callable[[Column], Column] = placeholder) -> Column:
-    """The text with each kept span replaced; all else as it is. Pieces are gathered in one fold and joined once."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), replacement(s))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], more).cast("array<string>").alias("out"))
+    """The text with each kept span replaced; all else as it is. Pieces are joined once."""
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def joined(x: Column) -> Column:
+        whole, spans = x["whole"], x["spans"]
+        end = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.concat(F.substring(whole, end(i) + 1, s["start"] - end(i)), replacement(s)))
+        return F.concat(F.array_join(pieces, ""), F.substring(whole, end(F.size(spans)) + 1, F.length(whole)))
 
-    return F.aggregate(kept, start, step, finish)
+    return let(F.struct(text.alias("whole"), kept.alias("spans")), joined)
 
 
 def redact(docs: DataFrame, blacklist: list[str] | None = None, everywhere: bool = False, drop_scraps: bool = False, unite: bool = False, replacement: Callable[[Column], Column] = placeholder) -> DataFrame:

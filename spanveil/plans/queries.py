@@ -309,7 +309,7 @@ def page_words(spark: SparkSession, d: str) -> DataFrame:
     """Documents set as pages: lines of text at 20 points, words at 50; every ninth word is read from pixels as well."""
     each = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", F.posexplode(F.split("t", " +")).alias("k", "text")).where("text <> ''")
     page, top, left = (F.col("line") / 30).cast("int") + 1, F.col("line") % 30 * 20.0, F.col("k") * 50.0
-    words = each.select("doc_id", page.alias("page_no"), (F.col("line") * 200_000 + F.col("k") * 3).cast("int").alias("word_idx"), "text", box(page, left, top, left + 45.0, top + 10.0).alias("box"), F.lit(True).alias("drawn"), F.lit(False).alias("read"))
+    words = each.select("doc_id", page.alias("page_no"), (F.col("line").cast("long") * 200_000 + F.col("k") * 3).alias("word_idx"), "text", box(page, left, top, left + 45.0, top + 10.0).alias("box"), F.lit(True).alias("drawn"), F.lit(False).alias("read"))
     read = words.where("word_idx % 9 = 0").withColumn("word_idx", F.col("word_idx") + 1).withColumn("drawn", F.lit(False)).withColumn("read", F.lit(True))
     loose = read.where("word_idx % 27 = 1").withColumn("word_idx", F.col("word_idx") + 1).withColumn("box", box(F.col("page_no"), F.lit(5000.0), F.col("box.t"), F.lit(5045.0), F.col("box.b")))
     return words.unionByName(read).unionByName(loose)
@@ -329,7 +329,7 @@ def lines_of(words: DataFrame) -> DataFrame:
 
 WORDS_SQL = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
  raw AS (SELECT doc_id, line, unnest(string_split_regex(t, ' +')) AS text, generate_subscripts(string_split_regex(t, ' +'), 1) - 1 AS k FROM lines),
- w AS (SELECT doc_id, CAST(line // 30 + 1 AS INTEGER) AS page_no, CAST(line * 200000 + k * 3 AS INTEGER) AS word_idx, text, k * 50.0 AS l, line % 30 * 20.0 AS t FROM raw WHERE text <> '')"""
+ w AS (SELECT doc_id, CAST(line // 30 + 1 AS INTEGER) AS page_no, CAST(line * 200000 + k * 3 AS BIGINT) AS word_idx, text, k * 50.0 AS l, line % 30 * 20.0 AS t FROM raw WHERE text <> '')"""
 
 
 @query(f"WITH {WORDS_SQL}, every AS (SELECT doc_id, page_no, word_idx, l, t FROM w UNION ALL SELECT doc_id, page_no, word_idx + 1, l, t FROM w WHERE word_idx % 9 = 0 UNION ALL SELECT doc_id, page_no, word_idx + 2, 5000.0, t FROM w WHERE word_idx % 9 = 0 AND word_idx % 27 = 0) SELECT doc_id, page_no, word_idx, CAST(CASE WHEN l + 22.5 <= 520 AND t + 5 <= 200 THEN page_no * 2 + 1 WHEN l + 22.5 <= 520 AND t + 5 <= 600 THEN page_no * 2 END AS INTEGER) AS region_idx FROM every")
@@ -356,10 +356,26 @@ def layout_regions(spark, d):
     return source.regions(source.parsed(made)).select("doc_id", "region_idx", "box.l", "box.t", "box.r", "box.b")
 
 
+#: Regions of a document of five items, by its tree: a group holds the table and, below it, a text; then come the picture with
+#: its caption (another of its children is inside the picture and no region), and last the first text of the list. A text that no item leads to is no region.
+TREE_JSON = """'{"pages":{"1":{"page_no":1,"size":{"width":600.0,"height":800.0}}},"body":{"children":[{"$ref":"#/groups/0"},{"$ref":"#/pictures/0"},{"$ref":"#/texts/0"},{"$ref":"#/texts/99"}]},"groups":[{"children":[{"$ref":"#/tables/0"},{"$ref":"#/groups/1"}]},{"children":[{"$ref":"#/texts/1"}]}],"texts":[' || array_to_string_(list_of(0)) || '],"tables":[{"children":[],"prov":[{"page_no":1,"bbox":{"l":0.0,"t":300.0,"r":200.0,"b":400.0,"coord_origin":"TOPLEFT"}}],"data":{"table_cells":[{"bbox":{"l":0.0,"t":300.0,"r":100.0,"b":350.0,"coord_origin":"TOPLEFT"}}]}}],"pictures":[{"children":[{"$ref":"#/texts/2"},{"$ref":"#/texts/3"}],"captions":[{"$ref":"#/texts/3"}],"prov":[{"page_no":1,"bbox":{"l":9.0,"t":1.0,"r":20.0,"b":3.0,"coord_origin":"TOPLEFT"}}]}]}'"""
+_TEXTS = " || ',' || ".join(f"""'{{"children":[],"prov":[{{"page_no":1,"bbox":{{"l":' || (p_size + {k}) || '.0,"t":' || {k} || '.0,"r":' || (p_size + {k} + 50) || '.0,"b":' || {k + 10} || '.0,"coord_origin":"TOPLEFT"}}}}]}}'""" for k in range(5))
+TREE_JSON = TREE_JSON.replace("array_to_string_(list_of(0))", _TEXTS)
+
+
+@query("SELECT p_partkey AS doc_id, k AS region_idx, [0, 0, p_size + 1, 9, p_size + 3, p_size][k + 1]::DOUBLE AS l, [300, 300, 1, 1, 3, 0][k + 1]::DOUBLE AS t FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS k FROM part)")
+def layout_reading_order(spark, d):
+    """Regions in the order of the document's tree, which differs from that of its lists."""
+    from ..sources import layout as source
+
+    made = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(TREE_JSON).alias("document"))
+    return source.regions(source.parsed(made)).select("doc_id", "region_idx", "box.l", "box.t")
+
+
 def units(spark: SparkSession, d: str) -> DataFrame:
     words = written(page_words(spark, d))
-    kept = layout.drop_read_over_drawn(words).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
-    return layout.text_units(layout.words_to_regions(layout.words_to_lines(kept, lines_of(words)), regions_of(words)))
+    lined = layout.drop_read_over_drawn(layout.words_to_lines(words, lines_of(words))).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
+    return layout.text_units(layout.words_to_regions(lined, regions_of(words)))
 
 
 @query()

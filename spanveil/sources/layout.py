@@ -1,12 +1,13 @@
 """A converter's JSON as tables: regions, pictures, page sizes, words and text lines.
 
 The JSON is that of the public docling document format: ``texts``, ``tables`` and ``pictures`` with places
-(``prov``) on pages, and for each page its cells as rectangles of four corners. Boxes may count
+(``prov``) on pages and ``children`` by reference, and for each page its cells as rectangles of four corners. Boxes may count
 from the bottom left; here all count from the top left.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +16,15 @@ from ..functions import geometry as G
 BBOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 PROV = f"array<struct<page_no:int,bbox:{BBOX}>>"
 CLASSES = "array<struct<class_name:string,confidence:double>>"
-DOCUMENT = f"""struct<pages:map<string,struct<page_no:int,size:struct<width:double,height:double>>>,
- texts:array<struct<prov:{PROV}>>, tables:array<struct<prov:{PROV},data:struct<table_cells:array<struct<bbox:{BBOX}>>>>>,
- pictures:array<struct<prov:{PROV},annotations:array<struct<kind:string,predicted_classes:{CLASSES}>>>>, key_value_items:array<struct<prov:{PROV}>>, form_items:array<struct<prov:{PROV}>>>"""
+REFS = "array<struct<`$ref`:string>>"
+ITEM = f"prov:{PROV},children:{REFS}"
+#: A picture's classes, in the form of today and in an older one.
+SEEN = f"annotations:array<struct<kind:string,predicted_classes:{CLASSES}>>,meta:struct<classification:struct<predictions:{CLASSES}>>"
+DOCUMENT = f"""struct<pages:map<string,struct<page_no:int,size:struct<width:double,height:double>>>, body:struct<children:{REFS}>, groups:array<struct<children:{REFS}>>,
+ texts:array<struct<{ITEM}>>, tables:array<struct<{ITEM},data:struct<table_cells:array<struct<bbox:{BBOX}>>>>>,
+ pictures:array<struct<{ITEM},captions:{REFS},{SEEN}>>, key_value_items:array<struct<{ITEM}>>, form_items:array<struct<{ITEM}>>>"""
+#: The lists that hold a document's items, in the order that counts where a document has no tree.
+KINDS = ("texts", "tables", "pictures", "key_value_items", "form_items")
 RECT = "struct<r_x0:double,r_y0:double,r_x1:double,r_y1:double,r_x2:double,r_y2:double,r_x3:double,r_y3:double,coord_origin:string>"
 CELL = f"struct<rect:{RECT},text:string,from_ocr:boolean,rendering_mode:int>"
 PAGES = f"map<string,struct<dimension:struct<rect:{RECT}>,textline_cells:array<struct<rect:{RECT}>>,word_cells:array<{CELL}>>>"
@@ -42,29 +49,73 @@ def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return flat.withColumn("box", G.top_left(F.col("page_no"), F.col("bbox.l"), F.col("bbox.t"), F.col("bbox.r"), F.col("bbox.b"), F.col("height"), F.coalesce(bottom_up, F.lit(False)))).drop("bbox", "height", "page_no")
 
 
+def _refs(children: Column) -> Column:
+    return F.transform(F.coalesce(children, F.array().cast(REFS)), lambda c: c["$ref"])
+
+
+def _walked(roots: pa.Array, names: pa.Array, children: pa.Array) -> pa.Array:
+    """For each document the references of its tree, parents before children, in order; a reference counts once."""
+    rows = []
+    for root, own, lists in zip(roots.to_pylist(), names.to_pylist(), children.to_pylist(), strict=True):
+        if root is None:
+            rows.append(None)
+            continue
+        under, out = dict(zip(own or [], lists or [], strict=True)), {}
+        open_ = root[::-1]
+        while open_:
+            ref = open_.pop()
+            if ref in under and ref not in out:  # a reference to nothing, or one met before, leads nowhere
+                out[ref] = len(out)
+                open_ += under[ref][::-1]
+        rows.append(list(out))
+    return pa.array(rows, pa.list_(pa.string()))
+
+
+def reading_order(parsed_: DataFrame) -> DataFrame:
+    """(doc_id, ref, place) of all items that the document's tree reaches, all content layers, in reading order.
+
+    The tree starts at the body and goes through groups and items to their children by JSON references,
+    parents first. Inside a picture only its captions count. A document without a body has its lists' order.
+    """
+    def nodes(kind: str) -> Column:
+        return F.transform(F.coalesce(f"d.{kind}", F.array()), lambda x, i: F.struct(F.concat(F.lit(f"#/{kind}/"), i.cast("string")).alias("ref"), _below(kind, x).alias("children")))
+
+    one = F.concat(*(nodes(k).cast("array<struct<ref:string,children:array<string>>>") for k in ("groups", *KINDS)))
+    each = parsed_.where("d is not null").select("doc_id", F.when(F.col("d.body").isNotNull(), _refs(F.col("d.body.children"))).alias("root"), one.alias("n"))
+    walk = F.arrow_udf(_walked, "array<string>").asNondeterministic()(F.col("root"), F.transform("n", lambda x: x["ref"]), F.transform("n", lambda x: x["children"]))
+    listed = F.transform(F.filter("n", lambda x: ~x["ref"].startswith("#/groups/")), lambda x: x["ref"])
+    return each.withColumn("walk", walk).select("doc_id", F.posexplode(F.coalesce("walk", listed)).alias("place", "ref"))
+
+
+def _below(kind: str, item: Column) -> Column:
+    below = _refs(item["children"])
+    return F.array_intersect(below, _refs(item["captions"])) if kind == "pictures" else below
+
+
 def regions(parsed_: DataFrame) -> DataFrame:
-    """(doc_id, region_idx, box): each place of each item, and each cell of a table on its first page.
+    """(doc_id, region_idx, box): each place of each item, then each cell of a table on its first page, in reading order.
 
-    Numbers follow the lists (texts, tables with their cells, pictures, others); they only decide between
-    regions of one size.
+    Units of text follow these numbers. Items that the document's tree doesn't reach are no regions.
     """
     rows = None
-    for k, kind in enumerate(("texts", "tables", "pictures", "key_value_items", "form_items")):
-        items = parsed_.select("doc_id", F.posexplode(f"d.{kind}").alias("i", "x"))
-        part = items.select("doc_id", F.lit(k).alias("k"), "i", F.lit(0).alias("cell"), F.posexplode("x.prov").alias("j", "p")).select("doc_id", "k", "i", "cell", "j", "p.page_no", "p.bbox")
+    for kind in KINDS:
+        items = parsed_.select("doc_id", F.posexplode(f"d.{kind}").alias("i", "x")).withColumn("ref", F.concat(F.lit(f"#/{kind}/"), F.col("i").cast("string")))
+        part = items.select("doc_id", "ref", F.lit(0).alias("cell"), F.posexplode("x.prov").alias("j", "p")).select("doc_id", "ref", "cell", "j", "p.page_no", "p.bbox")
         rows = part if rows is None else rows.unionByName(part)
         if kind == "tables":
-            cells = items.where(F.size("x.prov") > 0).select("doc_id", F.lit(k).alias("k"), "i", F.lit(1).alias("cell"), F.posexplode("x.data.table_cells").alias("j", "c"), F.get("x.prov", F.lit(0))["page_no"].alias("page_no"))
-            rows = rows.unionByName(cells.select("doc_id", "k", "i", "cell", "j", "page_no", F.col("c.bbox").alias("bbox")).where("bbox is not null"))
-    order = Window.partitionBy("doc_id").orderBy("k", "i", "cell", "j")
-    return _placed(rows, page_sizes(parsed_)).withColumn("region_idx", F.row_number().over(order) - 1).select("doc_id", "region_idx", "box")
+            cells = items.where(F.size("x.prov") > 0).select("doc_id", "ref", F.lit(1).alias("cell"), F.posexplode("x.data.table_cells").alias("j", "c"), F.get("x.prov", F.lit(0))["page_no"].alias("page_no"))
+            rows = rows.unionByName(cells.select("doc_id", "ref", "cell", "j", "page_no", F.col("c.bbox").alias("bbox")).where("bbox is not null"))
+    placed = _placed(rows.join(reading_order(parsed_), ["doc_id", "ref"]), page_sizes(parsed_))
+    return placed.withColumn("region_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "cell", "j")) - 1).select("doc_id", "region_idx", "box")
 
 
 def pictures(parsed_: DataFrame) -> DataFrame:
     """(doc_id, box, classes): each place of each picture, with what the classifier takes it for."""
-    items = parsed_.select("doc_id", F.explode("d.pictures").alias("x"))
-    pairs = F.flatten(F.transform(F.filter(F.coalesce("x.annotations", F.array()), lambda a: a["predicted_classes"].isNotNull()), lambda a: a["predicted_classes"]))
-    classes = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda c: c["class_name"])), lambda n: F.struct(n, F.array_max(F.transform(F.filter(pairs, lambda c: c["class_name"] == n), lambda c: c["confidence"])))))
+    items = parsed_.select("doc_id", F.posexplode("d.pictures").alias("i", "x")).withColumn("ref", F.concat(F.lit("#/pictures/"), F.col("i").cast("string")))
+    items = items.join(reading_order(parsed_).select("doc_id", "ref"), ["doc_id", "ref"])
+    older = F.flatten(F.transform(F.filter(F.coalesce("x.annotations", F.array()), lambda a: a["predicted_classes"].isNotNull()), lambda a: a["predicted_classes"]))
+    pairs = F.coalesce("x.meta.classification.predictions", older)
+    classes = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda c: c["class_name"])), lambda n: F.struct(n, F.array_max(F.transform(F.filter(pairs, lambda c: c["class_name"] == n), lambda c: F.coalesce(c["confidence"], F.lit(0.0)))))))
     rows = items.select("doc_id", classes.alias("classes"), F.explode("x.prov").alias("p")).select("doc_id", "classes", "p.page_no", "p.bbox")
     return _placed(rows, page_sizes(parsed_)).select("doc_id", "box", "classes")
 

@@ -135,6 +135,82 @@ def test_layout_of_a_converter(spark):
     assert [tuple(r.box) for r in lines.collect()] == [(1, 0.0, 5.0, 80.0, 25.0)]
 
 
+def test_reading_order_of_trees(spark):
+    """Trees of any shape against a plain walk: groups, nesting, references to nothing, to themselves and back."""
+    import json
+    import random
+
+    from spanveil.sources import layout as source
+
+    rng = random.Random(4)
+    ref = lambda k, i: {"$ref": f"#/{k}/{i}"}
+    cases, want = [], {}
+    for n in range(40):
+        names = [(k, i) for k in ("texts", "tables", "pictures", "groups") for i in range(rng.randrange(4))]
+        left = names[:]
+        rng.shuffle(left)
+        children = {x: [] for x in names}
+        roots, placed = [], []
+        for x in left:
+            over = rng.choice([None, *placed]) if placed else None
+            (roots if over is None else children[over]).append(x)
+            placed.append(x)
+        if n % 5 == 0 and placed:
+            children[placed[-1]].append(placed[0])  # back to where it came from
+            roots.append(("texts", 77))
+        captions = {x: rng.sample(children[x], rng.randrange(len(children[x]) + 1)) for x in names if x[0] == "pictures"}
+        prov = [{"page_no": 1, "bbox": {"l": 1.0, "t": 2.0, "r": 3.0, "b": 4.0, "coord_origin": "TOPLEFT"}}]
+        d = {"pages": {"1": {"page_no": 1, "size": {"width": 8, "height": 9}}}, "body": {"children": [ref(*x) for x in roots]}}
+        for k in ("texts", "tables", "pictures", "groups"):
+            d[k] = [{"children": [ref(*c) for c in children[x]], "captions": [ref(*c) for c in captions.get(x, [])], "prov": prov} for x in names if x[0] == k]
+        seen = []
+
+        def walk(x, children=children, captions=captions, seen=seen):
+            if x in children and x not in seen:
+                seen.append(x)
+                for c in children[x]:
+                    if x[0] != "pictures" or c in captions[x]:
+                        walk(c)
+
+        for x in roots:
+            walk(x)
+        cases.append((n, json.dumps(d)))
+        want[n] = [f"#/{k}/{i}" for k, i in seen]
+    known = source.parsed(spark.createDataFrame([*cases, (99, None), (98, '{"texts":[{"prov":[]},{"prov":[]}],"groups":[{}]}')], "doc_id long, document string"))
+    got = {}
+    for r in source.reading_order(known).orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append(r.ref)
+    assert got == {n: w for n, w in want.items() if w} | {98: ["#/texts/0", "#/texts/1"]}
+    sizes = {r.doc_id: r.n for r in source.regions(known).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {n: k for n, w in want.items() if (k := sum(not r.startswith("#/groups") for r in w))}
+
+
+def test_classes_of_pictures_in_both_forms(spark):
+    import json
+
+    from spanveil.sources import layout as source
+
+    prov = [{"page_no": 1, "bbox": {"l": 1.0, "t": 2.0, "r": 3.0, "b": 4.0, "coord_origin": "TOPLEFT"}}]
+    seen = {"classification": {"predictions": [{"class_name": "signature", "confidence": 0.7}, {"class_name": "logo", "confidence": None}]}}
+    old = [{"kind": "classification", "predicted_classes": [{"class_name": "signature", "confidence": 0.9}]}]
+    d = {"pages": {"1": {"page_no": 1, "size": {"width": 8, "height": 9}}}, "pictures": [{"prov": prov, "meta": seen}, {"prov": prov, "annotations": old}, {"prov": prov}]}
+    got = source.pictures(source.parsed(spark.createDataFrame([(1, json.dumps(d))], "doc_id long, document string")))
+    assert sorted((r.classes for r in got.collect()), key=str) == [{"signature": 0.7, "logo": 0.0}, {"signature": 0.9}, {}]
+
+
+def test_lines_of_drawn_and_of_read_words(spark):
+    """A line that holds both kinds makes two lines, the drawn one first; a line's place is its first word, wherever that one goes."""
+    rows = [(1, 1, 0, "Anna", box(0, 0), True, False), (1, 1, 1, "Vogt", box(0, 40), True, False), (1, 1, 2, "Stempel", box(0, 80), True, True), (1, 1, 3, "Basel", box(0, 120), True, False)]
+    rows += [(1, 1, 4, "drin", box(200, 0), True, False), (1, 1, 5, "zuerst", box(100, 0), True, False), (1, 1, 6, "danach", box(200, 300), True, False), (1, 1, 7, "unsichtbar", box(100, 300), False, False)]
+    rows += [(1, 2, 8, "gelesen", box(0, 0, page=2), True, True), (1, 2, 9, "gezeichnet", box(50, 0, page=2), True, False)]
+    w = spark.createDataFrame(rows, f"doc_id long, page_no int, word_idx int, text string, box {G.BOX}, drawn boolean, read boolean")
+    lines = spark.createDataFrame([(1, 1, 0, box(0, 0, 20, 600)), (1, 1, 1, box(200, 0, 220, 600))], f"doc_id long, page_no int, line_idx int, box {G.BOX}")
+    regions = spark.createDataFrame([(1, 0, box(195, 0, 225, 100))], f"doc_id long, region_idx int, box {G.BOX}")
+    lined = layout.drop_read_over_drawn(layout.words_to_lines(w, lines)).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
+    units = layout.text_units(layout.words_to_regions(lined, regions))
+    assert [r.text for r in units.orderBy("unit_idx").collect()] == ["drin", "Anna Vogt Basel", "danach", "zuerst", "Stempel", "gezeichnet", "gelesen", "unsichtbar"]
+
+
 def test_boxes(spark):
     r = layout.text_units(words(spark, [["Runa", "Zumbrunn"]])).withColumn("b", layout.bars(layout.touched_boxes(F.col("words"), F.lit(0), F.lit(13)))).first()
     by = 1 + 0.15 * 12
