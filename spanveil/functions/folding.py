@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .machine import FEW, Machine
+
 # Code points that count as a hyphen, and what is stripped from a token before it is looked up.
 DASHES = (0x00AD, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212)
 STRIPPED = ".,;:!?()[]{}<>«»\"'"
@@ -142,19 +145,24 @@ class Needle:
         spaces, hyphens = s.spaces[1 : self.size], s.hyphens[1 : self.size]
         self.gaps = np.where(spaces > 0, WHITE, np.where(both, ANYTHING, np.where(hyphens > 0, ONE_HYPHEN, NOTHING)))
 
-    def places(self, text: Signs) -> list[tuple[int, int]]:
-        """Where the needle stands alone: no letter, digit, apostrophe or hyphen right before or after it."""
-        if not self.size:
-            return []
-        out, n, at = [], self.size, text.text.find(self.text)
-        while at >= 0:
-            if self._fits(text, at) and not self._held(text, at, before=True) and not self._held(text, at + n - 1, before=False):
+    def places(self, text: Signs, starts: list[int] | None = None) -> list[tuple[int, int]]:
+        """Where the needle stands alone: no letter, digit, apostrophe or hyphen right before or after it.
+
+        starts: all places of its signs in the text's, if known.
+        """
+        out, n, free = [], self.size, 0
+        for at in (self._starts(text.text) if starts is None else starts) if n else ():
+            if at >= free and self._fits(text, at) and not self._held(text, at, before=True) and not self._held(text, at + n - 1, before=False):
                 out.append((int(text.origin[at]), int(text.origin[at + n - 1]) + 1))
-                at = text.text.find(self.text, at + n)
-            else:
-                at = text.text.find(self.text, at + 1)
+                free = at + n
         return out
 
+    def _starts(self, text: str) -> Iterator[int]:
+        at = text.find(self.text)
+        while at >= 0:
+            yield at
+            at = text.find(self.text, at + 1)
+
     def _fits(self, text: Signs, at: int) -> bool:
         spaces, hyphens = text.spaces[at + 1 : at + self.size], text.hyphens[at + 1 : at + self.size]
         allowed = np.choose(self.gaps, ((spaces == 0) & (hyphens == 0), (spaces == 0) & (hyphens <= 1), np.ones(len(spaces), bool), (hyphens == 0) & (spaces > 0)))
@@ -241,9 +249,13 @@ def scraps(lists: Column | str) -> Column:
 
 
 def find_all(needles: list[str], text: str) -> list[list[dict]]:
-    """find() for several needles, folding the text once."""
-    body = signs(text) if len(needles) else None
-    return [[{"start": a, "end": b} for a, b in needle(n).places(body)] if n else [] for n in needles]
+    """find() for several needles, folding the text once and looking for the signs of all in one pass."""
+    if not len(needles):
+        return []
+    body, known = signs(text), [needle(n) if n else None for n in needles]
+    starts = Machine(n.text for n in known if n).starts(body.text) if len(known) >= FEW else None
+    each = [n.places(body, None if starts is None else starts.get(n.text, [])) if n else [] for n in known]
+    return [[{"start": a, "end": b} for a, b in places] for places in each]
 
 
 def find_folded(needles: Column | str, texts: Column | str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import REPEATING_LABELS
 from ..functions.folding import SPAN as PLACES
 from ..functions.folding import _udf, find_all_folded
+from ..functions.machine import FEW, Machine
 from ..functions.text import strip
 from .detect import SPANS
 
@@ -40,18 +42,32 @@ def needles(spans: Column, everywhere: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(own, of)).cast(NEEDLE)))
 
 
-def find_exact(needle: str, text: str) -> list[tuple[int, int]]:
-    """Places where needle stands alone in text, letter by letter; they don't overlap."""
-    out, at = [], text.find(needle)
-    while at >= 0:
+def find_exact(needle: str, text: str, starts: list[int] | None = None) -> list[tuple[int, int]]:
+    """Places where needle stands alone in text, letter by letter; they don't overlap. starts: all its places, if known."""
+    out, free = [], 0
+    for at in _each(needle, text) if starts is None else starts:
         end = at + len(needle)
-        alone = not (at and _in_word(text[at - 1])) and not (end < len(text) and _in_word(text[end]))
-        if alone:
+        if at >= free and not (at and _in_word(text[at - 1])) and not (end < len(text) and _in_word(text[end])):
             out.append((at, end))
-        at = text.find(needle, end if alone else at + 1)
+            free = end
     return out
 
 
+def _each(needle: str, text: str) -> Iterator[int]:
+    at = text.find(needle)
+    while at >= 0:
+        yield at
+        at = text.find(needle, at + 1)
+
+
+def find_all_exact(needles: list[str], text: str) -> list[list[tuple[int, int]]]:
+    """find_exact for each needle, with one pass of the text for all of them."""
+    if len(needles) < FEW:
+        return [find_exact(n, text) for n in needles]
+    starts = Machine(needles).starts(text)
+    return [find_exact(n, text, starts.get(n, [])) for n in needles]
+
+
 @lru_cache(100_000)
 def _in_word(ch: str) -> bool:
     return ch in "_'-" or unicodedata.category(ch)[0] in "LN"
@@ -61,7 +77,7 @@ def exact_places(text: Column, found: Column) -> Column:
     """For each needle its places in the text."""
 
     def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[[{"start": a, "end": b} for a, b in find_exact(n, t)] for n in ns] if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)])
+        return pd.Series([[[{"start": a, "end": b} for a, b in places] for places in find_all_exact(list(ns), t)] if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)])
 
     return _udf(run, f"array<{PLACES}>")(F.transform(found, lambda n: n["needle"]), text)
 

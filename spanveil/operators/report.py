@@ -61,3 +61,13 @@ def in_flight(attempts: DataFrame) -> DataFrame:
 def client_fairness(attempts: DataFrame, stage: str = "redact") -> DataFrame:
     done = F.col("started_at") + F.col("submit_s") + F.col("queue_s") + F.col("work_s") + F.col("collect_s")
     return attempts.where((F.col("stage") == stage) & F.col("error").isNull()).groupBy("client").agg(F.min(done).alias("first_done"), F.max(done).alias("last_done"), F.count("*").alias("n"))
+
+
+def entity_cube(counts: DataFrame) -> DataFrame:
+    """counts(doc_id, label, lang, source, k) summed over all groupings of label, lang and source: detections ``n`` and documents ``n_docs``.
+
+    grouping_id: a bit for each column that is summed over (label 4, lang 2, source 1), which tells such a null from one in the data.
+    """
+    names = ["label", "lang", "source"]
+    cube = counts.cube(*names).agg(F.grouping_id().alias("grouping_id"), F.sum("k").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return cube.select(*names, F.col("grouping_id").cast("long").alias("grouping_id"), "n", "n_docs")

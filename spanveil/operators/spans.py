@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.folding import scrap, scraps
+from ..functions.machine import machine
 from ..functions.text import strip
 
 
@@ -27,8 +29,32 @@ def blacklisted(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(text), w)) if words else F.lit(False)
 
 
+#: From so many words on a blacklist is looked for by an automaton; beyond the second figure it is no list but a table.
+MANY_WORDS, MOST_WORDS = 64, 2_000_000
+
+
 def drop_blacklisted(spans: Column, words: list[str]) -> Column:
-    return F.filter(spans, lambda s: ~blacklisted(s["text"], words)) if words else spans
+    """spans without those whose text holds a listed word, whatever the case. A long list is one automaton in each worker."""
+    words = sorted({w.lower() for w in words})
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"a blacklist has {MOST_WORDS} words at most")
+    if len(words) < MANY_WORDS or not words[0]:
+        return F.filter(spans, lambda s: ~blacklisted(s["text"], words)) if words else spans
+    shared = SparkSession.active().sparkContext.broadcast(tuple(words))
+
+    def run(lists: pa.Array) -> pa.Array:
+        known, seen = machine(shared.value), {}
+        rows = []
+        for texts in lists.to_pylist():
+            for t in texts or ():
+                if t not in seen:
+                    seen[t] = t is not None and known.any(t.lower())
+            rows.append(None if texts is None else [seen[t] for t in texts])
+        return pa.array(rows, pa.list_(pa.bool_()))
+
+    listed = F.arrow_udf(run, "array<boolean>").asNondeterministic()(F.transform(spans, lambda s: s["text"]))
+    pairs = F.filter(F.arrays_zip(spans.alias("s"), listed.alias("f")), lambda z: ~z["f"])
+    return F.transform(pairs, lambda z: z["s"])
 
 
 def drop_scraps(docs: DataFrame, spans: str = "spans", key: str = "doc_id") -> DataFrame:

@@ -105,6 +105,26 @@ def blacklist_anti_join(spark, d):
     return D.explode_spans(several(spark, d).withColumn("spans", spans.drop_blacklisted(F.col("spans"), LET_THROUGH))).selectExpr(*FLAT)
 
 
+@query(f"""WITH f AS ({occurrences_sql("[A-Z][a-z]{8,}")}), w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'de'), l AS (SELECT word FROM w WHERE length(word) = 5)
+ SELECT doc_id, i AS ord, text AS mention FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE contains(lower(text), word))""")
+def blacklist_many(spark, d):
+    """Mentions without those that hold any five-letter word of the German documents: thousands of listed words."""
+    words = docs(spark, d, "lang").where("lang = 'de'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") == 5).distinct()
+    listed = words.limit(spans.MOST_WORDS + 1).toArrow().column("word").to_pylist()  # a longer list is refused
+    found = docs(spark, d).withColumn("spans", D.rule_spans(F.col("text"), {"ort": "[A-Z][a-z]{8,}"}))
+    return found.select("doc_id", F.explode(spans.drop_blacklisted(F.col("spans"), listed)).alias("s")).select("doc_id", F.col("s.id").cast("long").alias("ord"), F.col("s.text").alias("mention"))
+
+
+@query("""WITH s AS (SELECT doc_id, lang, source, unnest(list_concat(list_transform(regexp_extract_all(text, '[A-Z][a-z]{8,}'), lambda x: 'ort'), list_transform(regexp_extract_all(text, '[0-9]{13,19}'), lambda x: 'seriennummer'))) AS label FROM documents)
+ SELECT label, lang, source, CAST(grouping(label, lang, source) AS BIGINT) AS grouping_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM s GROUP BY CUBE (label, lang, source)""")
+def entity_cube(spark, d):
+    """Detections and documents with any, by label, language and source, with all sums over them."""
+    found = docs(spark, d, "lang", "source").withColumn("spans", D.rule_spans(F.col("text"), {"ort": "[A-Z][a-z]{8,}", "seriennummer": "[0-9]{13,19}"}))
+    # Counted by document first, so that a row of the cube's input is a document and a label, not a detection.
+    each = found.select("doc_id", "lang", "source", F.explode("spans").alias("s")).groupBy("doc_id", "lang", "source", F.col("s.label").alias("label")).agg(F.count("*").alias("k"))
+    return report.entity_cube(each)
+
+
 @query(f"WITH {SEVERAL_SQL} SELECT label, count(*) AS n FROM several WHERE label IN ('person', 'ort', 'plz', 'organisation', 'datum', 'telefonnummer') GROUP BY label")
 def preset_semi_join(spark, d):
     found = D.explode_spans(several(spark, d))
@@ -449,6 +469,17 @@ def queue_fair_order(spark, d):
     return Q.fair_order(tasks(spark, d).where("status = 'pending'")).select("seq", "lane", "client", "queue_position")
 
 
+def queue_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as tasks that come and leave: views and clicks come, all else leaves; two lanes by user."""
+    made = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, "convert").otherwise("redact").alias("lane"), F.when(F.col("event_type").isin("view", "click"), 1).otherwise(-1).alias("change"))
+    return made.withColumn("bound", Q.max_queued(F.col("lane")))
+
+
+@query()
+def queue_admission_live(spark, d):
+    return Q.admitted_live(queue_events(spark, d)).select("seq", "lane", "waiting", "admitted")
+
+
 @query(f"WITH {TASKS_SQL} SELECT seq, 'failed' AS status, 'abandoned by the caller' AS error FROM tasks WHERE status = 'pending' AND 2000000.0 - ts > 60")
 def queue_abandoned(spark, d):
     return Q.abandoned(tasks(spark, d).withColumn("polled_at", F.col("ts")), F.lit(2_000_000.0)).select("seq", "status", "error")

@@ -381,3 +381,37 @@ def test_many_matches_in_one_text(spark):
     assert time.time() - began < 10 and len(found) == n and all(text[x.start : x.end] == "ab12" for x in (found[0], found[77], found[-1]))
     pages = spark.createDataFrame([("x<!-- docling-page -->" * 500,)], "t string").select(page_offsets(F.col("t")).alias("o")).first().o
     assert pages == [min(i, 500) for i in range(501)]
+
+
+def test_many_needles_in_one_pass():
+    """The automaton finds what one search for each needle finds: overlaps, needles in needles, needles that touch words."""
+    from spanveil.functions import folding, machine
+    from spanveil.operators import propagate
+
+    rng = random.Random(9)
+    for _ in range(300):
+        needles = list({"".join(rng.choice("aab- ü") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(20))})
+        text = "".join(rng.choice("aab- ü_") for _ in range(rng.randrange(80)))
+        assert propagate.find_all_exact(needles, text) == [propagate.find_exact(n, text) for n in needles]
+        got = folding.find_all(needles, text)
+        assert got == [[{"start": a, "end": b} for a, b in folding.find(n, text)] for n in needles]
+    assert machine.Machine([]).starts("x") == {} and not machine.Machine([""]).any("x")
+
+
+def test_long_blacklists(spark):
+    """10^5 listed words, in one automaton for each worker, let through what a search for each does."""
+    from spanveil.operators import spans as S
+
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(100_000)] + ["Straße", "İx"]
+    texts = [words[5].upper(), "x" + words[77] + "y", "none", "", None, "STRASSE", "STRAẞE", "an der straße", words[9][:6]]
+    docs = spark.createDataFrame([(1, [("ort", 0, i, i + 1, t, 0, 1, 1.0) for i, t in enumerate(texts)]), (2, []), (3, None)], f"doc_id long, spans {D.SPANS}")
+    got = {r.doc_id: r.s and [x.text for x in r.s] for r in docs.select("doc_id", S.drop_blacklisted(F.col("spans"), words).alias("s")).collect()}
+    low = [w.lower() for w in words]
+    assert got == {1: [t for t in texts if t is None or not any(w in t.lower() for w in low)], 2: [], 3: None}
+    with pytest.raises(ValueError):
+        S.MOST_WORDS, kept = 10, S.MOST_WORDS
+        try:
+            S.drop_blacklisted(F.col("spans"), words)
+        finally:
+            S.MOST_WORDS = kept
