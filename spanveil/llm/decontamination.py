@@ -17,6 +17,8 @@ item_id, with a pass over the documents for each; the driver holds one block at
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import unicodedata
 from functools import cache
 
@@ -154,17 +156,22 @@ class Grams:
         maybe, low, n = maybe[hit], low[hit], (high - low)[hit]
         if not len(maybe):
             return []
-        # Hits (position in the documents, item, position in the item), one for each pair of places of a shared q-gram.
-        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        p, item, j = np.repeat(maybe, n), self.owner[which], self.place[which]
-        width = self.budget[item] + 1
-        band = (p - j) // width  # band b has the diagonals [b * width, (b + 2) * width): a hit lies in b and in b - 1
-        text, found = text_of[p], []
-        for shift in (0, 1):
-            # Repeated hits and hits of bands that share a cell only raise a cell's count: what stays below the bound can go.
-            cell = ((mix((((text * len(self.ids) + item) << 24) ^ (band - shift)).astype(np.uint64))) >> np.uint64(42)).astype(np.int64)
-            full = np.bincount(cell, minlength=1)[cell] >= self.least[item]
-            found.append(np.stack((text[full], item[full], band[full] - shift, j[full]), axis=1))
+        # Texts and items may share q-grams without end, so hits are made in runs of bounded size: first the cells are counted, then those that are full are kept.
+        ends = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + HITS, HITS)))
+        runs = [slice(int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], len(n)], strict=True) if y > x]
+        counts = None
+        if len(runs) > 1:
+            counts = np.zeros((2, CELLS), dtype=np.int32)
+            for r in runs:
+                for shift, (*_, cell) in enumerate(self._cells(maybe[r], low[r], n[r], text_of)):
+                    counts[shift] += np.bincount(cell, minlength=CELLS).astype(np.int32)
+        found = []
+        for r in runs:
+            for shift, (text, item, band, j, cell) in enumerate(self._cells(maybe[r], low[r], n[r], text_of)):
+                total = np.bincount(cell, minlength=1) if counts is None else counts[shift]
+                full = total[cell] >= self.least[item]
+                found.append(np.stack((text[full], item[full], band[full], j[full]), axis=1))
         rows = np.concatenate(found)
         if not len(rows):
             return []
@@ -183,15 +190,46 @@ class Grams:
             if len(left):
                 begin[left], end[left], edits[left] = align(self.codes[i], codes, mine[left, 2] * w, first[left], stop[left], 2 * w)
             good = np.flatnonzero((edits < w) & (end > begin))
-            good = good[np.lexsort((end[good], edits[good], begin[good], mine[good, 0]))]
-            last = (-1, -1)
-            for r in good.tolist():
-                t, a, b = int(mine[r, 0]), int(begin[r]), int(end[r])
-                if (t, a) >= last:  # bands overlap: one region may come from two
-                    out.append((t, self.ids[i], a, b, int(edits[r])))
-                    last = (t, b)
+            good = good[np.lexsort((end[good], begin[good], edits[good], mine[good, 0]))]
+            out += [(t, self.ids[i], a, b, e) for t, a, b, e in apart(zip(*(x[good].tolist() for x in (mine[:, 0], begin, end, edits)), strict=True))]
         return out
 
+    def _cells(self, maybe: np.ndarray, low: np.ndarray, n: np.ndarray, text_of: np.ndarray):
+        """Hits of a run, once for each of the two bands that they lie in: (text, item, band, place in the item, cell).
+
+        A hit is a position in the documents and one in an item with the same q-gram. Repeated hits and hits of bands
+        that share a cell only raise a cell's count: what stays below the bound can go.
+        """
+        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        p, item, j = np.repeat(maybe, n), self.owner[which], self.place[which]
+        band = (p - j) // (self.budget[item] + 1)  # band b has the diagonals [b * width, (b + 2) * width): a hit lies in b and in b - 1
+        text = text_of[p]
+        for shift in (0, 1):
+            cell = (mix((((text * len(self.ids) + item) << 24) ^ (band - shift)).astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+            yield text, item, band - shift, j, cell
+
+
+#: Hits that are looked at together; cells in which bands are counted.
+HITS, CELLS = 1 << 20, 1 << 22
+
+
+def apart(regions) -> list[tuple[int, int, int, int]]:
+    """Of (text, start, end, edits), those with the fewest edits come first: a region stays if it overlaps none that stays before it.
+
+    Bands overlap, so one place may come from two of them, with more edits from one.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    text, starts, ends = None, [], []
+    for t, a, b, e in regions:
+        if t != text:
+            text, starts, ends = t, [], []
+        k = bisect_left(starts, b)
+        if not k or ends[k - 1] <= a:
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append((t, a, b, e))
+    return sorted(out)
+
 
 def exact(item: np.ndarray, codes: np.ndarray, low: np.ndarray, first: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each band the first place of the item in it without any edit: (start, end, 0), or edits of 1 where there is none."""

@@ -171,6 +171,28 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.remove_contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_overlapping_regions_keep_the_fewest_edits(spark):
+    rng = random.Random(3)
+    item = "".join(rng.choice("abcdefghijklmno") for _ in range(75))
+    known = decontamination.Benchmark([(1, item)])
+    text = item[:-6] + item
+    assert [(a, b, e) for _, _, a, b, e in known.find([text]) if e == 0] == [(len(item) - 6, len(text), 0)]
+    assert decontamination.apart([(1, 5, 9, 0), (1, 0, 5, 1), (1, 8, 12, 1), (2, 0, 3, 4)]) == [(1, 0, 5, 1), (1, 5, 9, 0), (2, 0, 3, 4)]
+
+
+def test_items_that_share_an_opening(monkeypatch):
+    """Hits in many small runs give what one run gives."""
+    rng = random.Random(4)
+    opening = "what of the following is the answer "
+    items = [(i, opening + words(rng, 14)) for i in range(60)]
+    text = " ".join(opening for _ in range(40)) + items[7][1] + " and " + items[9][1][:-1]
+    texts = [text, words(rng, 50), items[3][1]]
+    whole = decontamination.Benchmark(items).find(texts)
+    monkeypatch.setattr(decontamination, "HITS", 97)
+    assert sorted(decontamination.Benchmark(items).find(texts)) == sorted(whole)
+    assert {(t, i) for t, i, *_ in whole} >= {(0, 7), (0, 9), (2, 3)}
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 def shingles(t, n):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
