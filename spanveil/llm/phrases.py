@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, LOWER, Scratch, prefix_hash, slices, span_hash, table
+from .common import BYTE_CODES, LOWER, Scratch, give_back, prefix_hash, slices, span_hash, table
 
 #: Least occurrences, longest phrase, rows for each language, per cent from which a longer phrase covers a shorter one.
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 SCALE = 2_000_000
 #: Bytes of text in a shard; rows that may be broadcast; expanded block pairs at once; parts into which a hot word or language is dealt.
-SHARD_BYTES, MOST_BROADCAST, AT_ONCE, SALTS = 4 << 20, 200_000, 1 << 20, 16
+SHARD_BYTES, MOST_BROADCAST, AT_ONCE, SALTS = 2 << 20, 200_000, 1 << 19, 16
 BITS = 16
 #: Pairs that may be broadcast (16 bytes each).
 MOST_PAIRS = 1_000_000
@@ -165,6 +165,7 @@ def _each(shards, make):
         words, which, place = positions(texts)
         if words:
             yield make(shard, name, words, which, place)
+        give_back()
 
 
 def _words(words: list[bytes]) -> pa.Array:
