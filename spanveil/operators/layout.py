@@ -13,6 +13,8 @@ from ..functions.arrays import gathered_fully, running_sums
 
 PAGE = ["doc_id", "page_no"]
 UNIT_GAP = "\n\n"
+#: Characters of a stretch of text in which mentions and units meet.
+STRETCH = 256
 PICTURE_CLASSES, PICTURE_CONFIDENCE = ("signature",), 0.2
 
 
@@ -131,8 +133,18 @@ def join_units(units: DataFrame) -> DataFrame:
 
 
 def split_mentions(mentions: DataFrame, units: DataFrame) -> DataFrame:
-    """Pieces of mentions(doc_id, mention_no, start, end) in units(doc_id, unit_idx, u_start, u_end): start and end in the unit."""
-    joined = mentions.join(units, "doc_id").where("u_start < end and start < u_end")
+    """Pieces of mentions(doc_id, mention_no, start, end) in units(doc_id, unit_idx, u_start, u_end): start and end in the unit.
+
+    Both sides are dealt to stretches of the text; a pair comes from the first stretch that it shares, so the join is on
+    equal stretches and its work follows the pieces. An empty unit or mention lies in the stretch of its place.
+    """
+
+    def dealt(rows: DataFrame, low: str, high: str, first: str) -> DataFrame:
+        at = lambda c: F.floor(c / STRETCH)
+        return rows.withColumn(first, at(F.col(low))).withColumn("_stretch", F.explode(F.sequence(first, F.greatest(F.col(first), at(F.col(high) - 1)))))
+
+    pairs = dealt(mentions, "start", "end", "_m").join(dealt(units, "u_start", "u_end", "_u"), ["doc_id", "_stretch"])
+    joined = pairs.where(F.col("_stretch") == F.greatest("_m", "_u")).where("u_start < end and start < u_end")
     return joined.select("doc_id", "mention_no", "unit_idx", (F.greatest("start", "u_start") - F.col("u_start")).alias("start"), (F.least("end", "u_end") - F.col("u_start")).alias("end"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.arrays import gathered
 
 SAME_MARK, COMMENT_LIMIT = 0.6, 120
+MARKS_IN_BATCH = 10_000
 
 # Outline colours by label.
 COLOURS = {
@@ -30,22 +34,109 @@ def merge_named(marks: DataFrame) -> DataFrame:
     return marks.where("id <> ''").groupBy("doc_id", "id", "label").agg(F.min("ord").alias("ord"), box.alias("box"), F.max("confidence").alias("confidence"), first("text").alias("text")).select("doc_id", "ord", "id", "box", "label", "confidence", "text")
 
 
+def _bands(marks: DataFrame, keys: list[str], low: str, high: str, name: str) -> DataFrame:
+    """marks with a number ``name`` for each run of boxes that overlap along one axis; boxes of two runs never meet, however they are united."""
+    lo, hi = F.least(f"box.{low}", f"box.{high}"), F.greatest(f"box.{low}", f"box.{high}")
+    w = Window.partitionBy(*keys).orderBy("_lo")
+    begins = F.coalesce(F.col("_lo") > F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return marks.withColumns({"_lo": lo, "_hi": hi}).withColumn("_begins", begins.cast("int")).withColumn(name, F.sum("_begins").over(w)).drop("_lo", "_hi", "_begins")
+
+
+class Near:
+    """Numbered boxes (l, t, r, b) and which of them a box may overlap: each lies in at most four cells of a grid as wide as its longer side."""
+
+    def __init__(self) -> None:
+        self.grids: dict[int, dict[tuple[int, int], set[int]]] = {}
+        self.sizes: dict[int, int] = {}
+
+    @staticmethod
+    def _range(size: float, b: tuple) -> tuple[int, int, int, int]:
+        return math.floor(b[0] / size), math.floor(b[1] / size), math.floor(b[2] / size), math.floor(b[3] / size)
+
+    def _cells(self, b: tuple) -> tuple[int, list[tuple[int, int]]]:
+        level = math.frexp(max(b[2] - b[0], b[3] - b[1]))[1]
+        x0, y0, x1, y1 = self._range(2.0**level, b)
+        return level, [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+
+    def put(self, n: int, b: tuple) -> None:
+        level, cells = self._cells(b)
+        grid = self.grids.setdefault(level, {})
+        self.sizes[level] = self.sizes.get(level, 0) + 1
+        for c in cells:
+            grid.setdefault(c, set()).add(n)
+
+    def drop(self, n: int, b: tuple) -> None:
+        level, cells = self._cells(b)
+        self.sizes[level] -= 1
+        for c in cells:
+            self.grids[level][c].discard(n)
+
+    def meeting(self, b: tuple) -> set[int]:
+        out: set[int] = set()
+        for level, grid in self.grids.items():
+            if not self.sizes[level]:
+                continue
+            x0, y0, x1, y1 = self._range(2.0**level, b)
+            if (x1 - x0 + 1) * (y1 - y0 + 1) > len(grid):
+                out.update(*grid.values())
+            else:
+                out.update(*(grid.get((x, y), ()) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)))
+        return out
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return any(size > 0 and shared / size >= SAME_MARK for size in ((x[2] - x[0]) * (x[3] - x[1]) if x[2] > x[0] and x[3] > x[1] else 0.0 for x in (a, b)))
+
+
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and order, to the marks that are left; a group's united marks are held, not its rows."""
+    key, kept, near, schema, ready = None, [], Near(), None, []
+    for batch in batches:
+        schema = batch.schema
+        for row in batch.to_pylist():
+            if row["_key"] != key:
+                ready += kept
+                key, kept, near = row["_key"], [], Near()
+                if len(ready) >= MARKS_IN_BATCH:
+                    yield pa.RecordBatch.from_pylist(ready, schema=schema)
+                    ready = []
+            box = (row["l"], row["t"], row["r"], row["b"])
+            n = min((i for i in near.meeting(box) if _same(kept[i]["_box"], box)), default=None)
+            if n is None:
+                kept.append(row | {"_box": box})
+                if box[2] > box[0] and box[3] > box[1]:
+                    near.put(len(kept) - 1, box)
+                continue
+            first = kept[n]
+            old, wide = first["_box"], (min(first["l"], box[0]), min(first["t"], box[1]), max(first["r"], box[2]), max(first["b"], box[3]))
+            if wide != old:
+                near.drop(n, old)
+                near.put(n, wide)
+            first |= {"_box": wide, "confidence": max((c for c in (first["confidence"], row["confidence"]) if c is not None), default=None)} | dict(zip("ltrb", wide, strict=True))
+    if ready or kept:
+        yield pa.RecordBatch.from_pylist(ready + kept, schema=schema)
+
+
 def merge_unnamed(marks: DataFrame) -> DataFrame:
     """Marks without an id: one that covers six tenths of another of its label, or is covered so, is the same mark.
 
     In order, each is united with the first before it that it is the same as; that one's place and text stay.
+    The order matters only among boxes that can come to overlap, so a page is first cut between rows of boxes and then
+    between columns. Each part is gone through once, in order, and a mark is compared with near ones alone.
+    A mark whose page or box isn't wholly known stands alone.
     """
-    kind = f"array<struct<ord:int,box:{G.BOX},confidence:double,text:string>>"
-
-    def alike(a: Column, b: Column) -> Column:
-        return F.greatest(G.covered_by(a["box"], b["box"]), G.covered_by(b["box"], a["box"])) >= SAME_MARK
-
-    def united(a: Column, b: Column) -> Column:
-        return F.struct(a["ord"].alias("ord"), G.union(a["box"], b["box"]).alias("box"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"), a["text"].alias("text"))
-
-    each = F.array_sort(F.collect_list(F.struct("ord", "box", "confidence", "text")))
-    folded = marks.where("id = ''").groupBy("doc_id", "label").agg(each.alias("a")).select("doc_id", "label", F.explode(gathered(F.col("a"), kind, alike, united)).alias("m"))
-    return folded.select("doc_id", "m.ord", F.lit("").alias("id"), "m.box", "label", "m.confidence", "m.text")
+    lone = marks.where("id = ''").select("doc_id", "ord", "id", "box", "label", "confidence", "text")
+    known = F.coalesce(F.col("box.page_no").isNotNull() & F.forall(F.array("box.l", "box.t", "box.r", "box.b"), lambda v: F.abs(v) < float("inf")), F.lit(False))
+    keys = ["doc_id", "label", "_page"]
+    rows = _bands(lone.where(known).withColumn("_page", F.col("box.page_no")), keys, "t", "b", "_row")
+    parts = _bands(rows, [*keys, "_row"], "l", "r", "_column")
+    part = F.struct(*keys, "_row", "_column")
+    inner = parts.select("doc_id", "label", "ord", "box.*", "confidence", "text", part.alias("_key"))
+    order = ["_key", "ord", "page_no", "l", "t", "r", "b", "confidence", "text"]
+    folded = inner.repartition("_key").sortWithinPartitions(*order).mapInArrow(_united, inner.schema)
+    box = G.box(F.col("page_no"), F.col("l"), F.col("t"), F.col("r"), F.col("b"))
+    return folded.select("doc_id", "ord", F.lit("").alias("id"), box.alias("box"), "label", "confidence", "text").unionByName(lone.where(~known))
 
 
 def merge_marks(marks: DataFrame) -> DataFrame:

@@ -437,7 +437,9 @@ def merge_marks_named(spark, d):
     return marks.merge_named(event_marks(spark, d)).select("doc_id", "id", "label", "ord", "box.*", "confidence", "text")
 
 
-@query()
+# Boxes of this table's grid cover a third of a neighbour at most, so only equal ones are the same mark.
+@query(f"""WITH {MARKS_SQL} SELECT doc_id, min(ord) AS ord, id, label, arg_min(page_no, ord) AS page_no, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, max(confidence) AS confidence, arg_min(text, ord) AS text FROM m WHERE id <> '' GROUP BY doc_id, id, label
+ UNION ALL SELECT doc_id, min(ord), '', label, page_no, l, t, r, b, max(confidence), arg_min(text, ord) FROM m WHERE id = '' GROUP BY doc_id, label, page_no, l, t, r, b""")
 def merge_marks(spark, d):
     return marks.merge_marks(event_marks(spark, d)).select("doc_id", "ord", "id", "label", "box.*", "confidence", "text")
 
