@@ -11,6 +11,7 @@ from .operators import layout, marks
 from .operators.detect import Detector, RuleDetector, explode_spans
 from .operators.redact import redact
 from .sources.files import admission, convert, read_files
+from .sources.pdf import pdf_pages, write_marks
 from .sources.written import written
 
 
@@ -76,3 +77,11 @@ def annotate_documents(reviewed: DataFrame, pages: DataFrame, at: Column | None
     refused = marks.past_the_end(each, pages.groupBy("doc_id").agg(F.max("page_no").alias("pages")))
     placed = each.join(refused.select("doc_id"), "doc_id", "left_anti").withColumn("page_no", F.col("box.page_no")).join(pages, ["doc_id", "page_no"]).drop("page_no")
     return marks.records(placed.withColumn("at", F.current_timestamp() if at is None else at), author), refused
+
+
+def annotate_files(files: DataFrame, reviewed: DataFrame, at: Column | None = None, author: str = "spanveil") -> DataFrame:
+    """PDF files(doc_id, content) with reviewed marks appended: doc_id, content, n_marks, error. A file with a mark past its last page is refused."""
+    records, refused = annotate_documents(reviewed, pdf_pages(files).where("error is null").drop("error"), at, author)
+    made = write_marks(files.join(refused.select("doc_id"), "doc_id", "left_anti"), records)
+    late = refused.select("doc_id", F.concat(F.lit("a mark on page "), F.col("page_no").cast("string"), F.lit(" past the last one")).alias("error"))
+    return made.unionByName(late, allowMissingColumns=True)

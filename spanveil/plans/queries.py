@@ -13,8 +13,11 @@ from ..functions.geometry import box
 from ..operators import detect as D
 from ..operators import layout, marks, propagate, redact, report, spans
 from ..operators import tasks as Q
+from ..sources import pdf
 from ..sources.written import written
-from .tables import ATTEMPTS_SQL, TASKS_SQL, attempts, table, tasks
+from ..streaming.lives import run_through, task_lives
+from ..streaming.tasks import MOVES
+from .tables import ATTEMPTS_SQL, LINE_CHARS, PAGE_CHARS, TASKS_SQL, attempts, pdf_files, table, tasks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,10 +140,12 @@ def gazetteer_detect(spark, d):
     return D.gazetteer(words, docs(spark, d), "person")
 
 
-@query("SELECT label, preset, position AS ord FROM (VALUES " + ", ".join(f"('{k}', '{p}', {i})" for p, ks in catalog.PRESETS.items() for i, k in enumerate(ks)) + ") t(label, preset, position)")
+@query(f"WITH {SEVERAL_SQL}, t(label, preset, ord) AS (VALUES " + ", ".join(f"('{k}', '{p}', {i})" for p, ks in catalog.PRESETS.items() for i, k in enumerate(ks)) + ") SELECT t.label, preset, ord, count(s.doc_id) AS mentions, count(DISTINCT s.doc_id) AS documents FROM t LEFT JOIN several s ON s.label = t.label GROUP BY t.label, preset, ord")
 def preset_labels(spark, d):
-    """Labels of the presets that the catalogue knows, in the presets' order."""
-    return catalog.presets(spark).join(catalog.entity_types(spark).select("label"), "label", "left_semi").select("label", "preset", "ord")
+    """Labels of the presets that the catalogue knows, in the presets' order, with how often and in how many documents each is found."""
+    found = D.explode_spans(several(spark, d)).groupBy("label").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    known = catalog.presets(spark).join(catalog.entity_types(spark).select("label"), "label", "left_semi")
+    return known.join(found, "label", "left").select("label", "preset", "ord", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("mentions", "documents")])
 
 
 # --- overlap and replacement -------------------------------------------------------------------------------------
@@ -460,7 +465,62 @@ def mark_records(spark, d):
     return marks.records(event_marks(spark, d).withColumns(page)).select("doc_id", "page_no", "subj", "contents", "nm", "created", F.col("rect").cast("string").alias("rect"), F.col("quad_points").cast("string").alias("quad_points"))
 
 
+CAPITALISED = r"[A-Z][a-z]{6,}"
+_AT = f"span_start % {PAGE_CHARS} % {LINE_CHARS} * 5.0"
+_DOWN = f"floor(span_start % {PAGE_CHARS} / {LINE_CHARS}) * 20.0"
+
+
+@query(f"""SELECT doc_id, CAST(floor(span_start / {PAGE_CHARS}) AS INTEGER) + 1 AS page_no, 'Redact' AS subtype, CAST({_AT} AS DOUBLE) AS l, CAST(832 - {_DOWN} AS DOUBLE) AS b, CAST({_AT} + 40 AS DOUBLE) AS r, CAST(842 - {_DOWN} AS DOUBLE) AS t, 'd' || i AS name, 'person, Konfidenz 0.90: «' || text || '»' AS contents FROM ({occurrences_sql(CAPITALISED)})
+ UNION ALL SELECT doc_id, 1, 'Text', 0.0, 0.0, 9.0, 9.0, NULL, NULL FROM documents WHERE doc_id % 4 = 0""")
+def pdf_marks(spark, d):
+    """All documents as PDF files, capitalised words marked in them, and the annotations that the files then hold."""
+    files = pdf_files(spark, d)
+    found = D.explode_spans(docs(spark, d).withColumn("spans", D.rule_spans(F.col("text"), {"person": CAPITALISED}))).withColumnRenamed("start", "span_start")
+    left, top = F.expr(_AT), F.expr(_DOWN)
+    page_no = F.floor(F.col("span_start") / PAGE_CHARS) + 1
+    placed = found.select("doc_id", page_no.cast("int").alias("page_no"), box(page_no, left, top, left + 40, top + 10).alias("box"), "label", F.lit(0.9).alias("confidence"), "text", F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"), F.lit("").alias("overlay"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"))
+    records = marks.records(placed.join(pdf.pdf_pages(files).drop("error"), ["doc_id", "page_no"]))
+    held = pdf.pdf_annotations(pdf.write_marks(files, records))
+    return held.where("page_no is not null").select("doc_id", "page_no", "subtype", *[F.col("rect")[i].alias(c) for i, c in enumerate("lbrt")], "name", "contents")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 50 <> 7 THEN CAST(greatest(1, ceil(coalesce(length(text), 0) / {float(PAGE_CHARS)})) AS BIGINT) ELSE 0 END AS pages, doc_id % 50 = 7 AS refused FROM documents")
+def pdf_page_count(spark, d):
+    """Pages of all documents as PDF files; one in fifty comes without its second half, and is refused."""
+    files = pdf_files(spark, d).withColumn("content", F.when(F.col("doc_id") % 50 == 7, F.expr("substring(content, 1, cast(length(content) / 2 as int))")).otherwise(F.col("content")))
+    return pdf.pdf_pages(files).groupBy("doc_id").agg(F.count("page_no").alias("pages"), F.max(F.col("error").isNotNull()).alias("refused"))
+
+
 # --- tasks -------------------------------------------------------------------------------------------------------
+#: Seconds after which a task of the events table that nobody asks for is given up, and for which an ended one is kept.
+GIVEN_UP, KEPT, LATE = 6 * 3600.0, 48 * 3600.0, 600
+TASK_EVENTS = {"view": "submit", "click": "start", "purchase": "finish", "error": "fail"}
+_EVENT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_EVENTS.items()) + " ELSE 'poll' END"
+_MOVE = "CASE " + " ".join(f"WHEN s2 = '{s}' AND event = '{e}' THEN '{to}'" for (s, e), to in MOVES.items()) + " END"
+TASK_LIVES_SQL = f"""WITH RECURSIVE z AS (SELECT floor(epoch_us(max(ts)) / 1000 - {LATE} * 1000) / 1000.0 AS now FROM events),
+ a AS (SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, epoch_us(ts) / 1e6 AS happened, {_EVENT} AS event FROM events),
+ b AS (SELECT task_id, seq, happened, event FROM a, z WHERE happened <= now UNION ALL SELECT DISTINCT task_id, 9223372036854775807, now, '' FROM a, z),
+ e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY happened, seq) AS k FROM b),
+ r AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS k, '' AS status, CAST(0 AS DOUBLE) AS asked, CAST(NULL AS DOUBLE) AS at1, '' AS to1, '' AS why1, CAST(NULL AS DOUBLE) AS at2, CAST(NULL AS DOUBLE) AS at3, '' AS to3, '' AS why3 FROM a
+ UNION ALL SELECT task_id, k, coalesce(to3, s2), CASE WHEN to3 IS NOT NULL OR (event = 'poll' AND s2 <> '') THEN happened ELSE a2 END, at1, to1, why1, at2, CASE WHEN to3 IS NOT NULL THEN happened END, to3, event FROM (
+  SELECT *, {_MOVE} AS to3 FROM (
+   SELECT *, CASE WHEN s1 IN ('failed', 'finished') AND a1 + {KEPT} <= happened THEN a1 + {KEPT} END AS at2, CASE WHEN s1 IN ('failed', 'finished') AND a1 + {KEPT} <= happened THEN '' ELSE s1 END AS s2, a1 AS a2 FROM (
+    SELECT *, CASE WHEN at1 IS NULL THEN status WHEN status = 'pending' THEN 'failed' ELSE '' END AS s1, coalesce(at1, asked) AS a1, CASE WHEN status = 'pending' THEN 'failed' ELSE 'expired' END AS to1, CASE WHEN status = 'pending' THEN 'abandoned' ELSE 'expired' END AS why1 FROM (
+     SELECT e.task_id, e.k, e.happened, e.event, r.status, r.asked, CASE WHEN r.status = 'pending' AND r.asked + {GIVEN_UP} <= e.happened THEN r.asked + {GIVEN_UP} WHEN r.status IN ('failed', 'finished') AND r.asked + {KEPT} <= e.happened THEN r.asked + {KEPT} END AS at1
+     FROM r JOIN e ON e.task_id = r.task_id AND e.k = r.k + 1)))))
+ SELECT task_id, at1 AS at, to1 AS status, why1 AS reason FROM r WHERE at1 IS NOT NULL UNION ALL SELECT task_id, at2, 'expired', 'expired' FROM r WHERE at2 IS NOT NULL UNION ALL SELECT task_id, at3, to3, why3 FROM r WHERE at3 IS NOT NULL"""
+
+
+@query(TASK_LIVES_SQL)
+def stream_task_lives(spark, d):
+    """Every change of every task, from the events table read as a stream up to its end."""
+    micros = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+    # A stream's path has to be a folder or a pattern.
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    events = stream.selectExpr("cast(user_id as string) as task_id", "event_id as seq", f"timestamp_micros({micros}) as ts", f"{_EVENT} as event")
+    return run_through(task_lives(events, f"{LATE} seconds", GIVEN_UP, KEPT))
+
+
 @query(f"WITH {TASKS_SQL} SELECT seq, lane, row_number() OVER (PARTITION BY lane ORDER BY seq) <= CASE lane WHEN 'convert' THEN 16 ELSE 256 END AS admitted FROM tasks")
 def queue_admission(spark, d):
     return Q.admitted(tasks(spark, d)).select("seq", "lane", "admitted")

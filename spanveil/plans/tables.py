@@ -2,14 +2,81 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import pdf
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Characters of a text on a page of its PDF, and of a line.
+PAGE_CHARS, LINE_CHARS = 3000, 100
+
+
+def pdf_of(doc_id: int, text: str) -> bytes:
+    """A text as a PDF: odd documents with packed objects and a stream of places, even ones with a table; every fourth has a note on its first page."""
+    pages = [text[i : i + PAGE_CHARS] for i in range(0, max(len(text), 1), PAGE_CHARS)]
+    note, kids = 3, range(4, 4 + 2 * len(pages), 2)
+    values: dict[int, dict] = {1: {"Type": pdf.Name("Catalog"), "Pages": pdf.Ref(2, 0)}}
+    values[2] = {"Type": pdf.Name("Pages"), "Kids": [pdf.Ref(k, 0) for k in kids], "Count": len(pages), "MediaBox": [0, 0, 595, 842]}
+    values[note] = {"Type": pdf.Name("Annot"), "Subtype": pdf.Name("Text"), "Rect": [0, 0, 9, 9]}
+    for k in kids:
+        values[k] = {"Type": pdf.Name("Page"), "Parent": pdf.Ref(2, 0), "Contents": pdf.Ref(k + 1, 0)}
+    if doc_id % 4 == 0:
+        values[4]["Annots"] = [pdf.Ref(note, 0)]
+    out, at = bytearray(b"%PDF-1.7\n"), {}
+
+    def put(n: int, body: bytes) -> None:
+        at[n] = len(out)
+        out.extend(b"%d 0 obj\n" % n + body + b"\nendobj\n")
+
+    def stream(head: dict, body: bytes) -> bytes:
+        body = zlib.compress(body)
+        return pdf.write(head | {"Filter": pdf.Name("FlateDecode"), "Length": len(body)}) + b"\nstream\n" + body + b"\nendstream"
+
+    for k, page in zip(kids, pages, strict=True):
+        put(k + 1, stream({}, b"BT " + pdf.write(page.encode("utf-8", "replace")) + b" Tj ET"))
+    size, root = kids[-1] + 2, pdf.Ref(1, 0)
+    if doc_id % 2:
+        bodies = {n: pdf.write(v) for n, v in values.items()}
+        starts, total = [], 0
+        for n, body in bodies.items():
+            starts.append(f"{n} {total}")
+            total += len(body) + 1
+        head = (" ".join(starts) + " ").encode()
+        put(size, stream({"Type": pdf.Name("ObjStm"), "N": len(bodies), "First": len(head)}, head + b" ".join(bodies.values())))
+        packed = {n: i for i, n in enumerate(bodies)}
+        at[size + 1] = len(out)
+        rows = [b"\2" + size.to_bytes(6) + packed[n].to_bytes(4) if n in packed else b"\1" + at[n].to_bytes(6) + bytes(4) if n in at else bytes(11) for n in range(size + 2)]
+        start = len(out)
+        put(size + 1, stream({"Type": pdf.Name("XRef"), "Size": size + 2, "W": [1, 6, 4], "Root": root}, b"".join(rows)))
+    else:
+        for n, v in values.items():
+            put(n, pdf.write(v))
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % size + b"".join(b"%010d 00000 n \n" % at[n] for n in range(1, size))
+        out += b"trailer\n" + pdf.write({"Size": size, "Root": root}) + b"\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as PDF files(doc_id, content)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_id"]], pa.int64()), "content": pa.array([pdf_of(row["doc_id"], row["text"] or "")], pa.binary())})
+
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, content binary")
+
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.expr("cast(timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) as double)")
