@@ -137,7 +137,12 @@ def write(value: Any) -> bytes:
         return write(value.encode("ascii") if value.isascii() else b"\xfe\xff" + value.encode("utf-16-be"))
     if value is None or isinstance(value, bool):
         return {None: b"null", True: b"true", False: b"false"}[value]
-    return format(Decimal(repr(value)) if isinstance(value, float) else value, "f" if not isinstance(value, int) else "d").encode("ascii")
+    if isinstance(value, int):
+        return b"%d" % value
+    number = Decimal(repr(value)) if isinstance(value, float) else value
+    if not number.is_finite():
+        raise Unreadable("a number that a file can't hold")
+    return format(number, "f").encode("ascii")
 
 
 def text_of(value: Any) -> str | None:

@@ -21,6 +21,9 @@ def test_values_as_other_writers_put_them():
     got = parse(data, 0)[0]
     assert got["KA"] == b"a(b)(c)+\n\\" and got["N"] == [Ref(1, 0), 2, pytest.approx(0.5), -3, 4, b"A@"] and got["S"] == "T"
     assert pdf.text_of(parse(write("Zürich"), 0)[0]) == "Zürich" and pdf.text_of(b"ab") == "ab" and pdf.text_of(3) is None
+    assert [write(x) for x in (1e-7, 20.0, -3)] == [b"0.0000001", b"20.0", b"-3"]
+    with pytest.raises(Unreadable):
+        write([float("nan")])
     for broken in (b"(a", b"<zz>", b"[1", b"<</A", b"[" * 200, b"", b"x"):
         with pytest.raises(Unreadable):
             parse(broken, 0)
