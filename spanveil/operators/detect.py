@@ -6,7 +6,6 @@ rows. Rules find shapes and have confidence 1.0; they are no model.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import scan
+from ..sources.files import SUCCEEDED, followed
 
 SPAN = "struct<label:string,label_ord:int,ord:int,id:int,text:string,start:int,end:int,confidence:double>"
 SPANS = f"array<{SPAN}>"
@@ -131,18 +131,16 @@ class CallableDetector:
 class ServiceDetector(CallableDetector):
     """A model behind a task service: each Arrow batch of texts is one task, submitted, polled until it ends, and fetched.
 
-    submit(texts, types, threshold) gives a task; poll(task) gives "success", "failure", or anything else while it
-    runs; fetch(task) gives what a CallableDetector's function does. All three run on executors; a failed or
+    submit(texts, types, threshold) gives a task; poll(task) gives its state, and is tried again where it raises (see
+    ``followed``); fetch(task) gives what a CallableDetector's function does. All three run on executors; a failed or
     overdue task fails the Spark task, which is then run again.
     """
 
     def __init__(self, submit: Callable, poll: Callable, fetch: Callable, interval: float = 1.0, timeout: float = 3600.0):
         def fn(texts: list[str], types: list[str], threshold: float) -> list[list[tuple[str, int, int, float]]]:
-            task, end = submit(texts, types, threshold), time.monotonic() + timeout
-            while (state := poll(task)) != "success":
-                if state == "failure" or time.monotonic() > end:
-                    raise RuntimeError(f"detection task {task}: {state}")
-                time.sleep(interval)
+            task = submit(texts, types, threshold)
+            if (state := followed(task, poll, interval, timeout)) not in SUCCEEDED:
+                raise RuntimeError(f"detection task {task}: {state}")
             return fetch(task)
 
         super().__init__(fn)

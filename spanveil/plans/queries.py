@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..functions.geometry import box
 from ..operators import detect as D
 from ..operators import layout, marks, propagate, redact, report, spans
 from ..operators import tasks as Q
-from ..sources import pdf
-from ..sources.written import written
+from ..sources import once, pdf
+from ..sources.written import shared_folder, written
 from ..streaming.lives import run_through, task_lives
 from ..streaming.tasks import MOVES
 from .tables import ATTEMPTS_SQL, LINE_CHARS, PAGE_CHARS, TASKS_SQL, attempts, pdf_files, table, tasks
@@ -570,6 +572,17 @@ def task_collect_once(spark, d):
     return Q.collected(tasks(spark, d).where("status = 'finished'"), "task_id", "seq").select("seq", "task_id", "found")
 
 
+@query("SELECT conv_id, turn, role, length(text) AS chars, 'first' AS taker FROM conversations")
+def results_taken_once(spark, d):
+    """Turns as results of tasks, in two commits: the first to ask gets all of them, the next one none."""
+    folder = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    for part in (F.col("turn") % 2 == 0, F.coalesce(F.col("turn") % 2 != 0, F.lit(True))):
+        once.put(turns.where(part), folder)
+    taken = [once.take(spark, folder, name, turns.schema).withColumn("taker", F.lit(name)) for name in ("first", "second")]
+    return taken[0].unionByName(taken[1]).select("conv_id", "turn", "role", F.length("text").alias("chars"), "taker")
+
+
 @query("SELECT event_id, coalesce(substr(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN repeat(event_type, 40) END, ''), 1, 128), nullif(CASE WHEN event_id % 2 = 0 THEN 'host' || user_id END, ''), 'anonymous') AS client FROM events")
 def client_key(spark, d):
     n = F.col("event_id")

@@ -13,6 +13,9 @@ from ..functions import text as T
 
 #: Types that are read here; others need a converter of the caller's.
 TEXT_TYPES = ("text/plain", "text/markdown", "text/csv", "text/html", "text/asciidoc")
+#: States of a service's tasks that have a result, and all in which a task ends.
+SUCCEEDED = ("success", "partial_success", "finished")
+ENDED = (*SUCCEEDED, "failure", "skipped", "failed")
 
 
 def read_files(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
@@ -60,6 +63,20 @@ def convert(files: DataFrame, converter: Callable[[bytes, str], str] | None = No
     return out.withColumn("text", T.page_text(clean)).withColumn("page_offsets", T.page_offsets(clean)).drop("_md")
 
 
+def followed(task, poll: Callable, interval: float, timeout: float) -> str:
+    """The state in which a task ends, or 'timeout'. Polls that raise are tried again with doubled waits, ten seconds (or the interval) at most."""
+    wait, end = interval, time.monotonic() + timeout
+    while time.monotonic() < end:
+        try:
+            state, wait = poll(task), interval
+        except OSError:
+            state, wait = "", min(wait * 2, max(interval, 10.0))
+        if state in ENDED:
+            return state
+        time.sleep(wait)
+    return "timeout"
+
+
 def call_service(rows: DataFrame, submit: Callable, poll: Callable, fetch: Callable, column: str, result: str = "result", interval: float = 1.0, timeout: float = 3600.0) -> DataFrame:
     """rows with ``result`` (string) and ``service_error`` from a task service.
 
@@ -72,18 +89,9 @@ def call_service(rows: DataFrame, submit: Callable, poll: Callable, fetch: Calla
 
     def one(value) -> tuple[str | None, str | None]:
         try:
-            task, wait, end = submit(value), interval, time.monotonic() + timeout
-            while time.monotonic() < end:
-                try:
-                    state, wait = poll(task), interval
-                except OSError:
-                    state, wait = "", min(wait * 2, max(interval, 10.0))
-                if state in ("success", "partial_success", "finished"):
-                    return fetch(task), None
-                if state in ("failure", "skipped", "failed"):
-                    return None, state
-                time.sleep(wait)
-            return None, "timeout"
+            task = submit(value)
+            state = followed(task, poll, interval, timeout)
+            return (fetch(task), None) if state in SUCCEEDED else (None, state)
         except Exception as e:  # noqa: BLE001  the row says so
             return None, str(e)
 

@@ -67,6 +67,19 @@ def test_service_calls(spark):
     assert got["a"].result == "A" and got["bad"].service_error == "failure" and got["bad"].result is None
 
 
+def test_polls_that_raise_are_tried_again(spark):
+    asked = []
+
+    def poll(task):
+        asked.append(task)
+        if len(asked) < 3:
+            raise OSError("no answer")
+        return "running" if len(asked) < 5 else "finished"
+
+    assert S.followed("t", poll, 0.001, 10.0) == "finished" and len(asked) == 5
+    assert S.followed("t", lambda t: "running", 0.001, 0.02) == "timeout" and S.followed("t", lambda t: "skipped", 1.0, 1.0) == "skipped"
+
+
 def box(t, l, b=None, r=None, page=1):
     return {"page_no": page, "l": float(l), "t": float(t), "r": float(r if r is not None else l + 40), "b": float(b if b is not None else t + 12)}
 
