@@ -277,11 +277,11 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
     Every byte that is part of a WIDTH-byte string which also begins elsewhere, in any
     document, goes, all copies of it alike. A null text is empty; texts under WIDTH bytes
     stay whole, long ones are taken whole. Repeated rows are copies of each other, with a key or
-    without. docs may be empty; other columns aren't read.
+    without; their ranges are gathered once. docs may be empty; other columns aren't read.
     """
     row = F.xxhash64(F.col(key).cast("string"), F.lit("\x1f"), F.col(text)).alias("row")
     plain = docs.select(F.col(key).alias("key"), row, utf8_bytes(text).alias("body"))
-    ranges = repeated_ranges(plain.select("row", "body"), scratch).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(plain.select("row", "body"), scratch).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = scratch.save(ranges, "ranges")
     scratch.drop("sorted")
     kind = docs.schema[key].dataType.simpleString()

@@ -1,11 +1,12 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine; with ``by_label`` the weighting is supervised.
 
 Terms are words in small letters, hashed to 64 bits. Every word of a bounded sample of
 labelled rows (SAMPLE) is a term. A term weighs (1 + log tf) * log(N / df), with df
-counted over all documents, times its association with the label where that is beyond
-chance: chi-squared over CRITICAL, 1 at least. Plain TF-IDF gives the few words that
-make a text toxic no more say than its topic (README has the figures); with the factor
-all words still count, for either label.
+counted over all documents. With ``by_label`` that is multiplied by the term's
+association with the label where it is beyond chance: chi-squared over CRITICAL, 1 at
+least. Plain TF-IDF gives the few words that make a text toxic no more say than its
+topic (README has the figures of both); with the factor all words still count, for
+either label. The query and the pipeline set it; it is off unless asked for.
 
 The sample is an inverted index whose documents lie in order of their norms, in blocks
 of BLOCK, so that weights within a block are alike. A query adds up the postings of its
@@ -299,10 +300,10 @@ class Model:
         return lambda texts: [one(v) for v in held.vocabulary.vectors(texts)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | None = None, key: str = "doc_id", sample: int = SAMPLE, k: int = K) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | None = None, key: str = "doc_id", sample: int = SAMPLE, k: int = K, by_label: bool = False) -> Model | None:
     """Index of at most ``sample`` labelled documents, those with the least hash of their key; None without any.
 
-    train: condition on labels' rows. A key labelled twice takes the larger label, a key
+    by_label: words that go with a label weigh more. train: condition on labels' rows. A key labelled twice takes the larger label, a key
     with two texts the lesser text; null keys and labels are left out. Document frequencies
     are those of all rows of docs.
     """
@@ -358,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, train: Column | No
     every, word = int(n[number < 0].sum()), number >= 0
     of_word = np.ones(len(hashes))
     of_word[number[word]] = n[word]
-    vocabulary.weight = (np.log(every / of_word) * np.maximum(1, chi_squared(with_1, with_0, n1, n0) / CRITICAL)).astype(np.float32)
+    vocabulary.weight = (np.log(every / of_word) * (np.maximum(1, chi_squared(with_1, with_0, n1, n0) / CRITICAL) if by_label else 1)).astype(np.float32)
     shared.destroy()
     del df, number, n, word, of_word, with_0, with_1, order
     weighed = spark.sparkContext.broadcast(vocabulary)
@@ -461,5 +462,5 @@ def held_out(key: str = "doc_id") -> Column:
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of the held-out fifth are never read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"), Scratch(spark), ~held_out())
+    model = fit(docs, table(spark, sf_dir, "labels"), Scratch(spark), ~held_out(), by_label=True)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours")

@@ -303,7 +303,7 @@ def test_toxicity(spark):
     texts = [words(rng, 40, 3000) + (f" {rng.choice(['scum', 'vermin', 'filth'])}{rng.choice(['', 'ish'])}" if i % 4 == 0 else "") for i in range(600)]
     docs = corpus(spark, [*texts, None, "", "  "])
     labels = spark.createDataFrame([*[(i, int(i % 4 == 0)) for i in range(600)], (3, None), (None, 1)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, Scratch(spark), ~toxicity.held_out())
+    model = toxicity.fit(docs, labels, Scratch(spark), ~toxicity.held_out(), by_label=True)
     got = {r["doc_id"]: r for r in rows(toxicity.score(docs, model))}
     out = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i]["predicted"] == (i % 4 == 0) for i in out) >= 0.97 * len(out)
@@ -331,7 +331,8 @@ def test_curve_is_the_best_rising_one():
         assert np.allclose(at, [w[0] for w in want]) and np.allclose(got, [w[1] for w in want])
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("by_label", [False, True])
+def test_scores_match_brute_force(spark, by_label):
     """From raw texts to neighbours and scores; repeats, a label given twice, null texts, and words that no example has."""
     rng = random.Random(19)
     texts = [words(rng, rng.randrange(1, 25), 60) + (" Scum" if i % 9 == 0 and i % 4 else "") for i in range(150)]
@@ -340,7 +341,7 @@ def test_scores_match_brute_force(spark):
     texts += [None, "", "nowhere seen", "w1 " * 3000]
     docs = corpus(spark, texts)
     labels = spark.createDataFrame([*[(i, int(i % 9 == 0)) for i in range(150)], (0, 0), (2, 0), (2, 0)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, Scratch(spark), ~toxicity.held_out())
+    model = toxicity.fit(docs, labels, Scratch(spark), ~toxicity.held_out(), by_label=by_label)
     got = {r["doc_id"]: r for r in rows(toxicity.score(docs, model))}
     learned = [i for i in range(150) if i not in out]
     y = {i: int(i % 9 == 0) for i in learned}
@@ -358,7 +359,7 @@ def test_scores_match_brute_force(spark):
                 score += (table[r][c] - want) ** 2 / want if want else 0
         return score
 
-    weight = {w: np.log(len(texts) / df[w]) * max(1, chi(w) / 10.83) for w in {w for i in learned for w in split[i]}}
+    weight = {w: np.log(len(texts) / df[w]) * (max(1, chi(w) / 10.83) if by_label else 1) for w in {w for i in learned for w in split[i]}}
     vector = [{w: (1 + np.log(n)) * weight[w] for w, n in c.items() if w in weight} for c in split]
     norm = [np.sqrt(sum(x * x for x in v.values())) for v in vector]
 
