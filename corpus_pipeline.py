@@ -16,11 +16,11 @@ from spanveil.llm.common import Scratch, table, utf8_bytes
 #: Four fifths of the tokens left, none twice: repeats would undo the join's work.
 SHARE, MAX_EPOCHS = 0.8, 1
 #: Rows of an Arrow batch: a batch of whole texts is held by the JVM and by Python.
-ROWS_IN_BATCH = "1000"
+BATCH, ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def _lean(spark: SparkSession) -> Scratch:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN_BATCH)
+    spark.conf.set(BATCH, ROWS_IN_BATCH)
     return Scratch(spark)
 
 
@@ -30,7 +30,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The examples' texts come from the documents table, so that the stage judges any subset by
     the same examples; labels of the held-out fifth are not learned from.
     """
-    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), _lean(spark), ~toxicity.held_out())
+    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), _lean(spark), ~toxicity.held_out(), by_label=True)
     return toxicity.remove_toxic(docs, model)
 
 
@@ -74,9 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    scratch = Scratch(spark)
+    """All stages over documents. The session's batch size is put back at the end."""
+    scratch, before = Scratch(spark), spark.conf.get(BATCH)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    try:
+        for name, stage in STAGES:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
