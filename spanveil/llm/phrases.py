@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, LOWER, Scratch, give_back, prefix_hash, slices, span_hash, table
+from .common import BYTE_CODES, LOWER, Scratch, give_back, mix, prefix_hash, slices, span_hash, table
 
 #: Least occurrences, longest phrase, rows for each language, per cent from which a longer phrase covers a shorter one.
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
@@ -28,8 +28,8 @@ SCALE = 2_000_000
 #: Bytes of text in a shard; rows that may be broadcast; expanded block pairs at once; parts into which a hot word or language is dealt.
 SHARD_BYTES, MOST_BROADCAST, AT_ONCE, SALTS = 2 << 20, 200_000, 1 << 19, 16
 BITS = 16
-#: Pairs that may be broadcast (16 bytes each).
-MOST_PAIRS = 1_000_000
+#: Pairs that may be broadcast (16 bytes each); beyond, a filter of so many bits at most tells them, in parts of so many bits.
+MOST_PAIRS, MOST_BITS, PART_BITS = 1_000_000, 1 << 28, 1 << 20
 #: The longest gap between blocks that an entry holds.
 GAP = 65535
 
@@ -123,19 +123,17 @@ class Shard:
             key, back = np.unique(node * len(self.words) + word, return_inverse=True)
             yield key // len(self.words), key % len(self.words), np.bincount(back, np.bitwise_count(bits)).astype(np.int64)
 
-    def phrases(self, allowed: np.ndarray, longest: int):
-        """(words, occurrences) of phrases of three to ``longest`` words, all of whose pairs are allowed (sorted, first * words + second).
+    def phrases(self, pairs, longest: int):
+        """(words, occurrences) of phrases of three to ``longest`` words, all of whose pairs are among ``pairs``.
 
         Depth-first: what extends some phrases goes on to the longest before the next ones are extended.
         """
-        begins = np.isin(self.own[0], np.unique(allowed // max(1, len(self.words))))
-        yield from self._deeper(np.arange(len(self.words))[:, None], tuple(x[begins] for x in self.own), allowed, longest)
+        begins = pairs.begins(self.words)[self.own[0]]
+        yield from self._deeper(np.arange(len(self.words))[:, None], tuple(x[begins] for x in self.own), pairs, longest)
 
-    def _deeper(self, phrase: np.ndarray, own, allowed: np.ndarray, longest: int):
+    def _deeper(self, phrase: np.ndarray, own, pairs, longest: int):
         for node, word, block, bits in self.longer(*own):
-            pair = phrase[node, -1] * len(self.words) + word
-            at = np.minimum(np.searchsorted(allowed, pair), max(0, len(allowed) - 1))
-            fine = np.flatnonzero(allowed[at] == pair) if len(allowed) else np.empty(0, np.int64)
+            fine = np.flatnonzero(pairs.among(self.words, phrase[node, -1], word))
             key, back = np.unique(node[fine] * len(self.words) + word[fine], return_inverse=True)
             if not len(key):
                 continue
@@ -143,7 +141,7 @@ class Shard:
             if grown.shape[1] > 2:
                 yield grown, np.bincount(back, np.bitwise_count(bits[fine])).astype(np.int64)
             if grown.shape[1] < longest:
-                yield from self._deeper(grown, (back, block[fine], bits[fine]), allowed, longest)
+                yield from self._deeper(grown, (back, block[fine], bits[fine]), pairs, longest)
 
 
 def _shards(batches):
@@ -191,9 +189,80 @@ def _small(df: DataFrame) -> bool:
     return df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
+class ListedPairs:
+    """All frequent pairs."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+
+    def of(self, ids: np.ndarray) -> ListedPairs:
+        """Those of a shard's words (ascending ids)."""
+        a, b = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (self.first, self.second))
+        both = (ids[a] == self.first) & (ids[b] == self.second)
+        out = ListedPairs(self.first[both], self.second[both])
+        out.keys = np.unique(a[both] * len(ids) + b[both])
+        return out
+
+    def begins(self, ids: np.ndarray) -> np.ndarray:
+        return np.isin(ids, self.first)
+
+    def among(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(first), dtype=bool)
+        pair = first * len(ids) + second
+        return self.keys[np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)] == pair
+
+
+def _place(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(mix(first.astype(np.uint64)) + second.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+class FilteredPairs:
+    """A bit for each frequent pair, at its hash. A rare pair may meet a set bit; its phrases occur too rarely then and
+    go when the shards' counts are summed, so no result depends on the filter."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.bits = packed, 8 * len(packed)
+
+    def of(self, ids: np.ndarray) -> FilteredPairs:
+        return self
+
+    def begins(self, ids: np.ndarray) -> np.ndarray:
+        return np.ones(len(ids), dtype=bool)
+
+    def among(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = _place(ids[first], ids[second], self.bits)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(often: DataFrame, n: int) -> FilteredPairs:
+    """The filter of n pairs, 32 bits for each up to MOST_BITS; its parts are made by tasks."""
+    bits = min(MOST_BITS, max(PART_BITS, 1 << (32 * n).bit_length()))
+
+    def places(batches):
+        for b in batches:
+            at = _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at // PART_BITS), pa.array((at % PART_BITS).astype(np.int32))], ["part", "at"])
+
+    def part(t: pa.Table) -> pa.Table:
+        flags = np.zeros(PART_BITS, dtype=bool)
+        flags[t.column("at").to_numpy()] = True
+        return pa.table({"part": t.column("part").slice(0, 1), "packed": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    parts = often.select("w1", "w2").mapInArrow(places, "part long, at int").groupBy("part").applyInArrow(part, "part long, packed binary").toArrow()
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for p, x in zip(parts.column("part").to_pylist(), parts.column("packed"), strict=True):
+        packed[p * PART_BITS // 8 : (p + 1) * PART_BITS // 8] = np.frombuffer(x.as_buffer(), dtype=np.uint8)
+    return FilteredPairs(packed)
+
+
 def _broadcast_pairs(often: DataFrame):
+    """The frequent pairs for all tasks: listed while they are few, else as a filter of bounded size."""
+    n = often.count()
+    if n > MOST_PAIRS:
+        return often.sparkSession.sparkContext.broadcast(_filter(often, n))
     t = often.select("w1", "w2").toArrow()
-    return often.sparkSession.sparkContext.broadcast((t.column("w1").to_numpy(), t.column("w2").to_numpy()))
+    return often.sparkSession.sparkContext.broadcast(ListedPairs(t.column("w1").to_numpy(), t.column("w2").to_numpy()))
 
 
 def _texts_as_shards(narrow: DataFrame, words: DataFrame):
@@ -217,7 +286,7 @@ def _texts_as_shards(narrow: DataFrame, words: DataFrame):
         pairs = None if often is None else _broadcast_pairs(often)
 
         def run(batches):
-            more = () if pairs is None else pairs.value
+            more = () if pairs is None else (pairs.value,)
             for t in _each(_shards(batches), lambda _, name, words, which, place: make(shard(name, words, which, place), *more)):
                 yield from t.to_batches(1 << 16)
 
@@ -229,35 +298,21 @@ def _texts_as_shards(narrow: DataFrame, words: DataFrame):
 def _stored_shards(narrow: DataFrame, words: DataFrame, scratch: Scratch):
     """Work on shards whose bitmaps are stored; each meets its own frequent words and pairs by joins."""
     # A hot word has a row in every shard, so its rows are dealt over salts.
-    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Without the hint, the small file of words would be broadcast, SALTS times larger than its size tells.
+    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     live = word_bitmaps(narrow).withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "word", "salt"])
     live = scratch.save(live.select("shard", "id", "bitmap"), "phrase-live")
 
-    def shard(t, known=None) -> Shard:
+    def shard(t) -> Shard:
         ids = t.column("id").to_numpy()
-        some = np.arange(len(ids)) if known is None else np.flatnonzero(np.isin(ids, known))
-        order = some[np.argsort(ids[some])]
+        order = np.argsort(ids)
         return Shard(ids[order], unpack(t.column("bitmap").take(pa.array(order)).to_pylist()))
 
     def work(make, schema: str, often: DataFrame | None = None) -> DataFrame:
         if often is None:
             return live.groupBy("shard").applyInArrow(lambda t: make(shard(t)), schema)
-        if often.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
-            pairs = _broadcast_pairs(often)
-            return live.groupBy("shard").applyInArrow(lambda t: make(shard(t, np.unique(np.concatenate(pairs.value))), *pairs.value), schema)
-
-        def count_own(key, t):
-            s = shard(t)
-            found = [np.unique(np.column_stack((s.words[a], s.words[b])), axis=0) for a, b, _ in s.pairs()]
-            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            return pa.table({"shard": np.full(len(both), key[0].as_py(), dtype=np.int64), "w1": both[:, 0].copy(), "w2": both[:, 1].copy()})
-
-        def by_own(left, right):
-            a, b = right.column("w1").to_numpy(), right.column("w2").to_numpy()
-            return make(shard(left, np.unique(np.concatenate((a, b)))), a, b)
-
-        own = live.groupBy("shard").applyInArrow(count_own, "shard long, w1 long, w2 long").join(often, ["w1", "w2"], "left_semi")
-        return live.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(by_own, schema)
+        pairs = _broadcast_pairs(often)
+        return live.groupBy("shard").applyInArrow(lambda t: make(shard(t), pairs.value), schema)
 
     return work
 
@@ -279,14 +334,12 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang
     pairs = shards(count_pairs, "w1 long, w2 long, n long")
     often = scratch.save(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-often")
 
-    def longer(shard: Shard, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        """Phrases of three words or more of a shard, whose pairs are all among (a, b)."""
+    def longer(shard: Shard, pairs: ListedPairs | FilteredPairs) -> pa.Table:
+        """Phrases of three words or more of a shard, whose pairs are all among these."""
         ids = shard.words
         out, counts = [pa.array([], pa.list_(pa.int64()))], [np.empty(0, np.int64)]
         if len(ids):
-            first, second = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
-            both = (ids[first] == a) & (ids[second] == b)
-            for phrase, n in shard.phrases(np.unique(first[both] * len(ids) + second[both]), longest):
+            for phrase, n in shard.phrases(pairs.of(ids), longest):
                 out.append(pa.FixedSizeListArray.from_arrays(pa.array(ids[phrase].ravel()), phrase.shape[1]).cast(pa.list_(pa.int64())))
                 counts.append(n)
         return pa.table({"ids": pa.chunked_array(out), "n": np.concatenate(counts)})
@@ -317,13 +370,15 @@ def collocations(docs: DataFrame, scratch: Scratch, text: str = "text", lang: st
     known = scratch.save(found.select("ids", F.col("a").alias("f")).unionByName(words.select(F.array("id").alias("ids"), "f")), "phrase-known")
     cuts = found.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
     cuts = cuts.withColumn("first", F.slice("ids", F.lit(1), F.col("k"))).withColumn("rest", F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k")))
-    side = lambda key, name: (F.broadcast if _small(known) else lambda x: x)(known.select(F.col("ids").alias(key), F.col("f").alias(name)))
+    # A file's size says little of its rows in memory, so the choice is made by their number.
+    hinted = F.broadcast if _small(known) else lambda x: x.hint("merge")
+    side = lambda key, name: hinted(known.select(F.col("ids").alias(key), F.col("f").alias(name)))
     cuts = cuts.join(side("first", "l"), "first").join(side("rest", "r"), "rest")
     best = cuts.withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r"))).groupBy("ids", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     inner = F.transform(F.sequence(F.lit(2), F.size("ids") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.size("ids") - m + 1), lambda i: F.slice("ids", i, m)))
     within = found.where(F.size("ids") > 2).select(F.explode(F.flatten(inner)).alias("ids"), "a").groupBy("ids").agg(F.max("a").alias("longer"))
     left = best.join(within, "ids", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
-    spelt = left.select("ids", "a", "cut", F.posexplode("ids").alias("at", "id")).join(F.broadcast(words) if _small(words) else words, "id")
+    spelt = left.select("ids", "a", "cut", F.posexplode("ids").alias("at", "id")).join(F.broadcast(words) if _small(words) else words.hint("merge"), "id")
     spelt = spelt.groupBy("ids", "a", "cut").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = [F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     for part in (["lang", "salt"], ["lang"]):  # a language's phrases are ranked in parts first, so that no task holds all of them

@@ -61,6 +61,23 @@ def test_equal_to_plain_counting(spark, monkeypatch, shard, most, pairs, at_once
     assert len({len(w[2].split(" ")) for w in want}) == 3
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_many_pairs_reach_the_driver_as_a_filter(spark, monkeypatch, most):
+    """Above MOST_PAIRS the list of pairs is never collected: a filter of bounded size stands for it, also one that lets most pairs through."""
+    monkeypatch.setattr(phrases, "MOST_PAIRS", 3)
+    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    monkeypatch.setattr(phrases, "PART_BITS", 16)
+    monkeypatch.setattr(phrases, "MOST_BROADCAST", most)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 900)
+    sizes = []
+    of = phrases._broadcast_pairs
+    monkeypatch.setattr(phrases, "_broadcast_pairs", lambda often: sizes.append(of(often)) or sizes[-1])
+    docs = corpus(3)
+    got = phrases.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), Scratch(spark), least=8, top=50)
+    assert sorted(map(tuple, got.collect())) == brute(docs, 8, 50)
+    assert [len(b.value.packed) for b in sizes] == [8]
+
+
 def test_only_pairs(spark):
     docs = corpus(2, 100)
     got = phrases.collocations(spark.createDataFrame(docs, "text string, lang string"), Scratch(spark), least=5, longest=2)
