@@ -381,3 +381,12 @@ def test_task_machine(spark, tmp_path):
     want = {("a", "pending"): (0, None), ("a", "running"): (5, None), ("a", "finished"): (9, "r1"), ("b", "pending"): (0, None), ("b", "failed"): (110, "abandoned by the caller"), ("c", "pending"): (1, None), ("c", "failed"): (2, "cancelled"), ("d", "pending"): (1, None), ("d", "running"): (3, None), ("d", "failed"): (4, "broken")}
     assert {k: v for k, v in got.items() if k[1] != "expired"} == want
     assert {k[0]: v[0] for k, v in got.items() if k[1] == "expired"} == {"a": 3609, "b": 3710, "c": 3602, "d": 3604}
+
+
+def test_regions_are_made_in_the_documents_row(spark):
+    """No join: a frame made of JSON is much larger than its file tells, and would be broadcast through the driver."""
+    from spanveil.sources import layout as source
+
+    known = source.parsed(spark.createDataFrame([(1, "{}")], "doc_id long, document string"))
+    for made in (source.regions(known), source.pictures(known), source.reading_order(known)):
+        assert "Join" not in made._jdf.queryExecution().toString() and made.collect() == []
