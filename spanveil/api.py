@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.catalog import BLACKLISTS, DESCRIPTIONS, ENTITY_TYPES, PRESETS, filled
-from .operators import layout, marks
+from .operators import layout, marks, pages
 from .operators.detect import Detector, RuleDetector, explode_spans
 from .operators.redact import redact
 from .sources.files import admission, convert, read_files
 from .sources.pdf import pdf_pages, write_marks
-from .sources.written import written
+from .sources.written import stored
 
 
 def load_entity_types(preset: str = "default", verbose: bool = False) -> dict:
@@ -49,16 +49,15 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
 
     words: doc_id, page_no, word_idx, text, box, drawn, read.
     """
-    lined = layout.drop_read_over_drawn(layout.words_to_lines(words, lines)).withColumn("hidden", ~(F.col("drawn") | F.col("read")))
-    units = written(layout.text_units(layout.words_to_regions(lined, regions)))
-    joined = written(layout.join_units(units))
+    units = stored(layout.text_units(pages.placed(words, lines, regions)).select("doc_id", "unit_idx", "text", F.transform("words", lambda w: F.struct(w["box"].alias("box"), w["start"].alias("start"), w["end"].alias("end"))).alias("words")))
+    joined = stored(layout.join_units(units))
     spans = redact(detector.detect(joined.select("doc_id", "text").where(T.strip(F.col("text")) != ""), types, threshold), [], True, True)
-    mentions = written(layout.mention_numbers(explode_spans(spans)))
+    mentions = stored(layout.mention_numbers(explode_spans(spans)))
     starts = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start"))
-    placed = units.join(starts, ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.length("text"))
+    placed = units.select("doc_id", "unit_idx", F.length("text").alias("n")).join(starts.hint("merge"), ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.col("n"))
     pieces = layout.split_mentions(mentions.select("doc_id", "mention_no", "start", "end"), placed.select("doc_id", "unit_idx", "u_start", "u_end"))
-    boxes = pieces.join(units.select("doc_id", "unit_idx", "words"), ["doc_id", "unit_idx"]).withColumn("boxes", layout.bars(layout.touched_boxes(F.col("words"), F.col("start"), F.col("end"))))
-    each = boxes.select("doc_id", "mention_no", "unit_idx", F.posexplode("boxes").alias("i", "box")).join(mentions.select("doc_id", "mention_no", F.col("mention_id").alias("id"), "label", "confidence", "text"), ["doc_id", "mention_no"])
+    boxes = pieces.join(units.select("doc_id", "unit_idx", "words").hint("merge"), ["doc_id", "unit_idx"]).withColumn("boxes", layout.bars(layout.touched_boxes(F.col("words"), F.col("start"), F.col("end"))))
+    each = boxes.select("doc_id", "mention_no", "unit_idx", F.posexplode("boxes").alias("i", "box")).join(mentions.select("doc_id", "mention_no", F.col("mention_id").alias("id"), "label", "confidence", "text").hint("merge"), ["doc_id", "mention_no"])
     spots = each.select("doc_id", F.struct(F.lit(1).alias("k"), F.col("mention_no").alias("n"), F.col("unit_idx").alias("u"), F.col("i").cast("long").alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
     drawn = layout.picture_marks(pictures).select("doc_id", F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.monotonically_increasing_id().alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
     from pyspark.sql import Window

@@ -390,3 +390,34 @@ def test_regions_are_made_in_the_documents_row(spark):
     known = source.parsed(spark.createDataFrame([(1, "{}")], "doc_id long, document string"))
     for made in (source.regions(known), source.pictures(known), source.reading_order(known)):
         assert "Join" not in made._jdf.queryExecution().toString() and made.collect() == []
+
+
+def test_pages_placed_at_once(spark, monkeypatch):
+    """Equal to lines, drawn words and regions joined one after the other, also where pages come in parts; words are shuffled once."""
+    import random
+
+    from spanveil.operators import pages
+
+    monkeypatch.setattr(pages, "ROWS", 7)
+    monkeypatch.setattr(pages, "AT_ONCE", 3)
+    rng = random.Random(6)
+    words, lines, regions = [], [], []
+
+    def some(page, most):
+        left, top = rng.choice([-200.0, 0.0, 100.0, 128.0, 300.0]), rng.randrange(0, 300, 10) * 1.0
+        return (page, left, top, left + rng.randrange(most), top + rng.randrange(most))
+
+    for doc in range(12):
+        for page in range(1, 4):
+            words += [(doc, page, k, rng.choice(["a", "B-", " ", " ", "ß"]), some(page, 40), rng.random() < 0.6, rng.random() < 0.4) for k in range(rng.choice([0, 3, 40]))]
+            lines += [(doc, page, k, some(page, 300)) for k in range(rng.randrange(6))]
+            regions += [(doc, 3 * page + k, some(page, 400)) for k in range(rng.randrange(3))]
+    w = spark.createDataFrame(words, f"doc_id long, page_no int, word_idx int, text string, box {G.BOX}, drawn boolean, read boolean")
+    n = spark.createDataFrame(lines, f"doc_id long, page_no int, line_idx int, box {G.BOX}")
+    r = spark.createDataFrame(regions, f"doc_id long, region_idx int, box {G.BOX}")
+    old = layout.words_to_regions(layout.drop_read_over_drawn(layout.words_to_lines(w, n)).withColumn("hidden", ~(F.col("drawn") | F.col("read"))), r)
+    new = pages.placed(w, n, r)
+    assert sorted(map(repr, old.select(*new.columns).collect())) == sorted(map(repr, new.collect())) and new.count() > 100
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    assert new.where("false").unionByName(pages.placed(w.where("false"), n, r)).count() == 0
