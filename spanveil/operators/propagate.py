@@ -1,6 +1,6 @@
 """Carry detections to their repeats in the same document.
 
-Everything happens inside a row; needles are looked up and repeats chosen in Arrow batches. Labels go in
+Everything happens inside a row; needles are looked up and repeats chosen in parts of Arrow batches. Labels go in
 sorted order, longer needles first; a repeat is taken if it overlaps nothing taken before, detections of all labels included.
 """
 
@@ -12,14 +12,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_parts
 from ..functions.catalog import REPEATING_LABELS
 from ..functions.folding import SPAN as PLACES
-from ..functions.folding import _udf, find_all_folded
+from ..functions.folding import find_all_folded
 from ..functions.machine import FEW, Machine
 from ..functions.text import strip
 from .detect import SPANS
@@ -76,10 +75,10 @@ def _in_word(ch: str) -> bool:
 def exact_places(text: Column, found: Column) -> Column:
     """For each needle its places in the text."""
 
-    def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[[{"start": a, "end": b} for a, b in places] for places in find_all_exact(list(ns), t)] if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)])
+    def run(needles: list[list[str] | None], texts: list[str | None]) -> list[list[list[dict]]]:
+        return [[[{"start": a, "end": b} for a, b in places] for places in find_all_exact(ns, t)] if ns is not None and t else [] for ns, t in zip(needles, texts, strict=True)]
 
-    return _udf(run, f"array<{PLACES}>")(F.transform(found, lambda n: n["needle"]), text)
+    return by_parts(run, f"array<{PLACES}>")(F.transform(found, lambda n: n["needle"]), text)
 
 
 def accept(taken: list[tuple[int, int]], candidates: list[tuple]) -> list[tuple]:
@@ -106,9 +105,9 @@ def accept(taken: list[tuple[int, int]], candidates: list[tuple]) -> list[tuple]
 def repeats(spans: Column, found: Column, places: Column) -> Column:
     """Repeats (label, start, end, nth of its label) that overlap nothing taken before them."""
 
-    def run(starts: pa.Array, ends: pa.Array, labels: pa.Array, places: pa.Array) -> pa.Array:
+    def run(*columns: list) -> list[list[dict] | None]:
         rows = []
-        for s, e, names, lists in zip(*(c.to_pylist() for c in (starts, ends, labels, places)), strict=True):
+        for s, e, names, lists in zip(*columns, strict=True):
             if s is None or lists is None:
                 rows.append(None)
                 continue
@@ -119,10 +118,9 @@ def repeats(spans: Column, found: Column, places: Column) -> Column:
                 row.append({"label": n, "start": a, "end": b, "before": seen[n]})
                 seen[n] += 1
             rows.append(row)
-        return pa.array(rows, kind)
+        return rows
 
-    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.int32())]))
-    return F.arrow_udf(run, REPEATS).asNondeterministic()(F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.transform(found, lambda n: n["label"]), places)
+    return by_parts(run, REPEATS)(F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.transform(found, lambda n: n["label"]), places)
 
 
 def of_labels(spans: Column) -> Column:
