@@ -29,6 +29,25 @@ def test_values_as_other_writers_put_them():
             parse(broken, 0)
 
 
+def test_numbers_in_lists_and_what_is_none():
+    from decimal import Decimal
+
+    for data, value in ((b"[1 -2 +3 .5 4. 7]", [1, -2, 3, Decimal("0.5"), Decimal(4), 7]), (b"[1 2 0 R]", [1, Ref(2, 0)]), (b"[1  2%x\n3 ]", [1, 2, 3]), (b"[1 [2 3] 4]", [1, [2, 3], 4]), (b"[ 1]", [1]), (b"12 0 obj", 12), (b"12 0 R", Ref(12, 0)), (b"1.5]", Decimal("1.5")), (b"null/", None), (b"/#41b", "Ab"), (b"/ ", "")):
+        assert parse(data, 0)[0] == value
+    for broken in (b"[1 2-3]", b"[1 .]", b"[1.2.3]", b"truer", b"1a", b"+", b"12 0 Rx 3x"):
+        with pytest.raises(Unreadable):
+            parse(broken, 0) if broken != b"12 0 Rx 3x" else parse(b"[12 0 Rx]", 0)
+    assert [write(x) for x in (0.1, 1e22, -2.5, 123456789.125, 1e-5)] == [b"0.1", b"10000000000000000000000", b"-2.5", b"123456789.125", b"0.00001"]
+
+
+def test_the_tree_of_pages_is_walked_once(spark):
+    p = Pdf(pdf_of(1, "x" * 9000))
+    assert p.pages() is p.pages() and len(p.pages()) == 3
+    files = spark.createDataFrame([(i, bytearray(pdf_of(i, "x" * 100)) if i % 5 else bytearray(b"no")) for i in range(200)], "doc_id long, content binary").coalesce(1)
+    got = pdf.pdf_pages(files).collect()
+    assert [r.doc_id for r in got] == list(range(200)) and [r.error is None for r in got] == [i % 5 > 0 for i in range(200)]
+
+
 @pytest.mark.parametrize("doc_id", range(4))
 def test_marks_are_appended_and_the_file_stays(doc_id):
     data = pdf_of(doc_id, "x" * 6500)
