@@ -55,3 +55,11 @@ def test_nulls_and_an_empty_table(spark):
     for rows in (df, df.where("false")):
         got = rows.select(fold_text("t"), scrap("t"), scraps("ts"), find_all_folded("ts", "t")).collect()
         assert [tuple(r) for r in got] == ([(None, None, None, []), ("u", True, [True, False], [[(0, 1)], []]), ("", True, [], [])] if rows is df else [])
+
+
+def test_a_batch_looks_at_each_word_once(spark):
+    lists = [None, [], ["Bern", "a", "und"], ["ab", "und", "a"], None, ["x"]] * 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, ts array<string>").coalesce(1).where("i > 2")
+    alone = {w: f for w, f in df.select(F.explode_outer("ts").alias("w")).distinct().where("w is not null").select("w", scrap("w")).collect()}
+    got = {i: f for i, f in df.select("i", scraps("ts")).collect()}
+    assert got == {i: None if t is None else [alone[w] for w in t] for i, t in enumerate(lists) if i > 2} and alone["und"] and not alone["Bern"]
