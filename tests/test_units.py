@@ -56,6 +56,25 @@ def test_units_in_a_documents_row(spark, frames, monkeypatch):
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
 
 
+def test_mentions_cut_in_the_row(spark):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(40):
+        units, at = [], 0
+        for _ in range(rng.randrange(30)):
+            n = rng.choice((1, 5, 80, 256))
+            units.append((at, at + n))
+            at += n + rng.choice((0, 2))
+        begins = [rng.randrange(at + 1) for _ in range(rng.randrange(20))]
+        rows.append((units, [(b, b + rng.choice((0, 1, 20, 3000))) for b in begins]))
+    kind = "array<struct<start:int,end:int>>"
+    got = spark.createDataFrame(rows, f"units {kind}, m {kind}").select("units", "m", layout.cut_mentions(F.col("m"), F.col("units")).alias("p")).collect()
+    for r in got:
+        want = [(n, u, max(s, a) - a, min(e, b) - a) for n, (s, e) in enumerate(r.m, 1) for u, (a, b) in enumerate(r.units) if a < e and s < b]
+        assert sorted(map(tuple, r.p)) == sorted(want)
+    assert any(r.p for r in got)
+
+
 def test_rows_of_the_queries_pages(spark, tmp_path):
     """The rows that documents' texts make in place are those of the words, lines and regions made one by one."""
     texts = ["", " ", "\n\n", None, " a  b ", "a\n \n\tb   c\n" + "x " * 40 + "\n" + "y", "\n".join(f"w{i} über- {i}" + " v" * (i % 23) for i in range(75)), "k-\r\nl", "\n" * 31 + "z"]
@@ -69,7 +88,7 @@ def test_rows_of_the_queries_pages(spark, tmp_path):
     assert as_rows(pages.units(new, True)) == as_rows(pages.units(old, True))
 
 
-@pytest.mark.parametrize("name", ["unit_text"])
+@pytest.mark.parametrize("name", ["unit_text", "mention_split"])
 def test_words_are_not_shuffled(spark, name, monkeypatch):
     """Texts are, once, up to the rows that are given out, or the marks that are stored."""
     made = []
