@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.catalog import BLACKLISTS, DESCRIPTIONS, ENTITY_TYPES, PRESETS, filled
 from .operators import layout, marks, pages
-from .operators.detect import Detector, RuleDetector, explode_spans
+from .operators.detect import Detector, RuleDetector
 from .operators.redact import redact
 from .sources.files import admission, convert, read_files
 from .sources.pdf import pdf_pages, write_marks
@@ -49,16 +49,23 @@ def mark_documents(words: DataFrame, lines: DataFrame, regions: DataFrame, pictu
 
     words: doc_id, page_no, word_idx, text, box, drawn, read.
     """
-    units = stored(layout.text_units(pages.placed(words, lines, regions)).select("doc_id", "unit_idx", "text", F.transform("words", lambda w: F.struct(w["box"].alias("box"), w["start"].alias("start"), w["end"].alias("end"))).alias("words")))
-    joined = stored(layout.join_units(units))
-    spans = redact(detector.detect(joined.select("doc_id", "text").where(T.strip(F.col("text")) != ""), types, threshold), [], True, True)
-    mentions = stored(layout.mention_numbers(explode_spans(spans)))
-    starts = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start"))
-    placed = units.select("doc_id", "unit_idx", F.length("text").alias("n")).join(starts.hint("merge"), ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.col("n"))
-    pieces = layout.split_mentions(mentions.select("doc_id", "mention_no", "start", "end"), placed.select("doc_id", "unit_idx", "u_start", "u_end"))
-    boxes = pieces.join(units.select("doc_id", "unit_idx", "words").hint("merge"), ["doc_id", "unit_idx"]).withColumn("boxes", layout.bars(layout.touched_boxes(F.col("words"), F.col("start"), F.col("end"))))
-    each = boxes.select("doc_id", "mention_no", "unit_idx", F.posexplode("boxes").alias("i", "box")).join(mentions.select("doc_id", "mention_no", F.col("mention_id").alias("id"), "label", "confidence", "text").hint("merge"), ["doc_id", "mention_no"])
-    spots = each.select("doc_id", F.struct(F.lit(1).alias("k"), F.col("mention_no").alias("n"), F.col("unit_idx").alias("u"), F.col("i").cast("long").alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
+    return mark_pages(pages.together(words, lines, regions), pictures, detector, types, threshold)
+
+
+def mark_pages(rows: DataFrame, pictures: DataFrame, detector: Detector, types: list[str], threshold: float = 0.8) -> DataFrame:
+    """mark_documents() for rows of pages that lie together (see pages.together): units, mentions and boxes are made in a document's row."""
+    found = detector.detect(pages.units(rows, boxes=True).where(T.strip(F.col("text")) != ""), types, threshold).where(F.size("spans") > 0)
+    mentions = redact(found, [], True, True).withColumn("m", layout.in_reading_order(F.col("spans"))).select("doc_id", "units", "m")
+    cut = mentions.withColumn("pieces", layout.cut_mentions(F.col("m"), F.col("units")))
+
+    def marked(p: Column) -> Column:
+        m, words = F.get("m", p["mention_no"] - 1), F.get("units", p["unit_idx"])["words"]
+        boxes = layout.bars(layout.touched_boxes(words, p["start"], p["end"]))
+        return F.struct(p["mention_no"].alias("n"), p["unit_idx"].alias("u"), boxes.alias("boxes"), m["label"].alias("label"), m["confidence"].alias("confidence"), m["text"].alias("text"))
+
+    each = cut.select("doc_id", F.explode(F.transform("pieces", marked)).alias("p")).select("doc_id", "p.*").select("*", F.posexplode("boxes").alias("i", "box"))
+    order = F.struct(F.lit(1).alias("k"), "n", "u", F.col("i").cast("long").alias("i"))
+    spots = stored(each.select("doc_id", order.alias("o"), F.concat(F.lit("d"), F.col("n").cast("string")).alias("id"), "box", "label", "confidence", "text"))
     drawn = layout.picture_marks(pictures).select("doc_id", F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.monotonically_increasing_id().alias("i")).alias("o"), "id", "box", "label", "confidence", "text")
     from pyspark.sql import Window
 

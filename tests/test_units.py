@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spanveil import api
 from spanveil.functions import geometry as G
-from spanveil.operators import layout, pages
+from spanveil.operators import layout, marks, pages
+from spanveil.operators.detect import CallableDetector, RuleDetector, explode_spans
+from spanveil.operators.redact import redact
 from spanveil.plans import queries as Q
 
 WORD = f"doc_id long, page_no int, word_idx int, text string, box {G.BOX}, drawn boolean, read boolean"
@@ -75,6 +77,31 @@ def test_mentions_cut_in_the_row(spark):
     assert any(r.p for r in got)
 
 
+def joined_marks(frames, pictures, detector, types):
+    """mark_documents by joins of units, mentions and words."""
+    units = layout.text_units(pages.placed(*frames))
+    joined = layout.join_units(units)
+    mentions = layout.mention_numbers(explode_spans(redact(detector.detect(joined.select("doc_id", "text"), types, 0.8), [], True, True)))
+    starts = joined.select("doc_id", F.posexplode("starts").alias("unit_idx", "u_start"))
+    placed = units.join(starts, ["doc_id", "unit_idx"]).withColumn("u_end", F.col("u_start") + F.length("text"))
+    pieces = layout.split_mentions(mentions.select("doc_id", "mention_no", "start", "end"), placed.select("doc_id", "unit_idx", "u_start", "u_end"))
+    boxes = pieces.join(units.select("doc_id", "unit_idx", "words"), ["doc_id", "unit_idx"]).withColumn("boxes", layout.bars(layout.touched_boxes(F.col("words"), F.col("start"), F.col("end"))))
+    each = boxes.select("doc_id", "mention_no", "unit_idx", F.posexplode("boxes").alias("i", "box")).join(mentions.select("doc_id", "mention_no", F.col("mention_id").alias("id"), "label", "confidence", "text"), ["doc_id", "mention_no"])
+    spots = each.withColumn("ord", (F.col("mention_no") * 1_000_000 + F.col("unit_idx") * 1000 + F.col("i")).cast("int")).drop("mention_no", "unit_idx", "i")
+    drawn = layout.picture_marks(pictures).withColumn("ord", F.lit(0))
+    return marks.annotations(marks.merge_marks(drawn.unionByName(spots))).drop("ord")
+
+
+MODEL = CallableDetector(lambda texts, types, threshold: [[("person", at, at + 3, 0.9) for at in range(0, len(t) - 3, 11)] for t in texts])
+
+
+@pytest.mark.parametrize("detector,types", [(RuleDetector(), ["e-mail-adresse"]), (MODEL, ["person"])])
+def test_marks_made_in_the_row(spark, frames, detector, types):
+    pictures = spark.createDataFrame([(1, (1, 0.0, 500.0, 40.0, 512.0), {"signature": 0.5})], f"doc_id long, box {G.BOX}, classes map<string,double>")
+    new = api.mark_documents(*frames, pictures, detector, types).drop("ord")
+    assert as_rows(new) == as_rows(joined_marks(frames, pictures, detector, types)) and new.count() > 10
+
+
 def test_rows_of_the_queries_pages(spark, tmp_path):
     """The rows that documents' texts make in place are those of the words, lines and regions made one by one."""
     texts = ["", " ", "\n\n", None, " a  b ", "a\n \n\tb   c\n" + "x " * 40 + "\n" + "y", "\n".join(f"w{i} über- {i}" + " v" * (i % 23) for i in range(75)), "k-\r\nl", "\n" * 31 + "z"]
@@ -88,7 +115,7 @@ def test_rows_of_the_queries_pages(spark, tmp_path):
     assert as_rows(pages.units(new, True)) == as_rows(pages.units(old, True))
 
 
-@pytest.mark.parametrize("name", ["unit_text", "mention_split"])
+@pytest.mark.parametrize("name", ["unit_text", "mention_split", "mark_boxes"])
 def test_words_are_not_shuffled(spark, name, monkeypatch):
     """Texts are, once, up to the rows that are given out, or the marks that are stored."""
     made = []
